@@ -151,25 +151,24 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, block: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000) -> DataFrame:
     """pieces (doc_id, piece, start, length, ...) with sequence_id and offset.
 
     Pieces of one length are ranked by (hash block, doc_id, piece), so equal input gives equal
-    output. Every length is 1 to capacity. Repeated rows are pieces of their own; null doc_ids sort
+    output; a frequent length is ranked in blocks of about `block` rows. Every length is 1 to capacity. Repeated rows are pieces of their own; null doc_ids sort
     first; an empty table gives an empty result.
     """
     # one narrow pass for the counts, another for the ranks: the pieces are written once
     pieces = table(pieces, "pieces")
-    n = pieces.count()
-    blocks = max(1, n // block)
-    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
-    sizes = keyed.groupBy("length", "_block").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    based = sizes.select("length", "_block", F.coalesce(before, F.lit(0)).alias("_base"))
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity`
     bad = [x for x in counts if not 0 < x <= capacity]
     if bad:
         raise ValueError(f"pieces of lengths {bad[:3]} can't be packed into {capacity}")
+    blocks = F.get(F.lit([1 + counts.get(x, 0) // block for x in range(capacity + 1)]), F.col("length").cast("int"))
+    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), blocks).cast("int"))
+    sizes = keyed.groupBy("length", "_block").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    based = sizes.select("length", "_block", F.coalesce(before, F.lit(0)).alias("_base"))
     # By length: at rank lo, the piece goes to sequence first + (rank - lo) at this offset.
     spans: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = dict.fromkeys(counts, 0)

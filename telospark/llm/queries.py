@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telospark.llm import packing, sharding, token_files
+from telospark.llm import fingerprints, minhash, mixing, packing, pii, quality, sharding, token_files
 
 SHARDS = 24
+PII_KEY = "an example key; callers bring their own secret"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,10 +33,47 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(documents(spark, sf_dir), PII_KEY)
+    return out.select("doc_id", "text", "lang", "source", "n_entities")
+
+
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_sort, op3_token_files, op5_complement_packing)}
+def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), threshold=75)
+
+
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
+#: Shares of domains and, within each, of languages; sources share by their tokens.
+WEIGHTS = {("web",): 0.5, ("books",): 0.3, ("forum",): 0.2} | {(d, k): w for d in ("web", "books", "forum") for k, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}
+
+
+def domain_of():
+    """The tables have no domain: sources 0-9 stand for web, 10-14 for books, others for forums."""
+    n = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
+    return F.when(n < 10, "web").when(n < 15, "books").otherwise("forum")
+
+
+def op9_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir), WEIGHTS, domain_of(), fraction=0.8, epochs=2, seed=7)
+    return out.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "start")
+
+
+def op10_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality.classify(documents(spark, sf_dir), labels, threshold=0.7)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_histogram_sort, op3_token_files, op4_surrogates, op5_complement_packing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
+}
 ORACLE_SQL: dict[str, str] = {}
