@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telospark.llm import fingerprints, minhash, mixing, packing, pii, quality, sharding, token_files
+from telospark.llm import embedding_graph, fingerprints, minhash, mixing, packing, pii, quality, sharding, token_files
 
 SHARDS = 24
 PII_KEY = "an example key; callers bring their own secret"
@@ -28,6 +28,10 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(manifest)
@@ -74,6 +78,6 @@ def op10_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_histogram_sort, op3_token_files, op4_surrogates, op5_complement_packing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
+    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
 }
 ORACLE_SQL: dict[str, str] = {}
