@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telospark.llm import embedding_graph, fingerprints, minhash, mixing, packing, pii, quality, sharding, token_files
+from telospark.llm import embedding_graph, fingerprints, minhash, mixing, packing, pii, quality, repeats, sharding, token_files
 
 SHARDS = 24
 PII_KEY = "an example key; callers bring their own secret"
@@ -47,6 +47,10 @@ def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), length=50).drop("spans")
+
+
 def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), threshold=75)
 
@@ -78,6 +82,6 @@ def op10_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
+    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
 }
 ORACLE_SQL: dict[str, str] = {}
