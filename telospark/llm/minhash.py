@@ -8,8 +8,10 @@ verified on the full sets.
 
 Pairs inside a bucket are not all listed: first each member meets its bucket's smallest document.
 Only members whose components still differ after that are compared with each other, in blocks of
-bounded size, and only surviving pairs leave the task. No pair of a shared band goes unexamined
-unless its two documents are already in one component.
+bounded size. What survives leaves the task as lists: a document, and the likely members of a block
+of another component. The likeliest of each component is verified first; only where that doesn't
+join the two are the lists verified, block by block. No pair of a shared band goes unexamined unless
+its two documents are already in one component.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.llm.common import components, cut, free_shuffles, small_enough, table
+from telospark.llm.common import components, cut, discard, free_shuffles, small_enough, table
 from telospark.llm.tokens import slices
 
 WORDS = 5
-HASHES = 128
+HASHES = 256
+BANDS = 32
 ROWS = 4  # hashes per band
-STEP = 16  # hashes compared between two looks at the posterior
+STEP = 32  # hashes compared between two looks at the posterior
 BLOCK = 256
 
 
@@ -87,7 +90,7 @@ def signature(s: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
         x += c[:, None]
         x ^= x >> np.uint32(15)
         np.minimum(low, x.min(axis=1), out=low)
-    return low
+    return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -106,8 +109,8 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _survivors(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, need: list[int]) -> np.ndarray:
-    """Indices of the pairs (x[u], y[v]) that no look prunes."""
+def _survivors(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs (x[u], y[v]) that no look prunes, and their matches."""
     live, got = np.arange(len(u)), np.zeros(len(u), np.int32)
     for k, least in enumerate(need):
         cols = slice(k * STEP, (k + 1) * STEP)
@@ -115,11 +118,11 @@ def _survivors(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, need:
             some = live[at : at + (1 << 16)]
             got[some] += (x[u[some], cols] == y[v[some], cols]).sum(axis=1, dtype=np.int32)
         live = live[got[live] >= least]
-    return live
+    return live, got[live]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -142,30 +145,50 @@ def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def _verify(pairs: DataFrame, df: DataFrame, text: str, key: str, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= threshold * union, on the full sets."""
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
-    def sets(batches):
-        byte, _, _ = _constants()
-        for batch in batches:
-            for b in slices(batch, "_text", 4 << 20):
-                got = [shingles(raw or b"", byte).tobytes() for raw in b.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "s"])
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= threshold * union, on the full sets."""
 
     def compare(batches):
+        byte, _, _ = _constants()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            keep, held = [], {}
+            for i, j, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if len(held) > 256:
+                    held.clear()
+                for k, raw in ((i, x), (j, y)):
+                    if k not in held:
+                        held[k] = shingles(raw, byte)
+                keep.append(_linked(held[i], held[j], threshold))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = cut(pairs.selectExpr("explode(array(a, b)) as _id").distinct())
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    full = table(rows.join(small_enough(ids), "_id", "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
-    x, y = full.toDF("a", "x"), full.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").repartition("a", "b").mapInArrow(compare, "a long, b long")
+    x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _verify_lists(lists: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The same for rows (a, c, k, bs): a against some members bs of block k of component c; each
+    text goes to a block once."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        byte, _, _ = _constants()
+        mine = {i: shingles(raw, byte) for i, raw in zip(right["b"].to_pylist(), right["y"].to_pylist())}
+        out = []
+        for a, bs, raw in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["x"].to_pylist()):
+            x = shingles(raw, byte)
+            hit = next((b for b in sorted(set(bs)) if b in mine and _linked(x, mine[b], threshold)), None)
+            if hit is not None:  # one link joins the components
+                out.append((a, hit))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    left = lists.join(texts.toDF("a", "x"), "a").groupBy("c", "k")
+    members = lists.select("c", "k", F.explode("bs").alias("b")).distinct().join(texts.toDF("b", "y"), "b")
+    members = members.select(F.col("c").alias("c2"), F.col("k").alias("k2"), "b", "y")
+    return left.cogroup(members.groupBy("c2", "k2")).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 75, miss: float = 1e-5) -> DataFrame:
@@ -179,49 +202,67 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     Rows of one doc_id share its component; a null doc_id has a null component and kept true.
     Extra columns of df are ignored.
     """
+    spark = df.sparkSession
     need = least_matches(threshold / 100, miss)
     docs = table(sign(df, text, key), "signed")
     some = docs.where("n_shingles > 0 and doc_id is not null")
-    classes = table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    sigs = table(some.select("doc_id", "sig").join(classes.selectExpr("rep as doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-    free_shuffles(df.sparkSession)
-    width = 4 * ROWS
-    keys = [F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(HASHES // ROWS)]
-    bands = table(sigs.select("doc_id", F.explode(F.array(*keys)).alias("bucket")), "bands")
-    groups = bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).where("pivot < _last").drop("_last")
-    members = table(bands.join(groups, "bucket"), "members")
-    free_shuffles(df.sparkSession)
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    classes = table(classes, "classes")
+    copies = cut(some.select("d1", "d2", "doc_id").join(small_enough(classes), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct())
+    reps = some.join(small_enough(copies), "doc_id", "left_anti")
+
+    width = 2 * ROWS
+    keys = [F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)]
+    bands = reps.select("doc_id", F.explode(F.array(*keys)).alias("bucket"))
+    alike = Window.partitionBy("bucket")
+    members = table(bands.withColumns({"pivot": F.min("doc_id").over(alike), "_last": F.max("doc_id").over(alike)}).where("pivot < _last").select("bucket", "doc_id", "pivot"), "members")
+    free_shuffles(spark)
+    ids = cut(members.select("doc_id").distinct())
+    sigs = table(reps.select("doc_id", "sig").join(small_enough(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
 
     def prune(batches):
         for b in batches:
             if b.num_rows:
                 x, y = _matrix(b.column(2)), _matrix(b.column(3))
                 at = np.arange(len(x))
-                yield b.select([0, 1]).take(pa.array(_survivors(x, y, at, at, need)))
+                yield b.select([0, 1]).take(pa.array(_survivors(x, y, at, at, need)[0]))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.toDF("_id").distinct())
+        rows = df.select(F.col(key).cast("long").alias("_id"), F.encode(F.col(text), "UTF-8").alias("_text"))
+        return table(rows.join(small_enough(ids), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
 
     stars = members.where("doc_id <> pivot").selectExpr("doc_id as a", "pivot as b").distinct()
     stars = stars.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = table(_verify(table(stars.mapInArrow(prune, "a long, b long"), "stars"), df, text, key, threshold), "links")
+    stars = table(stars.mapInArrow(prune, "a long, b long"), "stars")
+    free_shuffles(spark)
+    texts = texts_of(stars.select("a").union(stars.select("b")))
+    links = table(_verify(stars, texts, threshold), "links")
+    discard(texts)
     found = cut(components(links))
-    free_shuffles(df.sparkSession)
+    free_shuffles(spark)
 
     # Members of a bucket, pivots apart, that are not yet in one component.
-    rest = members.where("doc_id <> pivot").select("bucket", "doc_id").join(found.toDF("doc_id", "c"), "doc_id", "left")
-    rest = table(rest.select("bucket", "doc_id", F.coalesce("c", "doc_id").alias("c")), "rest")
+    def labelled(rows: DataFrame) -> DataFrame:
+        sizes = found.groupBy("component").agg(F.count("*").alias("_size"))
+        each = found.join(sizes, "component").selectExpr("id as doc_id", "component as _c", "_size")
+        return rows.join(each, "doc_id", "left").withColumns({"c": F.coalesce("_c", "doc_id"), "size": F.coalesce("_size", F.lit(1))}).drop("_c", "_size")
+
+    rest = table(labelled(members.where("doc_id <> pivot").select("bucket", "doc_id")), "rest")
     mixed = rest.groupBy("bucket").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("bucket", "n")
     rest = rest.join(mixed, "bucket").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "doc_id", "c")
-    rest = rest.join(sigs, "doc_id").select("bucket", "p", "q", "i", "doc_id", "c", "sig")
+    rest = rest.select("bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "doc_id", "c", "size")
+    rest = rest.join(sigs, "doc_id").select("bucket", "p", "q", "i", "doc_id", "c", "size", "sig")
     rest = rest.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     def cross(batches):
         held = None
 
-        def group(t: pa.Table) -> pa.Table:
+        def group(t: pa.Table):
             x = _matrix(t["sig"])
-            i, c, d = (t[k].to_numpy() for k in ("i", "c", "doc_id"))
+            i, c, d, size = (t[k].to_numpy() for k in ("i", "c", "doc_id", "size"))
             if t["p"][0].as_py() == t["q"][0].as_py():
                 u, v = np.triu_indices(len(x), 1)
             else:
@@ -229,8 +270,21 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
                 u, v = (z.ravel() for z in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low), indexing="ij"))
             other = c[u] != c[v]
             u, v = u[other], v[other]
-            live = _survivors(x, x, u, v, need)
-            return pa.table({"a": np.maximum(d[u[live]], d[v[live]]), "b": np.minimum(d[u[live]], d[v[live]])})
+            live, got = _survivors(x, x, u, v, need)
+            if not len(live):
+                return
+            u, v = u[live], v[live]
+            # the side of the smaller component looks for members of the larger one
+            swap = (size[u] > size[v]) | ((size[u] == size[v]) & (c[u] < c[v]))
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            k = d[v] % -(-size[v] // BLOCK)
+            order = np.lexsort((d[v], k, c[v], d[u]))
+            u, v, k, got = u[order], v[order], k[order], got[order]
+            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (c[v[1:]] != c[v[:-1]]) | (k[1:] != k[:-1]))))
+            ends = np.concatenate((new, [len(u)]))
+            best = [s + int(got[s:e].argmax()) for s, e in zip(ends, ends[1:])]
+            bs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(d[v]))
+            yield pa.RecordBatch.from_arrays([pa.array(d[u[new]]), pa.array(c[v[new]]), pa.array(k[new]), pa.array(size[v[new]]), bs, pa.array(d[v[best]]), pa.array(got[best], pa.int32())], ["a", "c", "k", "size", "bs", "best", "score"])
 
         def pieces(t: pa.Table, last: bool):
             k = np.stack([t[c].to_numpy().astype(np.int64) for c in ("bucket", "p", "q")])
@@ -239,7 +293,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
             whole = at if last else at[:-1]
             for s, e in zip(whole, whole[1:]):
                 if e - s > 1:
-                    yield from group(t.slice(s, e - s)).to_batches()
+                    yield from group(t.slice(s, e - s))
             return None if last else t.slice(at[-2])
 
         for b in batches:
@@ -250,11 +304,28 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         if held is not None and held.num_rows:
             yield from pieces(held.combine_chunks(), True)
 
-    more = table(rest.mapInArrow(cross, "a long, b long").distinct(), "cross")
-    if not more.isEmpty():
-        found = cut(components(links.union(_verify(more, df, text, key, threshold))))
-    twins = classes.where("n > 1").select("d1", "d2", "rep")
-    out = docs.drop("sig").join(twins, ["d1", "d2"], "left").withColumn("_root", F.coalesce("rep", "doc_id"))
+    likely = rest.mapInArrow(cross, "a long, c long, k long, size long, bs array<long>, best long, score int")
+    likely = likely.groupBy("a", "c", "k").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"), F.max_by("best", "score").alias("best"), F.max("score").alias("score"))
+    likely = table(likely, "likely")  # lists of at most about BLOCK
+    free_shuffles(spark)
+    if not likely.isEmpty():
+        best = table(likely.groupBy("a", "c").agg(F.max_by("best", "score").alias("b")).select("a", "b"), "best")
+        texts = texts_of(best.select("a").union(best.select("b")))
+        links = table(links.union(_verify(best, texts, threshold)), "links")
+        discard(texts)
+        found = cut(components(links))
+        # What has still not met: a's component now against c's.
+        now = found.select(F.col("id").alias("a"), F.col("component").alias("_a"))
+        then = found.select(F.col("id").alias("c"), F.col("component").alias("_b"))
+        apart = likely.join(now, "a", "left").join(then, "c", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "c"))
+        apart = table(apart.select("a", "c", "k", "size", "bs"), "apart")
+        if not apart.isEmpty():
+            one = apart.where(F.size("bs") < 8).select("a", F.explode("bs").alias("b")).distinct()
+            texts = texts_of(apart.select("a").union(apart.select(F.explode("bs"))))
+            links = links.union(table(_verify(one, texts, threshold).union(_verify_lists(apart.where(F.size("bs") >= 8), texts, threshold)), "links"))
+            discard(texts)
+            found = cut(components(links))
+    out = docs.drop("sig").join(small_enough(classes).select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("_root", F.coalesce("rep", "doc_id"))
     out = out.join(found.toDF("_root", "_c"), "_root", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("_c", "_root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

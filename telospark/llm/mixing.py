@@ -73,7 +73,7 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: float = 0.8, epochs: int = 2, seed: int = 7, text: str = "text", key: str = "doc_id", block: int = 20_000) -> DataFrame:
+def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: float = 0.8, epochs: int = 2, seed: int = 7, text: str = "text", key: str = "doc_id", block: int = 2_000) -> DataFrame:
     """The selected rows of df, once per epoch, with domain, epoch, n_tokens and start (tokens of
     the leaf before it, over its epochs).
 
@@ -98,15 +98,15 @@ def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: flo
     df = df.join(F.broadcast(plan), leaf).where("_want > 0")  # at most MAX_LEAVES rows
     last = F.when(F.col("_all") > 0, F.floor((F.col("_want") - 1) / F.col("_all"))).otherwise(F.lit(0)).cast("int")
     df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    df = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)))
+    df = df.withColumns({"_h": F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)), "_t": F.xxhash64(text)})
     # The order's range is cut into bins of bounded size: a leaf's rows are never in one task.
     df = df.withColumn("_bin", F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_bins")), F.col("_bins") - 1).cast("long"))
     place = [*leaf, "epoch", "_bin"]
     bins = df.groupBy(*place).agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy(*leaf).orderBy("epoch", "_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*place).orderBy("_h", key, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*place).orderBy("_h", key, "_t").rowsBetween(Window.unboundedPreceding, -1)
     # What lies wholly beyond a leaf's budget is dropped before its rows are sorted.
     some = df.join(bins, place).where("_base < _want")
     out = some.withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return out.where("start < _want").drop("_1", "_2", "_all", "_want", "_bins", "_h", "_bin", "_base")
+    return out.where("start < _want").drop("_1", "_2", "_all", "_want", "_bins", "_h", "_t", "_bin", "_base")
