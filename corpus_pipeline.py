@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from telospark.llm import minhash, mixing, packing, pii, quality
-from telospark.llm.common import table
+from telospark.llm.common import cut, small_enough, table
 from telospark.llm.queries import PII_KEY, WEIGHTS, domain_of, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs, threshold=75).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """The document of the smallest doc_id of each group of near duplicates; rows that repeat a
+    doc_id stay or go together."""
+    dropped = cut(minhash.near_duplicates(docs, threshold=75).where("not kept").select("doc_id").distinct())
+    return docs.join(small_enough(dropped), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
