@@ -4,7 +4,7 @@ Parse: a rolling hash of GRAM bytes runs over each text; a place is a trigger wh
 least of some window of LENGTH bytes, so every such window holds a trigger, and equal windows hold
 the same one. A trigger's phrase is all that a window through it can reach: equal phrases hold equal
 windows. Dictionary: phrases are sorted by trigger and digest. One whose copy stands in an earlier
-document is removed whole, at one row for up to 35 windows; that is where repetitive text collapses.
+document is removed whole, at one row for up to 27 windows; that is where repetitive text collapses.
 Only the first copies of phrases that share a trigger with a different phrase are opened: their
 suffixes of LENGTH bytes are put into one order, and a run's members after its first document go.
 
@@ -28,7 +28,7 @@ from telospark.llm.common import free_shuffles, table
 from telospark.llm.tokens import slices
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Phrases of one trigger within a task's slice from which on it is spread by phrase.
 HOT = 200
 #: Text per bucket and group, in bytes.
@@ -68,8 +68,10 @@ def triggers(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(b)
     padded = np.concatenate([np.zeros(left, np.uint8), b, np.zeros(length, np.uint8)])
     load = _loads(padded)
-    x = load[left : left + n - GRAM + 1]
-    h = _mix(x * _K[0] + _mix(load[left + 8 : left + 8 + len(x)]))
+    m = n - GRAM + 1
+    h = load[left : left + m] * _K[0]
+    for s in range(8, GRAM, 8):
+        h = _mix(h + load[left + s : left + s + m]) * _K[0]
     low = _slide(h, left + 1, np.minimum)
     edge = np.zeros(left, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), left + 1, np.maximum) == h)
@@ -156,14 +158,15 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                 if not ids:
                     continue
                 ids, ties, at, h, d = map(np.concatenate, (ids, ties, at, h, d))
-                order = np.lexsort((d, h))
-                hs, ds = h[order], d[order]
-                trigger = _runs(hs)
-                phrase = _runs(hs, ds)
-                first = np.concatenate(([True], phrase[1:] != phrase[:-1]))
-                many = np.bincount(trigger, weights=first) > HOT
                 hot = np.zeros(len(h), bool)
-                hot[order] = many[trigger]
+                sorted_ = np.sort(h)
+                often = np.unique(sorted_[HOT:][sorted_[HOT:] == sorted_[: len(h) - HOT]])  # more than HOT times
+                if len(often):
+                    some = np.flatnonzero(np.isin(h, often))
+                    order = some[np.lexsort((d[some], h[some]))]
+                    trigger, phrase = _runs(h[order]), _runs(h[order], d[order])
+                    first = np.concatenate(([True], phrase[1:] != phrase[:-1]))
+                    hot[order] = (np.bincount(trigger, weights=first) > HOT)[trigger]
                 plain = ~hot
                 cols = lambda m: (ids[m], ties[m], h[m].view(np.uint8).reshape(-1, 8)[:, :6], d[m], at[m])
                 rows = list(_deal(_range(h[plain], n), 0, *cols(plain)))
@@ -195,7 +198,13 @@ def _dictionary(n: int):
             h = np.zeros((len(ids), 8), np.uint8)
             h[:, :6] = a.reshape(-1, 6)
             h = h.view(np.uint64).ravel()
-            order = np.lexsort((ids, kind == 2, d, h))
+            # most triggers stand alone: only the others are sorted in full
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            if not len(order):
+                continue
+            order = order[np.lexsort((ids[order], kind[order] == 2, d[order], h[order]))]
             ids, ties, h, d, pos, kind = (x[order] for x in (ids, ties, h, d, pos, kind))
             group, phrase = _runs(h), _runs(h, d)
             head = np.flatnonzero(np.concatenate(([True], phrase[1:] != phrase[:-1])))
@@ -278,16 +287,21 @@ def _flagged(ids: np.ndarray, ties: np.ndarray, pos: np.ndarray, n: int) -> list
 
 
 def _order(n: int):
-    """Blobs of a bucket of suffixes -> windows that an earlier document holds, by document."""
+    """Blobs of a bucket of suffixes -> windows that an earlier document holds, by document. Blobs
+    of kind 2 are such windows already and pass."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ties, x, y, pos, _ = _unpack(t.to_pylist(), np.uint64, np.uint32)
+        blobs = t.to_pylist()
+        done, some = [r for r in blobs if r["kind"] == 2], [r for r in blobs if r["kind"] == 0]
+        if not some:
+            return pa.Table.from_batches([_batch(done)])
+        ids, ties, x, y, pos, _ = _unpack(some, np.uint64, np.uint32)
         order = np.lexsort((ids, y, x))
         ids, ties, x, y, pos = (c[order] for c in (ids, ties, x, y, pos))
         run_ = _runs(x, y)
         least = ids[np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1])))][run_]
         later = least < ids
-        return pa.Table.from_batches([_batch(_flagged(ids[later], ties[later], pos[later], n))])
+        return pa.Table.from_batches([_batch(done + _flagged(ids[later], ties[later], pos[later], n))])
 
     return run
 
@@ -296,14 +310,14 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) of each row of df;
     with_kept adds the bytes that stay (cuts may fall inside a character).
 
-    A byte goes if a string of `length` bytes over it (24 or more) also starts in a document with a smaller
+    A byte goes if a string of `length` bytes (32 or more) over it also starts in a document with a smaller
     doc_id, as the texts stand in the input; overlaps count, and strings never cross documents.
     Null texts count as empty; shorter texts are never cut. A null doc_id counts as the smallest.
     Rows that share a doc_id don't cut each other. Extra columns are ignored; an empty table gives
     an empty result.
     """
     if length < GRAM + 8:
-        raise ValueError("length must be at least 24")
+        raise ValueError(f"length must be at least {GRAM + 8}")
     spark = df.sparkSession
     left = length - GRAM
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_text"))
@@ -339,10 +353,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
     homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")
     opened = homes.cogroup(marks.groupBy("bucket")).applyInArrow(_open(n, length), _BLOBS)
-    opened = table(opened, "suffixes")
+    flagged = table(opened.groupBy("bucket").applyInArrow(_order(n), _BLOBS), "flagged")
     free_shuffles(spark)
-    flagged = table(opened.where("kind = 0").groupBy("bucket").applyInArrow(_order(n), _BLOBS), "flagged")
-    found = marks.where("kind = 0").union(opened.where("kind = 2")).union(flagged)
+    found = marks.where("kind = 0").union(flagged)
     homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + (", kept binary" if with_kept else "")
     return homes.cogroup(found.groupBy("bucket")).applyInArrow(finish, schema)
