@@ -160,7 +160,7 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                 ids, ties, at, h, d = map(np.concatenate, (ids, ties, at, h, d))
                 hot = np.zeros(len(h), bool)
                 sorted_ = np.sort(h)
-                often = np.unique(sorted_[HOT:][sorted_[HOT:] == sorted_[: len(h) - HOT]])  # more than HOT times
+                often = np.unique(sorted_[HOT:][sorted_[HOT:] == sorted_[: max(len(h) - HOT, 0)]])  # more than HOT times
                 if len(often):
                     some = np.flatnonzero(np.isin(h, often))
                     order = some[np.lexsort((d[some], h[some]))]
