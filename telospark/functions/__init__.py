@@ -1 +1 @@
-"""telospark.functions"""
+"""Column functions: sequences, features and statistics."""
