@@ -22,6 +22,11 @@ def _int(x: Column | int) -> Column:
     return F.lit(x) if isinstance(x, int) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def piece(s: Column, start: Column | int, size: Column | int) -> Column:
     """size letters from 0-based start; negative sizes count as none."""
     return F.substring(s, _int(start) + 1, F.greatest(_int(size), F.lit(0)))
@@ -102,9 +107,13 @@ def codon_map() -> Column:
 def translate(cds: Column) -> Column:
     """Protein of a coding sequence with '*' for stops and X for unknown codons; a last partial
     codon is left out."""
-    n = F.floor(F.length(cds) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(codon_map(), F.upper(piece(cds, i * 3, 3))), F.lit("X")))
-    return F.when(n > 0, F.array_join(each, "")).otherwise(F.when(cds.isNotNull(), F.lit("")))
+
+    def run(c: Column) -> Column:
+        n = F.floor(F.length(c) / 3).cast("int")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(codon_map(), piece(c, i * 3, 3)), F.lit("X")))
+        return F.when(n > 0, F.array_join(each, "")).otherwise(F.when(c.isNotNull(), F.lit("")))
+
+    return let(F.upper(cds), run)
 
 
 def protein_of(cds: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import piece, reverse_complement, translate
+from telospark.functions.sequences import let, piece, reverse_complement, translate
 
 STARTS = ("ATG", "CTG", "TTG")
 
@@ -44,53 +44,63 @@ def annotate(df: DataFrame, at: Column | None = None) -> DataFrame:
     """df (start, ref, alt, and of its transcript strand, cds, utr3, genome, protein) with cds_pos,
     effect, aa_off, mut_protein and short. `at` gives the 0-based cds place of a simulated variant
     instead of start; ref then counts as given on the plus strand, deletions re-read from the cds."""
-    minus = F.col("strand") == "-"
-    df = df.withColumn("_ref", F.when(minus, reverse_complement(F.col("ref"))).otherwise(F.col("ref")))
-    df = df.withColumn("_alt", F.when(minus, reverse_complement(F.col("alt"))).otherwise(F.col("alt")))
-    insertion = F.col("ref") == ""
+    cds, protein = F.col("cds"), F.col("protein")
+    minus, insertion = F.col("strand") == "-", F.col("ref") == ""
+    ref = F.when(minus, reverse_complement(F.col("ref"))).otherwise(F.col("ref"))
+    alt = F.when(minus, reverse_complement(F.col("alt"))).otherwise(F.col("alt"))
     if at is None:
         # minus strand: the last base of a deletion is its first in the transcript
         anchor = F.when(minus & ~insertion, F.col("start") + F.length("ref") - 1).otherwise(F.col("start"))
         place = (F.array_position("genome", anchor) - 1).cast("int")
     else:
-        place = at
-        df = df.withColumn("_ref", F.when((F.col("alt") == "") & (F.col("ref") != ""), piece(F.col("cds"), at, F.length("ref"))).otherwise(F.col("_ref")))
-    df = df.withColumn("cds_pos", place)
-    cut = F.when(insertion & ~minus, F.col("cds_pos") + 1).otherwise(F.col("cds_pos"))
-    fits = (F.col("cds_pos") >= 0) & (piece(F.col("cds"), cut, F.length("_ref")) == F.col("_ref"))
-    df = df.withColumn("_cut", F.when(fits, cut))
-    full = F.concat(piece(F.col("cds"), 0, F.col("_cut")), F.col("_alt"), F.substring(F.col("cds"), F.col("_cut") + F.length("_ref") + 1, F.length("cds")), F.coalesce("utr3", F.lit("")))
-    df = df.withColumn("_mut", F.substring_index(translate(full), "*", 1))
-    wild = F.concat("protein", F.lit("*"))
-    change = F.length("_alt") - F.length("_ref")
-    snv = (F.length("_ref") == 1) & (F.length("_alt") == 1)
-    df = df.withColumn("_off", F.when(snv, F.floor(F.col("_cut") / 3)).otherwise(first_difference(wild, F.concat("_mut", F.lit("*")))).cast("int"))
-    n, m, off = F.length("protein"), F.length("_mut"), F.col("_off")
-    codon = piece(full, 0, 3)
-    started = F.left(F.col("cds"), F.lit(3)) == codon
-    simple = F.when(F.col("_mut") == F.col("protein"), "Silent").when((off < n) & (m == off), "PrematureStop").when((off >= n) & (m > n), "StopLoss").otherwise("Substitution")
-    effect = (
-        F.when(F.col("_cut").isNull() | F.col("protein").isNull(), F.lit(None).cast("string"))
-        .when(~started & codon.isin(*STARTS), "AlternateStartCodon")
-        .when(~started, "StartLoss")
-        .when(change % 3 != 0, F.when(F.col("_mut") == F.col("protein"), "Silent").otherwise("FrameShift"))
-        .when(change == 0, simple)
-        .when(F.col("_mut") == F.col("protein"), "Silent")
-        .when((off < n) & (m == off), "PrematureStop")
-        .when(change > 0, "Insertion")
-        .otherwise("Deletion")
-    )
-    df = df.withColumn("effect", effect)
-    lost = F.col("effect") == "StartLoss"
-    a, b = piece(wild, off, 1), piece(F.concat("_mut", F.lit("*")), off, 1)
-    place1 = (off + 1).cast("string")
-    short = (
-        F.when(F.col("effect") == "FrameShift", F.concat(F.lit("p."), a, place1, F.lit("fs")))
-        .when(F.col("effect") == "Deletion", F.concat(F.lit("p."), a, place1, F.lit("del")))
-        .when(F.col("effect") == "Insertion", F.concat(F.lit("p."), a, place1, F.lit("ins")))
-        .when(F.col("effect") == "Silent", F.lit("silent"))
-        .when(F.col("effect").isin("StartLoss", "AlternateStartCodon"), F.lit("p.M1?"))
-        .when(F.col("effect").isNotNull(), F.concat(F.lit("p."), a, place1, b))
-    )
-    df = df.withColumns({"aa_off": F.when(F.col("effect").isNotNull() & ~lost, off), "mut_protein": F.when(F.col("effect").isNotNull() & ~lost, F.col("_mut")), "short": short})
-    return df.drop("_ref", "_alt", "_cut", "_mut", "_off")
+        place = at.cast("int")
+        ref = F.when((F.col("alt") == "") & ~insertion, piece(cds, at, F.length("ref"))).otherwise(ref)
+
+    def located(v: Column) -> Column:
+        cut = F.when(insertion & ~minus, v["place"] + 1).otherwise(v["place"])
+        fits = (v["place"] >= 0) & (piece(cds, cut, F.length(v["ref"])) == v["ref"])
+        return let(F.when(fits, cut), lambda c: let(mutant(v, c), lambda m: classified(v, c, m)))
+
+    def mutant(v: Column, cut: Column) -> Column:
+        full = F.concat(piece(cds, 0, cut), v["alt"], F.substring(cds, cut + F.length(v["ref"]) + 1, F.length(cds)), F.coalesce("utr3", F.lit("")))
+        return let(full, lambda x: F.struct(F.substring_index(translate(x), "*", 1).alias("protein"), F.left(x, F.lit(3)).alias("codon")))
+
+    def classified(v: Column, cut: Column, mut: Column) -> Column:
+        snv = (F.length(v["ref"]) == 1) & (F.length(v["alt"]) == 1)
+        ends = F.struct(F.concat(protein, F.lit("*")).alias("a"), F.concat(mut["protein"], F.lit("*")).alias("b"))
+        return let(ends, lambda e: let(F.when(snv, F.floor(cut / 3)).otherwise(first_difference(e["a"], e["b"])).cast("int"), lambda off: described(v, cut, mut, e, off)))
+
+    def described(v: Column, cut: Column, mut: Column, e: Column, off: Column) -> Column:
+        new = mut["protein"]
+        n, m = F.length(protein), F.length(new)
+        change = F.length(v["alt"]) - F.length(v["ref"])
+        started = F.left(cds, F.lit(3)) == mut["codon"]
+        same, stopped = new == protein, (off < n) & (m == off)
+        effect = (
+            F.when(cut.isNull() | protein.isNull(), F.lit(None).cast("string"))
+            .when(~started & mut["codon"].isin(*STARTS), "AlternateStartCodon")
+            .when(~started, "StartLoss")
+            .when(same, "Silent")
+            .when(change % 3 != 0, "FrameShift")
+            .when(stopped, "PrematureStop")
+            .when((change == 0) & (off >= n) & (m > n), "StopLoss")
+            .when(change == 0, "Substitution")
+            .when(change > 0, "Insertion")
+            .otherwise("Deletion")
+        )
+        return let(effect, lambda f: F.struct(v["place"].alias("cds_pos"), f.alias("effect"), F.when(f.isNotNull() & (f != "StartLoss"), off).alias("aa_off"), F.when(f.isNotNull() & (f != "StartLoss"), new).alias("mut_protein"), short(f, e, off).alias("short")))
+
+    def short(f: Column, e: Column, off: Column) -> Column:
+        lead = F.concat(F.lit("p."), piece(e["a"], off, 1), (off + 1).cast("string"))
+        return (
+            F.when(f == "FrameShift", F.concat(lead, F.lit("fs")))
+            .when(f == "Deletion", F.concat(lead, F.lit("del")))
+            .when(f == "Insertion", F.concat(lead, F.lit("ins")))
+            .when(f == "Silent", F.lit("silent"))
+            .when(f.isin("StartLoss", "AlternateStartCodon"), F.lit("p.M1?"))
+            .when(f.isNotNull(), F.concat(lead, piece(e["b"], off, 1)))
+        )
+
+    names = ("cds_pos", "effect", "aa_off", "mut_protein", "short")
+    df = df.withColumn("_v", let(F.struct(ref.alias("ref"), alt.alias("alt"), place.alias("place")), located))
+    return df.withColumns({c: F.col(f"_v.{c}") for c in names}).drop("_v")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telospark.functions.features import feature_width, terminal_features
+from telospark.functions.sequences import PEPTIDE, RESIDUES
 from telospark.functions.stats import roc_auc
 
 # The grid of the reference settings.
@@ -84,18 +85,21 @@ class Model:
         return terminal_features(peptide, self.split, self.dinuc, self.end, self.compat)
 
     def predict(self, spark: SparkSession, peptide: Column) -> Column:
-        """P(label 1), by batches; null where features are null."""
+        """P(label 1), by batches; null where the features are. The features are made in the task,
+        equal to features(), so that 23 letters cross to it and not hundreds of numbers."""
         given = spark.sparkContext.broadcast(self.net)
+        split, dinuc, end, compat = self.split, self.dinuc, self.end, self.compat
 
         @F.pandas_udf("double")
-        def run(x: pd.Series) -> pd.Series:
-            out = pd.Series(np.nan, index=x.index, dtype="float64")
-            ok = x.notna()
-            if ok.any():
-                out[ok] = forward(given.value, np.stack(x[ok].to_list()))
+        def run(s: pd.Series) -> pd.Series:
+            out = pd.Series(np.nan, index=s.index, dtype="float64")
+            ok = s.notna()
+            x = matrix(s[ok], split, dinuc, end, compat)
+            good = ~np.isnan(x).any(axis=1)
+            out[ok] = np.where(good, forward(given.value, np.nan_to_num(x)), np.nan)
             return out
 
-        return run(self.features(peptide))
+        return F.nanvl(run(peptide), F.lit(None).cast("double"))
 
 
 def hash_split(df: DataFrame, key: str, share: float, out: str, salt: str = "101") -> DataFrame:
@@ -137,27 +141,27 @@ def grid_search(df: DataFrame, end: str, splits=SPLITS, dropouts=DROPOUTS, sizes
     return grid.join(roc_auc(trained, "y", "score", ["config"]), "config").orderBy(F.desc("auc"), "config")
 
 
-def matrix(peptides: pd.Series, split: int, dinuc: bool, end: str) -> np.ndarray:
-    """The same features in a task, for training; see functions.features."""
-    from telospark.functions.sequences import PEPTIDE, RESIDUES
-
+def matrix(peptides: pd.Series, split: int, dinuc: bool, end: str, compat: bool = True) -> np.ndarray:
+    """The features of functions.features in a task; a row of NaN where they are null."""
     at = {a: i for i, a in enumerate(RESIDUES)}
+    n = len(RESIDUES)
     out = np.zeros((len(peptides), feature_width(split, dinuc)))
+    base = n if split < PEPTIDE else 0
     for r, s in enumerate(peptides):
-        near = s if split == PEPTIDE else s[-split:] if end == "cterm" else s[:split]
+        near = "" if split == 0 else s if split == PEPTIDE else s[-split:] if end == "cterm" else s[:split]
         rest = "" if split == PEPTIDE else s if split == 0 else s[:-split] if end == "cterm" else s[split:]
-        base = len(RESIDUES) if split < PEPTIDE else 0
         for a in rest:
             if a in at:
                 out[r, at[a]] += 1
-        if split == 0:
-            continue
         for i, a in enumerate(reversed(near)):
-            if 0 < i < split and a in at:  # the first place stays empty, as deployed
-                out[r, base + i * len(RESIDUES) + at[a]] += 1
+            if a in at and (i > 0 or not compat or split == 1):
+                out[r, base + min(i, split - 1) * n + at[a]] += 1
         pair = near[-2:] if end == "cterm" else near[:2]
-        if dinuc and len(pair) == 2 and pair[0] in at and pair[1] in at:
-            out[r, base + split * len(RESIDUES) + at[pair[0]] * len(RESIDUES) + at[pair[1]]] += 1
+        if dinuc and split:
+            if any(a not in at and a != "U" for a in pair):
+                out[r] = np.nan
+            elif len(pair) == 2 and "U" not in pair:
+                out[r, base + split * n + at[pair[0]] * n + at[pair[1]]] += 1
     return out
 
 

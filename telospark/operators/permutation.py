@@ -125,7 +125,7 @@ def run_test(variants: DataFrame, tx: DataFrame, test: Test, statistic, simulati
     sims, start = None, 0
     for end in ends:
         mine = chosen.join(active.select("unit"), "unit", "left_semi")
-        drawn = simulate(mine, tx, test, start, end, seed)
+        drawn = simulate(mine, tx, test, start, end, seed).persist()  # read by the count and the statistic
         placed = drawn.groupBy("unit", "sim").agg(F.count("*").alias("_m"))
         got = statistic(drawn.where(_kept(test)), ["unit", "sim"], col)
         grid = active.withColumn("sim", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
