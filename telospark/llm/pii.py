@@ -120,15 +120,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b) % 10
 
 
-def _card(m: Column, stream: Column) -> Column:
-    raw = _substitute(m, stream, F.lit(1), F.lit(False))
-
-    def fixed(x: Column) -> Column:
-        body = F.substring(x, F.lit(1), F.length(x) - 1)
-        check = (10 - _luhn(F.concat(_sub(body, "[^0-9]"), F.lit("0")))) % 10
-        return F.when(_luhn(_sub(m, "[^0-9]")) == 0, F.concat(body, check.cast("string"))).otherwise(x)
-
-    return _let(raw, fixed)
+def _checked(m: Column, x: Column) -> Column:
+    """The number x, with a check digit where m has a right one."""
+    body = F.substring(x, F.lit(1), F.length(x) - 1)
+    check = (10 - _luhn(F.concat(_sub(body, "[^0-9]"), F.lit("0")))) % 10
+    return F.when(_luhn(_sub(m, "[^0-9]")) == 0, F.concat(body, check.cast("string"))).otherwise(x)
 
 
 def _name(key: str, m: Column, attempt: Column) -> Column:
@@ -157,46 +153,59 @@ def _name(key: str, m: Column, attempt: Column) -> Column:
 
 
 def surrogate(kind: Column, m: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one mention."""
-    s = _stream(key, kind, canonical(kind, m), attempt)
-    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    tld = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
-    no = F.lit(False)
-    email = F.concat(_substitute(local, s, F.lit(0), no), F.lit("@"), _substitute(host, _stream(key, "host", F.lower(host), F.lit(0)), F.lit(0), no), F.lit("."), tld)
-    octet = [(_number(s, 6 * k) % (256 if k < 3 else 254) + (0 if k < 3 else 1)).cast("string") for k in range(4)]
-    fixed = F.regexp_extract(m, r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.)", 0)
-    ip = F.when(fixed == "", F.concat_ws(".", (_number(s, 0) % 100 + 11).cast("string"), *octet[1:])).when(_has(fixed, r"^1(?:0|27)\.$"), F.concat(fixed, F.concat_ws(".", *octet[1:]))).otherwise(F.concat(fixed, F.concat_ws(".", *octet[2:])))
-    country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1))
-    plain = _has(m, "^[0-9a-fA-F]+$")
-    prefix = F.length(_sub(F.regexp_extract(m, "^(?:AKIA|gh[pousr]_|sk-)", 0), "[^A-Za-z0-9]"))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "ip6", _substitute(m, s, F.lit(0), F.lit(True)))
-        .when(kind == "secret", _substitute(m, s, prefix, plain))
-        .when(kind == "card", _card(m, s))
-        .when(kind == "phone", _substitute(m, s, country, no))
-        .when(kind == "iban", _substitute(m, s, F.lit(2), no))
-        .when(kind == "name", _name(key, m, attempt))
-        .otherwise(_substitute(m, s, F.lit(0), no))
-    )
+    """The replacement of one mention. The higher-order functions keep this out of generated code:
+    mentions are few and the expression is long."""
+
+    def of(m: Column, kind: Column, s: Column) -> Column:
+        no, none = F.lit(False), F.lit(0)
+        fixed = F.regexp_extract(m, r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.)", 0)
+        octet = [(_number(s, 6 * k) % (256 if k < 3 else 254) + (0 if k < 3 else 1)).cast("string") for k in range(4)]
+        ip = F.when(fixed == "", F.concat_ws(".", (_number(s, 0) % 100 + 11).cast("string"), *octet[1:])).when(_has(fixed, r"^1(?:0|27)\.$"), F.concat(fixed, F.concat_ws(".", *octet[1:]))).otherwise(F.concat(fixed, F.concat_ws(".", *octet[2:])))
+        # How many letters and digits stay: country codes, issuers, key prefixes.
+        keep = (
+            F.when(kind == "phone", F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1)))
+            .when(kind == "secret", F.length(_sub(F.regexp_extract(m, "^(?:AKIA|gh[pousr]_|sk-)", 0), "[^A-Za-z0-9]")))
+            .when(kind == "iban", F.lit(2))
+            .when(kind == "card", F.lit(1))
+            .otherwise(none)
+        )
+        digits = (kind == "ip6") | ((kind == "secret") & _has(m, "^[0-9a-fA-F]+$"))
+        domain = F.substring_index(m, "@", -1)
+        tld = F.substring_index(domain, ".", -1)
+        host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
+        new_host = _let(host, lambda h: _substitute(h, _stream(key, "host", F.lower(h), none), none, no))
+        body = F.when(kind == "email", F.substring_index(m, "@", 1)).otherwise(m)
+        plain = _let(body, lambda x: _substitute(x, s, keep, digits))
+        return (
+            F.when(kind == "ip", ip)
+            .when(kind == "name", _name(key, m, attempt))
+            .when(kind == "email", F.concat(plain, F.lit("@"), new_host, F.lit("."), tld))
+            .when(kind == "card", _let(plain, lambda x: _checked(m, x)))
+            .otherwise(plain)
+        )
+
+    return _let(F.struct(m.alias("m"), kind.alias("kind")), lambda x: _let(_stream(key, x["kind"], canonical(x["kind"], x["m"]), attempt), lambda s: of(x["m"], x["kind"], s)))
 
 
 def mentions(text: Column) -> Column:
     return F.when(_has(text, HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def named(mention: Column) -> Column:
+    """struct(kind, c): kind and canonical form of a mention."""
+    return _let(mention, lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), canonical(k, m).alias("c"))))
+
+
 def entity_attempts(df: DataFrame, key: str, text: str = "text", rounds: int = 40) -> DataFrame:
     """(entity, attempt) of the entities whose first surrogate may not stand, entity being
     'kind|canonical'. As a rule there are none."""
-    found = df.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("m")).withColumn("kind", kind_of(F.col("m")))
-    found = found.withColumn("c", canonical(F.col("kind"), F.col("m"))).groupBy("kind", "c").agg(F.min("m").alias("m"))
+    found = df.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    found = found.select("m", named(F.col("m")).alias("e")).groupBy("e.kind", "e.c").agg(F.min("m").alias("m"))
     found = table(found, "entities").withColumn("attempt", F.lit(0))
     taken = None
     pending, settled = found, None
     for attempt in range(rounds):
-        new = pending.withColumn("attempt", F.lit(attempt)).withColumn("s", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("m"), F.lit(attempt), key)))
+        new = pending.withColumn("attempt", F.lit(attempt)).withColumn("s", _let(surrogate(F.col("kind"), F.col("m"), F.lit(attempt), key), lambda s: canonical(F.col("kind"), s)))
         new = table(new, "surrogates")
         # One entity may have a surrogate (the smallest), unless it is an entity or is taken.
         first = new.groupBy("kind", "s").agg(F.min("c").alias("c"))
@@ -232,15 +241,14 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", id_column: str = "
     else:
         exceptions = small_enough(table(exceptions, "exceptions"))
         hit = df.where(F.size("_m") > 0).select(F.xxhash64("_m").alias("_h"), "_m").dropDuplicates(["_h"]).select("_h", F.explode(F.array_distinct("_m")).alias("m"))
-        hit = hit.withColumn("entity", F.concat_ws("|", kind_of(F.col("m")), canonical(kind_of(F.col("m")), F.col("m"))))
+        hit = hit.withColumn("entity", _let(named(F.col("m")), lambda e: F.concat_ws("|", e["kind"], e["c"])))
         hit = hit.join(exceptions, "entity").select("_h", "entity", "attempt").distinct()
         hit = hit.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_x"))
         df = df.withColumn("_h", F.when(F.size("_m") > 0, F.xxhash64("_m"))).join(small_enough(table(hit, "hits")), "_h", "left").drop("_h")
 
     def one(m: Column) -> Column:
-        kind = kind_of(m)
-        attempt = F.coalesce(F.element_at(F.col("_x"), F.concat_ws("|", kind, canonical(kind, m))), F.lit(0))
-        return _let(kind, lambda k: surrogate(k, m, attempt, key))
+        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_x"), F.concat_ws("|", e["kind"], e["c"])), F.lit(0))
+        return _let(named(m), lambda e: _let(attempt(e), lambda n: surrogate(e["kind"], m, n, key)))
 
     new = F.concat(F.array_join(F.zip_with(F.slice(F.split(body, ANY, -1), F.lit(1), F.size("_m")), F.transform("_m", one), lambda a, b: F.concat(a, b)), ""), F.element_at(F.split(body, ANY, -1), -1))
     return df.withColumn("n_entities", F.size("_m").cast("long")).withColumn(text, F.when(F.size("_m") > 0, new).otherwise(body)).drop("_m", "_x")

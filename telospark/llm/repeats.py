@@ -32,7 +32,7 @@ GRAM = 24
 #: Phrases of one trigger within a task's slice from which on it is spread by phrase.
 HOT = 200
 #: Text per bucket and group, in bytes.
-BUCKET = 24 << 20
+BUCKET = 8 << 20
 _NONE = -(1 << 63)
 _COLUMNS = ("ids", "ties", "counts", "a", "b", "pos")
 _BLOBS = "bucket int, kind int, ids binary, ties binary, counts binary, a binary, b binary, pos binary"
@@ -145,7 +145,7 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
 def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 8 << 20):
                 ids, ties, at, h, d = [], [], [], [], []
                 for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if len(raw) >= length:
@@ -169,7 +169,7 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                     hot[order] = (np.bincount(trigger, weights=first) > HOT)[trigger]
                 plain = ~hot
                 cols = lambda m: (ids[m], ties[m], h[m].view(np.uint8).reshape(-1, 8)[:, :6], d[m], at[m])
-                rows = list(_deal(_range(h[plain], n), 0, *cols(plain)))
+                rows = list(_deal(_range(_mix(h[plain] * _K[2]), n), 0, *cols(plain)))  # minima are not uniform
                 if hot.any():
                     rows += _deal(_range(_mix(h[hot] ^ d[hot]), n), 1, *cols(hot))
                     # for the others of such a trigger: its first and last document here
@@ -177,7 +177,7 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                     some = some[np.lexsort((ids[some], h[some]))]
                     lead = np.concatenate(([True], h[some][1:] != h[some][:-1]))
                     ends = some[lead | np.concatenate((lead[1:], [True]))]
-                    rows += _deal(_range(h[ends], n), 2, *cols(ends))
+                    rows += _deal(_range(_mix(h[ends] * _K[2]), n), 2, *cols(ends))
                 yield _batch(rows)
 
     return df.select("_id", "_text").mapInArrow(run, _BLOBS)
