@@ -296,7 +296,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     def pack(batches):
         for b in batches:
             lists = b.column(1)
-            raw = [None if x is None else x.values.to_numpy(zero_copy_only=False).astype(np.float32).tobytes() for x in lists]
+            raw = [None if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(np.float32).tobytes() for x in lists]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "v"])
 
     packed = table(rows.mapInArrow(pack, "id long, v binary"), "vectors")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telospark.llm.common import components, cut, discard, free_shuffles, small_enough, table
-from telospark.llm.tokens import slices
+from telospark.llm.tokens import slices, trim
 
 WORDS = 5
 HASHES = 256
@@ -140,6 +140,7 @@ def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     sig.append(signature(s, a, c).tobytes() if len(s) else None)
                 digest = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+        trim()
 
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
@@ -165,6 +166,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                         held[k] = shingles(raw, byte)
                 keep.append(_linked(held[i], held[j], threshold))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -303,6 +305,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
                 held = yield from pieces(t.combine_chunks(), False)
         if held is not None and held.num_rows:
             yield from pieces(held.combine_chunks(), True)
+        trim()
 
     likely = rest.mapInArrow(cross, "a long, c long, k long, size long, bs array<long>, best long, score int")
     likely = likely.groupBy("a", "c", "k").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"), F.max_by("best", "score").alias("best"), F.max("score").alias("score"))
@@ -327,5 +330,5 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
             found = cut(components(links))
     out = docs.drop("sig").join(small_enough(classes).select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("_root", F.coalesce("rep", "doc_id"))
     out = out.join(found.toDF("_root", "_c"), "_root", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("_c", "_root"))
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("_c", "_root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -85,28 +85,28 @@ def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: flo
     """
     spark = df.sparkSession
     path = [F.coalesce(c.cast("string"), F.lit("unknown")) for c in (domain, F.col("lang"), F.col("source"))]
-    df = df.withColumns({"domain": path[0], "_1": path[1], "_2": path[2], "n_tokens": tokens_of(F.col(text))})
-    leaf = ["domain", "_1", "_2"]
+    df = df.withColumns({"domain": path[0], "__telo_1": path[1], "__telo_2": path[2], "n_tokens": tokens_of(F.col(text))})
+    leaf = ["domain", "__telo_1", "__telo_2"]
     totals = df.groupBy(*leaf).agg(F.sum("n_tokens"), F.count("*")).limit(MAX_LEAVES + 1).collect()
     if len(totals) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     tokens = {tuple(r[:3]): float(r[3]) for r in totals}
     wanted = budgets(tokens, weights, fraction * sum(tokens.values()), float(epochs))
-    rows = [{"domain": r[0], "_1": r[1], "_2": r[2], "_all": r[3], "_want": round(wanted[tuple(r[:3])]), "_bins": 1 + r[4] // block} for r in totals]
-    schema = "array<struct<domain:string,_1:string,_2:string,_all:bigint,_want:bigint,_bins:bigint>>"
+    rows = [{"domain": r[0], "__telo_1": r[1], "__telo_2": r[2], "__telo_all": r[3], "__telo_want": round(wanted[tuple(r[:3])]), "__telo_bins": 1 + r[4] // block} for r in totals]
+    schema = "array<struct<domain:string,__telo_1:string,__telo_2:string,__telo_all:bigint,__telo_want:bigint,__telo_bins:bigint>>"
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    df = df.join(F.broadcast(plan), leaf).where("_want > 0")  # at most MAX_LEAVES rows
-    last = F.when(F.col("_all") > 0, F.floor((F.col("_want") - 1) / F.col("_all"))).otherwise(F.lit(0)).cast("int")
+    df = df.join(F.broadcast(plan), leaf).where("__telo_want > 0")  # at most MAX_LEAVES rows
+    last = F.when(F.col("__telo_all") > 0, F.floor((F.col("__telo_want") - 1) / F.col("__telo_all"))).otherwise(F.lit(0)).cast("int")
     df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    df = df.withColumns({"_h": F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)), "_t": F.xxhash64(text)})
+    df = df.withColumns({"__telo_h": F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)), "__telo_t": F.xxhash64(text)})
     # The order's range is cut into bins of bounded size: a leaf's rows are never in one task.
-    df = df.withColumn("_bin", F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_bins")), F.col("_bins") - 1).cast("long"))
-    place = [*leaf, "epoch", "_bin"]
-    bins = df.groupBy(*place).agg(F.sum("n_tokens").alias("_n"))
-    before = Window.partitionBy(*leaf).orderBy("epoch", "_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*place).orderBy("_h", key, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__telo_bin", F.least(F.floor((F.col("__telo_h") / F.lit(2.0**64) + 0.5) * F.col("__telo_bins")), F.col("__telo_bins") - 1).cast("long"))
+    place = [*leaf, "epoch", "__telo_bin"]
+    bins = df.groupBy(*place).agg(F.sum("n_tokens").alias("__telo_n"))
+    before = Window.partitionBy(*leaf).orderBy("epoch", "__telo_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__telo_base", F.coalesce(F.sum("__telo_n").over(before), F.lit(0))).drop("__telo_n")
+    within = Window.partitionBy(*place).orderBy("__telo_h", key, "__telo_t").rowsBetween(Window.unboundedPreceding, -1)
     # What lies wholly beyond a leaf's budget is dropped before its rows are sorted.
-    some = df.join(bins, place).where("_base < _want")
-    out = some.withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return out.where("start < _want").drop("_1", "_2", "_all", "_want", "_bins", "_h", "_t", "_bin", "_base")
+    some = df.join(bins, place).where("__telo_base < __telo_want")
+    out = some.withColumn("start", F.col("__telo_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return out.where("start < __telo_want").drop("__telo_1", "__telo_2", "__telo_all", "__telo_want", "__telo_bins", "__telo_h", "__telo_t", "__telo_bin", "__telo_base")

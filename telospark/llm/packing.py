@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telospark.llm.common import table
-from telospark.llm.tokens import encoder, slices
+from telospark.llm.tokens import encoder, slices, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,7 +32,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     def encode(batches):
         enc = None
         for batch in batches:
-            for b in slices(batch, "_text", 24 << 20):
+            for b in slices(batch, "_text", 12 << 20):
                 enc = enc or encoder(tokenizer, keeps_space)
                 ids, n_of = enc.encode(b.column(1))
                 ids = np.insert(ids, np.cumsum(n_of), end_id)
@@ -49,6 +49,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        trim()
 
     return df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(encode, schema)
 

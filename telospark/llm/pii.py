@@ -33,7 +33,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity; most texts stop here.
-HINT = rf"[0-9@]|(?:{_TITLES_M}|{_TITLES_F})"
+HINT = rf"[0-9@]|AKIA|sk-|gh[pousr]_|(?:{_TITLES_M}|{_TITLES_F})"
 
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 _FIRST = {
@@ -235,20 +235,20 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", id_column: str = "
     """
     exceptions = entity_attempts(df, key, text)
     body = F.col(text)
-    df = df.withColumn("_m", mentions(body))
+    df = df.withColumn("__telo_m", mentions(body))
     if exceptions.isEmpty():
-        df = df.withColumn("_x", F.lit(None).cast("map<string,int>"))
+        df = df.withColumn("__telo_x", F.lit(None).cast("map<string,int>"))
     else:
         exceptions = small_enough(table(exceptions, "exceptions"))
-        hit = df.where(F.size("_m") > 0).select(F.xxhash64("_m").alias("_h"), "_m").dropDuplicates(["_h"]).select("_h", F.explode(F.array_distinct("_m")).alias("m"))
+        hit = df.where(F.size("__telo_m") > 0).select(F.xxhash64("__telo_m").alias("__telo_h"), "__telo_m").dropDuplicates(["__telo_h"]).select("__telo_h", F.explode(F.array_distinct("__telo_m")).alias("m"))
         hit = hit.withColumn("entity", _let(named(F.col("m")), lambda e: F.concat_ws("|", e["kind"], e["c"])))
-        hit = hit.join(exceptions, "entity").select("_h", "entity", "attempt").distinct()
-        hit = hit.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_x"))
-        df = df.withColumn("_h", F.when(F.size("_m") > 0, F.xxhash64("_m"))).join(small_enough(table(hit, "hits")), "_h", "left").drop("_h")
+        hit = hit.join(exceptions, "entity").select("__telo_h", "entity", "attempt").distinct()
+        hit = hit.groupBy("__telo_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__telo_x"))
+        df = df.withColumn("__telo_h", F.when(F.size("__telo_m") > 0, F.xxhash64("__telo_m"))).join(small_enough(table(hit, "hits")), "__telo_h", "left").drop("__telo_h")
 
     def one(m: Column) -> Column:
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_x"), F.concat_ws("|", e["kind"], e["c"])), F.lit(0))
+        attempt = lambda e: F.coalesce(F.try_element_at(F.col("__telo_x"), F.concat_ws("|", e["kind"], e["c"])), F.lit(0))
         return _let(named(m), lambda e: _let(attempt(e), lambda n: surrogate(e["kind"], m, n, key)))
 
-    new = F.concat(F.array_join(F.zip_with(F.slice(F.split(body, ANY, -1), F.lit(1), F.size("_m")), F.transform("_m", one), lambda a, b: F.concat(a, b)), ""), F.element_at(F.split(body, ANY, -1), -1))
-    return df.withColumn("n_entities", F.size("_m").cast("long")).withColumn(text, F.when(F.size("_m") > 0, new).otherwise(body)).drop("_m", "_x")
+    new = F.concat(F.array_join(F.zip_with(F.slice(F.split(body, ANY, -1), F.lit(1), F.size("__telo_m")), F.transform("__telo_m", one), lambda a, b: F.concat(a, b)), ""), F.element_at(F.split(body, ANY, -1), -1))
+    return df.withColumn("n_entities", F.size("__telo_m").cast("long")).withColumn(text, F.when(F.size("__telo_m") > 0, new).otherwise(body)).drop("__telo_m", "__telo_x")

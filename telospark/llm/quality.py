@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from telospark.llm.tokens import slices
+from telospark.llm.tokens import slices, trim
 
 #: The documented bound of the labelled sample: fit and broadcast don't grow with the input.
 MAX_LABELLED = 4096
@@ -128,6 +128,7 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     got[x.sum(axis=1) == 0] = m["prior"]
                     out[s : s + 1024] = got
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "score"])
+        trim()
 
     return rows.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telospark.llm.common import free_shuffles, table
-from telospark.llm.tokens import slices
+from telospark.llm.tokens import slices, trim
 
 LENGTH = 50
 GRAM = 24
@@ -179,6 +179,7 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                     ends = some[lead | np.concatenate((lead[1:], [True]))]
                     rows += _deal(_range(_mix(h[ends] * _K[2]), n), 2, *cols(ends))
                 yield _batch(rows)
+        trim()
 
     return df.select("_id", "_text").mapInArrow(run, _BLOBS)
 
@@ -200,8 +201,9 @@ def _dictionary(n: int):
             h = h.view(np.uint64).ravel()
             # most triggers stand alone: only the others are sorted in full
             order = np.argsort(h)
-            same = h[order][1:] == h[order][:-1]
-            order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            if not spread:
+                same = h[order][1:] == h[order][:-1]
+                order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
             if not len(order):
                 continue
             order = order[np.lexsort((ids[order], kind[order] == 2, d[order], h[order]))]

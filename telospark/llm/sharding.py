@@ -49,7 +49,7 @@ def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
         full = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(size[full]), pa.array(rows[full])], ["at", "size", "rows"])
 
-    got = keys.select("_h", "_i", "_size").mapInArrow(part, "at int, size long, rows long").groupBy("at").agg(F.sum("size"), F.sum("rows")).collect()
+    got = keys.select("__telo_h", "__telo_i", "__telo_size").mapInArrow(part, "at int, size long, rows long").groupBy("at").agg(F.sum("size"), F.sum("rows")).collect()
     size, rows = np.zeros(len(ph) + 1, np.int64), np.zeros(len(ph) + 1, np.int64)
     for at, s, r in got:
         size[at], rows[at] = s, r
@@ -109,9 +109,9 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
     table gives an empty result. Extra columns pass through; new ones replace columns of their names.
     """
     df = df.withColumn("size", F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8)
-    df = df.withColumns({"_h": F.xxhash64(F.col(text)), "_i": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), "_size": F.col("size")})
-    keys = table(df.select("_h", "_i", "_size"), "shard-keys")
-    total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
+    df = df.withColumns({"__telo_h": F.xxhash64(F.col(text)), "__telo_i": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), "__telo_size": F.col("size")})
+    keys = table(df.select("__telo_h", "__telo_i", "__telo_size"), "shard-keys")
+    total, rows = keys.agg(F.coalesce(F.sum("__telo_size"), F.lit(0)), F.count("*")).first()
     cuts = _splitters(keys, total, shards, parts, tolerance) if rows else []
     # Boundaries of shards are the cuts nearest to the shards' quantiles.
     edge = {min(range(len(cuts)), key=lambda j: abs(cuts[j][1] - total * k // shards)) for k in range(1, shards)} if cuts else set()
@@ -129,6 +129,6 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
         return pd.Series(_bucket(h.to_numpy(), i.to_numpy(), ph, pi).astype(np.int32))
 
     lists = {"shard": F.array(*map(F.lit, shard_of)), "before": F.array(*(F.lit(int(x)).cast("long") for x in before))}
-    moved = df.withColumn("_part", part_of("_h", "_i")).repartition(max(1, len(cuts) + 1), "_part")
-    slot = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_i"))
-    return moved.withColumns({"law": F.lit("bytes"), "shard": F.get(lists["shard"], F.col("_part")), "slot": F.get(lists["before"], F.col("_part")) + slot - 1}).drop("_h", "_i", "_size", "_part")
+    moved = df.withColumn("__telo_part", part_of("__telo_h", "__telo_i")).repartition(max(1, len(cuts) + 1), "__telo_part")
+    slot = F.row_number().over(Window.partitionBy("__telo_part").orderBy("__telo_h", "__telo_i"))
+    return moved.withColumns({"law": F.lit("bytes"), "shard": F.get(lists["shard"], F.col("__telo_part")), "slot": F.get(lists["before"], F.col("__telo_part")) + slot - 1}).drop("__telo_h", "__telo_i", "__telo_size", "__telo_part")

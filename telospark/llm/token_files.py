@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telospark.llm.common import cut, new_folder
-from telospark.llm.tokens import encoder, slices
+from telospark.llm.tokens import encoder, slices, trim
 
 LENGTH = 2048
 MANIFEST = "part int, file string, docs string, n_docs long, n_tokens long"
@@ -135,6 +135,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, folder: st
         if out is None:
             return
         out.close()
+        trim()
         docs = pa.table({"doc_id": pa.chunked_array(ids_of), "n_tokens": pa.array(np.concatenate(lengths))})
         at, path = _open(f"{name}.docs.arrow")
         with at.open_output_stream(path) as f, pa.ipc.new_stream(f, docs.schema) as w:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps encoded between batches; the memory bound of the cache.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 class WordEncoder:
@@ -105,7 +105,18 @@ def encoder(path: str, keeps_space: bool) -> WordEncoder:
     return kept[path, keeps_space]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def trim() -> None:
+    """Hands a worker's free memory back to the system; workers live on between stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to hand back
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Parts of a batch whose texts have about `limit` bytes at most (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
