@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,23 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession):
+    """Within it, an execution's shuffle files go as soon as it ends: its result is on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with own_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def table(df: DataFrame, kind: str) -> DataFrame:
@@ -46,7 +60,8 @@ def table(df: DataFrame, kind: str) -> DataFrame:
     can still be pruned."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
-    df.write.parquet(path)
+    with own_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
