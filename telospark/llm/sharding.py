@@ -56,15 +56,16 @@ def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
     return np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
 
 
-def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance: float, probes: int = 24) -> list[tuple[int, int, int]]:
+def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance: float, whole: float, probes: int = 24) -> list[tuple[int, int, int]]:
     """(key, bytes below, rows below) of the boundaries between shards * parts parts, refined until
     each misses its quantile by at most `tolerance` of a shard (a quarter of a part for those inside
     a shard), or no row lies between the nearest boundaries. Boundaries between texts come first; a
-    text's copies are cut by doc_id only where no boundary beside them is near enough."""
+    text's copies are cut by doc_id only where no boundary beside them is within `whole` of a shard."""
     n = shards * parts
     want = [total * k // n for k in range(1, n)]
     allow = [tolerance * total / shards if k % parts == 0 else 0.25 * total / n for k in range(1, n)]
-    seen: dict[int, tuple[int, int]] = {0: (0, 0), _SIDE * _SIDE - 1: (total, -1)}
+    end = _SIDE * _SIDE - 1
+    seen: dict[int, tuple[int, int]] = {0: (0, 0), end: (total, -1)}
     best: list[int | None] = [None] * (n - 1)
     while True:
         known = sorted(seen)
@@ -77,10 +78,13 @@ def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance:
             lo, hi = known[at - 1], known[min(at, len(known) - 1)]
             near = min((lo, hi), key=lambda k: abs(seen[k][0] - w))
             miss = abs(seen[near][0] - w)
-            if hi - lo <= 1 or seen[lo][0] == seen[hi][0] or (miss <= allow[j] and near not in (0, _SIDE * _SIDE - 1)):
+            a, b = lo // _SIDE, -(-hi // _SIDE)
+            inside = near not in (0, end)
+            one_text = b - a <= 1 and lo % _SIDE == 0 and near % _SIDE == 0
+            done = hi - lo <= 1 or seen[lo][0] == seen[hi][0] or (inside and miss <= allow[j])
+            if done or (inside and one_text and miss <= max(allow[j], whole * total / shards)):
                 best[j] = near
                 continue
-            a, b = lo // _SIDE, -(-hi // _SIDE)
             if b - a > 1:  # boundaries between texts
                 new = {(a + (b - a) * k // probes) * _SIDE for k in range(1, probes)}
             else:  # one text's copies: by doc_id
@@ -93,16 +97,16 @@ def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance:
             continue
         ask_list = sorted(ask)
         seen.update(zip(ask_list, zip(*_count(keys, ask_list))))
-    out = sorted({b for b in best if b not in (0, _SIDE * _SIDE - 1)})
-    return [(k, *seen[k]) for k in out]
+    return [(k, *seen[k]) for k in sorted({b for b in best if b not in (0, end)})]
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", parts: int = 8, tolerance: float = 0.02) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", parts: int = 8, tolerance: float = 0.001, whole: float = 0.03) -> DataFrame:
     """df with size, law ('bytes'), shard and slot: near-equal bytes in each of `shards` shards.
 
     size: UTF-8 bytes of the text (null: none) plus 8. The order is (hash of the text, doc_id), so
-    copies of a text stand together; a boundary falls between texts wherever one lies within
-    `tolerance` of a shard's bytes, else among a text's copies, by doc_id. Each shard is exchanged
+    copies of a text stand together; a boundary meets its quantile within `tolerance` of a
+    shard or stands at the nearest place between two texts, if that is within `whole` of a shard;
+    else it falls among a text's copies, by doc_id. Each shard is exchanged
     as `parts` parts, so that no task sorts a whole shard. slot counts a shard's rows from 0.
 
     Null texts count as one text; null doc_ids sort first; repeated rows stay together; an empty
@@ -112,7 +116,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
     df = df.withColumns({"__telo_h": F.xxhash64(F.col(text)), "__telo_i": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), "__telo_size": F.col("size")})
     keys = table(df.select("__telo_h", "__telo_i", "__telo_size"), "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("__telo_size"), F.lit(0)), F.count("*")).first()
-    cuts = _splitters(keys, total, shards, parts, tolerance) if rows else []
+    cuts = _splitters(keys, total, shards, parts, tolerance, whole) if rows else []
     # Boundaries of shards are the cuts nearest to the shards' quantiles.
     edge = {min(range(len(cuts)), key=lambda j: abs(cuts[j][1] - total * k // shards)) for k in range(1, shards)} if cuts else set()
     shard_of, before, first = [0], [0], 0
