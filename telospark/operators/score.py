@@ -49,3 +49,13 @@ def score_mutations(df: DataFrame, specific: Model, bag: Model | None, end: str,
     if raw:
         return df.select(*cols, F.col("delta").alias("delta specific score"), F.col("mutant_score").alias("specific score"))
     return df.select(*cols, F.col("delta").alias("delta degron potential"))
+
+
+def wild_type_scores(tx: DataFrame, specific: Model, bag: Model, end: str) -> DataFrame:
+    """transcript_id, specific, bag and potential of each transcript's terminal window; null for
+    windows with U."""
+    spark = tx.sparkSession
+    p = tx.select("transcript_id", terminal_window(F.col("protein"), end).alias("peptide"))
+    p = p.withColumn("peptide", F.when(~F.col("peptide").contains("U"), F.col("peptide")))
+    p = p.withColumn("specific", specific.predict(spark, F.col("peptide"))).withColumn("bag", bag.predict(spark, F.col("peptide")))
+    return p.withColumn("potential", F.col("specific") - F.col("bag")).drop("peptide")

@@ -588,6 +588,18 @@ def score_mutations_raw(spark, sf_dir):
     return out.toDF(*(c.lower().replace(" ", "_") for c in out.columns))
 
 
+@query()
+def wild_type_scores(spark, sf_dir):
+    from telospark.operators import score
+
+    return score.wild_type_scores(transcripts(spark, sf_dir), *fixed_models("cterm"), "cterm")
+
+
+@query("SELECT 'T' || doc_id AS transcript_id FROM documents WHERE doc_id % 40 = 7")
+def transcripts_of_gene(spark, sf_dir):
+    return tables.transcripts_of_gene(transcripts(spark, sf_dir), "G7").select("transcript_id")
+
+
 _BAG = f"[CAST(length(peptide) - length(replace(peptide, a, '')) AS DOUBLE) FOR a IN {AA}]"
 
 

@@ -38,6 +38,11 @@ def transcripts(spark: SparkSession, path: str, release: int | None = None) -> D
     return df if "protein" in df.columns else df.withColumn("protein", protein_of(F.col("cds")))
 
 
+def transcripts_of_gene(tx: DataFrame, gene: str) -> DataFrame:
+    """Complete protein-coding transcripts of a gene; none for an unknown one."""
+    return tx.where((F.col("gene") == gene) & (F.col("biotype") == "protein_coding") & F.col("complete"))
+
+
 def intervals(spark: SparkSession, path: str, by_transcript: bool = False) -> DataFrame:
     """key, start, end (1-based, inclusive) of degron intervals."""
     return scan(spark, path).select(F.col("transcript_id" if by_transcript else "gene").alias("key"), F.col("start").cast("int"), F.col("end").cast("int"))
