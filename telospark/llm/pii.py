@@ -22,7 +22,7 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind: pattern, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*\.\p{L}{2,}+",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?<=[=:\"' ])(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,128}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
@@ -64,9 +64,11 @@ def _pick(items: list[str], number: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    out = F.lit("name")
+    """The kind of a mention by itself; what fits no other pattern is a secret, some of which only
+    the words before them tell."""
+    out = F.lit("secret")
     for kind, p in reversed(PATTERNS.items()):
-        out = F.when(_has(mention, f"^(?:{p})$"), F.lit(kind)).otherwise(out) if kind != "name" else out
+        out = F.when(_has(mention, f"^(?:{p})$"), F.lit(kind)).otherwise(out) if kind != "secret" else out
     return out
 
 

@@ -271,10 +271,11 @@ def _open(n: int, length: int):
             return pa.Table.from_batches([_batch([])])
         ids, ties, x, y, pos = map(np.concatenate, zip(*out))
         order = np.lexsort((ids, y, x))
-        ids, ties, x, y, pos = (c[order] for c in (ids, ties, x, y, pos))
-        run_ = _runs(x, y)
-        least = ids[np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1])))][run_]
-        later = least < ids
+        run_ = _runs(x[order], y[order])
+        least = ids[order][np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1])))][run_]
+        later = np.zeros(len(ids), bool)
+        later[order] = least < ids[order]
+        # in the order of documents, so that a blob names each of them once
         rows = list(_deal(_range(x[~later], n), 0, ids[~later], ties[~later], x[~later], y[~later], pos[~later]))
         rows += _flagged(ids[later], ties[later], pos[later], n)
         return pa.Table.from_batches([_batch(rows)])
