@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import PEPTIDE, RESIDUES, after, first, last, piece
+from telospark.functions.sequences import PEPTIDE, RESIDUES, after, first, last, let, piece
 
 
 def _residues() -> Column:
@@ -19,7 +19,7 @@ def _residues() -> Column:
 
 def residue_bag(s: Column) -> Column:
     """Counts of the 20 residues; other letters are ignored."""
-    return F.transform(_residues(), lambda a: (F.length(s) - F.length(F.replace(s, a, F.lit("")))).cast("double"))
+    return let(s, lambda x: F.transform(_residues(), lambda a: (F.length(x) - F.length(F.replace(x, a, F.lit("")))).cast("double")))
 
 
 def dimer_index(d: Column) -> Column:
@@ -31,13 +31,16 @@ def dimer_index(d: Column) -> Column:
 def dimer_counts(s: Column) -> Column:
     """400 counts of adjacent pairs; pairs with U are skipped. Null where another letter outside
     the 20 occurs: such rows are to be rejected."""
-    n = F.length(s)
-    at = F.transform(F.sequence(F.lit(1), n - 1), lambda i: dimer_index(F.substring(s, i, F.lit(2))))
-    found = F.when(n >= 2, F.filter(at, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
     every = F.sequence(F.lit(0), F.lit(len(RESIDUES) ** 2 - 1))
-    # transform over a one-element array computes `found` once
-    counts = F.transform(F.array(found), lambda x: F.transform(every, lambda j: F.size(F.filter(x, lambda i: i == j)).cast("double")))[0]
-    return F.when(s.rlike(f"^[{RESIDUES}U]*$"), counts)
+
+    def count(s: Column) -> Column:
+        n = F.length(s)
+        at = F.transform(F.sequence(F.lit(1), n - 1), lambda i: dimer_index(F.substring(s, i, F.lit(2))))
+        found = F.when(n >= 2, F.filter(at, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+        counts = let(found, lambda x: F.transform(every, lambda j: F.size(F.filter(x, lambda i: i == j)).cast("double")))
+        return F.when(s.rlike(f"^[{RESIDUES}U]*$"), counts)
+
+    return let(s, count)
 
 
 def position_bag(s: Column, splits: int, width: int, compat: bool = True) -> Column:
