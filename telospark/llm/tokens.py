@@ -38,35 +38,25 @@ class WordEncoder:
         self.marked = np.zeros(max(table.values()) + 1, bool)
         self.marked[[i for t, i in table.items() if (t.startswith("Ġ") if keeps_space else t.endswith("</w>"))]] = True
 
-    def _encode_new(self, words: list[str]) -> None:
+    def _encode_new(self, words: list[str], parts: np.ndarray) -> None:
         """Words that are surely found again in a running text are encoded as one, which is
-        cheaper; the others one by one."""
-        fast = [(w, n) for w in words if (n := self._parts(w))]
-        if len(fast) < len(words):
-            kept = {w for w, _ in fast}
-            self._encode_apart([w for w in words if w not in kept])
-        chunks = [fast[at : at + 4096] for at in range(0, len(fast), 4096)]
+        cheaper; the others (0 parts) one by one. parts: marked tokens that a word has."""
+        self._encode_apart([words[i] for i in np.flatnonzero(parts == 0)])
+        some = np.flatnonzero(parts)
+        chunks = [some[at : at + 4096] for at in range(0, len(some), 4096)]
+        texts = [[words[i] for i in c] for c in chunks]
         glue = "" if self.keeps_space else " "
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([glue.join([w for w, _ in c]) for c in chunks], add_special_tokens=False)):
+        for c, ws, e in zip(chunks, texts, self.tokenizer.encode_batch_fast([glue.join(ws) for ws in texts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype=np.uint32)
             # marked tokens: the first of each word, or the last of each of its parts
             at = np.flatnonzero(self.marked[ids])
-            parts = np.cumsum([n for _, n in chunk])
-            if len(at) != parts[-1]:
-                self._encode_apart([w for w, _ in chunk])
+            ends = np.cumsum(parts[c])
+            if len(at) != ends[-1]:
+                self._encode_apart(ws)
                 continue
-            edges = [*at.tolist(), len(ids)] if self.keeps_space else [0, *(at[parts - 1] + 1).tolist()]
+            edges = [*(4 * at).tolist(), 4 * len(ids)] if self.keeps_space else [0, *(4 * at[ends - 1] + 4).tolist()]
             raw = ids.tobytes()
-            self.known.update(zip([w for w, _ in chunk], [raw[4 * s : 4 * t] for s, t in zip(edges, edges[1:])]))
-
-    def _parts(self, word: str) -> int:
-        """Marked tokens that a word has for sure; 0 if that isn't clear."""
-        if self.keeps_space:
-            return int(word[0:1] == " " and len(word) > 1)
-        core = word.rstrip(_MARKS)
-        if core and not (core.isalpha() and core.lower().isalpha()):
-            return 0
-        return bool(core) + (len(core) < len(word))
+            self.known.update(zip(ws, [raw[s:t] for s, t in zip(edges, edges[1:])]))
 
     def _encode_apart(self, words: list[str]) -> None:
         for at in range(0, len(words), 8192):
@@ -77,14 +67,26 @@ class WordEncoder:
             raw, ends = ids.tobytes(), np.cumsum(counts) * 4
             self.known.update(zip(some, (raw[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist()))))
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self._encode_new([w for w in words if w not in self.known])
-        got = [self.known[w] for w in words]
+        known = self.known
+        new = [i for i, w in enumerate(words) if w not in known]
+        self._encode_new([words[i] for i in new], parts[new])
+        got = [known[w] for w in words]
         return np.frombuffer(b"".join(got), dtype=np.uint32), np.array(list(map(len, got)), np.int64) // 4
 
+    def _table(self, words: pa.Array, lead: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words as they are encoded, and their parts. lead: those that begin a text."""
+        if self.keeps_space:  # the first piece of a text has no space before it
+            spaced = pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type))
+            return pa.concat_arrays([spaced, words.take(pa.array(lead))]), np.repeat([1, 0], [len(words), len(lead)])
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(pc.utf8_lower(core))).to_numpy(zero_copy_only=False)
+        size, bare = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, core))
+        return words, np.where(plain | (bare == 0), (bare > 0).astype(np.int64) + (bare < size), 0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, how many each text has); a null text has none."""
         if isinstance(texts, pa.ChunkedArray):
@@ -95,26 +97,25 @@ class WordEncoder:
         parts = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
         counts = np.diff(parts.offsets.to_numpy())
         coded = parts.flatten().dictionary_encode()
-        word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
         doc_of = np.repeat(np.arange(n), counts)
-        odd = np.array([not w or w[0].isspace() for w in words], bool)[word_of]
+        blank = pc.or_(pc.equal(pc.binary_length(words), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1)))
+        odd = blank.to_numpy(zero_copy_only=False)[word_of]
         odd[first] = False
         whole = np.zeros(n, bool)
         whole[doc_of[odd]] = True
-        if self.keeps_space:  # the first piece of a text has no space before it
-            lead = np.unique(word_of[first])
-            table = [" " + w for w in words] + [words[i] for i in lead]
+        lead = np.unique(word_of[first])
+        table, parts = self._table(words, lead)
+        if self.keeps_space:
             word_of = word_of.copy()
             word_of[first] = len(words) + np.searchsorted(lead, word_of[first])
-        else:
-            table = words
-        used = np.unique(word_of[~whole[doc_of]])
-        ids, each = self._words([table[i] for i in used])
+        keep = ~whole[doc_of]
+        used = np.unique(word_of[keep])
+        ids, each = self._words(table.take(pa.array(used)).to_pylist(), parts[used])
         starts = np.concatenate(([0], np.cumsum(each)[:-1])) if len(each) else each
         slot = np.full(len(table), 0, np.int64)
         slot[used] = np.arange(len(used))
-        keep = ~whole[doc_of]
         s = slot[word_of[keep]]
         take = each[s] if len(used) else np.zeros(0, np.int64)
         lengths = np.bincount(doc_of[keep], weights=take, minlength=n).astype(np.int64)
