@@ -63,7 +63,7 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", limit: int = MAX_LABELLED) -> dict:
     """The model, fitted on at most `limit` labelled rows, those of the smallest key hashes."""
-    some = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).dropDuplicates(["_k"])
+    some = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).groupBy("_k").agg(F.min("_y").alias("_y"))
     some = some.orderBy(F.xxhash64("_k"), "_k").limit(limit)  # a bounded sample, by parameter
 
     def run(batches):

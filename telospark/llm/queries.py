@@ -84,4 +84,33 @@ QUERIES = {
     f.__name__: f
     for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
 }
-ORACLE_SQL: dict[str, str] = {}
+_REACH = "r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"
+
+#: SQL twins of the queries that SQL can express without trained models, tokenizers or our hashes.
+ORACLE_SQL: dict[str, str] = {
+    "op2_pruned_graph": (
+        "WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda y: abs(y))) > 0), "
+        "e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95), "
+        f"{_REACH}, n AS (SELECT a, count(*) AS n FROM e GROUP BY a) "
+        "SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON id = vec_id"
+    ),
+    "op6_prefix_free_parsing": (
+        "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents), "
+        "w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)), "
+        "f AS (SELECT w.doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS m FROM w GROUP BY s) USING (s) WHERE m < w.doc_id), "
+        "g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM f), "
+        "k AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run), "
+        "q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM k), "
+        "t AS (SELECT q.doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM q JOIN d USING (doc_id) GROUP BY q.doc_id) "
+        "SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"
+    ),
+    "op7_minhash_bayes": (
+        "WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+        "s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS h FROM d), "
+        "n AS (SELECT doc_id, CAST(len(h) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(h) AS h FROM s), "
+        "p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2), "
+        "l AS (SELECT a, b FROM p JOIN n y ON y.doc_id = a JOIN n z ON z.doc_id = b WHERE 100 * c >= 75 * (y.n + z.n - c)), "
+        f"e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {_REACH} "
+        "SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM n LEFT JOIN c ON id = doc_id"
+    ),
+}
