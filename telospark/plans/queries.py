@@ -500,6 +500,25 @@ def cds_to_genome(spark, sf_dir):
     return with_positions(transcripts(spark, sf_dir)).select("transcript_id", F.posexplode("genome").alias("pos", "genome"))
 
 
+TX = f"(SELECT doc_id, 'ATG' || substr(replace(replace(replace(cds, 'TAA', 'CAA'), 'TAG', 'CAG'), 'TGA', 'CGA'), 4, 90) || 'TAA' AS cds FROM {DNA})"
+
+
+@query(
+    f"WITH v AS (SELECT 'T' || doc_id AS transcript_id, cds, CAST(p AS INTEGER) AS drawn, alt FROM {TX}, range(0, 96) r(p), (SELECT unnest(['A','C','G','T']) AS alt) WHERE substr(cds, p + 1, 1) <> alt), "
+    "m AS (SELECT *, drawn // 3 AS i, substr(cds, 3 * (drawn // 3) + 1, 3) AS old, substr(cds, 3 * (drawn // 3) + 1, drawn % 3) || alt || substr(cds, drawn + 2, 2 - drawn % 3) AS new FROM v), "
+    f"t AS (SELECT *, {CODE}[old] AS a, {CODE}[new] AS b FROM m) "
+    "SELECT transcript_id, drawn, alt AS cds_alt, CASE WHEN i = 0 THEN CASE WHEN new IN ('CTG', 'TTG') THEN 'AlternateStartCodon' ELSE 'StartLoss' END WHEN a = b THEN 'Silent' WHEN i = 31 THEN 'StopLoss' WHEN b = '*' THEN 'PrematureStop' ELSE 'Substitution' END AS effect FROM t"
+)
+def snv_effects(spark, sf_dir):
+    """Every substitution of every coding base of every transcript."""
+    return sampling.snv_effects(transcripts(spark, sf_dir)).select("transcript_id", "drawn", "cds_alt", "effect")
+
+
+@query(f"SELECT 'T' || doc_id AS transcript_id, array_to_string([{CODE}[substr(cds, 3 * i + 1, 3)] FOR i IN range(0, 31)], '') AS protein FROM {TX}")
+def transcript_proteins(spark, sf_dir):
+    return transcripts(spark, sf_dir).select("transcript_id", "protein")
+
+
 @query()
 def annotated_variants(spark, sf_dir):
     from telospark.plans.analysis import annotated
