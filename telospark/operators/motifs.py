@@ -1,4 +1,6 @@
-"""Motif enrichment among top-ranked peptides: one pass over the peptides instead of one per motif."""
+"""Motif enrichment among top-ranked peptides: one pass over the peptides instead of one per motif.
+
+The tested vocabulary (6,000 to 160,000 rows) is kept for the two reads of the q-value step."""
 
 from __future__ import annotations
 
@@ -48,7 +50,7 @@ def dimotifs(df: DataFrame, top: int, end: str) -> DataFrame:
     out = out.withColumn("motif", mask).withColumn("pvalue", binomial_tail(F.col("top_ct"), F.col("top_total"), F.col("bot_ct") / F.col("bot_total")))
     out = out.withColumn("log_or", log2_odds(F.col("top_ct"), F.col("top_total"), F.col("bot_ct"), F.col("bot_total")))
     out = out.withColumn("adjusted_pvalue", bonferroni(F.col("pvalue"), 6000, capped=False))
-    return bh_fdr(out).select("motif", *key, "top_ct", "bot_ct", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
+    return bh_fdr(out.persist()).select("motif", *key, "top_ct", "bot_ct", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
 
 
 def substring_counts(df: DataFrame, k: int, top: int, end: str) -> DataFrame:
@@ -90,7 +92,7 @@ def chain_motifs(df: DataFrame, k: int, top: int, end: str) -> DataFrame:
     out = out.withColumn("pvalue", F.when(F.col("background_p").isNull(), F.lit(float("nan"))).otherwise(binomial_tail(F.col("top_ct"), trials, F.coalesce("background_p", F.lit(0.0)))))
     out = out.withColumn("log_or", log2_odds(F.col("top_ct"), F.col("top_total"), F.coalesce("background_p", F.lit(float("nan"))), F.lit(1.0)))
     out = out.withColumn("adjusted_pvalue", bonferroni(F.col("pvalue"), len(RESIDUES) ** k))
-    return bh_fdr(out).select("motif", "top_ct", "background_p", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
+    return bh_fdr(out.persist()).select("motif", "top_ct", "background_p", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
 
 
 def trimmed_auc(df: DataFrame, score: str, label: str = "y", step: int = 20, limit: int = 8000) -> DataFrame:

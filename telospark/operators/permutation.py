@@ -149,4 +149,5 @@ def run_test(variants: DataFrame, tx: DataFrame, test: Test, statistic, simulati
 def shape(result: DataFrame, variants: DataFrame, test: Test) -> DataFrame:
     """The result table: gene, statistic, pvalue, counts, average position and qvalue."""
     info = variants.groupBy("unit").agg(F.first("gene").alias("gene"), F.count("*").alias("total_muts"), aggregates.average_position(F.col("aa_off"), F.length("cds")).alias("average position"))
-    return bh_fdr(result.join(info, "unit").select("gene", test.column, "pvalue", *test.extra, "total_muts", "average position"))
+    out = result.join(info, "unit").select("gene", test.column, "pvalue", *test.extra, "total_muts", "average position")
+    return bh_fdr(out.persist())  # one row per unit, read twice
