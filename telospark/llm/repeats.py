@@ -4,7 +4,7 @@ Parse: a rolling hash of GRAM bytes runs over each text; a place is a trigger wh
 least of some window of LENGTH bytes, so every such window holds a trigger, and equal windows hold
 the same one. A trigger's phrase is all that a window through it can reach: equal phrases hold equal
 windows. Dictionary: phrases are sorted by trigger and digest. One whose copy stands in an earlier
-document is removed whole, at one row for up to 27 windows; that is where repetitive text collapses.
+document is removed whole, at one row for up to 23 windows; that is where repetitive text collapses.
 Only the first copies of phrases that share a trigger with a different phrase are opened: their
 suffixes of LENGTH bytes are put into one order, and a run's members after its first document go.
 
@@ -28,7 +28,7 @@ from telospark.llm.common import free_shuffles, table
 from telospark.llm.tokens import slices, trim
 
 LENGTH = 50
-GRAM = 24
+GRAM = 28
 #: Phrases of one trigger within a task's slice from which on it is spread by phrase.
 HOT = 200
 #: Text per bucket and group, in bytes.
@@ -69,8 +69,8 @@ def triggers(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     padded = np.concatenate([np.zeros(left, np.uint8), b, np.zeros(length, np.uint8)])
     load = _loads(padded)
     m = n - GRAM + 1
-    h = load[left : left + m] * _K[0]
-    for s in range(8, GRAM, 8):
+    h = np.zeros(m, np.uint64)
+    for s in [*range(0, GRAM - 7, 8), GRAM - 8]:
         h = _mix(h + load[left + s : left + s + m]) * _K[0]
     low = _slide(h, left + 1, np.minimum)
     edge = np.zeros(left, np.uint64)
@@ -313,7 +313,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) of each row of df;
     with_kept adds the bytes that stay (cuts may fall inside a character).
 
-    A byte goes if a string of `length` bytes (32 or more) over it also starts in a document with a smaller
+    A byte goes if a string of `length` bytes (36 or more) over it also starts in a document with a smaller
     doc_id, as the texts stand in the input; overlaps count, and strings never cross documents.
     Null texts count as empty; shorter texts are never cut. A null doc_id counts as the smallest.
     Rows that share a doc_id don't cut each other. Extra columns are ignored; an empty table gives
