@@ -56,21 +56,22 @@ def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
     return np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
 
 
-def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance: float, whole: float, probes: int = 24) -> list[tuple[int, int, int]]:
+def _splitters(keys: DataFrame, total: int, rows: int, shards: int, parts: int, tolerance: float, whole: float, budget: int = 4096) -> list[tuple[int, int, int]]:
     """(key, bytes below, rows below) of the boundaries between shards * parts parts, refined until
     each misses its quantile by at most `tolerance` of a shard (a quarter of a part for those inside
-    a shard), or no row lies between the nearest boundaries. Boundaries between texts come first; a
+    a shard), or at most one row lies between the nearest boundaries. Boundaries between texts come first; a
     text's copies are cut by doc_id only where no boundary beside them is within `whole` of a shard."""
     n = shards * parts
     want = [total * k // n for k in range(1, n)]
     allow = [tolerance * total / shards if k % parts == 0 else 0.25 * total / n for k in range(1, n)]
     end = _SIDE * _SIDE - 1
-    seen: dict[int, tuple[int, int]] = {0: (0, 0), end: (total, -1)}
+    seen: dict[int, tuple[int, int]] = {0: (0, 0), end: (total, rows)}
     best: list[int | None] = [None] * (n - 1)
     while True:
         known = sorted(seen)
         below = np.array([seen[k][0] for k in known])
         ask: set[int] = set()
+        probes = max(24, min(512, budget // max(1, best.count(None))))  # few open boundaries: finer steps
         for j, w in enumerate(want):
             if best[j] is not None:
                 continue
@@ -81,7 +82,7 @@ def _splitters(keys: DataFrame, total: int, shards: int, parts: int, tolerance:
             a, b = lo // _SIDE, -(-hi // _SIDE)
             inside = near not in (0, end)
             one_text = b - a <= 1 and lo % _SIDE == 0 and near % _SIDE == 0
-            done = hi - lo <= 1 or seen[lo][0] == seen[hi][0] or (inside and miss <= allow[j])
+            done = hi - lo <= 1 or seen[hi][1] - seen[lo][1] <= 1 or (inside and miss <= allow[j])
             if done or (inside and one_text and miss <= max(allow[j], whole * total / shards)):
                 best[j] = near
                 continue
@@ -116,7 +117,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
     df = df.withColumns({"__telo_h": F.xxhash64(F.col(text)), "__telo_i": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), "__telo_size": F.col("size")})
     keys = table(df.select("__telo_h", "__telo_i", "__telo_size"), "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("__telo_size"), F.lit(0)), F.count("*")).first()
-    cuts = _splitters(keys, total, shards, parts, tolerance, whole) if rows else []
+    cuts = _splitters(keys, total, rows, shards, parts, tolerance, whole) if rows else []
     # Boundaries of shards are the cuts nearest to the shards' quantiles.
     edge = {min(range(len(cuts)), key=lambda j: abs(cuts[j][1] - total * k // shards)) for k in range(1, shards)} if cuts else set()
     shard_of, before, first = [0], [0], 0
