@@ -32,7 +32,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     def encode(batches):
         enc = None
         for batch in batches:
-            for b in slices(batch, "_text", 12 << 20):
+            for b in slices(batch, "_text", 6 << 20):
                 enc = enc or encoder(tokenizer, keeps_space)
                 ids, n_of = enc.encode(b.column(1))
                 ids = np.insert(ids, np.cumsum(n_of), end_id)

@@ -124,7 +124,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, folder: st
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         enc, out, ids_of, lengths = None, None, [], []
         for batch in batches:
-            for b in slices(batch, "_text", 16 << 20):
+            for b in slices(batch, "_text", 10 << 20):
                 if out is None:
                     enc, out = encoder(tokenizer, keeps_space), _Writer(f"{name}.arrow", length, wide=wide)
                 ids, n_of = enc.encode(b.column(1))
