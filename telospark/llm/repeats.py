@@ -121,6 +121,7 @@ def _deal(to: np.ndarray, kind: int, *cols: np.ndarray):
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
+    trim()
     kinds = [("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in _COLUMNS)]
     return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
@@ -145,7 +146,7 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
 def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 8 << 20):
+            for part in slices(batch, "_text", 4 << 20):
                 ids, ties, at, h, d = [], [], [], [], []
                 for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if len(raw) >= length:
