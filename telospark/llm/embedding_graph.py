@@ -4,8 +4,10 @@ Vectors go to their nearest few of a sample's centroids, so clusters overlap. Ea
 builds a robust-pruned neighbour graph; a vector's adjacency lists from all its shards are united.
 Every vector then searches its shards: greedy from the shard's medoid, then outward from all that
 is in range until no more is found. Pairs are verified in double precision and counted in their
-first common shard alone. Recall is audited against exact products of a bounded query sample; below
-the target, vectors are spread over more shards and the search is repeated.
+first common shard alone. Recall is audited against exact products of a bounded query sample, over
+all links and query by query; below the target, vectors are spread over more shards, graphs get more
+candidates and a higher degree, and the search is repeated. If that is not enough, the shards are
+compared exactly, and if links are still missing an error is raised.
 
 A shard holds at most BLOCK vectors: larger clusters are split into blocks and every pair of blocks
 is a shard. Identical vectors count as one, with their number as weight.
@@ -26,6 +28,8 @@ CENTROIDS = 2_048
 PER_CLUSTER = 1_200
 BLOCK = 8_192
 CANDIDATES = 40
+#: Candidates beyond the nearest, drawn anew for each vector from all in range of it.
+WIDE = 40
 DEGREE = 20
 ALPHA = 1.2
 BEAM = 16
@@ -59,34 +63,44 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Robust-pruned adjacency of a shard's unit vectors, both directions."""
+def build_graph(x: np.ndarray, low: float = -1.0, effort: int = 1) -> list[np.ndarray]:
+    """Robust-pruned adjacency of a shard's unit vectors, both directions. Besides its nearest, a
+    vector has random candidates among all with cosine >= low, pruned with a degree of their own:
+    they link tight sub-groups of more vectors than the nearest reach."""
     m = len(x)
-    k = min(CANDIDATES, m - 1)
+    k, w, limit = min(CANDIDATES * effort, m - 1), min(WIDE * effort, m - 1), DEGREE * effort
     if k < 1:
         return [np.zeros(0, np.int64)] * m
-    far = np.random.default_rng(m).choice(m, min(4, m), replace=False)
+    rng = np.random.default_rng(m)
+    far = rng.choice(m, min(4, m), replace=False)
     heads, tails = [], []
-    for at in range(0, m, 512):
-        p = np.arange(at, min(at + 512, m))
-        s = x[p] @ x.T
-        s[np.arange(len(p)), p] = -2
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m else np.argsort(-s, axis=1)
-        near = np.concatenate([near, np.broadcast_to(far, (len(p), len(far)))], axis=1)
+
+    def prune(p: np.ndarray, s: np.ndarray, near: np.ndarray, live: np.ndarray) -> None:
         sim = np.take_along_axis(s, near, 1)
         order = np.argsort(-sim, axis=1, kind="stable")
-        near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
+        near, sim, live = (np.take_along_axis(z, order, 1) for z in (near, sim, live))
         dist = 1 - sim
-        live = near != p[:, None]
         between = 1 - np.matmul(x[near], x[near].transpose(0, 2, 1))
         taken = np.zeros(len(p), np.int64)
         for j in range(near.shape[1]):
-            keep = live[:, j] & (taken < DEGREE)
+            keep = live[:, j] & (taken < limit)
             heads.append(p[keep])
             tails.append(near[keep, j])
             taken += keep
             # what a kept neighbour stands closer to, by ALPHA, is reached through it
             live &= ~(keep[:, None] & (ALPHA * between[:, j] <= dist))
+
+    for at in range(0, m, 512):
+        p = np.arange(at, min(at + 512, m))
+        s = x[p] @ x.T
+        s[np.arange(len(p)), p] = -2
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m else np.argsort(-s, axis=1)
+        near = np.concatenate([near, np.broadcast_to(far, (len(p), len(far)))], axis=1)
+        prune(p, s, near, near != p[:, None])
+        lot = np.where(s >= low, rng.random(s.shape, np.float32), 2)
+        lot[np.arange(len(p)), p] = 2
+        wide = np.argpartition(lot, w - 1, axis=1)[:, :w]
+        prune(p, s, wide, np.take_along_axis(lot, wide, 1) < 2)
     h, t = np.concatenate(heads), np.concatenate(tails)
     codes = np.unique(np.concatenate([h * m + t, t * m + h]))
     return np.split(codes % m, np.searchsorted(codes // m, np.arange(1, m)))
@@ -157,6 +171,16 @@ def search(x: np.ndarray, adjacent: list[np.ndarray], threshold: float) -> np.nd
     return links
 
 
+def compare(x: np.ndarray, threshold: float) -> np.ndarray:
+    """search() without a graph: exact blocked products."""
+    links = np.zeros((len(x), len(x)), bool)
+    for at in range(0, len(x), 512):
+        links[at : at + 512] = x[at : at + 512] @ x.T >= threshold
+    links |= links.T
+    np.fill_diagonal(links, False)
+    return links
+
+
 def _roots(links: np.ndarray) -> np.ndarray:
     root = np.full(len(links), -1)
     for i in np.flatnonzero(links.any(axis=1)):
@@ -212,26 +236,30 @@ def _shards(spread: DataFrame) -> DataFrame:
     return each.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "nb")
 
 
-def _search(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, links) with the weight of linked vectors, and the links' spanning forest (a, b)."""
+def _search(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float, effort: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, links) with the weight of linked vectors, and the links' spanning forest (a, b). An
+    effort of 0 compares shards exactly."""
     spread = table(_spread(reps, centroids, overlap), "spread")
     shards = _shards(spread)
     n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def build(t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()
-        lists = build_graph(unit(_floats(t["v"].combine_chunks())).astype(np.float32))
+        lists = build_graph(unit(_floats(t["v"].combine_chunks())).astype(np.float32), threshold - SLACK, effort)
         return pa.table({"id": ids, "near": pa.array([ids[a] for a in lists], pa.list_(pa.int64()))})
 
     def find(t: pa.Table) -> pa.Table:
         order = np.argsort(t["id"].to_numpy(), kind="stable")
         t = t.take(pa.array(order)).combine_chunks()
         ids, x, weight, block = t["id"].to_numpy(), unit(_floats(t["v"].combine_chunks())), t["n"].to_numpy(), t["block"].to_numpy()
-        near = t["near"].combine_chunks()
-        at = np.searchsorted(ids, flat := near.flatten().to_numpy())
-        inside = ids[np.minimum(at, len(ids) - 1)] == flat
-        owner = np.repeat(np.arange(len(ids)), np.diff(near.offsets.to_numpy()))
-        links = search(x, np.split(at[inside], np.searchsorted(owner[inside], np.arange(1, len(ids)))), threshold)
+        if effort:
+            near = t["near"].combine_chunks()
+            at = np.searchsorted(ids, flat := near.flatten().to_numpy())
+            inside = ids[np.minimum(at, len(ids) - 1)] == flat
+            owner = np.repeat(np.arange(len(ids)), np.diff(near.offsets.to_numpy()))
+            links = search(x, np.split(at[inside], np.searchsorted(owner[inside], np.arange(1, len(ids)))), threshold)
+        else:
+            links = compare(x, threshold)
         cluster, p, q = (t[c][0].as_py() for c in ("cluster", "p", "q"))
         sets = [set(c) for c in t["clusters"].to_pylist()]
         total = np.zeros(len(ids), np.int64)
@@ -243,18 +271,21 @@ def _search(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int, thr
             total[i] = weight[j[mine]].sum()
         return pa.table({"id": ids, "links": total, "root": ids[_roots(links)]})
 
-    keyed = shards.select("cluster", "p", "q", "id", "v")
-    graph = keyed.groupBy("cluster", "p", "q").applyInArrow(build, "id long, near array<long>")
-    graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # united lists
-    graph = table(graph.repartition(n), "graph")
-    found = shards.join(graph, "id").groupBy("cluster", "p", "q").applyInArrow(find, "id long, links long, root long")
+    if effort:
+        keyed = shards.select("cluster", "p", "q", "id", "v")
+        graph = keyed.groupBy("cluster", "p", "q").applyInArrow(build, "id long, near array<long>")
+        graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # united lists
+        graph = table(graph.repartition(n), "graph")
+        shards = shards.join(graph, "id")
+    found = shards.groupBy("cluster", "p", "q").applyInArrow(find, "id long, links long, root long")
     found = table(found, "found")
     return found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> root").selectExpr("id as a", "root as b").distinct()
 
 
-def audit(reps: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
-    """(links found, links there are) of a bounded sample of queries against all vectors, by exact
-    blocked products in double precision."""
+def audit(reps: DataFrame, found: DataFrame, threshold: float, target: float, queries: int = AUDIT) -> tuple[int, int, int, int]:
+    """(links found, links there are, queries that found `target` of their own links, queries that
+    have links) of a bounded sample of queries against all vectors, by exact blocked products in
+    double precision."""
     asked = reps.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(queries).collect()
     given = reps.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["v"])) for r in asked])
 
@@ -275,8 +306,9 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, queries: int = AU
                 yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(hit @ weight[rows])], ["id", "true"])
 
     there = reps.mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    got = there.join(found, "id", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))), F.sum("true")).first()
-    return got[0] or 0, got[1] or 0
+    own = F.least("true", F.coalesce("links", F.lit(0)))
+    got = there.join(found, "id", "left").agg(F.sum(own), F.sum("true"), F.count_if((own >= target * F.col("true")) & (F.col("true") > 0)), F.count_if(F.col("true") > 0)).first()
+    return tuple(x or 0 for x in got)
 
 
 def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.95, overlap: int = 3, target: float = 0.97, tries: int = 3) -> DataFrame:
@@ -316,13 +348,15 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     if len(centroids) > 1:
         main = max(centroids, key=lambda d: len(centroids[d]))
         centroids = {main: centroids[main]}
-    for _ in range(tries):
-        counts, forest = _search(reps, centroids, overlap, threshold)
+    for effort in [*(1 << i for i in range(tries)), 0]:
+        counts, forest = _search(reps, centroids, overlap, threshold, effort)
         counts = cut(counts)
-        got, there = audit(reps, counts, threshold)
-        if got >= target * there:
+        got, there, whole, asked = audit(reps, counts, threshold, target)
+        if got >= target * there and whole >= target * asked:
             break
         overlap += 2
+    else:
+        raise RuntimeError(f"{got} of {there} audited links found, {whole} of {asked} queries complete")
     linked = components(forest)
     twins = packed.join(reps, "v", "left").select(packed["id"].alias("vec_id"), reps["id"].alias("rep"), "n")
     out = twins.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(linked.toDF("rep", "_c"), "rep", "left")

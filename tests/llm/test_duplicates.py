@@ -215,6 +215,43 @@ def test_graph_search_recall():
     assert not (found & ~s).any() and found.sum() >= 0.97 * s.sum()
 
 
+def nested_groups(seed=7):
+    """10 groups of 5 tight sub-groups of 60 vectors, sub-groups at 0.985 to their group's centre."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v)
+    out = []
+    for _ in range(10):
+        centre = unit(rng.standard_normal(64))
+        for _ in range(5):
+            side = rng.standard_normal(64)
+            side = unit(side - side @ centre * centre)
+            middle = 0.985 * centre + np.sqrt(1 - 0.985**2) * side
+            out += [unit(middle + 0.002 * rng.standard_normal(64)) for _ in range(60)]
+    return np.array(out)
+
+
+def test_tight_groups_inside_groups():
+    x = embedding_graph.unit(nested_groups())
+    found = embedding_graph.search(x, embedding_graph.build_graph(x.astype(np.float32), 0.95 - embedding_graph.SLACK), 0.95)
+    s = x @ x.T >= 0.95
+    np.fill_diagonal(s, False)
+    assert (embedding_graph.compare(x, 0.95) == s).all()
+    assert not (found & ~s).any() and found.sum() >= 0.999 * s.sum()
+    assert len(set(embedding_graph._roots(found))) == len(set(embedding_graph._roots(s)))
+
+
+def test_links_that_no_graph_finds_are_compared_or_raise(spark, monkeypatch):
+    x = vectors()[:240]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    none = lambda x, *_: np.zeros((len(x), len(x)), bool)
+    monkeypatch.setattr(embedding_graph, "search", none)
+    u = embedding_graph.unit(x)
+    assert sum(r.n_links for r in embedding_graph.near_vectors(df, tries=1).collect()) == (u @ u.T >= 0.95).sum() - len(x)
+    monkeypatch.setattr(embedding_graph, "compare", none)
+    with pytest.raises(RuntimeError):
+        embedding_graph.near_vectors(df, tries=1)
+
+
 def test_edited_texts(spark):
     rng = random.Random(6)
     texts = ["", None, "a", "ab", "abc", "tiny text", "é" * 10, "word " * 300] + [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.choice([3, 40, 200]))) for _ in range(40)]
