@@ -1,8 +1,13 @@
-"""Document fingerprints from closed syncmers over words; DataFrame functions only.
-
-A k-mer is K words in a row. It is an anchor if the smallest hash among its inner S-word substrings
-stands at its first or last place: a property of the k-mer alone, so an edit moves only the anchors
-that it touches. The fingerprint is the sample of the SIZE smallest distinct anchor hashes, as hex.
+"""Document fingerprints from closed syncmers over tokens; DataFrame functions only.
+
+A token is a word, or one character where words say little: in scripts that are written without
+spaces and in words of over LONG code points. The rule looks at the word alone, so texts of all
+lengths and kinds are comparable. A k-mer is K tokens in a row; K - 1 marks stand before the first
+and behind the last token, so that shorter texts have k-mers of the same kind. A k-mer is an anchor
+if the smallest hash among its inner S-token substrings stands at its first or last place: a
+property of the k-mer alone, so an edit moves only the anchors that it touches. All anchors are
+kept, with their positions; likeness is that of the whole sets. The fingerprint is a short form,
+the SIZE smallest distinct hashes as hex.
 """
 
 from __future__ import annotations
@@ -13,10 +18,11 @@ from pyspark.sql import functions as F
 K = 5
 S = 2
 SIZE = 64
-#: Texts of fewer code points also have anchors over characters, CHAR_K long with CHAR_S inside.
-SHORT = 400
-CHAR_K = 8
-CHAR_S = 4
+#: Words of more code points count as their characters.
+LONG = 24
+SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"[^\x20\x09-\x0D{SPACELESS}]"
+TOKEN = rf"(?<!{_WORD}){_WORD}{{1,{LONG}}}+(?!{_WORD})|[^\x20\x09-\x0D]"
 
 
 def _let(value: Column, body) -> Column:
@@ -25,50 +31,51 @@ def _let(value: Column, body) -> Column:
 
 
 def _closed(h: Column, k: int, s: int) -> Column:
-    """Hashes of the closed syncmers over the token hashes h; of single tokens if they are fewer
-    than k."""
+    """hash and pos (of the first token, from 0) of the closed syncmers over the token hashes h."""
     n = F.size(h)
     inner = F.transform(F.slice(h, 1, n - (s - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, s))))
 
     def closed(p: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             within = F.least(*(F.get(p, i + j) for j in range(1, k - s)))
-            return F.when(F.least(x, F.get(p, i + (k - s))) <= within, F.xxhash64(*(F.get(p, i + j) for j in range(0, k - s, s)), F.get(p, i + (k - s))))
+            code = F.xxhash64(*(F.get(p, i + j) for j in range(0, k - s, s)), F.get(p, i + (k - s)))
+            return F.when(F.least(x, F.get(p, i + (k - s))) <= within, F.struct(code.alias("hash"), i.alias("pos")))
 
         return F.array_compact(F.transform(F.slice(p, 1, n - k + 1), one))
 
-    return F.when(n >= k, _let(inner, closed)).otherwise(h)
+    return F.when(n >= k, _let(inner, closed)).otherwise(F.array().cast("array<struct<hash:bigint,pos:int>>"))
 
 
 def anchors(text: Column) -> Column:
-    """Distinct hashes of a text's closed syncmers, smallest first, SIZE at most. A text of fewer
-    than K words has its single words as anchors; short texts have character anchors as well; one
-    without words or characters has none."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    found = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _closed(h, K, S))
-    letters = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.xxhash64(c, F.lit(1)))
-    both = F.when(F.char_length(text) < SHORT, F.concat(found, _let(letters, lambda h: _closed(h, CHAR_K, CHAR_S)))).otherwise(found)
-    return F.slice(F.array_sort(F.array_distinct(both)), 1, SIZE)
+    """All closed syncmers of a text in order, repeated ones too: array of hash and pos, the number
+    of the first of their K tokens (from 0; less by up to K - 1 where marks stand before the text).
+    A text without tokens has none."""
+    marks = [F.array(*(F.lit(m).cast("long") for _ in range(K - 1))) for m in (0, 1)]
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
+    found = _let(tokens, lambda h: F.when(F.size(h) > 0, F.concat(marks[0], h, marks[1])).otherwise(h))
+    return F.transform(_let(found, lambda h: _closed(h, K, S)), lambda a: F.struct(a["hash"].alias("hash"), (a["pos"] - (K - 1)).alias("pos")))
 
 
-def render(sample: Column) -> Column:
-    return F.array_join(F.transform(sample, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def hashes(found: Column) -> Column:
+    """The distinct hashes of anchors, ascending."""
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SIZE)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the SIZE smallest of both samples' union that both hold: estimates the Jaccard
-    similarity of the anchor sets. 1 for two empty samples, 0 for one."""
+def render(a: Column) -> Column:
+    """The short form of a set of hashes: the SIZE smallest."""
+    return F.array_join(F.transform(F.slice(a, 1, SIZE), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
-    def ratio(u: Column) -> Column:
-        return F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
 
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SIZE)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(union, ratio).cast("double"))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of hashes. 1 for two empty sets, 0 for one."""
+    both = F.size(F.array_intersect(a, b))
+    ratio = _let(both, lambda n: n / (F.size(a) + F.size(b) - n)).cast("double")
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(ratio)
 
 
-def with_next(df: DataFrame, key: str, text: str, derived: dict, parts: int) -> DataFrame:
-    """df (key, text) with derived columns (name: function of the text column), and next_<c> for the
-    text and each of them: that of the row with the next smaller key, for the smallest key that of
+def with_next(df: DataFrame, key: str, text: str, first: dict, derived: dict, parts: int) -> DataFrame:
+    """df (key, text) with the columns of first (name: function of the text column) and of derived
+    (name: (one of first, function of it)), and next_<c> for the text and each derived column: that of the row with the next smaller key, for the smallest key that of
     the largest. Rows are dealt by key ranges and sorted there; what crosses a range's edge comes
     from one row per range, so no task sees all rows."""
     probes = [i / parts for i in range(1, parts)]
@@ -81,13 +88,15 @@ def with_next(df: DataFrame, key: str, text: str, derived: dict, parts: int) ->
     ring = Window.orderBy("_part")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = last.select("_part", F.coalesce(F.lag("_edge").over(ring), F.last("_edge").over(whole)).alias(f"_{text}"), F.lit(1).alias("_row"))
-    last = last.select("*", *(f(F.col(f"_{text}")).alias(f"_{c}") for c, f in derived.items()))
+    last = last.select("*", *(f(first[of](F.col(f"_{text}"))).alias(f"_{c}") for c, (of, f) in derived.items()))
     columns = [text, *derived]
     back = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first(), text)
-    out = df.withColumns({c: f(F.col(text)) for c, f in derived.items()})
+    # dealt and sorted before the derived columns are made: those are larger than the texts
+    df = df.repartition(parts, "_part").sortWithinPartitions(F.col("_part"), F.col(key).asc_nulls_first(), text)
+    out = df.withColumns({c: f(F.col(text)) for c, f in first.items()}).withColumns({c: f(F.col(of)) for c, (of, f) in derived.items()})
     out = out.withColumns({f"next_{c}": F.lag(c).over(back) for c in columns} | {"_row": F.row_number().over(back)})
     out = out.join(F.broadcast(last), ["_part", "_row"], "left")
-    return out.select(key, *columns, *(F.when(F.col("_row") == 1, F.col(f"_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
+    return out.select(key, *first, *columns, *(F.when(F.col("_row") == 1, F.col(f"_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
 
 
 def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
@@ -102,10 +111,10 @@ def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts
     spark = df.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    near = with_next(rows, "doc_id", "text", {"a": anchors}, parts)
+    near = with_next(rows, "doc_id", "text", {"anchors": anchors}, {"a": ("anchors", hashes)}, parts)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    out = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "a", "next_a")
-    out = out.select("doc_id", "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "a", anchors(F.col("_edited")).alias("e"), "next_a")
+    out = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "anchors", "a", "next_a")
+    out = out.select("doc_id", "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "anchors", "a", hashes(anchors(F.col("_edited"))).alias("e"), "next_a")
     return out.select("doc_id", "n_chars", "edited_sha256", render(F.col("a")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"))

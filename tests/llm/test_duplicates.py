@@ -296,3 +296,16 @@ def test_anchor_rule(spark):
     keep = [i for i in range(len(p) - 3) if min(p[i], p[i + 3]) <= min(p[i + 1 : i + 3])]
     got = df.select(fingerprints._closed(F.transform("w", lambda w: F.xxhash64(w)), 5, 2)).first()[0]
     assert len(got) == len(keep) and 0 < len(keep) < len(p) - 3
+
+
+def test_texts_of_all_lengths_are_comparable(spark):
+    """Near copies on both sides of 400 characters and of K words, and texts without spaces."""
+    rng = random.Random(8)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    words = " ".join(some(5, "abcdefgh") for _ in range(67))
+    han, code = some(600, "天地玄黃宇宙洪荒日月盈昃辰宿列張"), some(700, "ABCDEFabcdef0123456789+/")
+    pairs = [(words[:399], words[:399] + "zz"), ("a b c d", "a b c d e"), (han, han[:300] + "人" + han[300:]), (code, code[:350] + "x" + code[350:])]
+    df = spark.createDataFrame(pairs, "s string, t string")
+    one = lambda c: fingerprints.hashes(fingerprints.anchors(F.col(c)))
+    got = [r[0] for r in df.select(fingerprints.likeness(one("s"), one("t"))).collect()]
+    assert got[0] > 0.75 and got[1] > 0.1 and got[2] > 0.9 and got[3] > 0.9
