@@ -58,7 +58,7 @@ def anchors(text: Column) -> Column:
 
 def hashes(found: Column) -> Column:
     """The distinct hashes of anchors, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SIZE)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"])))
 
 
 def render(a: Column) -> Column:
@@ -100,7 +100,8 @@ def with_next(df: DataFrame, key: str, text: str, first: dict, derived: dict, pa
 
 
 def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
+    anchors (array of hash and pos, all of the text's).
 
     The edited text replaces the last third (rounded down) of a text's code points by the first as
     many of the next document in descending doc_id order, the last document being followed by the
@@ -117,4 +118,4 @@ def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     out = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "anchors", "a", "next_a")
     out = out.select("doc_id", "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "anchors", "a", hashes(anchors(F.col("_edited"))).alias("e"), "next_a")
-    return out.select("doc_id", "n_chars", "edited_sha256", render(F.col("a")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", render(F.col("a")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"), "anchors")

@@ -309,3 +309,20 @@ def test_texts_of_all_lengths_are_comparable(spark):
     one = lambda c: fingerprints.hashes(fingerprints.anchors(F.col(c)))
     got = [r[0] for r in df.select(fingerprints.likeness(one("s"), one("t"))).collect()]
     assert got[0] > 0.75 and got[1] > 0.1 and got[2] > 0.9 and got[3] > 0.9
+
+
+def test_all_anchors_have_positions(spark):
+    """A passage of 50 words in two long texts is found at its places, and nothing is capped."""
+    rng = random.Random(9)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shared = some(50)
+    texts = [" ".join(some(7000) + shared + some(9000)), " ".join(some(300) + shared + some(15000) + shared)]
+    a, b = ({} for _ in texts)
+    rows = fingerprints.compare_edited(frame(spark, texts)).select("doc_id", "anchors").collect()
+    for into, r in zip((a, b), sorted(rows)):
+        assert len(r.anchors) > 7000
+        for x in r.anchors:
+            into.setdefault(x.hash, []).append(x.pos)
+    common = [(p, q) for h in a.keys() & b.keys() for p in a[h] for q in b[h] if 0 <= p < 16040]
+    assert sum(p - q == 6700 for p, q in common) >= 10 and sum(p - q == 7000 - 15350 for p, q in common) >= 10
+    assert {p for p, _ in common} <= set(range(7000, 7046))
