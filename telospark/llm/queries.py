@@ -23,8 +23,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    out = sharding.shard_by_bytes(df, SHARDS)
+    """The documents cross the exchange with their text; its digest is taken behind it."""
+    out = sharding.shard_by_bytes(documents(spark, sf_dir), SHARDS)
+    out = out.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

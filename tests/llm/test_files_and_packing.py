@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telospark.llm import packing, sharding, token_files
+from telospark.llm import packing, queries, sharding, token_files
 from telospark.llm.queries import tokenizer_path
 from telospark.llm.tokens import WordEncoder
 
@@ -69,6 +69,15 @@ def test_sharding_of_nothing_and_of_one(spark):
 
 def test_token_files_round_trip(spark, tmp_path):
     manifest = token_files.write_token_files(frame(spark, ODD), tokenizer_path("byte_bpe_50k.json"), folder=str(tmp_path / "t"), length=64, partitions=3)
+def test_the_sharding_query_exchanges_the_texts(spark, tiny, monkeypatch):
+    real = sharding.shard_by_bytes
+    monkeypatch.setattr(sharding, "shard_by_bytes", lambda *a, **k: real(*a, **k).withColumn("text", F.lit("moved")))
+    assert {r.text_crc32 for r in queries.op1_histogram_sort(spark, tiny).collect()} == {zlib.crc32(b"moved")}
+    monkeypatch.undo()
+    plan = queries.op1_histogram_sort(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("crc32") < plan.index("RepartitionByExpression") and "text#" in plan.split("RepartitionByExpression")[1].splitlines()[1]
+
+
     got = token_files.read_token_files(manifest).orderBy("doc_id").collect()
     start = 0
     everything = []
