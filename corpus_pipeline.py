@@ -41,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed piece."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """One row per piece of the packed sequences, with its ids: a sequence is the ids of its pieces
+    by offset."""
+    return packing.packed_pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 STAGES = [

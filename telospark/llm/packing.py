@@ -6,6 +6,7 @@ leaves is looked up among the lengths, the sums of two and the sums of three len
 available; a hit fills it exactly, as often as the counts allow. What no sum completes is packed
 best-fit. The plan is a list of patterns (lengths, how many sequences), which the pieces of each
 length then take up by rank; ranks are counted in two levels, so no task sees a whole length.
+The pieces carry their ids to their sequences, where these are joined up in order.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.llm.common import table
+from telospark.llm.common import discard, table
 from telospark.llm.tokens import encoder, slices, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -152,15 +153,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000, written: bool = False) -> DataFrame:
     """pieces (doc_id, piece, start, length, ...) with sequence_id and offset.
 
     Pieces of one length are ranked by (hash block, doc_id, piece), so equal input gives equal
-    output; a frequent length is ranked in blocks of about `block` rows. Every length is 1 to capacity. Repeated rows are pieces of their own; null doc_ids sort
+    output; written: pieces are a table() already. A frequent length is ranked in blocks of about `block` rows. Every length is 1 to capacity. Repeated rows are pieces of their own; null doc_ids sort
     first; an empty table gives an empty result.
     """
     # one narrow pass for the counts, another for the ranks: the pieces are written once
-    pieces = table(pieces, "pieces")
+    pieces = pieces if written else table(pieces, "pieces")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity`
     bad = [x for x in counts if not 0 < x <= capacity]
     if bad:
@@ -201,6 +202,96 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000) -> DataFra
     return ranked.withColumn("_p", place("length", "_rank")).withColumns({"sequence_id": F.col("_p.sequence_id"), "offset": F.col("_p.offset")}).drop("_block", "_in", "_base", "_rank", "_p")
 
 
+SEQUENCES = "sequence_id long, ids array<int>, pieces array<struct<doc_id: long, piece: int, start: long, offset: long>>"
+PACKED = PIECES + ", sequence_id long, offset long, ids array<int>"
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and joined values of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.diff(column.offsets.to_numpy()), column.flatten()
+
+
+def _whole(t: pa.Table, capacity: int) -> pa.RecordBatch:
+    seq = t["sequence_id"].to_numpy()
+    n_of, ids = _flat(t["ids"])
+    heads = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1))
+    ends = np.cumsum(n_of)
+    at = ends - n_of
+    begin = at - np.repeat(at[heads], np.diff(np.append(heads, len(seq))))
+    if not (begin == t["offset"].to_numpy()).all() or (begin + n_of).max() > capacity:
+        raise ValueError("pieces overlap, leave gaps or exceed their sequence")
+    cuts = pa.array(np.append(at[heads], ends[-1]), pa.int32())
+    inner = pa.StructArray.from_arrays([*(t[c].combine_chunks() for c in ("doc_id", "piece", "start")), pa.array(begin)], ["doc_id", "piece", "start", "offset"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(seq)), pa.int32()), inner)
+    return pa.RecordBatch.from_arrays([pa.array(seq[heads]), pa.ListArray.from_arrays(cuts, ids), lists], ["sequence_id", "ids", "pieces"])
+
+
+def _join(batches, capacity: int):
+    """Rows of sequences, from pieces in the order of (sequence_id, offset)."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        seq = t["sequence_id"].to_numpy()
+        last = int(np.searchsorted(seq, seq[-1]))  # the last sequence may go on in the next batch
+        held = t.slice(last)
+        if last:
+            yield _whole(t.slice(0, last), capacity)
+    if held is not None:
+        yield _whole(held, capacity)
+    trim()
+
+
+def _read(batches):
+    """Rows of pieces, from sequences."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size, ids = _flat(b.column(1))
+        count, inner = _flat(b.column(2))
+        offset = inner.field("offset").to_numpy()
+        begin = offset + np.repeat(np.cumsum(size) - size, count)
+        ends = np.append(begin[1:], size.sum())  # pieces lie side by side
+        raw = memoryview(ids.to_numpy().astype("<u4")).cast("B")
+        crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begin.tolist(), ends.tolist())]
+        seq = np.repeat(b.column(0).to_numpy(), count)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, ends[-1]), pa.int32()), ids)
+        cols = [*(inner.field(c) for c in ("doc_id", "piece", "start")), pa.array(ends - begin), pa.array(crc, pa.int64()), pa.array(seq), pa.array(offset), lists]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+    trim()
+
+
+def _dealt(packed: DataFrame) -> DataFrame:
+    n = max(1, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = packed.select("sequence_id", "offset", "doc_id", "piece", "start", "ids")
+    return rows.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
+def sequences(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """The packed sequences: sequence_id, ids (those of its pieces, joined in order) and pieces
+    (doc_id, piece, start and the offset where each begins). packed: of pack(), with ids. Raises if
+    a piece doesn't begin where the plan has put it."""
+    return _dealt(packed).mapInArrow(lambda batches: _join(batches, capacity), SEQUENCES)
+
+
+def sequence_pieces(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """The pieces as they lie in the sequences made: length, offset, ids and ids_crc32
+    (little-endian unsigned 32-bit) are taken from there."""
+    return _dealt(packed).mapInArrow(lambda batches: _read(_join(batches, capacity)), PACKED)
+
+
+def packed_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:
+    """Encodes, cuts and packs documents, joins up their ids and gives the pieces of the sequences
+    (see sequence_pieces). The two exchanges of the ids are not on disk at once."""
+    pieces = table(token_pieces(df, tokenizer, end_id, capacity, with_ids=True, **options), "token-pieces")
+    packed = table(pack(pieces, capacity, written=True), "packed")
+    discard(pieces)
+    return sequence_pieces(packed, capacity)
+
+
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:
     """Encodes, cuts and packs documents (see token_pieces, pack)."""
     return pack(token_pieces(df, tokenizer, end_id, capacity, **options), capacity)

@@ -3,7 +3,9 @@
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,8 +69,6 @@ def test_sharding_of_nothing_and_of_one(spark):
     assert [(r.shard, r.slot) for r in sharding.shard_by_bytes(frame(spark, ["a"]), 4).collect()] in ([(0, 0)], [(3, 0)], [(1, 0)], [(2, 0)])
 
 
-def test_token_files_round_trip(spark, tmp_path):
-    manifest = token_files.write_token_files(frame(spark, ODD), tokenizer_path("byte_bpe_50k.json"), folder=str(tmp_path / "t"), length=64, partitions=3)
 def test_the_sharding_query_exchanges_the_texts(spark, tiny, monkeypatch):
     real = sharding.shard_by_bytes
     monkeypatch.setattr(sharding, "shard_by_bytes", lambda *a, **k: real(*a, **k).withColumn("text", F.lit("moved")))
@@ -78,6 +78,8 @@ def test_the_sharding_query_exchanges_the_texts(spark, tiny, monkeypatch):
     assert plan.index("crc32") < plan.index("RepartitionByExpression") and "text#" in plan.split("RepartitionByExpression")[1].splitlines()[1]
 
 
+def test_token_files_round_trip(spark, tmp_path):
+    manifest = token_files.write_token_files(frame(spark, ODD), tokenizer_path("byte_bpe_50k.json"), folder=str(tmp_path / "t"), length=64, partitions=3)
     got = token_files.read_token_files(manifest).orderBy("doc_id").collect()
     start = 0
     everything = []
@@ -120,6 +122,35 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, ODD).limit(0), tokenizer_path("word_bpe_49k.json")).collect() == []
 
 
+def test_sequences_are_made_and_read(spark, tiny, monkeypatch):
+    packed = packing.pack_documents(frame(spark, ODD), tokenizer_path("word_bpe_49k.json"), capacity=256, with_ids=True)
+    made = packing.sequences(packed, 256)
+    texts = {i: [*ids, 1] for i, ids in enumerate(raw("word_bpe_49k.json", ODD))}
+    rows = made.collect()
+    for r in rows:
+        assert r.ids == [x for p in r.pieces for x in texts[p.doc_id][p.start : p.start + 256]] and 0 < len(r.ids) <= 256
+    assert sum(len(r.ids) for r in rows) == sum(map(len, texts.values()))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    assert sorted(packing.sequence_pieces(packed, 256).collect()) == sorted(packed.select(*columns).collect())
+    with pytest.raises(Exception, match="overlap"):
+        packing.sequences(packed.withColumn("offset", F.col("offset") + 1), 256).collect()
+    assert packing.sequence_pieces(packed.limit(0), 256).collect() == []
+    real = packing._join
+
+    def sevens(batches, capacity):
+        for b in real(batches, capacity):
+            ids = b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ids.offsets, pa.array([7] * len(ids.values), pa.int32())), b.column(2)], b.schema.names)
+
+    monkeypatch.setattr(packing, "_join", sevens)
+    assert all(r.ids_crc32 == zlib.crc32(np.full(r.length, 7, "<u4").tobytes()) for r in queries.op5_complement_packing(spark, tiny).collect())
+
+
+def test_the_pipeline_gives_out_ids(spark, tiny):
+    out = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tiny}/documents.parquet"), tiny).collect()
+    assert out and all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in out)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_and_few_sequences(seed):
     rng = random.Random(seed)
