@@ -18,17 +18,21 @@ from telospark.llm.common import small_enough, table
 _TITLES_M = "Mr|Sir|Herr|Monsieur|Señor|Г-н"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Г-жа"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: What stands before the IPv4 address in one that is mapped to IPv6.
+_MAPPED = "(?<![0-9A-Fa-f:.])(?:::|(?:0{1,4}:){5})[Ff]{4}:"
 
 #: kind: pattern, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*\.\p{L}{2,}+",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?<=[=:\"' ])(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,128}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": rf"(?:(?<![0-9.])|{_MAPPED})(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    # with "::": a digit and a group of three or more must be there, so that slices and scopes in code stay
+    r"|(?<![\p{L}0-9:.])(?=[A-Fa-f:]*[0-9])(?=(?:[0-9A-Fa-f]{0,2}:)*[0-9A-Fa-f]{3})(?!(?:[0-9A-Fa-f]*:){9})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\p{L}0-9:]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9\-])(?:[0-9]{4}[ \-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "phone": r"(?<![0-9\p{L}])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])",
+    "card": r"(?<![0-9\-])(?:[0-9]{4}[ \-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9\-])[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
+    "phone": r"(?<![0-9\p{L}])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\- ][0-9]{3}[.\- ][0-9]{4}|\(0[0-9]{1,5}\) ?[0-9]{3,8}(?:[ \-][0-9]{2,5}){0,2}|0[0-9]{2,4}[ /\-][0-9]{5,8}|0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{3,4}|0[1-9](?:[ .\-][0-9]{2}){4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])",
     "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'’\-]++(?: \p{{Lu}}[\p{{L}}'’\-]++)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -72,13 +76,38 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
+def _groups(m: Column) -> tuple[Column, Column, Column]:
+    """Groups of an IPv6 address before and after "::", and all eight."""
+    part = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+    left = part(F.substring_index(m, "::", 1))
+    right = F.when(F.contains(m, F.lit("::")), part(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>"))
+    return left, right, F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+
+
+def _ip6(m: Column, s: Column) -> Column:
+    """Digits of each group replaced by its place in the whole address, so that all spellings of an
+    address get the same one; zero groups and leading zeros stay."""
+    left, right, _ = _groups(m)
+    low = _has(m, "[a-f]") | ~_has(m, "[A-F]")
+
+    def group(g: Column, at: Column) -> Column:
+        body = _sub(g, "^0+")
+        n = F.length(body)
+        new = F.concat(_pick(list("123456789abcdef"), _number(s, at * 16)), F.substring(s, at * 16 + 7, n - 1))
+        return F.concat(F.substring(g, F.lit(1), F.length(g) - n), F.when(n == 0, F.lit("")).otherwise(F.when(low, new).otherwise(F.upper(new))))
+
+    before = F.array_join(F.transform(left, group), ":")
+    after = F.array_join(F.transform(right, lambda g, i: group(g, 8 - F.size(right) + i)), ":")
+    return F.when(F.contains(m, F.lit("::")), F.concat(before, F.lit("::"), after)).otherwise(before)
+
+
 def canonical(kind: Column, m: Column) -> Column:
     """One form for all spellings of an entity: case, separators and titles don't count."""
     bare = F.lower(_sub(m, r"[^\p{L}\p{N}]"))
     phone = F.when(m.startswith("+"), F.concat(F.lit("+"), _sub(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1), r"[^0-9]"), F.lit(" "), _sub(_sub(m, r"^\+[0-9]{1,3}(?![0-9])"), r"[^0-9]"))).otherwise(bare)
     gender = F.when(_has(m, rf"^(?:{_TITLES_M})"), F.lit("m ")).otherwise(F.lit("f "))
     name = F.concat(gender, F.lower(_sub(m, r"^[\p{L}\-]+\.? ")))
-    return F.when(kind == "phone", phone).when(kind == "name", name).when(kind.isin("email", "ip", "ip6"), F.lower(m)).otherwise(bare)
+    return F.when(kind == "phone", phone).when(kind == "name", name).when(kind == "ip", _sub(m, "^.*:")).when(kind == "ip6", F.concat_ws(":", F.transform(_groups(m)[2], lambda g: _sub(F.lower(g), "^0+")))).when(kind == "email", F.lower(m)).otherwise(bare)
 
 
 def _stream(key: str, kind: Column | str, value: Column, attempt: Column) -> Column:
@@ -160,18 +189,18 @@ def surrogate(kind: Column, m: Column, attempt: Column, key: str) -> Column:
 
     def of(m: Column, kind: Column, s: Column) -> Column:
         no, none = F.lit(False), F.lit(0)
-        fixed = F.regexp_extract(m, r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.)", 0)
+        fixed = F.regexp_extract(_sub(m, "^.*:"), r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.)", 0)
         octet = [(_number(s, 6 * k) % (256 if k < 3 else 254) + (0 if k < 3 else 1)).cast("string") for k in range(4)]
         ip = F.when(fixed == "", F.concat_ws(".", (_number(s, 0) % 100 + 11).cast("string"), *octet[1:])).when(_has(fixed, r"^1(?:0|27)\.$"), F.concat(fixed, F.concat_ws(".", *octet[1:]))).otherwise(F.concat(fixed, F.concat_ws(".", *octet[2:])))
         # How many letters and digits stay: country codes, issuers, key prefixes.
         keep = (
-            F.when(kind == "phone", F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1)))
+            F.when(kind == "phone", F.when(_has(m, r"^\(?0"), 1).otherwise(F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1))))
             .when(kind == "secret", F.length(_sub(F.regexp_extract(m, "^(?:AKIA|gh[pousr]_|sk-)", 0), "[^A-Za-z0-9]")))
             .when(kind == "iban", F.lit(2))
             .when(kind == "card", F.lit(1))
             .otherwise(none)
         )
-        digits = (kind == "ip6") | ((kind == "secret") & _has(m, "^[0-9a-fA-F]+$"))
+        digits = (kind == "secret") & _has(m, "^[0-9a-fA-F]+$")
         domain = F.substring_index(m, "@", -1)
         tld = F.substring_index(domain, ".", -1)
         host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
@@ -179,7 +208,8 @@ def surrogate(kind: Column, m: Column, attempt: Column, key: str) -> Column:
         body = F.when(kind == "email", F.substring_index(m, "@", 1)).otherwise(m)
         plain = _let(body, lambda x: _substitute(x, s, keep, digits))
         return (
-            F.when(kind == "ip", ip)
+            F.when(kind == "ip", F.concat(F.regexp_extract(m, "^.*:", 0), ip))
+            .when(kind == "ip6", _ip6(m, s))
             .when(kind == "name", _name(key, m, attempt))
             .when(kind == "email", F.concat(plain, F.lit("@"), new_host, F.lit("."), tld))
             .when(kind == "card", _let(plain, lambda x: _checked(m, x)))

@@ -64,6 +64,27 @@ def test_each_kind_is_replaced_in_its_format(spark):
     assert name[4:] == name[4:].upper()
 
 
+FORMS = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:0:1::", "::ffff:97.51.17.173", "3782 822463 10005", "3782-822463-10005", "555 123 4567", "030 1234567", "0171/1234567", "(030) 1234567", "020 7946 0958", "01 23 45 67 89"]
+
+
+def test_written_forms(spark):
+    """Compressed and mapped IPv6, cards in 4-6-5, phones with spaces and national ones."""
+    got = rewritten(spark, [f"see {v}, then go." for v in FORMS])
+    for i, v in enumerate(FORMS):
+        new = got[i].text[4:-10]
+        assert got[i].n_entities == 1 and new != v and new.count(":") == v.count(":"), (v, got[i].text)
+        if ":" not in v:
+            assert shape(new) == shape(v) and (v[0] != "0" or new[0] == "0")
+    again = rewritten(spark, ["see 2001:db8::1", "see 2001:0db8:0000:0000:0000:0000:0000:0001", "::ffff:97.51.17.173 97.51.17.173"])
+    import ipaddress
+
+    assert ipaddress.ip_address(again[0].text[4:]) == ipaddress.ip_address(again[1].text[4:])
+    a, b = again[2].text.split()
+    assert a == "::ffff:" + b
+    stay = ["x[1::2] and std::add", "at 12:30:45", "Foo::bar ::1", "on 01-02-2024"]
+    assert [r.text for _, r in sorted(rewritten(spark, stay).items())] == stay
+
+
 def test_secrets_told_by_the_words_before(spark):
     texts = ["password=e9b9ed9cc9999999d9 end", "Token: 'abcdefg1' x", "api_key = \"Zx9-_kk77qq\"", "password is unsafe", "token: nothing"]
     got = rewritten(spark, texts)
