@@ -480,11 +480,11 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve mutations a transcript for every fortieth: substitutions with the true reference, and
+    """Twelve mutations for every transcript: substitutions with the true reference, and
     two one-base deletions."""
     from telospark.operators.annotate import with_positions
 
-    tx = with_positions(transcripts(spark, sf_dir)).where("cast(substr(transcript_id, 2) as bigint) % 40 < 3")
+    tx = with_positions(transcripts(spark, sf_dir))
     i = F.explode(F.sequence(F.lit(0), F.lit(11)))
     x = tx.withColumn("i", i).withColumn("p", F.pmod(F.xxhash64("transcript_id", "i"), F.lit(93)).cast("int"))
     base = F.substring(F.col("cds"), F.col("p") + 1, F.lit(1))
@@ -541,7 +541,7 @@ def _analysis(name: str, **more) -> Query:
 
         tx, muts = transcripts(spark, sf_dir), mutations(spark, sf_dir)
         options = {k: f(spark, sf_dir) for k, f in more.items()}
-        out = analysis.run(name, muts, tx, simulations=300, **options)
+        out = analysis.run(name, muts, tx, **options)
         return out.withColumnRenamed("average position", "average_position")
 
     return run

@@ -38,6 +38,22 @@ def test_runs(spark, tiny, name):
     assert core.QUERIES[name](spark, tiny).count() > 0
 
 
+def test_mutations_of_every_transcript(spark, tiny):
+    got = core.mutations(spark, tiny).groupBy("transcript_id").count().collect()
+    assert len(got) == core.transcripts(spark, tiny).count() and {r["count"] for r in got} == {12}
+
+
+def test_permutation_queries_run_all_simulations(spark, tiny, monkeypatch):
+    from telospark.plans import analysis
+
+    asked = []
+    monkeypatch.setattr(analysis, "run", lambda *a, **k: asked.append(k) or spark.range(0))
+    names = [n for n in core.QUERIES if n.startswith("permutation_")]
+    for n in names:
+        core.QUERIES[n](spark, tiny)
+    assert len(asked) == len(names) == 6 and not any("simulations" in k for k in asked)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
