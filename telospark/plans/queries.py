@@ -651,12 +651,12 @@ def saturation_scores(spark, sf_dir):
 
 @query()
 def train_grid(spark, sf_dir):
-    """A small grid on peptides whose label is made from their composition."""
+    """The whole grid on peptides whose label is made from their composition."""
     from telospark.operators import model
 
     x = peptides(spark, sf_dir).withColumn("y", (features.residue_bag(F.col("peptide"))[0] >= 2).cast("int")).withColumn("key", F.col("doc_id").cast("string"))
     x = model.hash_split(x, "key", 0.3, "valid")
-    return model.grid_search(x, "cterm", splits=(6,), dropouts=(0.0, 0.25), sizes=(8,), epochs=(10,), dinucs=(True, False))
+    return model.grid_search(x, "cterm")
 
 
 @query("SELECT doc_id, CAST(CAST('0x' || substr(md5('101|' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 AS INTEGER) AS test FROM documents")

@@ -54,6 +54,15 @@ def test_permutation_queries_run_all_simulations(spark, tiny, monkeypatch):
     assert len(asked) == len(names) == 6 and not any("simulations" in k for k in asked)
 
 
+def test_the_whole_grid_is_trained(spark, tiny, monkeypatch):
+    from telospark.operators import model
+
+    asked = []
+    monkeypatch.setattr(model, "grid_search", lambda *a, **k: asked.append((len(a), k)) or spark.range(0))
+    core.QUERIES["train_grid"](spark, tiny)
+    assert asked == [(2, {})] and len(model.SPLITS) * len(model.DROPOUTS) * len(model.SIZES) * len(model.LAYERS) * len(model.EPOCHS) * len(model.DINUC) == 144
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
