@@ -19,10 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.llm.common import discard, table
+from telospark.llm.common import cut, discard, small_enough, table
 from telospark.llm.tokens import encoder, slices, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces on their way: the task that made them, their number among its pieces of that length, and
+#: the ids as little-endian unsigned numbers of two bytes where the vocabulary allows, else four.
+ENCODED = "doc_id long, piece int, start long, length long, part int, nth long, ids binary"
+
+
+def _cut(n_of: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the text, piece, start and length of each piece of texts of n_of ids."""
+    pieces = -(-n_of // capacity)
+    doc = np.repeat(np.arange(len(n_of)), pieces)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = number * capacity
+    return doc, number, start, np.minimum(capacity, n_of[doc] - start)
+
+
+def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, text: str = "text", key: str = "doc_id", keeps_space: bool = False, with_ids: bool = False) -> DataFrame:
@@ -35,16 +51,10 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
         for batch in batches:
             for b in slices(batch, "_text", 6 << 20):
                 enc = enc or encoder(tokenizer, keeps_space)
-                ids, n_of = enc.encode(b.column(1))
-                ids = np.insert(ids, np.cumsum(n_of), end_id)
-                n_of = n_of + 1
-                pieces = -(-n_of // capacity)
-                doc = np.repeat(np.arange(len(n_of)), pieces)
-                number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = number * capacity
-                length = np.minimum(capacity, n_of[doc] - start)
+                ids, n_of = enc.encode(b.column(1), end_id)
+                doc, number, start, length = _cut(n_of, capacity)
                 ends = np.cumsum(length)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), length.tolist())]
                 cols = [b.column(0).take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
@@ -52,7 +62,37 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
         trim()
 
-    return df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(encode, schema)
+    return _rows(df, text, key).mapInArrow(encode, schema)
+
+
+def _encoded(df: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str, key: str, keeps_space: bool) -> DataFrame:
+    """The pieces on their way (ENCODED)."""
+
+    def encode(batches):
+        from pyspark import TaskContext
+
+        enc, part = None, TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for b in slices(batch, "_text", 6 << 20):
+                enc = enc or encoder(tokenizer, keeps_space)
+                ids, n_of = enc.encode(b.column(1), end_id)
+                doc, number, start, length = _cut(n_of, capacity)
+                order = np.argsort(length, kind="stable")
+                sorted_ = length[order]
+                run = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+                nth = np.empty(len(order), np.int64)
+                nth[order] = run + seen[sorted_]
+                seen += np.bincount(length, minlength=capacity + 1)
+                kind = np.dtype("<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4")
+                edges = pa.array(np.concatenate(([0], np.cumsum(length))) * kind.itemsize, pa.int32())
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, edges.buffers()[1], pa.py_buffer(ids.astype(kind))])
+                cols = [b.column(0).take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth), binary]
+                out = pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "part", "nth", "ids"])
+                yield from (out.slice(at, 2000) for at in range(0, out.num_rows, 2000))
+        trim()
+
+    return _rows(df, text, key).mapInArrow(encode, ENCODED)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -153,24 +193,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000, written: bool = False) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset.
-
-    Pieces of one length are ranked by (hash block, doc_id, piece), so equal input gives equal
-    output; written: pieces are a table() already. A frequent length is ranked in blocks of about `block` rows. Every length is 1 to capacity. Repeated rows are pieces of their own; null doc_ids sort
-    first; an empty table gives an empty result.
-    """
-    # one narrow pass for the counts, another for the ranks: the pieces are written once
-    pieces = pieces if written else table(pieces, "pieces")
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most `capacity`
+def _counts(pieces: DataFrame, capacity: int) -> dict[int, int]:
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity`
     bad = [x for x in counts if not 0 < x <= capacity]
     if bad:
         raise ValueError(f"pieces of lengths {bad[:3]} can't be packed into {capacity}")
-    blocks = F.get(F.lit([1 + counts.get(x, 0) // block for x in range(capacity + 1)]), F.col("length").cast("int"))
-    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), blocks).cast("int"))
-    sizes = keyed.groupBy("length", "_block").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    based = sizes.select("length", "_block", F.coalesce(before, F.lit(0)).alias("_base"))
+    return counts
+
+
+def _place(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """ranked (length, _rank: 0-based among the pieces of a length) with sequence_id and offset."""
     # By length: at rank lo, the piece goes to sequence first + (rank - lo) at this offset.
     spans: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = dict.fromkeys(counts, 0)
@@ -183,8 +215,6 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000, written: b
             at += x
         sequence += k
     flat = {x: tuple(np.array(c, np.int64) for c in zip(*s)) for x, s in spans.items()}
-    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "start")) - 1
-    ranked = keyed.withColumn("_in", rank).join(based, ["length", "_block"]).withColumn("_rank", F.col("_base") + F.col("_in"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
@@ -192,18 +222,41 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000, written: b
 
         n, r = length.to_numpy(), rank.to_numpy()
         seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for x in np.unique(n):
-            rows = np.flatnonzero(n == x)
-            lo, first, at = flat[int(x)]
+        order = np.argsort(n, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(n) else []:
+            lo, first, at = flat[int(n[rows[0]])]
             k = np.searchsorted(lo, r[rows], "right") - 1
             seq[rows], off[rows] = first[k] + r[rows] - lo[k], at[k]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    return ranked.withColumn("_p", place("length", "_rank")).withColumns({"sequence_id": F.col("_p.sequence_id"), "offset": F.col("_p.offset")}).drop("_block", "_in", "_base", "_rank", "_p")
+    return ranked.withColumn("_p", place("length", "_rank")).withColumns({"sequence_id": F.col("_p.sequence_id"), "offset": F.col("_p.offset")}).drop("_rank", "_p")
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, block: int = 2_000) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset.
+
+    Pieces of one length are ranked by (hash block, doc_id, piece), so equal input gives equal
+    output. A frequent length is ranked in blocks of about `block` rows. Every length is 1 to
+    capacity. Repeated rows are pieces of their own; null doc_ids sort first; an empty table gives an
+    empty result.
+    """
+    # one narrow pass for the counts, another for the ranks: the pieces are written once
+    pieces = table(pieces, "pieces")
+    counts = _counts(pieces.groupBy("length").agg(F.count("*").alias("n")), capacity)
+    blocks = F.get(F.lit([1 + counts.get(x, 0) // block for x in range(capacity + 1)]), F.col("length").cast("int"))
+    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), blocks).cast("int"))
+    sizes = keyed.groupBy("length", "_block").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    based = sizes.select("length", "_block", F.coalesce(before, F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "start")) - 1
+    ranked = keyed.withColumn("_in", rank).join(based, ["length", "_block"]).withColumn("_rank", F.col("_base") + F.col("_in"))
+    return _place(ranked, counts, capacity).drop("_block", "_in", "_base")
 
 
 SEQUENCES = "sequence_id long, ids array<int>, pieces array<struct<doc_id: long, piece: int, start: long, offset: long>>"
-PACKED = PIECES + ", sequence_id long, offset long, ids array<int>"
+PACKED = PIECES + ", sequence_id long, offset long"
+#: Sequences that are joined up at once.
+TOGETHER = 512
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +265,25 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(column.offsets.to_numpy()), column.flatten()
 
 
+def _ids(column, n_of: np.ndarray) -> pa.Array:
+    """All ids in a row of a column of lists or of bytes; n_of: how many each row has."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not pa.types.is_binary(column.type):
+        return column.flatten()
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    size = int(edges[-1] - edges[0])
+    kind = np.dtype("<u2" if size == 2 * int(n_of.sum()) else "<u4")
+    return pa.array(np.frombuffer(column.buffers()[2], kind, size // kind.itemsize, int(edges[0])).astype(np.int32))
+
+
 def _whole(t: pa.Table, capacity: int) -> pa.RecordBatch:
-    seq = t["sequence_id"].to_numpy()
-    n_of, ids = _flat(t["ids"])
+    seq, n_of = t["sequence_id"].to_numpy(), t["length"].to_numpy()
+    ids = _ids(t["ids"], n_of)
     heads = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1))
     ends = np.cumsum(n_of)
     at = ends - n_of
     begin = at - np.repeat(at[heads], np.diff(np.append(heads, len(seq))))
-    if not (begin == t["offset"].to_numpy()).all() or (begin + n_of).max() > capacity:
+    if len(ids) != ends[-1] or not (begin == t["offset"].to_numpy()).all() or (begin + n_of).max() > capacity:
         raise ValueError("pieces overlap, leave gaps or exceed their sequence")
     cuts = pa.array(np.append(at[heads], ends[-1]), pa.int32())
     inner = pa.StructArray.from_arrays([*(t[c].combine_chunks() for c in ("doc_id", "piece", "start")), pa.array(begin)], ["doc_id", "piece", "start", "offset"])
@@ -234,18 +298,19 @@ def _join(batches, capacity: int):
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        t = t if held is None else pa.concat_tables([held, t])
         seq = t["sequence_id"].to_numpy()
-        last = int(np.searchsorted(seq, seq[-1]))  # the last sequence may go on in the next batch
-        held = t.slice(last)
-        if last:
-            yield _whole(t.slice(0, last), capacity)
+        heads = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1))  # the last sequence may go on in the next batch
+        for s in range(0, len(heads) - 1, TOGETHER):
+            at = int(heads[s])
+            yield _whole(t.slice(at, int(heads[min(s + TOGETHER, len(heads) - 1)]) - at), capacity)
+        held = t.slice(int(heads[-1]))
     if held is not None:
         yield _whole(held, capacity)
     trim()
 
 
-def _read(batches):
+def _read(batches, with_ids: bool):
     """Rows of pieces, from sequences."""
     for b in batches:
         if not b.num_rows:
@@ -258,38 +323,49 @@ def _read(batches):
         raw = memoryview(ids.to_numpy().astype("<u4")).cast("B")
         crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begin.tolist(), ends.tolist())]
         seq = np.repeat(b.column(0).to_numpy(), count)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, ends[-1]), pa.int32()), ids)
-        cols = [*(inner.field(c) for c in ("doc_id", "piece", "start")), pa.array(ends - begin), pa.array(crc, pa.int64()), pa.array(seq), pa.array(offset), lists]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+        cols = [*(inner.field(c) for c in ("doc_id", "piece", "start")), pa.array(ends - begin), pa.array(crc, pa.int64()), pa.array(seq), pa.array(offset)]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, ends[-1]), pa.int32()), ids))
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids)
     trim()
 
 
 def _dealt(packed: DataFrame) -> DataFrame:
     n = max(1, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = packed.select("sequence_id", "offset", "doc_id", "piece", "start", "ids")
+    rows = packed.select("sequence_id", "offset", "doc_id", "piece", "start", "length", "ids")
     return rows.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, capacity: int = 4096) -> DataFrame:
     """The packed sequences: sequence_id, ids (those of its pieces, joined in order) and pieces
-    (doc_id, piece, start and the offset where each begins). packed: of pack(), with ids. Raises if
-    a piece doesn't begin where the plan has put it."""
+    (doc_id, piece, start and the offset where each begins). packed: of pack(), with ids (a list, or
+    bytes as in ENCODED). Raises if a piece doesn't begin where the plan has put it."""
     return _dealt(packed).mapInArrow(lambda batches: _join(batches, capacity), SEQUENCES)
 
 
-def sequence_pieces(packed: DataFrame, capacity: int = 4096) -> DataFrame:
-    """The pieces as they lie in the sequences made: length, offset, ids and ids_crc32
-    (little-endian unsigned 32-bit) are taken from there."""
-    return _dealt(packed).mapInArrow(lambda batches: _read(_join(batches, capacity)), PACKED)
+def sequence_pieces(packed: DataFrame, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
+    """The pieces as they lie in the sequences made: length, offset, ids_crc32 (little-endian
+    unsigned 32-bit) and, with_ids, the ids are taken from there."""
+    return _dealt(packed).mapInArrow(lambda batches: _read(_join(batches, capacity), with_ids), PACKED + (", ids array<int>" if with_ids else ""))
 
 
-def packed_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:
+def packed_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = True, text: str = "text", key: str = "doc_id", keeps_space: bool = False) -> DataFrame:
     """Encodes, cuts and packs documents, joins up their ids and gives the pieces of the sequences
-    (see sequence_pieces). The two exchanges of the ids are not on disk at once."""
-    pieces = table(token_pieces(df, tokenizer, end_id, capacity, with_ids=True, **options), "token-pieces")
-    packed = table(pack(pieces, capacity, written=True), "packed")
-    discard(pieces)
-    return sequence_pieces(packed, capacity)
+    (see sequence_pieces).
+
+    The ids are written once and exchanged once, to their sequences. Pieces of a length are ranked
+    by the task that made them and their number there, so ranking takes no sort: a task's first
+    rank of a length is the sum of the counts of the tasks before it. Null texts count as empty;
+    repeated rows are documents of their own; an empty table gives an empty result; other columns
+    are not read."""
+    pieces = table(_encoded(df, tokenizer, end_id, capacity, text, key, keeps_space), "token-pieces")
+    sizes = table(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    counts = _counts(sizes, capacity)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    based = cut(sizes.select("part", "length", F.coalesce(before, F.lit(0)).alias("_base")))
+    discard(sizes)
+    ranked = pieces.join(small_enough(based), ["part", "length"]).withColumn("_rank", F.col("_base") + F.col("nth"))
+    return sequence_pieces(_place(ranked, counts, capacity), capacity, with_ids)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:

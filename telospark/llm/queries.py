@@ -45,7 +45,7 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces as they lie in the sequences made."""
-    out = packing.packed_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    out = packing.packed_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

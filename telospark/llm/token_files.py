@@ -3,7 +3,8 @@
 The corpus is dealt by doc_id ranges; each range becomes one file whose sequences all have the same
 length, so that sequence k is a slice of one buffer, found by arithmetic and read without a copy
 (memory map). The last sequence of a file is padded; its mask says which ids count. A second file
-beside it lists the range's documents. Writers name files by task attempt; only files in the
+beside it lists the range's documents. A file ends at the first document after FILE_IDS ids, so
+that readers of stores without memory maps hold little. Writers name files by task attempt; only files in the
 returned manifest count, so a repeated or lost task does no harm.
 """
 
@@ -21,7 +22,8 @@ from telospark.llm.common import cut, new_folder
 from telospark.llm.tokens import encoder, slices, trim
 
 LENGTH = 2048
-MANIFEST = "part int, file string, docs string, n_docs long, n_tokens long"
+FILE_IDS = 1 << 25
+MANIFEST = "part int, number int, file string, docs string, n_docs long, n_tokens long"
 
 
 def _open(uri: str):
@@ -35,6 +37,7 @@ class _Writer:
     """Appends ids to a stream file of full sequences; batches of `rows` sequences."""
 
     def __init__(self, uri: str, length: int, rows: int = 256, wide: bool = False):
+        self.uri = uri
         self.fs, self.path = _open(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.kind = np.uint32 if wide else np.uint16
@@ -49,6 +52,8 @@ class _Writer:
         self.writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {int(ids.max())} doesn't fit into {np.dtype(self.kind).name}")
         self.held.append(ids.astype(self.kind))
         self.n += len(ids)
         self.total += len(ids)
@@ -104,43 +109,50 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
-def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, length: int = LENGTH, text: str = "text", key: str = "doc_id", keeps_space: bool = True, partitions: int | None = None, vocabulary: int = 50_257) -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, length: int = LENGTH, text: str = "text", key: str = "doc_id", keeps_space: bool = True, partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes each text's ids plus end_id, in ascending doc_id order, to token files; returns the
     manifest (one row per file, small), cut from its lineage.
 
     A null text counts as empty: it has the end id alone. Null doc_ids come first. Repeated doc_ids
     are ordered by the hash of their text. An empty table gives an empty manifest. Other columns
-    are not read.
+    are not read. Ids take 16 bits where the tokenizer's vocabulary and end_id fit, else 32.
     """
     spark = df.sparkSession
     folder = folder or new_folder(spark, "tokens")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = max(vocabulary, end_id + 1) > 65_536
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        enc, out, ids_of, lengths = None, None, [], []
+        enc, out, number, ids_of, lengths = None, None, 0, [], []
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            docs = pa.table({"doc_id": pa.chunked_array(ids_of), "n_tokens": pa.array(np.concatenate(lengths))})
+            uri = out.uri.removesuffix(".arrow") + ".docs.arrow"
+            at, path = _open(uri)
+            with at.open_output_stream(path) as f, pa.ipc.new_stream(f, docs.schema) as w:
+                w.write_table(docs)
+            row = {"part": part, "number": number, "file": out.uri, "docs": uri, "n_docs": docs.num_rows, "n_tokens": out.total}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
         for batch in batches:
             for b in slices(batch, "_text", 10 << 20):
+                enc = enc or encoder(tokenizer, keeps_space)
                 if out is None:
-                    enc, out = encoder(tokenizer, keeps_space), _Writer(f"{name}.arrow", length, wide=wide)
-                ids, n_of = enc.encode(b.column(1))
-                ends = np.cumsum(n_of)
-                out.add(np.insert(ids, ends, end_id))
+                    name = f"{folder}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrow"
+                    out = _Writer(name, length, wide=max(enc.size, end_id + 1) > 1 << 16)
+                ids, n_of = enc.encode(b.column(1), end_id)
+                out.add(ids)
                 ids_of.append(b.column(0))
-                lengths.append(n_of + 1)
-        if out is None:
-            return
-        out.close()
+                lengths.append(n_of)
+                if out.total >= file_ids:
+                    yield finish()
+                    out, number, ids_of, lengths = None, number + 1, [], []
+        if out is not None:
+            yield finish()
         trim()
-        docs = pa.table({"doc_id": pa.chunked_array(ids_of), "n_tokens": pa.array(np.concatenate(lengths))})
-        at, path = _open(f"{name}.docs.arrow")
-        with at.open_output_stream(path) as f, pa.ipc.new_stream(f, docs.schema) as w:
-            w.write_table(docs)
-        yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{name}.arrow", "docs": f"{name}.docs.arrow", "n_docs": docs.num_rows, "n_tokens": out.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     dealt = rows.repartitionByRange(n, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
@@ -150,7 +162,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int = 2, folder: st
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens and the ids' crc32
     (little-endian unsigned 32-bit). Files are read where the tasks run, one at a time."""
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -166,4 +178,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(tokens.span(s, k).astype("<u4").tobytes()) for s, k in zip(starts.tolist(), n_of.tolist())]
                 yield from pa.table({"doc_id": docs["doc_id"], "start": pa.array(starts + row["base"]), "n_tokens": docs["n_tokens"], "ids_crc32": pa.array(crc, pa.int64())}).to_batches()
 
-    return files.repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "part", "number").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

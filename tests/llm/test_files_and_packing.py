@@ -173,3 +173,29 @@ def test_plan_fills_gaps_exactly():
     assert sorted(packing.plan({7: 1, 3: 1, 5: 1, 4: 1, 1: 1}, 10)) == [((5, 4, 1), 1), ((7, 3), 1)]
     assert packing.plan({4: 1, 3: 1, 2: 1, 1: 1}, 10) == [((4, 3, 2, 1), 1)]
     assert packing.plan({}, 10) == []
+
+
+def test_token_files_are_bounded_and_wide_enough(spark, tmp_path):
+    """Several files a part keep the order; null and repeated ids have their places."""
+    df = spark.createDataFrame([(None, "none of it"), (3, None), (3, "twice the same id"), (3, "twice the same id"), (9, "x " * 500), (4, "")], "doc_id long, text string")
+    manifest = token_files.write_token_files(df, tokenizer_path("byte_bpe_50k.json"), folder=str(tmp_path / "m"), length=16, partitions=1, file_ids=1)
+    got = token_files.read_token_files(manifest).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 3, 3, 3, 4, 9]
+    assert sum(r.n_tokens for r in got) == sum(r.n_tokens for r in manifest.collect())
+    wide = token_files.write_token_files(df, tokenizer_path("byte_bpe_50k.json"), end_id=70_000, folder=str(tmp_path / "w"), length=16, partitions=2)
+    f = [token_files.TokenFile(r.file) for r in wide.collect()]
+    assert all(x.sequence(0)[0].dtype == np.uint32 for x in f) and any(70_000 in x.sequence(k)[0] for x in f for k in range(len(x)))
+    with pytest.raises(ValueError, match="fit"):
+        token_files._Writer(str(tmp_path / "n.arrow"), 16).add(np.array([1 << 16], np.uint32))
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "none of it", 1), (3, None, 2), (3, "twice", 3), (3, "twice", 4), (9, "x " * 500, 5)], "doc_id long, text string, length int")
+    out = packing.packed_pieces(df, tokenizer_path("word_bpe_49k.json"), capacity=128).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.length) for r in out) == [(False, 3, 0, 1), (False, 3, 0, 2), (False, 3, 0, 2), (False, 9, 0, 128), (False, 9, 1, 128), (False, 9, 2, 128), (False, 9, 3, 117), (True, 0, 0, 4)]
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))]
+    assert packing.packed_pieces(df.limit(0), tokenizer_path("word_bpe_49k.json")).collect() == []
