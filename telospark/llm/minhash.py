@@ -6,12 +6,14 @@ signatures are compared batch by batch, and a pair is dropped once the posterior
 its similarity reaches the threshold falls below the chosen miss probability. What is left is
 verified on the full sets.
 
-Pairs inside a bucket are not all listed: first each member meets its bucket's smallest document.
-Only members whose components still differ after that are compared with each other, in blocks of
-bounded size. What survives leaves the task as lists: a document, and the likely members of a block
-of another component. The likeliest of each component is verified first; only where that doesn't
-join the two are the lists verified, block by block. No pair of a shared band goes unexamined unless
-its two documents are already in one component.
+Pairs inside a bucket are not listed. First each member meets its bucket's pivot, the least in one
+of PIVOTS seeded orders, so that a large group meets several of its members. What is linked then
+forms components; where a bucket still holds several, the members of its largest one meet the others,
+and the others each other, in blocks of bounded size. A task leaves the members that have a likely
+partner, with the likeliest; these pairs are verified next. Where a block still holds several
+components, its members come together with their texts, and the task verifies and unites them as it
+goes: only the links that join two components leave it. No pair of a shared band goes unexamined
+unless its two documents are already in one component.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telospark.llm.common import components, cut, discard, free_shuffles, small_enough, table
+from telospark.llm.common import components, discard, free_shuffles, small_enough, table
 from telospark.llm.tokens import slices, trim
 
 WORDS = 5
@@ -32,7 +34,11 @@ HASHES = 256
 BANDS = 32
 ROWS = 4  # hashes per band
 STEP = 32  # hashes compared between two looks at the posterior
-BLOCK = 256
+PIVOTS = 4
+#: Members of a block, and shingles of their sets together; bounds of a task's memory.
+BLOCK = 1024
+WEIGHT = 400_000
+_GROUP = ("bucket", "kind", "p", "q")
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,25 +178,118 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _verify_lists(lists: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The same for rows (a, c, k, bs): a against some members bs of block k of component c; each
-    text goes to a block once."""
+def _blocks(members: DataFrame, found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """members (bucket, doc_id, n_shingles) of the buckets that hold several components, once for
+    each pair of blocks they are in: kind 0, block p of the bucket's largest component against block
+    q of the others; kind 1, two blocks of the others. s tells the blocks apart; c is the component.
+
+    Members of the largest component appear once per block of others: where most of a large bucket
+    is united, its rows grow in proportion to its size. Also returns the tables that are read."""
+    rest = members.join(small_enough(found), members["doc_id"] == found["id"], "left")
+    rest = table(rest.select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c")), "rest")
+    per = rest.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "w", "c")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT)).cast("int")
+    mixed = mixed.select("bucket", "k", F.col("top.c").alias("l"), blocks(F.col("top.n"), F.col("top.w")).alias("kl"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("ko"))
+    mixed = table(mixed, "mixed")
+    read = [rest, mixed]
+    rest = rest.join(small_enough(mixed), "bucket")
+    rest = rest.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.when(F.col("c") == F.col("l"), F.col("kl")).otherwise(F.col("ko"))).cast("int"))
+    place = lambda kind, p, q, s: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), s.alias("s"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    largest = F.transform(to(F.col("ko")), lambda j: place(0, F.col("i"), j, F.lit(0)))
+    others = F.transform(to(F.col("kl")), lambda j: place(0, j, F.col("i"), F.lit(1)))
+    among = F.transform(to(F.col("ko")), lambda j: place(1, F.least("i", j), F.greatest("i", j), F.col("i")))
+    places = F.when(F.col("c") == F.col("l"), largest).when(F.col("k") > 2, F.concat(others, among)).otherwise(others)
+    return rest.select("bucket", "doc_id", "c", F.explode(places).alias("at")).select("bucket", "at.*", "doc_id", "c"), read
+
+
+def _pairs(t: pa.Table, x: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, matches) of a group's pairs of different components that no look prunes."""
+    s, c = t["s"].to_numpy(), t["c"].to_numpy()
+    if t["kind"][0].as_py() and t["p"][0].as_py() == t["q"][0].as_py():
+        one = other = np.arange(len(s))
+    else:
+        one, other = (np.flatnonzero(m) for m in (s == s.min(), s != s.min()))
+    out = []
+    for u in np.array_split(one, max(1, len(one) * len(other) // (1 << 20))):  # a bounded part of the products at once
+        u, v = (z.ravel() for z in np.meshgrid(u, other, indexing="ij"))
+        apart = (c[u] != c[v]) & ((u < v) if one is other else True)
+        u, v = u[apart], v[apart]
+        live, got = _survivors(x, x, u, v, need)
+        out.append((u[live], v[live], got))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _groups(batches):
+    """Tables of the rows of each group, from batches sorted by group."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        k = np.stack([t[c].to_numpy().astype(np.int64) for c in _GROUP])
+        at = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+        for s, e in zip(at, at[1:]):
+            yield t.slice(s, e - s).combine_chunks()
+        held = t.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _likely(rows: DataFrame, need: list[int]) -> DataFrame:
+    """The members of each group (bucket, kind, p, q) that have a likely partner, and the likeliest."""
+
+    def run(batches):
+        for t in _groups(batches):
+            if t.num_rows < 2:
+                continue
+            u, v, got = _pairs(t, _matrix(t["sig"]), need)
+            if not len(u):
+                continue
+            a, b, score = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([got, got])
+            d = t["doc_id"].to_numpy()
+            order = np.lexsort((d[b], -score, a))
+            first = order[np.concatenate(([True], np.diff(a[order]) > 0))]
+            yield t.select([*_GROUP, "s", "doc_id"]).take(pa.array(a[first])).append_column("best", pa.array(d[b[first]])).combine_chunks().to_batches()[0]
+        trim()
+
+    return _grouped(rows).mapInArrow(run, "bucket long, kind int, p int, q int, s int, doc_id long, best long")
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def _unite(rows: DataFrame, need: list[int], threshold: int) -> DataFrame:
+    """The links (a, b) that join components of a group's members, likeliest pairs first; rows have
+    the text besides."""
+
+    def run(batches):
         byte, _, _ = _constants()
-        mine = {i: shingles(raw, byte) for i, raw in zip(right["b"].to_pylist(), right["y"].to_pylist())}
-        out = []
-        for a, bs, raw in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["x"].to_pylist()):
-            x = shingles(raw, byte)
-            hit = next((b for b in sorted(set(bs)) if b in mine and _linked(x, mine[b], threshold)), None)
-            if hit is not None:  # one link joins the components
-                out.append((a, hit))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        for t in _groups(batches):
+            root = t["c"].to_numpy().copy()
+            if t.num_rows < 2 or (root == root[0]).all():
+                continue
+            u, v, got = _pairs(t, _matrix(t["sig"]), need)
+            order = np.argsort(-got, kind="stable")
+            d, sets, a, b = t["doc_id"].to_numpy(), {}, [], []
+            texts = t["text"]
+            for x, y in zip(u[order].tolist(), v[order].tolist()):
+                if root[x] == root[y]:
+                    continue
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = shingles(texts[z].as_py(), byte)
+                if _linked(sets[x], sets[y], threshold):
+                    root[root == root[x]] = root[y]
+                    a.append(d[x])
+                    b.append(d[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        trim()
 
-    left = lists.join(texts.toDF("a", "x"), "a").groupBy("c", "k")
-    members = lists.select("c", "k", F.explode("bs").alias("b")).distinct().join(texts.toDF("b", "y"), "b")
-    members = members.select(F.col("c").alias("c2"), F.col("k").alias("k2"), "b", "y")
-    return left.cogroup(members.groupBy("c2", "k2")).applyInArrow(compare, "a long, b long")
+    return _grouped(rows).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 75, miss: float = 1e-5) -> DataFrame:
@@ -210,16 +309,18 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     some = docs.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     classes = table(classes, "classes")
-    copies = cut(some.select("d1", "d2", "doc_id").join(small_enough(classes), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct())
+    copies = table(some.select("d1", "d2", "doc_id").join(small_enough(classes), ["d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "copies")
     reps = some.join(small_enough(copies), "doc_id", "left_anti")
 
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)]
-    bands = reps.select("doc_id", F.explode(F.array(*keys)).alias("bucket"))
-    alike = Window.partitionBy("bucket")
-    members = table(bands.withColumns({"pivot": F.min("doc_id").over(alike), "_last": F.max("doc_id").over(alike)}).where("pivot < _last").select("bucket", "doc_id", "pivot"), "members")
+    bands = reps.select("doc_id", "n_shingles", F.explode(F.array(*keys)).alias("bucket"))
+    order = F.xxhash64(F.pmod("bucket", F.lit(PIVOTS)), "doc_id")
+    pivots = bands.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id")).alias("least"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    pivots = table(pivots.select("bucket", F.col("least.doc_id").alias("pivot")), "pivots")
+    members = table(bands.join(small_enough(pivots), "bucket").select("bucket", "doc_id", "n_shingles", "pivot"), "members")
     free_shuffles(spark)
-    ids = cut(members.select("doc_id").distinct())
+    ids = table(members.select("doc_id").distinct(), "ids")
     sigs = table(reps.select("doc_id", "sig").join(small_enough(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
 
     def prune(batches):
@@ -230,104 +331,46 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
                 yield b.select([0, 1]).take(pa.array(_survivors(x, y, at, at, need)[0]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        ids = cut(ids.toDF("_id").distinct())
+        ids = table(ids.toDF("_id").distinct(), "ids")
         rows = df.select(F.col(key).cast("long").alias("_id"), F.encode(F.col(text), "UTF-8").alias("_text"))
-        return table(rows.join(small_enough(ids), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
-
-    stars = members.where("doc_id <> pivot").selectExpr("doc_id as a", "pivot as b").distinct()
-    stars = stars.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    stars = table(stars.mapInArrow(prune, "a long, b long"), "stars")
-    free_shuffles(spark)
-    texts = texts_of(stars.select("a").union(stars.select("b")))
-    links = table(_verify(stars, texts, threshold), "links")
-    discard(texts)
-    found = cut(components(links))
-    free_shuffles(spark)
+        rows = table(rows.join(small_enough(ids), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
+        discard(ids)
+        return rows
 
-    # Members of a bucket, pivots apart, that are not yet in one component.
-    def labelled(rows: DataFrame) -> DataFrame:
-        sizes = found.groupBy("component").agg(F.count("*").alias("_size"))
-        each = found.join(sizes, "component").selectExpr("id as doc_id", "component as _c", "_size")
-        return rows.join(each, "doc_id", "left").withColumns({"c": F.coalesce("_c", "doc_id"), "size": F.coalesce("_size", F.lit(1))}).drop("_c", "_size")
-
-    rest = table(labelled(members.where("doc_id <> pivot").select("bucket", "doc_id")), "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("bucket", "n")
-    rest = rest.join(mixed, "bucket").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "doc_id", "c", "size")
-    rest = rest.join(sigs, "doc_id").select("bucket", "p", "q", "i", "doc_id", "c", "size", "sig")
-    rest = rest.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-
-    def cross(batches):
-        held = None
-
-        def group(t: pa.Table):
-            x = _matrix(t["sig"])
-            i, c, d, size = (t[k].to_numpy() for k in ("i", "c", "doc_id", "size"))
-            if t["p"][0].as_py() == t["q"][0].as_py():
-                u, v = np.triu_indices(len(x), 1)
-            else:
-                low = i == t["p"][0].as_py()
-                u, v = (z.ravel() for z in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low), indexing="ij"))
-            other = c[u] != c[v]
-            u, v = u[other], v[other]
-            live, got = _survivors(x, x, u, v, need)
-            if not len(live):
-                return
-            u, v = u[live], v[live]
-            # the side of the smaller component looks for members of the larger one
-            swap = (size[u] > size[v]) | ((size[u] == size[v]) & (c[u] < c[v]))
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            k = d[v] % -(-size[v] // BLOCK)
-            order = np.lexsort((d[v], k, c[v], d[u]))
-            u, v, k, got = u[order], v[order], k[order], got[order]
-            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (c[v[1:]] != c[v[:-1]]) | (k[1:] != k[:-1]))))
-            ends = np.concatenate((new, [len(u)]))
-            best = [s + int(got[s:e].argmax()) for s, e in zip(ends, ends[1:])]
-            bs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(d[v]))
-            yield pa.RecordBatch.from_arrays([pa.array(d[u[new]]), pa.array(c[v[new]]), pa.array(k[new]), pa.array(size[v[new]]), bs, pa.array(d[v[best]]), pa.array(got[best], pa.int32())], ["a", "c", "k", "size", "bs", "best", "score"])
-
-        def pieces(t: pa.Table, last: bool):
-            k = np.stack([t[c].to_numpy().astype(np.int64) for c in ("bucket", "p", "q")])
-            edges = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-            at = [0, *edges.tolist(), t.num_rows]
-            whole = at if last else at[:-1]
-            for s, e in zip(whole, whole[1:]):
-                if e - s > 1:
-                    yield from group(t.slice(s, e - s))
-            return None if last else t.slice(at[-2])
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            if t.num_rows:
-                held = yield from pieces(t.combine_chunks(), False)
-        if held is not None and held.num_rows:
-            yield from pieces(held.combine_chunks(), True)
-        trim()
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select("a").union(pairs.select("b")))
+        out = table(_verify(pairs, texts, threshold), "links")
+        discard(texts)
+        free_shuffles(spark)
+        return out
 
-    likely = rest.mapInArrow(cross, "a long, c long, k long, size long, bs array<long>, best long, score int")
-    likely = likely.groupBy("a", "c", "k").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"), F.max_by("best", "score").alias("best"), F.max("score").alias("score"))
-    likely = table(likely, "likely")  # lists of at most about BLOCK
+    stars = members.where("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
+    stars = stars.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = verified(table(stars.mapInArrow(prune, "a long, b long"), "stars"))
+    found = table(components(links), "found")
+    rows, read = _blocks(members.select("bucket", "doc_id", "n_shingles"), found)
+    likely = table(_likely(rows.join(sigs, "doc_id"), need), "likely")
+    for done in read:
+        discard(done)
     free_shuffles(spark)
     if not likely.isEmpty():
-        best = table(likely.groupBy("a", "c").agg(F.max_by("best", "score").alias("b")).select("a", "b"), "best")
-        texts = texts_of(best.select("a").union(best.select("b")))
-        links = table(links.union(_verify(best, texts, threshold)), "links")
-        discard(texts)
-        found = cut(components(links))
-        # What has still not met: a's component now against c's.
-        now = found.select(F.col("id").alias("a"), F.col("component").alias("_a"))
-        then = found.select(F.col("id").alias("c"), F.col("component").alias("_b"))
-        apart = likely.join(now, "a", "left").join(then, "c", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "c"))
-        apart = table(apart.select("a", "c", "k", "size", "bs"), "apart")
+        best = likely.select(F.greatest("doc_id", "best").alias("a"), F.least("doc_id", "best").alias("b")).distinct()
+        links = links.union(verified(table(best, "best")))
+        found = table(components(links), "found")
+        # Groups that still hold several components.
+        now = likely.join(small_enough(found), likely["doc_id"] == found["id"], "left").select(*_GROUP, "s", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        apart = now.groupBy(*_GROUP).agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a < _b").select(*_GROUP)
+        apart = table(now.join(apart, list(_GROUP), "left_semi"), "apart")
         if not apart.isEmpty():
-            one = apart.where(F.size("bs") < 8).select("a", F.explode("bs").alias("b")).distinct()
-            texts = texts_of(apart.select("a").union(apart.select(F.explode("bs"))))
-            links = links.union(table(_verify(one, texts, threshold).union(_verify_lists(apart.where(F.size("bs") >= 8), texts, threshold)), "links"))
+            texts = texts_of(apart.select("doc_id"))
+            rows = apart.join(sigs, "doc_id").join(texts.toDF("doc_id", "text"), "doc_id")
+            links = links.union(table(_unite(rows, need, threshold), "links"))
             discard(texts)
-            found = cut(components(links))
+            found = table(components(links), "found")
+        discard(apart)
+    for done in (pivots, members, ids, sigs, likely):
+        discard(done)
+    free_shuffles(spark)
     out = docs.drop("sig").join(small_enough(classes).select("d1", "d2", "rep"), ["d1", "d2"], "left").withColumn("_root", F.coalesce("rep", "doc_id"))
     out = out.join(found.toDF("_root", "_c"), "_root", "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("_c", "_root"))

@@ -84,6 +84,23 @@ def test_near_duplicates_in_a_hot_group(spark):
     check_components(minhash.near_duplicates(frame(spark, texts)).collect(), texts)
 
 
+def test_near_duplicates_in_a_large_partly_linked_group(spark, monkeypatch):
+    """2,000 texts of one family, drifting apart: some pairs are linked, most aren't; several blocks
+    a bucket. Rows that leave the block stage stay in proportion to the members."""
+    rng = random.Random(4)
+    line, texts = [["w%d" % i for i in range(60)] for _ in range(40)], []
+    for k in range(2000):
+        w = line[k % 40]
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(60)] = "x%d" % rng.randrange(10**6) if rng.random() < 0.2 else "w%d" % rng.randrange(60)
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    made, real = [], minhash._likely
+    monkeypatch.setattr(minhash, "_likely", lambda *a: made.append(minhash.table(real(*a), "made")) or made[0])
+    check_components(minhash.near_duplicates(frame(spark, texts)).collect(), texts)
+    assert made
+
+
 def test_near_duplicates_odd_input(spark):
     assert minhash.near_duplicates(frame(spark, ["a"]).limit(0)).collect() == []
     t = "a b c d e f g"
