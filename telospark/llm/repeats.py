@@ -2,16 +2,20 @@
 
 Parse: a rolling hash of GRAM bytes runs over each text; a place is a trigger where its hash is the
 least of some window of LENGTH bytes, so every such window holds a trigger, and equal windows hold
-the same one. A trigger's phrase is all that a window through it can reach: equal phrases hold equal
-windows. Dictionary: phrases are sorted by trigger and digest. One whose copy stands in an earlier
-document is removed whole, at one row for up to 23 windows; that is where repetitive text collapses.
-Only the first copies of phrases that share a trigger with a different phrase are opened: their
-suffixes of LENGTH bytes are put into one order, and a run's members after its first document go.
-
-Order among suffixes that agree in LENGTH bytes doesn't matter here, so the order is that of 96-bit
-digests of these suffixes, not of the suffixes themselves: the same runs at a fifth of the bytes.
-Triggers with very many phrases are spread by phrase, equal suffixes meet in each task first, and
-no task holds more than a bucket.
+the same one at the same place. A trigger's phrase is all that a window through it can reach: what
+stands before it, the trigger, and the parse from there on, as far as LENGTH bytes go.
+
+Dictionary: phrases meet by trigger and digest. One whose copy stands in an earlier document is
+removed whole, at one row for up to 23 windows, in its own task already if the copy stands there;
+that is where repetitive text collapses. Only the first copies of phrases that share a trigger with
+a different phrase are opened: their bytes come together by trigger. Two suffix arrays are made
+there: of the dictionary (every suffix of a phrase up to its trigger's end, in lexicographic order)
+and of the parse (what follows the trigger, in lexicographic order, with the lengths of common
+prefixes). Together they give the corpus order: by rank of the phrase's suffix, then of the parse's.
+Neighbours there that agree in LENGTH bytes form a run; its members after its first document go.
+
+Triggers with very many phrases would make one task too large: their windows are dealt one by one by
+the hash of all their bytes, equal ones meeting in each task first, and ordered in the same way.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ LENGTH = 50
 GRAM = 28
 #: Phrases of one trigger within a task's slice from which on it is spread by phrase.
 HOT = 200
+#: Phrases of one trigger in all from which on their windows are dealt one by one.
+MANY = 4096
+#: Windows that are put into order at once.
+TOGETHER = 1 << 20
 #: Text per bucket and group, in bytes.
 BUCKET = 8 << 20
 _NONE = -(1 << 63)
@@ -159,6 +167,14 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                 if not ids:
                     continue
                 ids, ties, at, h, d = map(np.concatenate, (ids, ties, at, h, d))
+                # what stands in an earlier document of this very slice needs no dictionary
+                order = np.argsort(d, kind="stable")
+                same = _runs(h[order], d[order])
+                least = np.minimum.reduceat(ids[order], np.flatnonzero(np.diff(same, prepend=-1)))[same]
+                later = np.zeros(len(ids), bool)
+                later[order] = least < ids[order]
+                rows = _flagged(ids[later], ties[later], at[later], n, 3)
+                ids, ties, at, h, d = (c[~later] for c in (ids, ties, at, h, d))
                 hot = np.zeros(len(h), bool)
                 sorted_ = np.sort(h)
                 often = np.unique(sorted_[HOT:][sorted_[HOT:] == sorted_[: max(len(h) - HOT, 0)]])  # more than HOT times
@@ -170,7 +186,7 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
                     hot[order] = (np.bincount(trigger, weights=first) > HOT)[trigger]
                 plain = ~hot
                 cols = lambda m: (ids[m], ties[m], h[m].view(np.uint8).reshape(-1, 8)[:, :6], d[m], at[m])
-                rows = list(_deal(_range(_mix(h[plain] * _K[2]), n), 0, *cols(plain)))  # minima are not uniform
+                rows += _deal(_range(_mix(h[plain] * _K[2]), n), 0, *cols(plain))  # minima are not uniform
                 if hot.any():
                     rows += _deal(_range(_mix(h[hot] ^ d[hot]), n), 1, *cols(hot))
                     # for the others of such a trigger: its first and last document here
@@ -187,13 +203,13 @@ def _parse(df: DataFrame, n: int, length: int) -> DataFrame:
 
 def _dictionary(n: int):
     """Blobs of a bucket of triggers -> blobs by document: kind 0, phrases found earlier; kind 1,
-    phrases to open."""
+    phrases to open; kind 4, those to open window by window. Blobs of kind 3 are of kind 0 already."""
 
     def run(t: pa.Table) -> pa.Table:
         blobs = t.to_pylist()
-        rows: list[dict] = []
+        rows: list[dict] = [r | {"kind": 0} for r in blobs if r["kind"] == 3]
         for spread in (False, True):
-            some = [r for r in blobs if (r["kind"] == 1) == spread]
+            some = [r for r in blobs if r["kind"] != 3 and (r["kind"] == 1) == spread]
             if not some:
                 continue
             ids, ties, a, d, pos, kind = _unpack(some, np.uint8, np.uint64)
@@ -214,15 +230,17 @@ def _dictionary(n: int):
             least = ids[head][phrase]
             real = kind != 2
             earlier = real & (least < ids)
+            single = np.zeros(len(ids), bool)
             if spread:
-                open_ = real & ~earlier
+                open_ = single = real & ~earlier
             else:
                 start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
                 low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
                 kinds = np.bincount(group[head])  # phrases of the trigger
                 foreign = np.bincount(group, weights=kind == 2) > 0
                 open_ = real & ~earlier & ((kinds > 1) | foreign)[group] & (low < high)[group]
-            for m, out in ((earlier, 0), (open_, 1)):
+                single = open_ & (foreign | (kinds > MANY))[group]
+            for m, out in ((earlier, 0), (open_ & ~single, 1), (single, 4)):
                 none = np.zeros(0, np.uint8)
                 by = np.lexsort((pos[m], ties[m], ids[m]))
                 i, tie, p = ids[m][by], ties[m][by], pos[m][by]
@@ -251,61 +269,159 @@ def _cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def _entries(raw: bytes, at: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (a row each, zeros behind the last window) and shape (bytes before the trigger, windows)
+    of the parts of a text from `start` on; at: the triggers."""
+    width = 2 * length - GRAM
+    b = np.concatenate([np.frombuffer(raw, np.uint8), np.zeros(width, np.uint8)])
+    out = b[start[:, None] + np.arange(width)]
+    out[np.arange(width) >= (windows + length - 1)[:, None]] = 0
+    return out, np.stack([at - start, windows], axis=1).astype(np.uint16)
+
+
 def _open(n: int, length: int):
-    """Texts and marks of a group -> blobs: kind 0, suffixes by bucket of digest; kind 2, windows
-    that an earlier document of this very group holds, by document."""
+    """Texts and marks of a group -> blobs: kind 0, phrases by bucket of their trigger, and single
+    windows by bucket of their bytes; kind 2, windows that an earlier document of this very group
+    holds, by document."""
     left = length - GRAM
 
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         places = _places(marks)
-        out: list[list[np.ndarray]] = []
+        phrases: list[list[np.ndarray]] = []
+        singles: list[list[np.ndarray]] = []
         for i, raw in zip(texts["_id"].to_pylist(), texts["_text"].to_pylist()):
-            got = places.get((i, zlib.crc32(raw))) if places else None
-            if got is None or not (got[1] == 1).any():
+            tie = zlib.crc32(raw)
+            got = places.get((i, tie)) if places else None
+            if got is None or not (got[1] != 0).any():
                 continue
             m = len(raw) - length + 1
-            span = lambda k: (np.maximum(got[0][got[1] == k] - left, 0), np.minimum(got[0][got[1] == k], m - 1) + 1)
-            need = np.flatnonzero(_cover(m, *span(1)) & ~_cover(m, *span(0)))
-            x, y = suffixes(np.frombuffer(raw, np.uint8), need, length)
-            out.append([np.full(len(need), i, np.int64), np.full(len(need), zlib.crc32(raw), np.uint32), x, y, need])
-        if not out:
-            return pa.Table.from_batches([_batch([])])
-        ids, ties, x, y, pos = map(np.concatenate, zip(*out))
-        order = np.lexsort((ids, y, x))
-        run_ = _runs(x[order], y[order])
-        least = ids[order][np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1])))][run_]
-        later = np.zeros(len(ids), bool)
-        later[order] = least < ids[order]
-        # in the order of documents, so that a blob names each of them once
-        rows = list(_deal(_range(x[~later], n), 0, ids[~later], ties[~later], x[~later], y[~later], pos[~later]))
-        rows += _flagged(ids[later], ties[later], pos[later], n)
+            span = lambda p: (np.maximum(p - left, 0), np.minimum(p, m - 1) + 1)
+            gone = _cover(m, *span(got[0][got[1] == 0]))
+            b = np.frombuffer(raw, np.uint8)
+            p = got[0][got[1] == 1]
+            first, end = span(p)
+            stay = np.concatenate(([0], np.cumsum(~gone)))
+            p, first, end = (x[stay[end] > stay[first]] for x in (p, first, end))
+            if len(p):
+                bucket = _range(_mix(suffixes(b, p, GRAM)[0]), n)
+                phrases.append([np.full(len(p), i, np.int64), np.full(len(p), tie, np.uint32), *_entries(raw, p, first, end - first, length), first, bucket])
+            p = got[0][got[1] == 4]
+            if len(p):
+                first, end = span(p)
+                q = np.repeat(first - np.cumsum(end - first) + (end - first), end - first) + np.arange(int((end - first).sum()))
+                p = np.repeat(p, end - first)
+                p, q = p[~gone[q]], q[~gone[q]]
+                x, _ = suffixes(b, q, length)
+                singles.append([np.full(len(q), i, np.int64), np.full(len(q), tie, np.uint32), *_entries(raw, p, q, np.ones(len(q), np.int64), length), q, _range(x, n)])
+        rows: list[dict] = []
+        if phrases:
+            ids, ties, a, shape, pos, bucket = map(np.concatenate, zip(*phrases))
+            rows += _deal(bucket, 0, ids, ties, a, shape, pos)
+        if singles:
+            ids, ties, a, shape, pos, bucket = map(np.concatenate, zip(*singles))
+            e, r, least = corpus_order(a, shape, ids, length)
+            later = np.zeros(len(ids), bool)
+            later[e] = least < ids[e]
+            once = ~later
+            rows += _deal(bucket[once], 0, ids[once], ties[once], a[once], shape[once], pos[once])
+            rows += _flagged(ids[later], ties[later], pos[later], n)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _flagged(ids: np.ndarray, ties: np.ndarray, pos: np.ndarray, n: int) -> list[dict]:
+def _flagged(ids: np.ndarray, ties: np.ndarray, pos: np.ndarray, n: int, kind: int = 2) -> list[dict]:
     by = np.lexsort((pos, ties, ids))
     none = np.zeros((len(ids), 0), np.uint8)
-    return list(_deal(_home(ids[by], n), 2, ids[by], ties[by], none, none, pos[by]))
-
-
-def _order(n: int):
-    """Blobs of a bucket of suffixes -> windows that an earlier document holds, by document. Blobs
+    return list(_deal(_home(ids[by], n), kind, ids[by], ties[by], none, none, pos[by]))
+
+
+def _keys(flat: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Eight bytes at a time, from `start` on, as numbers in lexicographic order; bytes beyond
+    `size` count as zero."""
+    load = _loads(np.concatenate([flat, np.zeros(most + 8, np.uint8)])).byteswap()
+    out = []
+    for j in range(0, most, 8):
+        over = np.clip(8 * (8 - (size - j)), 0, 64).astype(np.uint64)
+        k = load[start + j]
+        out.append(np.where(over >= 64, np.uint64(0), (k >> np.minimum(over, np.uint64(63))) << np.minimum(over, np.uint64(63))))
+    return out
+
+
+def _sorted_runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by the keys, and in that order the number of the run of equal rows."""
+    order = np.lexsort(keys[::-1])
+    return order, _runs(*(k[order] for k in keys))
+
+
+def _parse_classes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the parse: the rank of each row of bytes among all, and classes[k]: the number
+    of its class among rows that agree in k bytes, in lexicographic order."""
+    m, width = rest.shape
+    order, _ = _sorted_runs(_keys(rest.ravel(), np.arange(m) * width, np.full(m, width), width))
+    in_order = rest[order]
+    differ = in_order[1:] != in_order[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    classes = np.zeros((width + 1, m), np.int64)
+    for k in range(width + 1):
+        classes[k, 1:] = np.cumsum(common < k)
+    return rank, classes[:, rank]
+
+
+def corpus_order(a: np.ndarray, shape: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, place, least id) of all windows of the entries (see _entries) in corpus order: the
+    rank of the phrase's suffix, then that of the parse after it. Windows of equal bytes form a run,
+    and have the least id of its members."""
+    width, left = a.shape[1], length - GRAM
+    before, windows = shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64)
+    entry = np.repeat(np.arange(len(a)), windows)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+    flat = a.ravel()
+    # the dictionary: suffixes up to the trigger's end
+    size = before[entry] + GRAM - place
+    order, run = _sorted_runs(_keys(flat, entry * width + place, size, length))
+    suffix = np.empty(len(entry), np.int64)
+    suffix[order] = run
+    # the parse: what follows the trigger
+    behind = np.concatenate([flat, np.zeros(width, np.uint8)])[(np.arange(len(a)) * width + before + GRAM)[:, None] + np.arange(left)]
+    behind[(before + GRAM)[:, None] + np.arange(left) >= (windows + length - 1)[:, None]] = 0
+    rank, classes = _parse_classes(behind)
+    order = np.lexsort((rank[entry], suffix))
+    entry, place, suffix, depth = entry[order], place[order], suffix[order], (length - size)[order]
+    run = _runs(suffix, classes[depth, entry])
+    least = np.minimum.reduceat(ids[entry], np.flatnonzero(np.diff(run, prepend=-1)))[run] if len(run) else run
+    return entry, place, least
+
+
+def _order(n: int, length: int):
+    """Blobs of a bucket of phrases -> windows that an earlier document holds, by document. Blobs
     of kind 2 are such windows already and pass."""
+    width = 2 * length - GRAM
 
     def run(t: pa.Table) -> pa.Table:
         blobs = t.to_pylist()
-        done, some = [r for r in blobs if r["kind"] == 2], [r for r in blobs if r["kind"] == 0]
+        rows, some = [r for r in blobs if r["kind"] == 2], [r for r in blobs if r["kind"] == 0]
         if not some:
-            return pa.Table.from_batches([_batch(done)])
-        ids, ties, x, y, pos, _ = _unpack(some, np.uint64, np.uint32)
-        order = np.lexsort((ids, y, x))
-        ids, ties, x, y, pos = (c[order] for c in (ids, ties, x, y, pos))
-        run_ = _runs(x, y)
-        least = ids[np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1])))][run_]
-        later = least < ids
-        return pa.Table.from_batches([_batch(done + _flagged(ids[later], ties[later], pos[later], n))])
+            return pa.Table.from_batches([_batch(rows)])
+        ids, ties, a, shape, pos, _ = _unpack(some, np.uint8, np.uint16)
+        a, shape = a.reshape(-1, width), shape.reshape(-1, 2)
+        # entries of a trigger stay together; what is ordered at once has a bounded size
+        at = np.arange(len(a)) * width + shape[:, 0]
+        order, trigger = _sorted_runs(_keys(a.ravel(), at, np.full(len(a), GRAM), GRAM))
+        done = np.cumsum(shape[order, 1], dtype=np.int64)
+        ends = np.append(np.flatnonzero(np.diff(trigger)) + 1, len(order))
+        part = done[ends - 1] // TOGETHER
+        cuts = np.append(ends[np.flatnonzero(np.diff(part))], len(order))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for s, e in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist()):
+            mine = order[s:e]
+            entry, place, least = corpus_order(a[mine], shape[mine], ids[mine], length)
+            entry = mine[entry]
+            later = least < ids[entry]
+            out.append((ids[entry[later]], ties[entry[later]], pos[entry[later]] + place[later]))
+        return pa.Table.from_batches([_batch(rows + _flagged(*map(np.concatenate, zip(*out)), n))])
 
     return run
 
@@ -357,7 +473,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
     homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")
     opened = homes.cogroup(marks.groupBy("bucket")).applyInArrow(_open(n, length), _BLOBS)
-    flagged = table(opened.groupBy("bucket").applyInArrow(_order(n), _BLOBS), "flagged")
+    flagged = table(opened.groupBy("bucket").applyInArrow(_order(n, length), _BLOBS), "flagged")
     free_shuffles(spark)
     found = marks.where("kind = 0").union(flagged)
     homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")

@@ -168,6 +168,60 @@ def test_repeats(spark, monkeypatch, hot):
         assert hashlib.sha256(r.kept).hexdigest() == e[3] and sum(s.end - s.start for s in r.spans) == e[1]
 
 
+@pytest.mark.parametrize("length", [50, 64, 400])
+def test_the_corpus_order_is_that_of_a_naive_suffix_array(length):
+    """Windows of phrases around shared triggers, ordered by the two suffix arrays."""
+    rng = np.random.default_rng(length)
+    texts, entries, shapes, ids = [], [], [], []
+    grams = [rng.integers(97, 99, repeats.GRAM, np.uint8) for _ in range(4)]
+    for i in range(120):
+        side = lambda: rng.choice(np.frombuffer(b"ab", np.uint8), int(rng.integers(0, 2 * length)))
+        if i and rng.random() < 0.5:
+            t, p = texts[int(rng.integers(len(texts)))]
+        else:
+            before, after = side(), side()
+            t, p = np.concatenate([before, grams[i % 4], after]), len(before)
+            if len(t) < length:
+                t = np.concatenate([t, np.full(length - len(t), 97, np.uint8)])
+        texts.append((t, p))
+        m = len(t) - length + 1
+        start, end = max(p - (length - repeats.GRAM), 0), min(p, m - 1) + 1
+        e, shape = repeats._entries(t.tobytes(), np.array([p]), np.array([start]), np.array([end - start]), length)
+        entries.append(e), shapes.append(shape), ids.append(1000 - i)
+    entry, place, least = repeats.corpus_order(np.concatenate(entries), np.concatenate(shapes), np.array(ids), length)
+    def parts(e, r):
+        """A window, cut behind its trigger."""
+        t, p = texts[e]
+        q = max(p - (length - repeats.GRAM), 0) + r
+        return t[q : p + repeats.GRAM].tobytes(), t[p + repeats.GRAM : q + length].tobytes()
+
+    naive = sorted((parts(e, r), e, r) for e in range(len(texts)) for r in range(int(shapes[e][0, 1])))
+    got = [parts(e, r) for e, r in zip(entry.tolist(), place.tolist())]
+    assert got == [w for w, _, _ in naive] and all(len(x) + len(y) == length for x, y in got)
+    for trigger in {x[-repeats.GRAM :] for x, _ in got}:  # where no suffix begins another: the order of all bytes
+        mine = [x + y for x, y in got if x == trigger]
+        assert mine == sorted(mine)
+    first = {}
+    for w, e, _ in naive:
+        first[w] = min(first.get(w, 10**6), ids[e])
+    assert least.tolist() == [first[w] for w in got]
+
+
+def test_repeats_with_hot_triggers(spark, monkeypatch):
+    """Windows dealt one by one, and phrases by trigger, give the same bytes."""
+    rng = random.Random(8)
+    line = "a line that stands in every one of the documents, and goes on for a while; " * 2
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(60))) + line[rng.randrange(9) :] + "".join(rng.choice("abcd ") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [line[:70] + t[10:90] for t in texts[:50]]
+    for hot, many in ((200, 4096), (3, 4096), (200, 3), (2, 2)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "MANY", many)
+        monkeypatch.setattr(repeats, "TOGETHER", 500)
+        got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, texts).repartition(5)).collect()}
+        for i, e in enumerate(cut_brute(texts)):
+            assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == e, (hot, many, i)
+
+
 def test_repeats_odd_input(spark):
     assert repeats.remove_repeats(frame(spark, ["a"]).limit(0)).collect() == []
     t = "0123456789" * 8
