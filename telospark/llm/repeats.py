@@ -443,7 +443,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_text"))
     total = rows.agg(F.sum(F.length("_text").cast("long"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    marks = table(_parse(rows, n, length).groupBy("bucket").applyInArrow(_dictionary(n), _BLOBS), "phrases")
+    marks = table(_parse(rows, n, length).repartition(n, "bucket").groupBy("bucket").applyInArrow(_dictionary(n), _BLOBS), "phrases")
     free_shuffles(spark)
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -471,11 +471,12 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
         return pd.Series(_home(ids.to_numpy(), n).astype(np.int32))
 
-    homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")
-    opened = homes.cogroup(marks.groupBy("bucket")).applyInArrow(_open(n, length), _BLOBS)
-    flagged = table(opened.groupBy("bucket").applyInArrow(_order(n, length), _BLOBS), "flagged")
+    # as many tasks as buckets, so that a task's part of the corpus doesn't grow
+    homes = rows.withColumn("bucket", home("_id")).repartition(n, "bucket").groupBy("bucket")
+    opened = homes.cogroup(marks.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_open(n, length), _BLOBS)
+    flagged = table(opened.repartition(n, "bucket").groupBy("bucket").applyInArrow(_order(n, length), _BLOBS), "flagged")
     free_shuffles(spark)
     found = marks.where("kind = 0").union(flagged)
-    homes = rows.withColumn("bucket", home("_id")).groupBy("bucket")
+    homes = rows.withColumn("bucket", home("_id")).repartition(n, "bucket").groupBy("bucket")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + (", kept binary" if with_kept else "")
-    return homes.cogroup(found.groupBy("bucket")).applyInArrow(finish, schema)
+    return homes.cogroup(found.repartition(n, "bucket").groupBy("bucket")).applyInArrow(finish, schema)
