@@ -21,10 +21,12 @@ BROADCAST_ROWS = 500_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local runs where
-    it is unset, a new temporary folder."""
+    it is unset, a new temporary folder. On a cluster it must be set."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="telospark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)

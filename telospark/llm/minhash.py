@@ -66,9 +66,9 @@ def _powers_to(n: int) -> np.ndarray:
     return have
 
 
-def shingles(raw: bytes, byte: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; A-Z lower-cased, words are runs of bytes
-    other than 0x20 and 0x09-0x0D; with fewer words, the whole sequence is the one shingle."""
+def word_hashes(raw: bytes, byte: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's words in order; A-Z lower-cased, words are runs of bytes other than
+    0x20 and 0x09-0x0D."""
     b = np.frombuffer(raw, np.uint8)
     inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
@@ -80,7 +80,15 @@ def shingles(raw: bytes, byte: np.ndarray, words: int = WORDS) -> np.ndarray:
     b = b + ((b >= 65) & (b <= 90)).view(np.uint8) * np.uint8(32)
     first = np.cumsum(sizes) - sizes
     power = _powers_to(int(sizes.max()))
-    w = _mix(np.add.reduceat(byte[b] * power[np.arange(len(b)) - np.repeat(first, sizes)], first) + sizes.astype(np.uint64))
+    return _mix(np.add.reduceat(byte[b] * power[np.arange(len(b)) - np.repeat(first, sizes)], first) + sizes.astype(np.uint64))
+
+
+def shingles(raw: bytes, byte: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; with fewer words, the whole sequence is
+    the one shingle."""
+    w = word_hashes(raw, byte)
+    if not len(w):
+        return w
     n = min(words, len(w))
     s = np.full(len(w) - n + 1, n, np.uint64)
     for j in range(n):

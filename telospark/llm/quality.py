@@ -1,10 +1,11 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are hashed 4-grams of character classes over the whole text (letters by case, digits,
-spaces, line ends, each ASCII punctuation mark by itself) and repeats of a word by itself. On a
-bounded sample of labelled documents, TF-IDF weights and a truncated SVD are fitted; the sample's
-latent vectors and labels (at most MAX_LABELLED) are broadcast. Every document's vector meets all
-of them in blocked matrix products; the score is the similarity-weighted label of the neighbours.
+A text's terms are its words, hashed, and 4-grams of character classes over the whole text (letters
+by case, digits, spaces, line ends, each ASCII punctuation mark by itself), hashed, and repeats of a
+word by itself. On a bounded sample of labelled documents, TF-IDF weights and a truncated SVD are
+fitted; the sample's latent vectors and labels (at most MAX_LABELLED) are broadcast. Every
+document's vector meets all of them in blocked matrix products; the score is the similarity-weighted
+label of the neighbours.
 """
 
 from __future__ import annotations
@@ -15,29 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from telospark.llm.minhash import _constants, word_hashes
 from telospark.llm.tokens import slices, trim
 
 #: The documented bound of the labelled sample: fit and broadcast don't grow with the input.
 MAX_LABELLED = 4096
-TERMS = 2048
+#: Buckets of shapes, buckets of words, and repeated words.
+SHAPES, WORDS = 2048, 2048
+TERMS = SHAPES + WORDS + 1
 RANK = 48
+#: Length of the words' part of a vector against that of the shapes'.
+WORD_SHARE = 0.5
 NEIGHBOURS = 15
 POWER = 8
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each byte (6 bits), and the term of each pair of class pairs is hashed by these."""
+    """Class of each byte (6 bits), and the bytes' hashes."""
     kind = np.full(256, 40, np.uint32)  # other bytes
     kind[128:] = 1  # letters beyond ASCII, as lower case
     kind[97:123], kind[65:91], kind[48:58] = 1, 2, 3
     kind[32], kind[9:14] = 4, 5
     for n, c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
         kind[c] = 6 + n
-    return kind, np.array([64**3, 64**2, 64, 1], np.uint32)
+    return kind, _constants()[0]
 
 
-def features(raw: bytes, kind: np.ndarray) -> np.ndarray:
-    """Counts of a text's terms."""
+def features(raw: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts of a text's terms; none for texts of under four bytes."""
+    kind, byte = tables
     b = np.frombuffer(raw, np.uint8)
     out = np.zeros(TERMS, np.float32)
     if len(b) < 4:
@@ -45,11 +52,10 @@ def features(raw: bytes, kind: np.ndarray) -> np.ndarray:
     k = kind[b]
     code = (k[:-3] << np.uint32(18)) | (k[1:-2] << np.uint32(12)) | (k[2:-1] << np.uint32(6)) | k[3:]
     code = (code * np.uint32(2654435761)) >> np.uint32(21)
-    out += np.bincount(code, minlength=TERMS)[:TERMS]
-    words = raw.split()
-    same = sum(x == y for x, y in zip(words, words[1:]))
-    out[0] = 0
-    out[0] = 4 * same
+    out[:SHAPES] = np.bincount(code, minlength=SHAPES)
+    w = word_hashes(raw, byte)
+    out[SHAPES:-1] = np.bincount((w >> np.uint64(53)).astype(np.int64), minlength=WORDS)
+    out[-1] = 4 * (w[1:] == w[:-1]).sum()
     return out
 
 
@@ -58,23 +64,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * idf)
+    """TF-IDF; shapes and words have the same length each."""
+    x = np.log1p(counts) * idf
+    words = x[:, SHAPES:-1]
+    return _unit(np.concatenate([_unit(x[:, :SHAPES]), _unit(words) * WORD_SHARE, x[:, -1:] / np.maximum(np.linalg.norm(x[:, :SHAPES], axis=1, keepdims=True), 1e-12)], axis=1))
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", limit: int = MAX_LABELLED) -> dict:
-    """The model, fitted on at most `limit` labelled rows, those of the smallest key hashes."""
+    """The model, fitted on at most `limit` labelled keys, those of the smallest key hashes, one row
+    each (of rows that repeat a key, that of the least text hash)."""
     some = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).groupBy("_k").agg(F.min("_y").alias("_y"))
     some = some.orderBy(F.xxhash64("_k"), "_k").limit(limit)  # a bounded sample, by parameter
 
     def run(batches):
-        kind, _ = _tables()
+        given = _tables()
         for batch in batches:
             for b in slices(batch, "_text"):
-                x = [features(t or b"", kind).tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["_k", "_y", "x"])
+                x = [features(t or b"", given).tobytes() for t in b.column(3).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(x, pa.binary())], ["_k", "_y", "_h", "x"])
 
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(some), "_k").select("_k", "_y", "_text")
-    got = sorted(rows.mapInArrow(run, "_k long, _y int, x binary").collect())[: 2 * limit]
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(some), "_k").select("_k", "_y", F.xxhash64("_text").alias("_h"), "_text")
+    # rows that repeat a key: the one of the least text hash, so that `limit` bounds what is collected
+    one = rows.mapInArrow(run, "_k long, _y int, _h long, x binary").groupBy("_k").agg(F.min(F.struct("_h", "x", "_y")).alias("r")).select("_k", "r._y", "r.x")
+    got = sorted(one.collect())
     if not got:
         return {"idf": np.ones(TERMS, np.float32), "axes": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((1, 1), np.float32), "labels": np.full(1, 0.5, np.float32), "prior": 0.5}
     y = np.array([r[1] for r in got], np.float32)
@@ -116,14 +128,14 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches):
-        kind, _ = _tables()
+        tables = _tables()
         m = given.value
         for batch in batches:
             for b in slices(batch, text):
                 raw = b.column(at).cast(pa.binary()).to_pylist()
                 out = np.empty(len(raw))
                 for s in range(0, len(raw), 1024):
-                    x = np.stack([features(t or b"", kind) for t in raw[s : s + 1024]])
+                    x = np.stack([features(t or b"", tables) for t in raw[s : s + 1024]])
                     got = vote(x, m)
                     got[x.sum(axis=1) == 0] = m["prior"]
                     out[s : s + 1024] = got

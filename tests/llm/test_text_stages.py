@@ -210,3 +210,50 @@ def test_pipeline(spark, tiny):
     rows = out.collect()
     assert rows and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
     assert max(r.offset + r.length for r in rows) <= 4096
+
+
+def test_a_repeated_document_does_not_starve_a_label(spark):
+    """One row a key reaches the fit, however often it is repeated."""
+    df = spark.createDataFrame([(1, f"copy {i % 7} of the first text") for i in range(600)] + [(2, "the only other one!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(df, labels, limit=10)
+    assert sorted(model["labels"].tolist()) == [0.0, 1.0] and len(model["vectors"]) == 2
+    rows = quality.classify(df, labels).collect()
+    assert len(rows) == 601 and len({r.score for r in rows if r.text == "copy 3 of the first text"}) == 1
+
+
+def test_votes_equal_brute_force():
+    """Scores against a plain loop over all labelled vectors; words count, not shapes alone."""
+    import numpy as np
+
+    rng, tables = np.random.default_rng(2), quality._tables()
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(60)]  # few ties
+    texts = [" ".join(rng.choice(words, 40)).encode() for _ in range(60)]
+    counts = np.stack([quality.features(t, tables) for t in texts])
+    assert not np.array_equal(quality.features(b"alpha bravo gamma", tables), quality.features(b"kappa omega delta", tables))
+    idf = np.ones(quality.TERMS, np.float32)
+    w = quality._weigh(counts, idf)
+    axes = np.linalg.svd(w, full_matrices=False)[2][:8].T.astype(np.float32)
+    model = {"idf": idf, "axes": axes, "vectors": quality._unit(w[:40] @ axes), "labels": (np.arange(40) % 3 == 0).astype(np.float32), "prior": 0.35}
+    got = quality.vote(counts, model)
+    for i in range(60):
+        v = w[i].astype(np.float64) @ axes.astype(np.float64)
+        near = sorted(((float(v @ x) / (np.linalg.norm(v) * np.linalg.norm(x)), int(y)) for x, y in zip(model["vectors"].astype(np.float64), model["labels"])), reverse=True)[: quality.NEIGHBOURS]
+        good = sum(max(c, 1e-3) ** quality.POWER for c, y in near if y) / 0.35
+        bad = sum(max(c, 1e-3) ** quality.POWER for c, y in near if not y) / 0.65
+        assert abs(got[i] - good / (good + bad)) < 1e-3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from telospark.llm import common
+
+    class Context:
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session)
