@@ -4,25 +4,25 @@ A token budget runs down a domain-language-source tree by weights. A node never
 leaves can give (their tokens times the epochs allowed); what a child can't take goes to its
 siblings by their weights, and only what a whole family can't take reaches its parent's siblings.
 Each leaf then takes a token-prefix of its seeded epochs: all of the full ones, then documents in
-the next epoch's order while the budget lasts.
+the next epoch's order while the budget lasts. The tree is a table: a family is divided by windows
+over its children, so the driver holds none of it.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telospark.llm.common import discard, small_enough, table
+
 LEVELS = ("domain", "lang", "source")
-#: Leaves of the tree that the driver may hold.
-MAX_LEAVES = 200_000
 Path = tuple[str, ...]
 
 
 def share(amount: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Divides amount by weight among children (name: weight, capacity), none above its capacity;
-    shortages go to the others by weight, and to children of weight 0 by capacity last of all."""
+    """The rule, for one family: divides amount by weight among children (name: weight, capacity),
+    none above its capacity; shortages go to the others by weight, and to children of weight 0 by
+    capacity last of all. leaf_budgets() does the same for all families of a table."""
     out = dict.fromkeys(children, 0.0)
     for positive in (True, False):
         open_ = {k for k, (w, c) in children.items() if (w > 0) == positive and c > 0}
@@ -45,7 +45,7 @@ def share(amount: float, children: dict[str, tuple[float, float]]) -> dict[str,
 
 
 def budgets(leaves: dict[Path, float], weights: dict[Path, float], amount: float, epochs: float) -> dict[Path, float]:
-    """Tokens for each leaf. leaves: tokens by path; weights: by path of any length, relative to its
+    """Tokens for each leaf of a small tree, by share(). leaves: tokens by path; weights: by path of any length, relative to its
     siblings; a path without a weight has its share of the family's tokens, scaled so that a family
     without any weights is divided in proportion."""
     cap: dict[Path, float] = {}
@@ -68,6 +68,44 @@ def budgets(leaves: dict[Path, float], weights: dict[Path, float], amount: float
     return {k: v for k, v in out.items() if len(k) == len(LEVELS)}
 
 
+def _divide(nodes: DataFrame, family: list[str], weights: dict[Path, float]) -> DataFrame:
+    """nodes (path columns, cap, and amount: the budget of their parent, `family`) with their own
+    amount. Children fill up in the order of capacity over weight; the level at which the first one
+    stays open is that of all later ones."""
+    own = [c for c in nodes.columns if c not in ("cap", "amount")]
+    given = {p: w for p, w in weights.items() if len(p) == len(own)}
+    lookup = [F.lit(x) for p, w in given.items() for x in ("\x1f".join(p), float(w))]
+    weight = F.try_element_at(F.create_map(*lookup), F.concat_ws("\x1f", *own)) if lookup else F.lit(None).cast("double")
+    all_ = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
+    x = nodes.withColumn("_w", weight)
+    named = F.count("_w").over(all_) > 0
+    scale = F.when(named, F.sum("_w").over(all_) / F.greatest(F.sum(F.when(F.col("_w").isNotNull(), F.col("cap"))).over(all_), F.lit(1e-9))).otherwise(F.lit(1.0))
+    x = x.withColumn("_w", F.coalesce("_w", F.col("cap") * scale))
+    x = x.withColumn("_open", (F.col("_w") > 0) & (F.col("cap") > 0)).withColumn("_ratio", F.when(F.col("_open"), F.col("cap") / F.col("_w")))
+    before = all_.orderBy(F.col("_ratio").asc_nulls_last(), *own).rowsBetween(Window.unboundedPreceding, -1)
+    w = F.when(F.col("_open"), F.col("_w")).otherwise(F.lit(0.0))
+    left = F.sum(w).over(all_) - F.coalesce(F.sum(w).over(before), F.lit(0.0))
+    level = (F.col("amount") - F.coalesce(F.sum(F.when(F.col("_open"), F.col("cap"))).over(before), F.lit(0.0))) / left
+    x = x.withColumn("_level", F.when(F.col("_open") & (left > 0), level))
+    x = x.withColumn("_level", F.greatest(F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(all_), F.lit(0.0)))
+    x = x.withColumn("_out", F.when(F.col("_open"), F.least("cap", F.coalesce(F.col("_w") * F.col("_level"), F.col("cap")))).otherwise(F.lit(0.0)))
+    rest = F.greatest(F.col("amount") - F.sum("_out").over(all_), F.lit(0.0))
+    closed = F.sum(F.when(~F.col("_open"), F.col("cap"))).over(all_)
+    x = x.withColumn("_out", F.when(F.col("_open") | (F.col("cap") <= 0), F.col("_out")).otherwise(F.col("cap") * F.least(F.lit(1.0), rest / closed)))
+    return x.select(*own, "cap", F.col("_out").alias("amount"))
+
+
+def leaf_budgets(leaves: DataFrame, path: list[str], weights: dict[Path, float], fraction: float, epochs: int) -> DataFrame:
+    """path and want, the tokens for each leaf (path columns, tokens): budgets() for a table."""
+    leaves = leaves.select(*path, (F.col("tokens") * F.lit(float(epochs))).alias("cap"))
+    up = leaves.agg(F.least(F.sum("cap") * F.lit(fraction / epochs), F.sum("cap")).alias("amount"))
+    for n in range(1, len(path) + 1):
+        nodes = leaves.groupBy(*path[:n]).agg(F.sum("cap").alias("cap"))
+        nodes = nodes.join(small_enough(up), path[: n - 1]) if n > 1 else nodes.crossJoin(F.broadcast(up))  # one row
+        up = table(_divide(nodes, path[: n - 1], weights), "budgets").drop("cap")
+    return up.withColumnRenamed("amount", "want")
+
+
 def tokens_of(text: Column) -> Column:
     """White-space words, the token measure of mixing."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
@@ -83,30 +121,32 @@ def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: flo
     order; repeated rows are rows of their own, in an order fixed by their hash and text. An empty
     table gives an empty result. Extra columns pass through; new ones replace columns of their names.
     """
-    spark = df.sparkSession
     path = [F.coalesce(c.cast("string"), F.lit("unknown")) for c in (domain, F.col("lang"), F.col("source"))]
-    df = df.withColumns({"domain": path[0], "__telo_1": path[1], "__telo_2": path[2], "n_tokens": tokens_of(F.col(text))})
+    # copies of a null key are told apart by their text
+    order = [F.col(key), F.when(F.col(key).isNull(), F.xxhash64(text))]
+    df = df.withColumns({"domain": path[0], "__telo_1": path[1], "__telo_2": path[2], "n_tokens": tokens_of(F.col(text)), "__telo_t": F.xxhash64(text), "__telo_k": F.xxhash64(*order)})
     leaf = ["domain", "__telo_1", "__telo_2"]
-    totals = df.groupBy(*leaf).agg(F.sum("n_tokens"), F.count("*")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    tokens = {tuple(r[:3]): float(r[3]) for r in totals}
-    wanted = budgets(tokens, weights, fraction * sum(tokens.values()), float(epochs))
-    rows = [{"domain": r[0], "__telo_1": r[1], "__telo_2": r[2], "__telo_all": r[3], "__telo_want": round(wanted[tuple(r[:3])]), "__telo_bins": 1 + r[4] // block} for r in totals]
-    schema = "array<struct<domain:string,__telo_1:string,__telo_2:string,__telo_all:bigint,__telo_want:bigint,__telo_bins:bigint>>"
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    df = df.join(F.broadcast(plan), leaf).where("__telo_want > 0")  # at most MAX_LEAVES rows
+    rows = table(df.select(*leaf, "n_tokens", "__telo_k"), "mix-rows")  # counted once for all that follows but the last pass
+    leaves = table(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    wanted = leaf_budgets(leaves, leaf, weights, fraction, epochs)
+    plan = leaves.join(small_enough(wanted), leaf).select(*leaf, F.col("tokens").alias("__telo_all"), F.round("want").cast("long").alias("__telo_want"), (1 + F.floor(F.col("rows") / block)).alias("__telo_bins"))
+    plan = table(plan.where("__telo_want > 0"), "plan")
     last = F.when(F.col("__telo_all") > 0, F.floor((F.col("__telo_want") - 1) / F.col("__telo_all"))).otherwise(F.lit(0)).cast("int")
-    df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    df = df.withColumns({"__telo_h": F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)), "__telo_t": F.xxhash64(text)})
-    # The order's range is cut into bins of bounded size: a leaf's rows are never in one task.
-    df = df.withColumn("__telo_bin", F.least(F.floor((F.col("__telo_h") / F.lit(2.0**64) + 0.5) * F.col("__telo_bins")), F.col("__telo_bins") - 1).cast("long"))
+
+    def binned(x: DataFrame) -> DataFrame:
+        x = x.join(small_enough(plan), leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
+        x = x.withColumn("__telo_h", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("__telo_k")))
+        # The order's range is cut into bins of bounded size: a leaf's rows are never in one task.
+        return x.withColumn("__telo_bin", F.least(F.floor((F.col("__telo_h") / F.lit(2.0**64) + 0.5) * F.col("__telo_bins")), F.col("__telo_bins") - 1).cast("long"))
+
     place = [*leaf, "epoch", "__telo_bin"]
-    bins = df.groupBy(*place).agg(F.sum("n_tokens").alias("__telo_n"))
+    bins = binned(rows).groupBy(*place).agg(F.sum("n_tokens").alias("__telo_n"))
     before = Window.partitionBy(*leaf).orderBy("epoch", "__telo_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("__telo_base", F.coalesce(F.sum("__telo_n").over(before), F.lit(0))).drop("__telo_n")
-    within = Window.partitionBy(*place).orderBy("__telo_h", key, "__telo_t").rowsBetween(Window.unboundedPreceding, -1)
+    bins = table(bins.join(small_enough(plan.select(*leaf, "__telo_want")), leaf).where("__telo_base < __telo_want").drop("__telo_want"), "bins")
+    discard(rows)
+    within = Window.partitionBy(*place).orderBy("__telo_h", F.col(key), "__telo_t").rowsBetween(Window.unboundedPreceding, -1)
     # What lies wholly beyond a leaf's budget is dropped before its rows are sorted.
-    some = df.join(bins, place).where("__telo_base < __telo_want")
+    some = binned(df).join(small_enough(bins), place)
     out = some.withColumn("start", F.col("__telo_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return out.where("start < __telo_want").drop("__telo_1", "__telo_2", "__telo_all", "__telo_want", "__telo_bins", "__telo_h", "__telo_t", "__telo_bin", "__telo_base")
+    return out.where("start < __telo_want").drop("__telo_1", "__telo_2", "__telo_all", "__telo_want", "__telo_bins", "__telo_h", "__telo_t", "__telo_k", "__telo_bin", "__telo_base")

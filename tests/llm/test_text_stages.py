@@ -139,6 +139,27 @@ def test_water_filling():
     assert got[("b", "en", "3")] == pytest.approx(190)  # all of w, then the ancestor's other child
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_of_a_table_equal_the_rule(spark, seed):
+    """Random trees, with families without weights, weights of zero and empty leaves."""
+    rng = random.Random(seed)
+    leaves = {(f"d{rng.randrange(3)}", f"l{rng.randrange(4)}", f"s{i % 9}"): float(rng.choice([0, 1, 7, 50, 1000, rng.randrange(10**5)])) for i in range(40)}
+    weights = {p[:n]: rng.choice([0, 0.1, 0.3, 1, 5]) for p in leaves for n in (1, 2, 3) if rng.random() < 0.5}
+    fraction, epochs = rng.choice([0.3, 0.8, 1.0, 1.7]), rng.choice([1, 2, 3])
+    want = mixing.budgets(leaves, weights, fraction * sum(leaves.values()), epochs)
+    table = spark.createDataFrame([(*p, int(n)) for p, n in leaves.items()], "domain string, lang string, source string, tokens long")
+    got = {tuple(r[:3]): r.want for r in mixing.leaf_budgets(table, ["domain", "lang", "source"], weights, fraction, epochs).collect()}
+    assert got.keys() == want.keys()
+    for p in want:
+        assert got[p] == pytest.approx(want[p], abs=1e-3), p
+
+
+def test_mix_of_null_ids_keeps_every_row(spark):
+    df = spark.createDataFrame([(None, f"text number {i % 50}", "en", "src1", 1) for i in range(200)], DOCS)
+    out = mixing.mix(df, {}, domain_of(), 1.0, 1, block=10)
+    assert out.count() == 200 and out.select("start").distinct().count() == 200
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)) if i else None, rng.choice(["en", "en", "en", "de", None]), rng.choice(["src1", "src12", "src17", None]), 1, "q", -1) for i in range(900)]
