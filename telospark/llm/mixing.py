@@ -87,7 +87,7 @@ def _divide(nodes: DataFrame, family: list[str], weights: dict[Path, float]) ->
     left = F.sum(w).over(all_) - F.coalesce(F.sum(w).over(before), F.lit(0.0))
     level = (F.col("amount") - F.coalesce(F.sum(F.when(F.col("_open"), F.col("cap"))).over(before), F.lit(0.0))) / left
     x = x.withColumn("_level", F.when(F.col("_open") & (left > 0), level))
-    x = x.withColumn("_level", F.greatest(F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(all_), F.lit(0.0)))
+    x = x.withColumn("_level", F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(all_))  # null: all are full
     x = x.withColumn("_out", F.when(F.col("_open"), F.least("cap", F.coalesce(F.col("_w") * F.col("_level"), F.col("cap")))).otherwise(F.lit(0.0)))
     rest = F.greatest(F.col("amount") - F.sum("_out").over(all_), F.lit(0.0))
     closed = F.sum(F.when(~F.col("_open"), F.col("cap"))).over(all_)
