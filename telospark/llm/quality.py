@@ -59,6 +59,20 @@ def features(raw: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sparse(x: np.ndarray) -> bytes:
+    """The terms that a text has (16 bits each), then their counts (32 bits each)."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+
+def _dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for x, b in zip(out, rows):
+        n = len(b) // 6
+        x[np.frombuffer(b, np.uint16, n)] = np.frombuffer(b, np.uint8)[2 * n :].copy().view(np.float32)
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -80,7 +94,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
         given = _tables()
         for batch in batches:
             for b in slices(batch, "_text"):
-                x = [features(t or b"", given).tobytes() for t in b.column(3).cast(pa.binary()).to_pylist()]
+                x = [_sparse(features(t or b"", given)) for t in b.column(3).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(x, pa.binary())], ["_k", "_y", "_h", "x"])
 
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(some), "_k").select("_k", "_y", F.xxhash64("_text").alias("_h"), "_text")
@@ -89,10 +103,16 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     got = sorted(one.collect())
     if not got:
         return {"idf": np.ones(TERMS, np.float32), "axes": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((1, 1), np.float32), "labels": np.full(1, 0.5, np.float32), "prior": 0.5}
-    y = np.array([r[1] for r in got], np.float32)
-    x = np.stack([np.frombuffer(r[2], np.float32) for r in got])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    w = _weigh(x, idf)
+    y, raw = np.array([r[1] for r in got], np.float32), [bytes(r[2]) for r in got]
+    del got
+    have = np.zeros(TERMS)
+    for b in raw:
+        have[np.frombuffer(b, np.uint16, len(b) // 6)] += 1
+    idf = np.log((1 + len(raw)) / (1 + have)).astype(np.float32) + 1
+    w = np.empty((len(raw), TERMS), np.float32)
+    for at in range(0, len(raw), 256):  # the driver holds one dense matrix
+        w[at : at + 256] = _weigh(_dense(raw[at : at + 256]), idf)
+    del raw
     # Truncated SVD by subspace iteration, deterministic.
     rank = min(RANK, *w.shape)
     q = np.linalg.qr(w.T @ (w @ np.random.default_rng(5).standard_normal((TERMS, rank), np.float32)))[0]
