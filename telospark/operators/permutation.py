@@ -3,24 +3,26 @@
 Observed variants give a statistic per unit; substitutions are redrawn within their nucleotide
 context, indels anywhere in the coding sequence; each simulation gives a statistic; the p-value is
 that of a run that stops at the hundredth hit. Simulations run in waves, and units that have their
-hits don't enter the next one. Substitutions are not annotated draw by draw but joined to a table of
-all substitutions of a transcript.
+hits don't enter the next one. What each substitution of a transcript adds to the statistic is
+worked out once, into arrays by place and base; a draw is two array look-ups, so 10,000 simulations
+move no sequences. A unit's draws stay in its partition until they are summed by simulation.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import reverse_complement
-from telospark.functions.stats import EARLY_STOP, bh_fdr, early_stopped_pvalue, empirical_pvalue
+from telospark.functions.stats import EARLY_STOP, bh_fdr
 from telospark.operators import aggregates, intervals, sampling
 from telospark.operators.annotate import annotate
-from telospark.operators.filters import TRUNCATIONS, is_indel, is_substitution, nmd_insensitive_length, nmd_kept, nonsense_kept
+from telospark.operators.filters import TRUNCATIONS, hits_terminus, is_indel, is_substitution, nmd_insensitive_length, nmd_kept, nonsense_kept
+from telospark.sources.scratch import cut
 
-WAVES = (500, 2_500)
+#: Ends of the waves before the last.
+WAVES = (200, 1_000, 4_000)
 
 
 @dataclass
@@ -34,12 +36,13 @@ class Test:
     side: str = ">="
     early: bool = True
     adjust: bool = False
+    empty_hits: bool = True  # a simulation that keeps no variant counts as a hit
     extra: list[str] = field(default_factory=list)
 
 
-DEGRON_LEGACY = Test("num_degron_muts", indels=False, nmd=False, early=False)
+DEGRON_LEGACY = Test("num_degron_muts", indels=False, nmd=False, early=False, empty_hits=False)
 DEGRON = Test("num_degron_muts")
-SITE = Test("num_site_muts", indels=False)
+SITE = Test("num_site_muts", indels=False, empty_hits=False)
 TERMINAL = Test("delta_degron_potential", context=1.5, side="<=", adjust=True, extra=["num_degron_impactful_muts"])
 STABILITY = Test("ddg_avg", context=1.5, indels=False)
 TRUNCATION = Test("num_truncations", side="<=")
@@ -54,100 +57,208 @@ def _kept(test: Test) -> Column:
 
 
 def eligible(variants: DataFrame, test: Test) -> DataFrame:
-    """Annotated variants with kind: 'sub' or 'indel'."""
+    """Annotated variants with kind: 'sub' or 'indel'. Substitutions of another transcript than the
+    unit's own (column own, where there is one) don't count."""
     effect, ref, alt = (F.col(c) for c in ("effect", "ref", "alt"))
-    kind = F.when(is_substitution(effect, ref, alt), "sub")
+    own = F.col("own") if "own" in variants.columns else F.lit(True)
+    kind = F.when(is_substitution(effect, ref, alt) & own, "sub")
     if test.indels:
         kind = kind.when(is_indel(effect, ref, alt), "indel")
     return variants.withColumn("kind", kind).where("kind is not null")
 
 
-def overlap_statistic(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Count of variants that touch the unit's intervals (spans, last_end)."""
-    hit = intervals.overlap(F.col("effect"), F.col("aa_off"), F.col("spans"), F.col("last_end"))
-    return df.groupBy(*by).agg(F.sum(hit).cast("double").alias(column))
+class Overlap:
+    """Number of variants that touch the unit's intervals (spans, last_end)."""
 
+    distinct = False
 
-def truncation_statistic(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count_if(F.col("effect").isin(*TRUNCATIONS)).cast("double").alias(column))
+    def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("value", intervals.overlap(F.col("effect"), F.col("aa_off"), F.col("spans"), F.col("last_end")).cast("double"))
 
+    def observed(self, df: DataFrame, column: str) -> DataFrame:
+        return self.with_value(df, []).groupBy("unit").agg(F.sum("value").alias(column))
 
-def energy_statistic(energies: DataFrame):
-    def run(df: DataFrame, by: list[str], column: str) -> DataFrame:
-        return aggregates.ddg_mean(df, energies, by).withColumnRenamed("ddg_avg", column)
 
-    return run
+class Truncations(Overlap):
+    """Number of truncating variants."""
 
+    def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("value", F.col("effect").isin(*TRUNCATIONS).cast("double"))
 
-def potential_statistic(specific, bag, end: str):
-    """Sum of the change in degron potential, and the number of variants at the terminus."""
-    from telospark.operators.score import with_delta
 
-    def run(df: DataFrame, by: list[str], column: str) -> DataFrame:
-        got = with_delta(df, specific, bag, end).groupBy(*by).agg(aggregates.delta_sum(F.col("delta")).alias(column), F.count("*").alias("num_degron_impactful_muts"))
-        return df.select(*by).distinct().join(got, by, "left").na.fill({column: 0.0, "num_degron_impactful_muts": 0})
+class Energy:
+    """Mean energy of the distinct known changes; 0 if none is known."""
 
-    return run
+    distinct = True
 
+    def __init__(self, energies: DataFrame):
+        self.energies = energies
 
-def simulate(variants: DataFrame, tx: DataFrame, test: Test, first: int, last: int, seed: int = sampling.SEED) -> DataFrame:
-    """Annotated simulated variants: unit, sim, kind and what statistics need. Draws whose reference
-    doesn't fit are dropped, as is a simulated indel that cannot be placed."""
-    carried = [c for c in variants.columns if c in ("unit", "gene", "transcript_id", "start", "ref", "alt", "strand", "cds", "utr3", "protein", "ranges", "genome", "spans", "last_end", "kind", "cds_pos")]
-    base = variants.select(*carried)
-    subs = sampling.slots(base.where("kind = 'sub'"), test.context)
-    subs = sampling.draws(subs, sampling.context_positions(tx, test.context), first, last, seed)
-    minus = F.col("strand") == "-"
-    subs = subs.withColumns({"cds_ref": F.when(minus, reverse_complement(F.col("ref"))).otherwise(F.col("ref")), "cds_alt": F.when(minus, reverse_complement(F.col("alt"))).otherwise(F.col("alt"))})
-    subs = subs.join(sampling.snv_effects(tx), ["transcript_id", "drawn", "cds_ref", "cds_alt"]).where("effect is not null")
-    subs = subs.withColumn("short", F.concat(F.lit("p."), F.substring(F.col("protein"), F.col("aa_off") + 1, F.lit(1)), (F.col("aa_off") + 1).cast("string"), F.substring(F.concat("mut_protein", F.lit("*")), F.col("aa_off") + 1, F.lit(1))))
-    keep = [c for c in carried if c not in ("genome", "cds", "utr3", "cds_pos")] + ["sim", "effect", "aa_off", "mut_protein", "short"]
-    out = subs.select(*keep)
-    if test.indels:
-        some = sampling.slots(base.where("kind = 'indel'"), 0)
-        some = sampling.draws(some, sampling.context_positions(tx, 0), first, last, seed).drop("cds_pos")
-        out = out.unionByName(annotate(some, at=F.col("drawn")).where("effect is not null").select(*keep))
-    return out
+    def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        known = self.energies.select("gene", F.concat(F.lit("p."), "variant").alias("short"), F.col("ddg").alias("value"))
+        return df.join(known, ["gene", "short"], "left")
+
+    def observed(self, df: DataFrame, column: str) -> DataFrame:
+        return aggregates.ddg_mean(df, self.energies, ["unit"]).withColumnRenamed("ddg_avg", column)
+
+
+class Potential:
+    """Sum of the change in degron potential; also the number of variants at the terminus."""
+
+    distinct = False
+
+    def __init__(self, specific, bag, end: str):
+        self.specific, self.bag, self.end = specific, bag, end
+
+    def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Only variants at the terminus are scored; mutant proteins that are missing (null) are made
+        for these alone."""
+        from telospark.operators.score import with_delta
+
+        there = F.coalesce("mut_protein", F.lit("?"))
+        some = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), there, F.length("protein"), self.end))
+        if "drawn" in df.columns and "cds_alt" in df.columns:
+            given = some.select(*keys, "protein", "cds", "utr3", F.col("cds_ref").alias("ref"), F.col("cds_alt").alias("alt"), F.lit("+").alias("strand"), F.col("drawn").alias("at"))
+            some = annotate(given, at=F.col("at"))
+        scored = with_delta(some.select(*keys, "effect", "aa_off", "mut_protein", "protein"), self.specific, self.bag, self.end)
+        return df.join(scored.select(*keys, F.col("delta").alias("value")), keys, "left")
 
+    def observed(self, df: DataFrame, column: str) -> DataFrame:
+        from telospark.operators.score import with_delta
 
-def run_test(variants: DataFrame, tx: DataFrame, test: Test, statistic, simulations: int = 10_000, seed: int = sampling.SEED, waves: tuple[int, ...] = WAVES) -> DataFrame:
-    """unit, the statistic and pvalue. variants: annotated, with unit and the transcript's columns;
-    tx: the transcripts. A unit without eligible variants has no row; a statistic of zero has p 1
-    (for energies, one that isn't positive)."""
+        got = with_delta(df, self.specific, self.bag, self.end).groupBy("unit").agg(aggregates.delta_sum(F.col("delta")).alias(column), F.count("*").alias("num_degron_impactful_muts"))
+        return df.select("unit").distinct().join(got, "unit", "left").na.fill({column: 0.0, "num_degron_impactful_muts": 0})
+
+
+_BASES = "ACGT"
+_DIMS = ("unit", "gene", "transcript_id", "strand", "cds", "utr3", "protein", "ranges", "spans", "last_end")
+
+
+def _columns(df: DataFrame) -> list[str]:
+    return [c for c in _DIMS if c in df.columns]
+
+
+def substitution_table(units: DataFrame, test: Test, statistic) -> DataFrame:
+    """unit, and by 4 * place + base (A, C, G, T): flags (0 no such substitution, 1 dropped for its
+    decay, 2 kept), values (null: adds nothing) and, if the statistic counts distinct changes, names."""
+    eff = sampling.snv_effects(units, "unit", _columns(units))
+    stop = F.when(F.col("effect") == "PrematureStop", F.substring(F.col("protein"), F.lit(1), F.col("aa_off")))
+    eff = eff.withColumn("mut_protein", stop)
+    n, safe = F.length("protein"), nmd_insensitive_length(F.col("ranges"))
+    kept = nonsense_kept(F.col("effect"), F.col("mut_protein"), n, safe) if test.nmd else F.lit(True)
+    eff = eff.withColumn("kept", kept & F.col("effect").isNotNull()).drop("mut_protein")
+    eff = statistic.with_value(eff.withColumn("mut_protein", F.lit(None).cast("string")) if isinstance(statistic, Potential) else eff, ["unit", "drawn", "cds_alt"])
+    k = F.col("drawn") * 4 + F.position(F.col("cds_alt"), F.lit(_BASES)) - 1
+    flag = F.when(F.col("effect").isNull(), 0).when(F.col("kept"), 2).otherwise(1).cast("byte")
+    name = (F.col("aa_off") * 32 + F.ascii(F.right("short", F.lit(1))) % 32).alias("name") if statistic.distinct else F.lit(0).alias("name")
+    each = eff.select("unit", F.struct(k.alias("k"), flag.alias("flag"), F.col("value"), name).alias("e"))
+    got = each.groupBy("unit").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    # entries are dense: k of the i-th is i
+    return got.select("unit", F.transform("e", lambda e: e["flag"]).alias("flags"), F.transform("e", lambda e: e["value"]).alias("values"), *([F.transform("e", lambda e: e["name"]).alias("names")] if statistic.distinct else []))
+
+
+def _substitution_base(subs: DataFrame, units: DataFrame, test: Test) -> DataFrame:
+    """unit, transcript_id and slots: number, context, base drawn for, and the context's places."""
+    slotted = sampling.slots(subs.select("unit", "transcript_id", "cds", "cds_pos", "start", "ref", "alt", "strand"), test.context)
+    base = F.when(F.col("strand") == "-", F.translate("alt", "ACGT", "TGCA")).otherwise(F.col("alt"))
+    places = sampling.context_positions(units.select("transcript_id", "cds").dropDuplicates(["transcript_id"]), test.context)
+    rows = slotted.withColumn("base", F.position(base, F.lit(_BASES)) - 1).join(places, ["transcript_id", "context"])
+    return rows.groupBy("unit", "transcript_id").agg(F.collect_list(F.struct("slot", "context", "base", "positions")).alias("slots"))
+
+
+def _substitution_sums(base: DataFrame, statistic, first: int, last: int, seed: int) -> DataFrame:
+    """unit, sim, placed, kept and sum (or set, of distinct changes) of simulations first to last - 1.
+    base: slots and the substitution table, dealt by unit."""
+    arrays = [c for c in ("flags", "values", "names") if c in base.columns]
+    x = base.select("unit", "transcript_id", "slots", *arrays, F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("sim"))
+    x = x.select("unit", "transcript_id", *arrays, "sim", F.explode("slots").alias("s"))
+    pick = sampling.draw([F.lit(seed), F.col("transcript_id"), F.col("s.context"), F.col("sim"), F.col("s.slot")], F.size("s.positions"))
+    x = x.withColumn("k", F.get("s.positions", pick) * 4 + F.col("s.base"))
+    x = x.select("unit", "sim", F.get("flags", "k").alias("flag"), F.get("values", "k").alias("value"), *([F.get("names", "k").alias("name")] if statistic.distinct else []))
+    value = F.when(F.col("flag") == 2, F.col("value"))
+    out = F.collect_set(F.when(value.isNotNull(), F.struct("name", "value"))) if statistic.distinct else F.sum(value)
+    return x.groupBy("unit", "sim").agg(F.count_if(F.col("flag") > 0).alias("placed"), F.count_if(F.col("flag") == 2).alias("kept"), out.alias("sum"))
+
+
+def _indel_sums(indels: DataFrame, units: DataFrame, test: Test, statistic, first: int, last: int, seed: int) -> DataFrame:
+    """The same for indels, which are drawn anywhere: each distinct draw is annotated once."""
+    slotted = sampling.slots(indels.select("unit", "transcript_id", "cds", "cds_pos", "start", "ref", "alt"), 0).drop("cds", "cds_pos")
+    places = units.select("transcript_id", F.length("cds").alias("n")).dropDuplicates(["transcript_id"])
+    x = slotted.join(places, "transcript_id").withColumn("sim", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+    x = x.withColumn("drawn", sampling.draw([F.lit(seed), F.col("transcript_id"), F.col("context"), F.col("sim"), F.col("slot")], F.col("n")))
+    keys = ["unit", "ref", "alt", "drawn"]
+    x = x.select(*keys, "sim")
+    each = x.select(*keys).distinct().join(units, "unit").withColumn("start", F.lit(0).cast("long"))
+    each = annotate(each, at=F.col("drawn")).where("effect is not null").withColumn("kind", F.lit("indel"))
+    each = statistic.with_value(each.withColumn("kept_", _kept(test)), keys).select(*keys, "kept_", "value")
+    value = F.sum(F.when(F.col("kept_"), F.col("value")))
+    return x.join(each, keys).groupBy("unit", "sim").agg(F.count("*").alias("placed"), F.count_if("kept_").alias("kept"), value.alias("sum"))
+
+
+def run_test(variants: DataFrame, test: Test, statistic, simulations: int = 10_000, seed: int = sampling.SEED, waves: tuple[int, ...] = WAVES) -> DataFrame:
+    """unit, the statistic and pvalue. variants: annotated, with unit and the transcript's columns.
+
+    A unit has a row if it has a substitution, or an indel that decay leaves. Substitutions are
+    simulated if decay leaves one of them (for tests without indels, always), indels likewise; all of
+    a kind are then drawn. A statistic of zero has p 1 (for energies, one that isn't positive). The
+    result is one row per unit, computed when this returns."""
     col = test.column
-    chosen = eligible(variants, test)
-    counts = chosen.groupBy("unit").agg(F.count("*").alias("_n"))
-    seen = statistic(chosen.where(_kept(test)), ["unit"], col)
-    seen = counts.join(seen, "unit", "left").na.fill(0).cache()
+    chosen = cut(eligible(variants, test).withColumn("_kept", _kept(test)))
+    is_sub, kept = F.col("kind") == "sub", F.col("_kept")
+    counts = chosen.groupBy("unit").agg(F.count("*").alias("_n"), F.max(is_sub).alias("_sub"), F.max(is_sub & kept).alias("_draws_sub"), F.max(~is_sub & kept).alias("_draws_indel"))
+    if not test.indels:
+        counts = counts.withColumn("_draws_sub", F.col("_sub"))
+    seen = counts.where("_sub or _draws_indel").join(statistic.observed(chosen.where("_kept"), col), "unit", "left").na.fill(0)
     idle = F.col(col) <= 0 if col == "ddg_avg" else F.col(col) == 0
-    active = seen.where(~idle).select("unit", F.col(col).alias("_obs"), "_n")
+    for extra in test.extra:
+        seen = seen.withColumn(extra, F.when(idle, 0).otherwise(F.col(extra)))
+    seen = cut(seen)
+    active = seen.where(~idle).select("unit", F.col(col).alias("_obs"), "_n", "_draws_sub", "_draws_indel", F.lit(0).cast("long").alias("_hits"))
+    units = chosen.join(active.select("unit"), "unit", "left_semi").select(*_columns(chosen)).dropDuplicates(["unit"])
+    units = cut(units)
+    subs = chosen.where("kind = 'sub'").join(active.where("_draws_sub").select("unit"), "unit", "left_semi")
+    base = cut(_substitution_base(subs, units, test).join(substitution_table(units, test, statistic), "unit"))
+    indels = chosen.where("kind = 'indel'").join(active.where("_draws_indel").select("unit"), "unit", "left_semi")
     ends = [*[w for w in waves if w < simulations], simulations] if test.early else [simulations]
-    sims, start = None, 0
+    done, start = [], 0
     for end in ends:
-        mine = chosen.join(active.select("unit"), "unit", "left_semi")
-        drawn = simulate(mine, tx, test, start, end, seed).persist()  # read by the count and the statistic
-        placed = drawn.groupBy("unit", "sim").agg(F.count("*").alias("_m"))
-        got = statistic(drawn.where(_kept(test)), ["unit", "sim"], col)
+        mine = active.select("unit")
+        sums = _substitution_sums(base.join(mine, "unit", "left_semi"), statistic, start, end, seed)
+        if statistic.distinct:
+            mean = F.aggregate("sum", F.lit(0.0), lambda a, e: a + e["value"]) / F.size("sum")
+            sums = sums.withColumn("sum", F.when(F.size("sum") > 0, mean))
+        if test.indels:
+            more = _indel_sums(indels.join(mine, "unit", "left_semi"), units, test, statistic, start, end, seed)
+            sums = sums.unionByName(more).groupBy("unit", "sim").agg(*(F.sum(c).alias(c) for c in ("placed", "kept", "sum")))
         grid = active.withColumn("sim", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
-        got = grid.join(placed, ["unit", "sim"], "left").join(got, ["unit", "sim"], "left")
-        value = F.coalesce(F.col(col), F.lit(0.0))
-        value = value * F.col("_n") / F.col("_m") if test.adjust else value
+        got = grid.join(sums, ["unit", "sim"], "left")
+        value = F.coalesce(F.col("sum"), F.lit(0.0))
+        value = value * (F.col("_n") / F.col("placed")) if test.adjust else value
         hit = (value <= F.col("_obs")) if test.side == "<=" else (value >= F.col("_obs"))
-        empty = F.col("_m").isNull()  # nothing could be placed: counts as a hit
-        wave = got.select("unit", "sim", (empty | F.coalesce(hit, F.lit(True))).alias("hit")).cache()
-        sims = wave if sims is None else sims.union(wave)
-        if test.early and end != ends[-1]:
-            done = sims.groupBy("unit").agg(F.count_if("hit").alias("h")).where(F.col("h") >= EARLY_STOP)
-            active = active.join(done, "unit", "left_anti").cache()
-            if active.isEmpty():
-                break
+        empty = F.coalesce(F.col("kept"), F.lit(0)) == 0
+        hit = F.coalesce(hit, F.lit(False)) if not test.empty_hits else empty | F.coalesce(hit, F.lit(True))
+        got = got.select(*active.columns, "sim", hit.cast("int").alias("hit"))
+        run = F.sum("hit").over(Window.partitionBy("unit").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0))
+        got = got.withColumn("_run", F.col("_hits") + run)
+        stop = F.min(F.when(F.col("_run") >= EARLY_STOP, F.col("sim") + 1)) if test.early else F.lit(None).cast("int")
+        state = got.groupBy(*active.columns).agg(F.sum("hit").alias("_new"), stop.alias("_stop"))
+        state = cut(state)  # one row per unit
+        last = F.lit(True) if end == ends[-1] else F.col("_stop").isNotNull()
+        hits = F.col("_hits") + F.col("_new")
+        ran = F.when(F.col("_stop").isNotNull(), F.lit(EARLY_STOP) / F.col("_stop")).otherwise(hits / F.lit(end))
+        done.append(state.where(last).select("unit", ran.alias("pvalue")))
+        active = state.where(~last).withColumn("_hits", hits).drop("_new", "_stop")
+        if end != ends[-1] and active.isEmpty():
+            break
         start = end
-    p = early_stopped_pvalue(sims, "hit", "sim", ["unit"]) if test.early else empirical_pvalue(sims, "hit", ["unit"])
-    return seen.join(p.select("unit", "pvalue"), "unit", "left").select("unit", col, F.coalesce("pvalue", F.lit(1.0)).alias("pvalue"), *test.extra)
+    p = done[0]
+    for more in done[1:]:
+        p = p.unionByName(more)
+    return cut(seen.join(p, "unit", "left").select("unit", col, F.coalesce("pvalue", F.lit(1.0)).alias("pvalue"), *test.extra))
 
 
 def shape(result: DataFrame, variants: DataFrame, test: Test) -> DataFrame:
     """The result table: gene, statistic, pvalue, counts, average position and qvalue."""
     info = variants.groupBy("unit").agg(F.first("gene").alias("gene"), F.count("*").alias("total_muts"), aggregates.average_position(F.col("aa_off"), F.length("cds")).alias("average position"))
     out = result.join(info, "unit").select("gene", test.column, "pvalue", *test.extra, "total_muts", "average position")
-    return bh_fdr(out.persist())  # one row per unit, read twice
+    return bh_fdr(cut(out))  # one row per unit, read twice

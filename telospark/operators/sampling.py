@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import context, trinucleotide
+from telospark.functions.sequences import GENETIC_CODE, context, trinucleotide
+from telospark.operators.annotate import STARTS
 
 SEED = 101
 
@@ -51,12 +52,33 @@ def unseen(slotted: DataFrame, positions: DataFrame) -> DataFrame:
     return slotted.join(positions, ["transcript_id", "context"], "left_anti")
 
 
-def snv_effects(tx: DataFrame) -> DataFrame:
-    """Every substitution of every coding base, annotated once: transcript_id, drawn, cds_alt,
-    cds_ref, effect, aa_off, mut_protein. Draws are joined to it instead of annotated one by one."""
-    from telospark.operators.annotate import annotate
-
-    each = tx.select("*", F.explode(F.sequence(F.lit(0), F.length("cds") - 1)).alias("drawn")).withColumn("alt", F.explode(F.array(*map(F.lit, "ACGT"))))
-    each = each.withColumn("cds_ref", F.substring(F.col("cds"), F.col("drawn") + 1, F.lit(1))).where("cds_ref <> alt").withColumn("cds_alt", F.col("alt"))
-    each = each.withColumns({"ref": F.col("cds_ref"), "start": F.lit(0).cast("long"), "strand": F.lit("+")})
-    return annotate(each, at=F.col("drawn")).select("transcript_id", "drawn", "cds_ref", "cds_alt", "effect", "aa_off", "mut_protein")
+def _residue(codon: Column) -> Column:
+    """Amino acid of a codon, '*' for stops, X for unknown ones: its place in the code's order."""
+    at = [F.position(F.substring(codon, i, 1), F.lit("TCAG")) for i in (1, 2, 3)]
+    known = (F.length(codon) == 3) & (F.least(*at) > 0)
+    return F.when(known, F.substring(F.lit(GENETIC_CODE), 16 * at[0] + 4 * at[1] + at[2] - 20, F.lit(1))).otherwise(F.lit("X"))
+
+
+def snv_effects(tx: DataFrame, key: str = "transcript_id", carried: list[str] | None = None) -> DataFrame:
+    """Every substitution of every coding base, worked out once from its codon: the key (and what is
+    carried), drawn, cds_ref, cds_alt, effect, aa_off and short. Rows whose base is the reference
+    have a null effect. Equal to annotate(), without making a mutant protein for each."""
+    keep = list(dict.fromkeys([key, *(carried or [])]))
+    each = tx.where(F.length("cds") > 0).select(*dict.fromkeys([*keep, "cds", "protein"]), F.explode(F.sequence(F.lit(0), F.length("cds") - 1)).alias("drawn"))
+    each = each.withColumn("cds_ref", F.substring(F.col("cds"), F.col("drawn") + 1, F.lit(1))).withColumn("cds_alt", F.explode(F.array(*map(F.lit, "ACGT"))))
+    i = F.floor(F.col("drawn") / 3).cast("int")
+    old, at = F.substring(F.col("cds"), 3 * i + 1, F.lit(3)), F.col("drawn") - 3 * i
+    each = each.withColumns({"_i": i, "_old": old}).withColumn("_new", F.concat(F.substring(F.col("_old"), F.lit(1), at), F.col("cds_alt"), F.substring(F.col("_old"), at + 2, F.lit(3))))
+    each = each.withColumns({"_a": _residue(F.col("_old")), "_b": _residue(F.col("_new")), "_n": F.length("protein")})
+    effect = (
+        F.when((F.col("cds_ref") == F.col("cds_alt")) | F.col("protein").isNull(), F.lit(None).cast("string"))
+        .when((F.col("_i") == 0) & F.col("_new").isin(*STARTS), "AlternateStartCodon")
+        .when(F.col("_i") == 0, "StartLoss")
+        .when((F.col("_i") > F.col("_n")) | (F.col("_a") == F.col("_b")), "Silent")
+        .when(F.col("_i") == F.col("_n"), "StopLoss")
+        .when(F.col("_b") == "*", "PrematureStop")
+        .otherwise("Substitution")
+    )
+    each = each.withColumn("effect", effect).withColumn("aa_off", F.when(F.col("effect").isNotNull() & (F.col("effect") != "StartLoss"), F.col("_i")))
+    short = F.concat(F.lit("p."), F.substring(F.col("protein"), F.col("_i") + 1, F.lit(1)), (F.col("_i") + 1).cast("string"), F.col("_b"))
+    return each.withColumn("short", short).select(*keep, "drawn", "cds_ref", "cds_alt", "effect", "aa_off", "short")

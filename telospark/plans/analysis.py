@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from telospark.operators import intervals, permutation
 from telospark.operators.annotate import annotate, with_positions
 from telospark.operators.filters import allele_ok, coding_complete, collapse_genes, has_transcript, nmd_insensitive_length, truncation_eligible
+from telospark.sources.scratch import cut
 
 ORDER = ("degrons", "sites", "cterm", "nterm", "truncation", "stability")
 
@@ -30,34 +31,50 @@ def score_end(options: dict) -> str:
 
 
 def annotated(mutations: DataFrame, tx: DataFrame, mode: str = "transcript") -> tuple[DataFrame, DataFrame]:
-    """(variants with effects and transcript columns, rejected rows)."""
-    rows = mutations.where(has_transcript(F.col("transcript_id")) & allele_ok(F.col("ref"), F.col("alt")))
-    rows = collapse_genes(rows, mode)
+    """(variants with effects, unit and transcript columns, rejected rows with the reason).
+
+    Variants are annotated on their own transcript. mode 'legacy' then gives a gene its first known
+    transcript and the variants of its last one; own tells whether these are the same."""
+    named = mutations.where(has_transcript(F.col("transcript_id")))
+    rows = named.where(allele_ok(F.col("ref"), F.col("alt")))
     dims = with_positions(tx.where(coding_complete(F.col("biotype"), F.col("complete")))).drop("contig", "gene")
     out = annotate(rows.join(dims, "transcript_id"))
-    return out.where("effect is not null"), out.where("effect is null").select("gene", "transcript_id", "contig", "start", "ref", "alt")
+    site = ["gene", "transcript_id", "contig", "start", "ref", "alt"]
+    unknown = rows.join(dims.select("transcript_id"), "transcript_id", "left_anti").select(*site, F.lit("no complete coding transcript").alias("reason"))
+    rejected = out.where("effect is null").select(*site, F.lit("doesn't fit the transcript").alias("reason")).unionByName(unknown)
+    good = out.where("effect is not null")
+    if mode == "legacy":
+        known = named.join(tx.select("transcript_id"), "transcript_id", "left_semi").groupBy("gene").agg(F.min("transcript_id").alias("_first"), F.max("transcript_id").alias("_last"))
+        good = collapse_genes(good, mode, known).drop(*(c for c in dims.columns if c != "transcript_id")).join(dims, "transcript_id")
+    else:
+        good = collapse_genes(good, mode)
+    return good, rejected
 
 
 def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_000, spans: DataFrame | None = None, models: tuple | None = None, energies: DataFrame | None = None, side: str = "lesser", mode: str = "transcript", seed: int = 101) -> DataFrame:
-    """The result table of one analysis."""
+    """The result table of one analysis; 'degrons_simple' is the older test of substitutions alone."""
     variants, _ = annotated(mutations, tx, mode)
-    if name == "degrons":
+    if name == "degrons_simple":
+        variants = intervals.with_key(variants, spans, "gene")
+        test, statistic = permutation.DEGRON_LEGACY, permutation.Overlap()
+    elif name == "degrons":
         variants = intervals.with_key(variants, spans, "gene")
-        test, statistic = permutation.DEGRON, permutation.overlap_statistic
+        test, statistic = permutation.DEGRON, permutation.Overlap()
     elif name == "sites":
         variants = intervals.with_key(variants, spans, "transcript_id")
-        test, statistic = permutation.SITE, permutation.overlap_statistic
+        test, statistic = permutation.SITE, permutation.Overlap()
     elif name in ("cterm", "nterm"):
-        test, statistic = permutation.TERMINAL, permutation.potential_statistic(*models, name)
+        test, statistic = permutation.TERMINAL, permutation.Potential(*models, name)
     elif name == "truncation":
         variants = variants.where(truncation_eligible(F.length("protein"), nmd_insensitive_length(F.col("ranges"))))
         test = permutation.TRUNCATION if side == "lesser" else permutation.TRUNCATION_GREATER
-        statistic = permutation.truncation_statistic
+        statistic = permutation.Truncations()
     elif name == "stability":
         variants = variants.join(energies.select("gene").distinct(), "gene", "left_semi")
-        test, statistic = permutation.STABILITY, permutation.energy_statistic(energies)
+        test, statistic = permutation.STABILITY, permutation.Energy(energies)
     else:
         raise ValueError(f"no analysis named {name}")
-    variants = variants.cache()
-    dims = with_positions(tx).join(variants.select("transcript_id").distinct(), "transcript_id", "left_semi")
-    return permutation.shape(permutation.run_test(variants, dims, test, statistic, simulations, seed), variants, test)
+    keep = [c for c in variants.columns if c not in ("genome", "stop_positions", "biotype", "complete")]
+    variants = cut(variants.select(*keep))
+    result = permutation.run_test(variants, test, statistic, simulations, seed)
+    return permutation.shape(result, variants, test)

@@ -134,6 +134,132 @@ def test_permutation_finds_a_cluster(spark):
     assert analysis.route({"sites": "x", "cterm": "y"}) == "sites"
 
 
+def _transcript(rng, name, gene, codons=40, strand="+", utr3="GCCTAAGC"):
+    some = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in ("TAA", "TAG", "TGA")]
+    cds = "ATG" + "".join(rng.choice(some) for _ in range(codons - 2)) + rng.choice(["TAA", "TAG", "TGA"])
+    n = len(cds) - 3
+    # two exons; the last one has 30 bases, so stops before its last 50 bases upstream decay
+    return (name, gene, "1", strand, "protein_coding", True, cds, utr3, [{"start": 1, "end": n - 30}, {"start": n + 71, "end": n + 100}], [n + 101, n + 102, n + 103])
+
+
+def _transcripts(spark, rows):
+    return spark.createDataFrame(rows, tables.TRANSCRIPT_SCHEMA).withColumn("protein", sequences.protein_of(F.col("cds")))
+
+
+MUTATION = "gene string, transcript_id string, contig string, start long, ref string, alt string"
+
+
+def test_codon_effects_equal_annotation(spark):
+    """Every substitution by its codon, and by its mutant protein."""
+    rng = random.Random(3)
+    tx = _transcripts(spark, [_transcript(rng, f"T{i}", "G") for i in range(4)])
+    got = sampling.snv_effects(tx)
+    each = got.select("transcript_id", "drawn", F.col("cds_ref").alias("ref"), F.col("cds_alt").alias("alt")).where("ref <> alt").join(tx, "transcript_id").withColumn("strand", F.lit("+"))
+    want = annotate.annotate(each, at=F.col("drawn")).select("transcript_id", "drawn", F.col("alt").alias("cds_alt"), F.col("effect").alias("e"), F.col("aa_off").alias("o"), F.col("mut_protein").alias("m"), F.col("short").alias("s"))
+    rows = got.where("cds_ref <> cds_alt").join(want, ["transcript_id", "drawn", "cds_alt"]).collect()
+    assert len(rows) == 4 * 120 * 3
+    for r in rows:
+        assert (r.effect, r.aa_off) == (r.e, r.o), r
+        assert r.effect != "Substitution" or r.short == r.s
+        assert r.effect != "PrematureStop" or len(r.m) == r.aa_off
+    assert got.where("cds_ref = cds_alt and effect is not null").count() == 0
+
+
+def test_units_need_variants_that_decay_leaves(spark):
+    """Only decaying indels: no row. Only decaying stops: a row of zero. Mixed: simulated by class."""
+    rng = random.Random(6)
+    rows = {k: _transcript(rng, f"T{k}", k, codons=300) for k in ("indels", "stops", "mixed")}
+    muts = []
+    for k, r in rows.items():
+        cds = r[6]
+        if k in ("indels", "mixed"):
+            muts += [(k, f"T{k}", "1", 10 + i, cds[9 + i], "") for i in range(5)]  # early frameshifts
+        if k == "mixed":
+            muts += [(k, f"T{k}", "1", p + 1, cds[p], "ACGT"["ACGT".index(cds[p]) - 1]) for p in range(30, 36)]
+    stop = rows["stops"][6]
+    for p in range(3, 60):
+        for b in "ACGT":
+            codon = stop[p - p % 3 : p] + b + stop[p + 1 : p - p % 3 + 3]
+            if b != stop[p] and codon in ("TAA", "TAG", "TGA"):
+                muts.append(("stops", "Tstops", "1", p + 1, stop[p], b))
+    assert any(m[0] == "stops" for m in muts)
+    tx, m = _transcripts(spark, list(rows.values())), spark.createDataFrame(muts, MUTATION)
+    spans = spark.createDataFrame([(k, 1, 300) for k in rows], "key string, start int, end int")
+    got = {r.gene: r for r in analysis.run("degrons", m, tx, 60, spans=spans).collect()}
+    assert "indels" not in got
+    assert (got["stops"].num_degron_muts, got["stops"].pvalue) == (0, 1.0)
+    assert got["mixed"].num_degron_muts >= 1 and got["mixed"].total_muts == 11
+    cut = {r.gene: r for r in analysis.run("truncation", m, tx, 60).collect()}
+    assert "indels" not in cut and cut["stops"].pvalue == 1.0
+
+
+def test_sites_equal_a_plain_simulation(spark):
+    """The same draws, one by one in Python: statistic and p-value are equal."""
+    import hashlib
+
+    rng = random.Random(12)
+    rows = [_transcript(rng, f"T{i}", f"g{i}") for i in range(5)]
+    muts = []
+    for r in rows:
+        cds = r[6]
+        places = rng.sample(range(3, 86), 6)
+        muts += [(r[1], r[0], "1", p + 1, cds[p], rng.choice([b for b in "ACGT" if b != cds[p]])) for p in places]
+    spans = spark.createDataFrame([(r[0], 6, 16) for r in rows], "key string, start int, end int")
+    tx = _transcripts(spark, rows)
+    out = {r.gene: r for r in analysis.run("sites", spark.createDataFrame(muts, MUTATION), tx, 700, spans=spans).collect()}
+    code = dict(zip([a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"], sequences.GENETIC_CODE))
+    for r in rows:
+        cds, name = r[6], r[0]
+        tri = lambda p: cds[max(p - 1, 0)] + cds[p] + cds[min(p + 1, len(cds) - 1)]
+        mine = sorted(((tri(m[3] - 1), m[3], m[4], m[5]) for m in muts if m[1] == name))
+        size = len(cds) // 3 - 1
+        safe = 30 / 3 + 50 / 3
+
+        def hit(p, b):
+            i = p // 3
+            codon = cds[3 * i : 3 * i + 3]
+            new = codon[: p % 3] + b + codon[p % 3 + 1 :]
+            if i == 0 or i >= size or code[new] == code[codon]:
+                return 0
+            if code[new] == "*":
+                return int(i + 1 < 16 and (i > size - safe or i == 0))
+            return int(6 <= i + 1 <= 16)
+
+        seen = sum(hit(s - 1, b) for _, s, _, b in mine)
+        places = {}
+        for p in range(len(cds)):
+            places.setdefault(tri(p), []).append(p)
+        hits = n = 0
+        if seen:
+            for sim in range(700):
+                total = 0
+                for slot, (t, _, _, b) in enumerate(mine):
+                    x = int(hashlib.md5(f"101|{name}|{t}|{sim}|{slot}".encode()).hexdigest()[:8], 16)
+                    total += hit(places[t][x % len(places[t])], b)
+                hits += total >= seen
+                n += 1
+                if hits == 100:
+                    break
+        assert out[r[1]].num_site_muts == seen
+        assert out[r[1]].pvalue == pytest.approx(hits / n if seen else 1.0), name
+
+
+def test_legacy_collapse(spark):
+    """Variants are annotated on their own transcript; substitutions of another one don't count."""
+    rng = random.Random(2)
+    a, b = _transcript(rng, "T1", "g"), _transcript(rng, "T2", "g")
+    muts = [("g", "T2", "1", p + 1, b[6][p], rng.choice([x for x in "ACGT" if x != b[6][p]])) for p in (20, 21, 40)] + [("g", "T1", "1", 5, a[6][4], "G" if a[6][4] != "G" else "C"), ("g", "T0", "1", 5, "A", "C")]
+    tx, m = _transcripts(spark, [a, b]), spark.createDataFrame(muts, MUTATION)
+    got, rejected = analysis.annotated(m, tx, "legacy")
+    rows = got.collect()
+    assert len(rows) == 3 and {r.transcript_id for r in rows} == {"T1"} and {r.cds for r in rows} == {a[6]} and not any(r.own for r in rows)
+    assert [r.transcript_id for r in rejected.collect()] == ["T0"]
+    spans = spark.createDataFrame([("g", 1, 40)], "key string, start int, end int")
+    assert analysis.run("degrons", m, tx, 20, spans=spans, mode="legacy").collect() == []
+    simple = analysis.run("degrons_simple", m, tx, 20, spans=spans).collect()
+    assert len(simple) == 2 and all(0 < r.pvalue <= 1 for r in simple)
+
+
 def test_training_learns_and_repeats(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.random((400, 20))
