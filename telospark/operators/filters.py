@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telospark.sources.scratch import cut
+
 # Fixed values.
 SUBSTITUTIONS = ("Substitution", "Silent", "AlternateStartCodon", "PrematureStop", "StartLoss", "StopLoss")
 INDELS = ("Deletion", "Insertion", "FrameShift")
@@ -38,6 +40,10 @@ def is_indel(effect: Column, ref: Column, alt: Column) -> Column:
     return effect.isin(*INDELS) & (F.length(ref) != F.length(alt))
 
 
+def is_truncation(effect: Column) -> Column:
+    return effect.isin(*TRUNCATIONS)
+
+
 def nmd_insensitive_length(ranges: Column) -> Column:
     """Residues at the end whose stops escape decay: last coding exon and 50 bases before it."""
     tail = F.element_at(ranges, -1)
@@ -90,10 +96,17 @@ def collapse_genes(df: DataFrame, mode: str = "transcript", ends: DataFrame | No
 
 def two_sided_trim(df: DataFrame, order: list, t: int) -> DataFrame:
     """Rows left after dropping the first and last t in the given order."""
-    w = Window.orderBy(*order)
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("_r", F.row_number().over(w)).withColumn("_n", n).where((F.col("_r") > t) & (F.col("_r") <= F.col("_n") - t)).drop("_r", "_n")
+    n = df.agg(F.count("*").alias("_n"))  # one row
+    return rank_rows(df, order, "_r").join(F.broadcast(n)).where((F.col("_r") > t) & (F.col("_r") <= F.col("_n") - t)).drop("_r", "_n")
 
 
 def rank_rows(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    """df with its row number in the given order, from 1. Rows are dealt by ranges of the order and
+    numbered there; a range begins where those before it end, so no task sees all rows. The ranges
+    are computed when this returns."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    base = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.withColumn("_in", within).join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")

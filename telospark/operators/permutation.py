@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from telospark.functions.stats import EARLY_STOP, bh_fdr
 from telospark.operators import aggregates, intervals, sampling
 from telospark.operators.annotate import annotate
-from telospark.operators.filters import TRUNCATIONS, hits_terminus, is_indel, is_substitution, nmd_insensitive_length, nmd_kept, nonsense_kept
+from telospark.operators.filters import hits_terminus, is_indel, is_substitution, is_truncation, nmd_insensitive_length, nmd_kept, nonsense_kept
 from telospark.sources.scratch import cut
 
 #: Ends of the waves before the last.
@@ -83,7 +83,7 @@ class Truncations(Overlap):
     """Number of truncating variants."""
 
     def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("value", F.col("effect").isin(*TRUNCATIONS).cast("double"))
+        return df.withColumn("value", is_truncation(F.col("effect")).cast("double"))
 
 
 class Energy:

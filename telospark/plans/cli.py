@@ -18,7 +18,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("test", "score"):
         s = sub.add_parser(name)
         s.add_argument("-i", "--input", required=True, help="mutations")
-        s.add_argument("-x", "--transcripts", required=True, help="transcripts (Parquet)")
+        s.add_argument("-x", "--transcripts", required=True, help="transcripts: Parquet, or GTF and cDNA FASTA, comma-separated")
+        s.add_argument("--chromosome", help="only mutations of this chromosome")
+        s.add_argument("--mode", choices=("transcript", "legacy"), default="transcript", help="what a test is about: each transcript, or a gene's first")
+        s.add_argument("--rejects", help="also write the mutations that can't be annotated")
         s.add_argument("-e", "--release", type=int)
         s.add_argument("-c", "--cterm", help="two model paths, comma-separated")
         s.add_argument("-n", "--nterm", help="two model paths, comma-separated")
@@ -26,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     sub.choices["score"].add_argument("--raw", action="store_true")
     t = sub.choices["test"]
     t.add_argument("-d", "--degrons")
+    t.add_argument("--simple", action="store_true", help="with --degrons: substitutions alone, without decay and early stop")
     t.add_argument("-s", "--sites")
     t.add_argument("-f", "--flank", type=int, default=0)
     t.add_argument("-t", "--truncation", action="store_true")
@@ -45,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-i", "--input", required=True)
     s.add_argument("-t", "--type", choices=("cterm", "nterm"), required=True)
     s.add_argument("-k", "--top", type=int)
+    s.add_argument("-q", "--quad", action="store_true", help="also motifs of four residues")
     s.add_argument("-o", "--output", required=True)
     return p
 
@@ -58,13 +63,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     o = vars(parser().parse_args(args))
     spark = spark or SparkSession.builder.appName("telospark").getOrCreate()
     if o["command"] in ("test", "score"):
-        muts, tx = tables.mutations(spark, o["input"]), tables.transcripts(spark, o["transcripts"], o["release"])
+        muts, given = tables.mutations(spark, o["input"], o["chromosome"]), o["transcripts"].split(",")
+        tx = tables.annotation(spark, *given) if len(given) == 2 else tables.transcripts(spark, *given, o["release"])
+        if o["rejects"]:
+            tables.write(analysis.annotated(muts, tx, o["mode"])[1], o["rejects"])
     if o["command"] == "test":
         name = analysis.route(o)
         spans = tables.intervals(spark, o["degrons"]) if name == "degrons" else tables.sites(spark, o["sites"], o["flank"]) if name == "sites" else None
         models = _models(spark, o[name]) if name in ("cterm", "nterm") else None
         energies = tables.energies(spark, o["stability"]) if name == "stability" else None
-        tables.write(analysis.run(name, muts, tx, o["simulations"], spans, models, energies, o["side"], seed=o["seed"]), o["output"])
+        name = "degrons_simple" if name == "degrons" and o["simple"] else name
+        tables.write(analysis.run(name, muts, tx, o["simulations"], spans, models, energies, o["side"], o["mode"], o["seed"]), o["output"])
     elif o["command"] == "score":
         end = analysis.score_end(o)
         variants, _ = analysis.annotated(muts, tx)
@@ -90,6 +99,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             raise SystemExit("no knee found; give --top")
         tables.write(motifs.dimotifs(df, int(top), o["type"]).orderBy("pvalue", "motif"), f"{o['output']}/dimotif")
         tables.write(motifs.chain_motifs(df, 3, int(top), o["type"]).orderBy("pvalue", "motif"), f"{o['output']}/trimotif")
+        if o["quad"]:
+            tables.write(motifs.chain_motifs(df, 4, int(top), o["type"]).orderBy("pvalue", "motif"), f"{o['output']}/quadmotif")
 
 
 if __name__ == "__main__":

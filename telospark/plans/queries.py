@@ -177,25 +177,33 @@ def position_onehot(spark, sf_dir):
 _WIDTHS = [(s, d, features.feature_width(s, d)) for s in (0, 6, 12, 18, 23) for d in (False, True)]
 
 
-@query("SELECT doc_id, CAST(s AS INTEGER) AS split, CAST(d AS BOOLEAN) AS dinuc, CAST(CASE WHEN s = 0 THEN 20 ELSE CASE WHEN s < 23 THEN 20 ELSE 0 END + 20 * s + CASE WHEN d = 1 THEN 400 ELSE 0 END END AS INTEGER) AS width FROM (SELECT doc_id, unnest([0, 6, 12, 18, 23]) AS s FROM documents WHERE doc_id < 5) CROSS JOIN (SELECT unnest([0, 1]) AS d)")
+@query("SELECT doc_id, CAST(s AS INTEGER) AS split, CAST(d AS BOOLEAN) AS dinuc, CAST(CASE WHEN s = 0 THEN 20 ELSE CASE WHEN s < 23 THEN 20 ELSE 0 END + 20 * s + CASE WHEN d = 1 THEN 400 ELSE 0 END END AS INTEGER) AS width FROM (SELECT doc_id, unnest([0, 6, 12, 18, 23]) AS s FROM documents) CROSS JOIN (SELECT unnest([0, 1]) AS d)")
 def feature_width(spark, sf_dir):
-    """One peptide per setting is enough here: widths depend on the settings alone."""
-    five = peptides(spark, sf_dir).where("doc_id < 5")
     each = [F.struct(F.lit(s).alias("split"), F.lit(d).alias("dinuc"), F.size(features.terminal_features(F.col("peptide"), s, d, end)).alias("width")) for (s, d, _), end in zip(_WIDTHS, ["cterm", "nterm"] * 5)]
-    return five.select("doc_id", F.explode(F.array(*each)).alias("s")).select("doc_id", "s.*")
+    return peptides(spark, sf_dir).select("doc_id", F.explode(F.array(*each)).alias("s")).select("doc_id", "s.*")
 
 
 # Filters
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE NOT contains(n_name, 'N') AND length(n_name) <= 10")
+ALLELES = "(SELECT doc_id, CAST(doc_id % 5 + 1 AS VARCHAR) AS contig, translate(substr(md5('a' || doc_id), 1, CAST(1 + doc_id % 14 AS INTEGER)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS ref, translate(substr(md5('b' || doc_id), 1, 2), '0123456789abcdef', 'ACGTACGTACGTACGN') AS alt FROM documents)"
+
+
+def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contig, and alleles of 1 to 14 letters, some with N."""
+    base = lambda prefix, n: F.translate(F.substring(md5(prefix), F.lit(1), n), "0123456789abcdef", "ACGTACGTACGTACGN")
+    x = load(spark, sf_dir, "documents")
+    return x.select("doc_id", (F.col("doc_id") % 5 + 1).cast("string").alias("contig"), base("a", (1 + F.col("doc_id") % 14).cast("int")).alias("ref"), base("b", F.lit(2)).alias("alt"))
+
+
+@query(f"SELECT doc_id, ref, alt FROM {ALLELES} WHERE NOT contains(ref, 'N') AND NOT contains(alt, 'N') AND length(ref) <= 10")
 def allele_filter(spark, sf_dir):
-    return load(spark, sf_dir, "nation").where(filters.allele_ok(F.col("n_name"), F.lit("A"))).select("n_nationkey", "n_name")
+    return alleles(spark, sf_dir).where(filters.allele_ok(F.col("ref"), F.col("alt"))).select("doc_id", "ref", "alt")
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE r_name = 'ASIA'")
+@query(f"SELECT doc_id, contig FROM {ALLELES} WHERE contig = '3'")
 def chrom_filter(spark, sf_dir):
-    return load(spark, sf_dir, "region").where(F.col("r_name") == "ASIA").select("r_regionkey", "r_name")
+    return tables.on_contig(alleles(spark, sf_dir), "3").select("doc_id", "contig")
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_size / 10.0 < 2.5 THEN 1 ELSE 0 END AS INTEGER) AS y FROM part")
@@ -227,7 +235,7 @@ def terminal_filter(spark, sf_dir):
 
 @query(f"SELECT {EFFECT} IN ('FrameShift', 'PrematureStop', 'StopLoss') AS truncating, count(*) AS n FROM lineitem GROUP BY 1")
 def class_partition(spark, sf_dir):
-    x = effects(spark, sf_dir).withColumn("truncating", F.col("effect").isin(*filters.TRUNCATIONS))
+    x = effects(spark, sf_dir).withColumn("truncating", filters.is_truncation(F.col("effect")))
     return x.groupBy("truncating").agg(F.count("*").alias("n"))
 
 
@@ -282,16 +290,19 @@ def flank_sites(spark, sf_dir):
     return tables.flank_sites(x, 3)
 
 
-@query("SELECT l_partkey AS key, len(list(l_linenumber)) AS n, list_sort(list(DISTINCT l_linenumber))[1] AS low FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS key, CAST(len(list(DISTINCT (l_linenumber, l_quantity))) AS BIGINT) AS n, min(l_linenumber) AS low, CAST(max(l_quantity) AS INTEGER) AS last_end FROM lineitem GROUP BY 1")
 def collect_intervals(spark, sf_dir):
-    x = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.collect_list("l_linenumber").alias("x"))
-    return x.select("key", F.size("x").cast("long").alias("n"), F.array_min("x").alias("low"))
+    x = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_linenumber").alias("start"), F.col("l_quantity").cast("int").alias("end"))
+    x = intervals.merged(x)
+    return x.select("key", F.size("spans").cast("long").alias("n"), F.array_min(F.transform("spans", lambda r: r["start"])).alias("low"), "last_end")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+@query("SELECT l_orderkey, l_linenumber, p_size AS low FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40")
 def membership_filter(spark, sf_dir):
-    big = load(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    return load(spark, sf_dir, "lineitem").join(big, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+    """Rows whose key has intervals."""
+    big = load(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("start"), (F.col("p_size") + 5).alias("end"))
+    x = intervals.with_key(load(spark, sf_dir, "lineitem"), big, "l_partkey")
+    return x.select("l_orderkey", "l_linenumber", F.col("spans")[0]["start"].alias("low"))
 
 
 def _energies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

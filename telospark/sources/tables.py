@@ -26,7 +26,11 @@ def mutations(spark: SparkSession, path: str, contig: str | None = None, samples
     if samples and "Tumor_Sample_Barcode" in df.columns:
         cols.append(F.col("Tumor_Sample_Barcode").alias("sample"))
     df = df.select(*cols)
-    return df.where(F.col("contig") == contig) if contig else df
+    return on_contig(df, contig) if contig else df
+
+
+def on_contig(df: DataFrame, contig: str) -> DataFrame:
+    return df.where(F.col("contig") == contig)
 
 
 def transcripts(spark: SparkSession, path: str, release: int | None = None) -> DataFrame:
@@ -38,6 +42,49 @@ def transcripts(spark: SparkSession, path: str, release: int | None = None) -> D
     return df if "protein" in df.columns else df.withColumn("protein", protein_of(F.col("cds")))
 
 
+def _attribute(name: str) -> Column:
+    return F.regexp_extract("attributes", rf'(?:^|;)\s*{name} "([^"]*)"', 1)
+
+
+def annotation(spark: SparkSession, gtf: str, cdna: str) -> DataFrame:
+    """The transcript dimension (TRANSCRIPT_SCHEMA and protein) from an annotation in GTF and the
+    transcripts' sequences in FASTA (cDNA: exons joined, 5' to 3'). Versions of ids are dropped.
+
+    The coding sequence begins at the start codon, holds the coding exons and ends with the stop
+    codon; what follows is utr3. complete: a start codon, a stop codon of three bases and a length
+    of whole codons. Transcripts without coding exons or without a sequence are left out."""
+    names = ("contig", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
+    lines = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema(", ".join(f"`{n}` string" for n in names)).csv(gtf)
+    lines = lines.where(F.col("feature").isin("exon", "CDS", "start_codon", "stop_codon"))
+    biotype = F.coalesce(*(F.nullif(_attribute(n), F.lit("")) for n in ("transcript_biotype", "transcript_type", "gene_biotype", "gene_type")))
+    gene = F.coalesce(F.nullif(_attribute("gene_name"), F.lit("")), _attribute("gene_id"))
+    at = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = lines.select("contig", "strand", "feature", at.alias("at"), F.substring_index(_attribute("transcript_id"), ".", 1).alias("transcript_id"), gene.alias("gene"), biotype.alias("biotype"))
+    of = lambda f: F.array_sort(F.collect_set(F.when(F.col("feature") == f, F.col("at")))).alias("coding" if f == "CDS" else f)
+    tx = rows.groupBy("transcript_id").agg(*(F.first(c, True).alias(c) for c in ("gene", "contig", "strand", "biotype")), *map(of, ("exon", "CDS", "start_codon", "stop_codon")))
+    minus = F.col("strand") == "-"
+    bases = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"] + 1)
+    stops = F.flatten(F.transform("stop_codon", lambda r: F.sequence(r["start"], r["end"])))
+    body = F.flatten(F.transform("coding", lambda r: F.sequence(r["start"], r["end"])))
+    first = F.when(minus, F.array_max(F.transform("coding", lambda r: r["end"]))).otherwise(F.array_min(F.transform("coding", lambda r: r["start"])))
+    tx = tx.where(F.size("coding") > 0).withColumns({"_first": first, "stop_positions": F.array_sort(stops)})
+    ahead = F.transform("exon", lambda r: F.struct(F.when(minus, F.greatest(r["start"], F.col("_first") + 1)).otherwise(r["start"]).alias("start"), F.when(minus, r["end"]).otherwise(F.least(r["end"], F.col("_first") - 1)).alias("end")))
+    tx = tx.withColumn("_skip", bases(F.filter(ahead, lambda r: r["start"] <= r["end"])))
+    tx = tx.withColumn("_size", bases("coding") + F.size(F.array_except("stop_positions", body)))
+    records = spark.read.option("lineSep", ">").text(cdna).where(F.trim("value") != "")
+    sequence = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
+    found = records.select(F.regexp_extract("value", r"^([^\s.|]+)", 1).alias("transcript_id"), sequence.alias("_seq")).dropDuplicates(["transcript_id"])
+    tx = tx.join(found, "transcript_id")
+    cds = F.substring(F.col("_seq"), (F.col("_skip") + 1).cast("int"), F.col("_size").cast("int"))
+    tx = tx.withColumn("cds", cds).withColumn("utr3", F.substring(F.col("_seq"), (F.col("_skip") + F.col("_size") + 1).cast("int"), F.length("_seq")))
+    complete = (F.size("start_codon") > 0) & (F.size("stop_positions") == 3) & (F.length("cds") == F.col("_size")) & (F.col("_size") % 3 == 0)
+    ranges = F.when(minus, F.reverse("coding")).otherwise(F.col("coding"))
+    from telospark.functions.sequences import protein_of
+
+    out = tx.select("transcript_id", "gene", "contig", "strand", "biotype", complete.alias("complete"), "cds", "utr3", ranges.alias("ranges"), "stop_positions")
+    return out.withColumn("protein", protein_of(F.col("cds")))
+
+
 def transcripts_of_gene(tx: DataFrame, gene: str) -> DataFrame:
     """Complete protein-coding transcripts of a gene; none for an unknown one."""
     return tx.where((F.col("gene") == gene) & (F.col("biotype") == "protein_coding") & F.col("complete"))

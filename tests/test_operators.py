@@ -310,3 +310,79 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.txt").write_text("Peptide amino acid sequence\tModal Bin\tregulatory potential\tbag of amino acids\nAAA\t2.0\t0.5\tx\n")
     got = tables.peptides(spark, str(tmp_path / "p.txt"))
     assert got.columns[2:] == ["degron potential", "bag of words"] and got.first()[3] is None
+
+
+def test_annotation_files_and_command_line(spark, tmp_path):
+    """GTF and FASTA of both strands give the transcripts they were made from; the command line reads
+    them, mutations with other headers, '-' alleles and long references, and writes what it rejects."""
+    from telospark.plans import cli
+
+    rng = random.Random(21)
+    genome = "".join(rng.choice("ACGT") for _ in range(4000))
+    comp = str.maketrans("ACGT", "TGCA")
+    want, gtf, fasta = {}, ["#!genome-build toy"], []
+    for k, strand in enumerate("+-"):
+        codons = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in ("TAA", "TAG", "TGA")]
+        cds = "ATG" + "".join(rng.choice(codons) for _ in range(48)) + "TGA"
+        mrna = "GGGCC" + cds + "ACCTTTAA"
+        # exons of the mRNA: 40, 60 and the rest, with gaps of 25
+        sizes, at, exons = [40, 60, len(mrna) - 100], 100 + 1000 * k, []
+        for n in sizes if strand == "+" else sizes[::-1]:
+            exons.append((at + 1, at + n))
+            at += n + 25
+        order = exons if strand == "+" else exons[::-1]
+        place = [p for a, b in order for p in (range(a, b + 1) if strand == "+" else range(b, a - 1, -1))]
+        g = list(genome)
+        for base, p in zip(mrna, place):
+            g[p - 1] = base if strand == "+" else base.translate(comp)
+        genome = "".join(g)
+        name = f"ENST0000{k}"
+        note = f'gene_id "G{k}.2"; transcript_id "{name}.3"; gene_name "GENE{k}"; transcript_biotype "protein_coding";'
+        coding, stop = place[5 : 5 + len(cds) - 3], sorted(place[5 + len(cds) - 3 : 5 + len(cds)])
+        cut = [(max(a, min(coding)), min(b, max(coding))) for a, b in exons if max(a, min(coding)) <= min(b, max(coding))]
+        for feature, spots in (("exon", exons), ("CDS", cut), ("start_codon", [(min(coding[:3]), max(coding[:3]))]), ("stop_codon", [(stop[0], stop[-1])])):
+            gtf += ["\t".join(["7", "toy", feature, str(a), str(b), ".", strand, ".", note]) for a, b in spots]
+        fasta += [f">{name}.3 cdna chromosome:7 gene:G{k}", *[mrna[i : i + 60] for i in range(0, len(mrna), 60)]]
+        want[name] = (f"GENE{k}", strand, cds, "ACCTTTAA", place[5 : 5 + len(cds)], stop)
+    gtf.append("\t".join(["7", "toy", "exon", "3000", "3100", ".", "+", ".", 'gene_id "G9"; transcript_id "ENST9"; transcript_biotype "lncRNA";']))
+    (tmp_path / "a.gtf").write_text("\n".join(gtf) + "\n")
+    (tmp_path / "a.fa").write_text("\n".join(fasta) + "\n")
+    got = {r.transcript_id: r for r in annotate.with_positions(tables.annotation(spark, str(tmp_path / "a.gtf"), str(tmp_path / "a.fa"))).collect()}
+    assert got.keys() == want.keys()
+    for k, (gene, strand, cds, utr3, place, stop) in want.items():
+        r = got[k]
+        assert (r.gene, r.strand, r.cds, r.utr3, r.complete, r.genome, r.stop_positions) == (gene, strand, cds, utr3, True, place, stop)
+    rows = ["Tumor_Sample_Barcode\tTranscript_ID\tChromosome\tStart_Position\tHugo_Symbol\tTumor_Seq_Allele2\tReference_Allele"]
+    for k, (gene, strand, cds, _, place, _) in want.items():
+        for i in range(20, 32):
+            ref = genome[place[i] - 1]
+            rows.append(f"S{i}\t{k}\t7\t{place[i]}\t{gene}\t{'ACGT'['ACGT'.index(ref) - 1]}\t{ref}")
+        rows.append(f"S\t{k}\t7\t{place[30]}\t{gene}\t-\t{genome[place[30] - 1]}")
+        rows.append(f"S\t{k}\t7\t{place[30]}\t{gene}\t-\t{'A' * 11}")
+        rows.append(f"S\t{k}\t7\t{place[30]}\t{gene}\tC\tN")
+        rows.append(f"S\t{k}\t8\t{place[30]}\t{gene}\tC\tA")
+    rows.append("S\tENST777\t7\t5\tNONE\tC\tA")
+    (tmp_path / "m.txt").write_text("\n".join(rows) + "\n")
+    (tmp_path / "d.txt").write_text("gene\tstart\tend\nGENE0\t5\t12\nGENE1\t5\t12\n")
+    files = f"{tmp_path / 'a.gtf'},{tmp_path / 'a.fa'}"
+    cli.main(["test", "-i", str(tmp_path / "m.txt"), "-x", files, "-d", str(tmp_path / "d.txt"), "-ns", "30", "--chromosome", "7", "--rejects", str(tmp_path / "r"), "-o", str(tmp_path / "o")], spark)
+    out = {r.gene: r for r in tables.scan(spark, str(tmp_path / "o")).collect()}
+    assert out.keys() == {"GENE0", "GENE1"}
+    assert [(0 <= float(r.pvalue) <= 1, r.total_muts, float(r.num_degron_muts) >= 4) for r in out.values()] == [(True, "13", True)] * 2
+    bad = tables.scan(spark, str(tmp_path / "r")).collect()
+    assert [(r.transcript_id, r.reason) for r in bad] == [("ENST777", "no complete coding transcript")]
+    cli.main(["test", "-i", str(tmp_path / "m.txt"), "-x", files, "-d", str(tmp_path / "d.txt"), "--simple", "--mode", "legacy", "-ns", "20", "-o", str(tmp_path / "s")], spark)
+    assert tables.scan(spark, str(tmp_path / "s")).count() == 2
+
+
+def test_ranks_without_a_task_that_sees_all(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v long, i long").repartition(7)
+    got = filters.rank_rows(df, [F.desc("v"), "i"])
+    assert [(r.v, r.i) for r in got.orderBy("rank").collect()] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r["rank"] for r in got.select("rank").collect()) == list(range(1, 2001))
+    dealt = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 1500
+    assert filters.two_sided_trim(df, [F.desc("v"), "i"], 30).count() == 1940
+    assert filters.rank_rows(df.limit(0), ["v"]).collect() == []
