@@ -38,7 +38,18 @@ AUDIT = 400
 
 
 def _floats(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+    return _rows(column.to_pylist())
+
+
+def _rows(raw: list[bytes]) -> np.ndarray:
+    """Vectors of one length from their bytes: the first byte is the size of a component (4 or 8)."""
+    size = raw[0][0]
+    b = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)[:, 1:]
+    return np.ascontiguousarray(b).view(np.float32 if size == 4 else np.float64)
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -196,9 +207,10 @@ def _roots(links: np.ndarray) -> np.ndarray:
     return np.where(root < 0, np.arange(len(links)), root)
 
 
-def _spread(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
+def _spread(reps: DataFrame, centroids: dict[int, tuple[int, np.ndarray]], overlap: int) -> DataFrame:
     """id, n, v and clusters (its nearest ones, ascending) of each distinct vector; vectors of
-    dimensions without centroids form a cluster for each."""
+    dimensions without centroids form a cluster for each. centroids: by dimension, with the number
+    of the first one's cluster."""
     given = reps.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
@@ -206,7 +218,7 @@ def _spread(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
             if not b.num_rows:
                 continue
             raw = b.column(2).to_pylist()
-            dims = np.array([len(r) // 4 for r in raw])
+            dims = np.array([_length(r) for r in raw])
             out: list = [None] * len(raw)
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
@@ -214,10 +226,10 @@ def _spread(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
                     for i in rows:
                         out[i] = [-int(d)]
                     continue
-                c = given.value[int(d)]
-                s = unit(np.frombuffer(b"".join(raw[i] for i in rows), np.float32).reshape(len(rows), -1)).astype(np.float32) @ c.T
+                at, c = given.value[int(d)]
+                s = unit(_rows([raw[i] for i in rows])).astype(np.float32) @ c.T
                 k = min(overlap, len(c))
-                near = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+                near = at + np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
                 for i, z in zip(rows, near.tolist()):
                     out[i] = z
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], ["id", "n", "v", "clusters"])
@@ -236,7 +248,7 @@ def _shards(spread: DataFrame) -> DataFrame:
     return each.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "nb")
 
 
-def _search(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float, effort: int = 1) -> tuple[DataFrame, DataFrame]:
+def _search(reps: DataFrame, centroids: dict[int, tuple[int, np.ndarray]], overlap: int, threshold: float, effort: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id, links) with the weight of linked vectors, and the links' spanning forest (a, b). An
     effort of 0 compares shards exactly."""
     spread = table(_spread(reps, centroids, overlap), "spread")
@@ -301,7 +313,7 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, target: float, qu
                 if not len(rows):
                     continue
                 qi = np.array([i for i, _ in some])
-                s = unit(np.frombuffer(b"".join(v for _, v in some), np.float32).reshape(len(some), -1)) @ unit(np.frombuffer(b"".join(raw[i] for i in rows), np.float32).reshape(len(rows), -1)).T
+                s = unit(_rows([v for _, v in some])) @ unit(_rows([raw[i] for i in rows])).T
                 hit = (s >= threshold) & (qi[:, None] != ids[rows][None, :])
                 yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(hit @ weight[rows])], ["id", "true"])
 
@@ -312,23 +324,28 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, target: float, qu
 
 
 def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.95, overlap: int = 3, target: float = 0.97, tries: int = 3) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each vec_id of df.
+    """vec_id, n_links, component_id and kept of each vec_id of df, and recall: the share of links
+    that the audit's queries found (the same in all rows; 1 without links).
 
     Vectors that are null or zero or hold null or non-finite components are linked with nothing;
-    vectors of different lengths are not compared. Rows that repeat a vec_id count as one vector,
+    vectors of different lengths are not compared. Arrays of doubles are compared as doubles. Rows that repeat a vec_id count as one vector,
     the smallest valid one; rows with a null vec_id are returned unlinked, with a null component.
     Extra columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    v = F.col(vector).cast("array<float>")
+    wide = "double" in df.schema[vector].dataType.simpleString()  # kept as it is
+    kind = np.float64 if wide else np.float32
+    v = F.col(vector).cast("array<double>" if wide else "array<float>")
     good = F.col(key).isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(good, F.lit(False)), v).alias("e"))
     rows = rows.groupBy("id").agg(F.min("e").alias("e"))
 
+    head = bytes([np.dtype(kind).itemsize])
+
     def pack(batches):
         for b in batches:
             lists = b.column(1)
-            raw = [None if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(np.float32).tobytes() for x in lists]
+            raw = [None if x.values is None else head + x.values.to_numpy(zero_copy_only=False).astype(kind).tobytes() for x in lists]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "v"])
 
     packed = table(rows.mapInArrow(pack, "id long, v binary"), "vectors")
@@ -337,17 +354,16 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     sample = reps.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()  # bounded by SAMPLE
     by_dim: dict[int, list[bytes]] = {}
     for (raw,) in sample:
-        by_dim.setdefault(len(raw) // 4, []).append(bytes(raw))
+        by_dim.setdefault(_length(raw), []).append(bytes(raw))
     centroids = {}
     for d, raw in by_dim.items():
         k = min(CENTROIDS, max(1, round(total * len(raw) / len(sample) / PER_CLUSTER)))
         if len(raw) >= 8 * k or k == 1:
-            centroids[d] = _centroids(unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)), k)
+            centroids[d] = _centroids(unit(_rows(raw)), k)
     del sample, by_dim
     # One numbering of clusters over all dimensions.
-    if len(centroids) > 1:
-        main = max(centroids, key=lambda d: len(centroids[d]))
-        centroids = {main: centroids[main]}
+    first = np.cumsum([0, *(len(c) for c in centroids.values())]).tolist()
+    centroids = {d: (at, c) for (d, c), at in zip(centroids.items(), first)}
     for effort in [*(1 << i for i in range(tries)), 0]:
         counts, forest = _search(reps, centroids, overlap, threshold, effort)
         counts = cut(counts)
@@ -361,4 +377,4 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     twins = packed.join(reps, "v", "left").select(packed["id"].alias("vec_id"), reps["id"].alias("rep"), "n")
     out = twins.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(linked.toDF("rep", "_c"), "rep", "left")
     out = out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("_c", "rep", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "recall": F.lit(got / there if there else 1.0)})

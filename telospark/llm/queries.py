@@ -30,7 +30,8 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+    out = embedding_graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+    return out.select("vec_id", "n_links", "component_id", "kept")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

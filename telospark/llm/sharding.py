@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from telospark.llm.common import table
 
+#: Bytes of a part, the unit that one task sorts.
+PART = 256 << 20
 _LOW = -(1 << 63)
 _SIDE = 1 << 64
 
@@ -101,14 +103,14 @@ def _splitters(keys: DataFrame, total: int, rows: int, shards: int, parts: int,
     return [(k, *seen[k]) for k in sorted({b for b in best if b not in (0, end)})]
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", parts: int = 8, tolerance: float = 0.001, whole: float = 0.03) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", parts: int | None = None, tolerance: float = 0.001, whole: float = 0.03) -> DataFrame:
     """df with size, law ('bytes'), shard and slot: near-equal bytes in each of `shards` shards.
 
     size: UTF-8 bytes of the text (null: none) plus 8. The order is (hash of the text, doc_id), so
     copies of a text stand together; a boundary meets its quantile within `tolerance` of a
     shard or stands at the nearest place between two texts, if that is within `whole` of a shard;
     else it falls among a text's copies, by doc_id. Each shard is exchanged
-    as `parts` parts, so that no task sorts a whole shard. slot counts a shard's rows from 0.
+    as `parts` parts (8, or more for parts of about PART bytes), so that no task sorts a whole shard. slot counts a shard's rows from 0.
 
     Null texts count as one text; null doc_ids sort first; repeated rows stay together; an empty
     table gives an empty result. Extra columns pass through; new ones replace columns of their names.
@@ -117,6 +119,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
     df = df.withColumns({"__telo_h": F.xxhash64(F.col(text)), "__telo_i": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), "__telo_size": F.col("size")})
     keys = table(df.select("__telo_h", "__telo_i", "__telo_size"), "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("__telo_size"), F.lit(0)), F.count("*")).first()
+    parts = parts or max(8, -(-total // (shards * PART)))
     cuts = _splitters(keys, total, rows, shards, parts, tolerance, whole) if rows else []
     # Boundaries of shards are the cuts nearest to the shards' quantiles.
     edge = {min(range(len(cuts)), key=lambda j: abs(cuts[j][1] - total * k // shards)) for k in range(1, shards)} if cuts else set()
@@ -127,13 +130,16 @@ def shard_by_bytes(df: DataFrame, shards: int = 24, text: str = "text", key: str
         before.append(r - first)
     ph, pi = (np.array(x, np.int64) for x in zip(*(_split_key(k) for k, _, _ in cuts))) if cuts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    @F.pandas_udf("int")
+    shard_at, before_at = np.array(shard_of, np.int32), np.array(before, np.int64)
+
+    @F.pandas_udf("part int, shard int, before long")
     def part_of(h, i):
         import pandas as pd
 
-        return pd.Series(_bucket(h.to_numpy(), i.to_numpy(), ph, pi).astype(np.int32))
+        at = _bucket(h.to_numpy(), i.to_numpy(), ph, pi)
+        return pd.DataFrame({"part": at.astype(np.int32), "shard": shard_at[at], "before": before_at[at]})
 
-    lists = {"shard": F.array(*map(F.lit, shard_of)), "before": F.array(*(F.lit(int(x)).cast("long") for x in before))}
-    moved = df.withColumn("__telo_part", part_of("__telo_h", "__telo_i")).repartition(max(1, len(cuts) + 1), "__telo_part")
+    moved = df.withColumn("__telo_p", part_of("__telo_h", "__telo_i")).withColumns({"__telo_part": F.col("__telo_p.part"), "shard": F.col("__telo_p.shard"), "__telo_before": F.col("__telo_p.before")})
+    moved = moved.drop("__telo_p").repartition(max(1, len(cuts) + 1), "__telo_part")
     slot = F.row_number().over(Window.partitionBy("__telo_part").orderBy("__telo_h", "__telo_i"))
-    return moved.withColumns({"law": F.lit("bytes"), "shard": F.get(lists["shard"], F.col("__telo_part")), "slot": F.get(lists["before"], F.col("__telo_part")) + slot - 1}).drop("__telo_h", "__telo_i", "__telo_size", "__telo_part")
+    return moved.withColumns({"law": F.lit("bytes"), "slot": F.col("__telo_before") + slot - 1}).drop("__telo_h", "__telo_i", "__telo_size", "__telo_part", "__telo_before")

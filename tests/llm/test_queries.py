@@ -1,0 +1,98 @@
+"""The registered queries: contract columns on the smallest tables, SQL twins, and every stage on
+odd input."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from telospark.llm import embedding_graph, queries
+
+CONTRACT = {
+    "op1": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op2": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op3": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op4": {"doc_id": "bigint", "text": "string"},
+    "op5": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op6": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op7": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op8": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op9": {"doc_id": "bigint"},
+    "op10": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+}
+
+
+def tidy(df):
+    return df[sorted(df.columns)].sort_values(sorted(df.columns)).reset_index(drop=True)
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_contract(spark, tiny, name):
+    out = queries.QUERIES[name](spark, tiny)
+    kinds = dict(out.dtypes)
+    for c, kind in CONTRACT[name.split("_")[0]].items():
+        assert kinds.get(c) == kind, c
+    table = "embeddings" if name.startswith("op2") else "documents"
+    want = sorted(r[0] for r in spark.read.parquet(f"{tiny}/{table}.parquet").select("vec_id" if table == "embeddings" else "doc_id").collect())
+    got = sorted({r[0] for r in out.select("vec_id" if table == "embeddings" else "doc_id").collect()})
+    assert got == want if not name.startswith("op9") else set(got) <= set(want) and len(got) > len(want) / 2
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_twin(spark, tiny, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(tiny):
+        con.sql(f"create view {f[:-8]} as select * from '{tiny}/{f}'")
+    a, b = tidy(queries.QUERIES[name](spark, tiny).toPandas()), tidy(con.sql(queries.ORACLE_SQL[name]).df())
+    assert list(a.columns) == list(b.columns) and len(a) == len(b)
+    for c in a:
+        assert (a[c] == b[c]).all(), c
+
+
+def test_vectors_of_doubles_are_compared_as_doubles(spark):
+    """Components beyond the range of floats, and differences that floats don't show."""
+    rows = [(1, [1e-60, 2e-60]), (2, [2e-60, 4e-60]), (3, [1e40, 2e40]), (4, [1e300, -5e299]), (5, [-1e-300, 5e-301])]
+    got = {r.vec_id: r for r in embedding_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(1, 6)] == [(2, 1), (2, 1), (2, 1), (0, 4), (0, 5)]
+    edge = [(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95**2) ** 0.5 * (1 - 1e-12)]), (3, [0.95, -((1 - 0.95**2) ** 0.5) * (1 + 1e-9)])]
+    got = {r.vec_id: r.n_links for r in embedding_graph.near_vectors(spark.createDataFrame(edge, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Each length has clusters of its own; none is compared with another, and all links are found."""
+    import numpy as np
+
+    monkeypatch.setattr(embedding_graph, "PER_CLUSTER", 40)
+    rng, rows, want = np.random.default_rng(4), [], 0
+    for d in (8, 24):
+        x = rng.standard_normal((300, d))
+        for k in range(0, 300, 3):
+            x[k + 1] = x[k] + 0.01 * rng.standard_normal(d)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want += int((u @ u.T >= 0.95).sum()) - 300
+        rows += [(1000 * d + i, v.tolist()) for i, v in enumerate(x)]
+    got = embedding_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 600 and sum(r.n_links for r in got) >= 0.97 * want and {r.recall >= 0.97 for r in got} == {True}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_input(spark, tiny, name, stage):
+    """Null and empty texts, null ids and columns, repeated rows, and no rows at all."""
+    long = "many words of one text, " * 3000
+    rows = [(1, None, None, None, None), (2, "", "en", "src1", 0), (None, "a row without an id", "en", "src2", 19), (3, "the same row twice, with enough words", "en", "src1", 5), (3, "the same row twice, with enough words", "en", "src1", 5), (4, long, "de", "src30", len(long)), (5, "mail me: ann.lee@example.com", "en", "src1", 1)]
+    df = spark.createDataFrame(rows, ODD)
+    out = stage(spark, df, tiny)
+    if name != "best_fit_packing":
+        assert out.columns == df.columns
+    got = out.collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in rows}
+    assert stage(spark, df.limit(0), tiny).collect() == []
+    clash = df.withColumns({c: F.lit("x") for c in ("score", "predicted", "bucket", "component_id", "domain", "epoch", "start", "piece", "part", "ids", "n_entities", "_id", "_text")})
+    again = stage(spark, clash, tiny)
+    assert sorted(map(str, again.select(*out.columns).collect())) == sorted(map(str, got))
