@@ -273,14 +273,21 @@ def _search(reps: DataFrame, centroids: dict[int, tuple[int, np.ndarray]], overl
         else:
             links = compare(x, threshold)
         cluster, p, q = (t[c][0].as_py() for c in ("cluster", "p", "q"))
-        sets = [set(c) for c in t["clusters"].to_pylist()]
+        lists = t["clusters"].combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        near = np.full((len(ids), count.max()), np.iinfo(np.int32).max, np.int32)
+        near[np.repeat(np.arange(len(ids)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = lists.flatten().to_numpy()
         total = np.zeros(len(ids), np.int64)
-        for i in np.flatnonzero(links.any(axis=1)):
-            j = np.flatnonzero(links[i])
+        for at in range(0, len(ids), 64):
+            i, j = np.nonzero(links[at : at + 64])
+            i += at
             if p != q:
-                j = j[block[j] != block[i]]
-            mine = np.fromiter((min(sets[i] & sets[k]) == cluster for k in j), bool, len(j))
-            total[i] = weight[j[mine]].sum()
+                apart = block[i] != block[j]
+                i, j = i[apart], j[apart]
+            # the first cluster that both are in
+            same = (near[i][:, :, None] == near[j][:, None, :]).any(axis=2)
+            mine = np.where(same, near[i], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max) == cluster
+            total += np.bincount(i[mine], weights=weight[j[mine]], minlength=len(ids)).astype(np.int64)
         return pa.table({"id": ids, "links": total, "root": ids[_roots(links)]})
 
     if effort:
