@@ -154,11 +154,11 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
             for b in slices(batch, text):
                 raw = b.column(at).cast(pa.binary()).to_pylist()
                 out = np.empty(len(raw))
-                for s in range(0, len(raw), 1024):
-                    x = np.stack([features(t or b"", tables) for t in raw[s : s + 1024]])
+                for s in range(0, len(raw), 256):
+                    x = np.stack([features(t or b"", tables) for t in raw[s : s + 256]])
                     got = vote(x, m)
                     got[x.sum(axis=1) == 0] = m["prior"]
-                    out[s : s + 1024] = got
+                    out[s : s + 256] = got
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "score"])
         trim()
 
