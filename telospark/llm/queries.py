@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telospark.llm import embedding_graph, fingerprints, minhash, mixing, packing, pii, quality, repeats, sharding, token_files
+from telospark.llm import collocations, embedding_graph, fingerprints, licenses, minhash, mixing, packing, pii, quality, repeats, sharding, token_files
 
 SHARDS = 24
 PII_KEY = "an example key; callers bring their own secret"
@@ -83,10 +83,44 @@ def op10_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=10, most=2000)
+
+
+def op13_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes)
+    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes, op11_pattern_growth, op13_license_join)
 }
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _license_sql() -> str:
+    """Every place and every block of every text, without the filters of the join."""
+    phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({k}, '{t.label}', '{t.family}', {licenses.stride_of(len(t.text.split()))}, {_list(sorted(set(t.text.split())))})" for k, t in enumerate(licenses.TEMPLATES))
+    return (
+        "WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), "
+        f"p(q, label) AS (VALUES {phrases}), t(k, label, family, stride, own) AS (VALUES {templates}), "
+        "o AS (SELECT doc_id, i, label FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d), p WHERE w[i + 1:i + len(q)] = q), "
+        "b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS base FROM o GROUP BY doc_id), "
+        "x AS (SELECT doc_id, stride, w[i + 1:i + 2 * stride] AS block FROM (SELECT doc_id, stride, w, unnest(range(0, len(w), stride)) AS i FROM d, (SELECT DISTINCT stride FROM t))), "
+        "c AS (SELECT doc_id, label, family, len(list_intersect(own, block)) AS n, len(own) AS size FROM x JOIN t USING (stride)), "
+        "m AS (SELECT doc_id, label, family, size, max(CAST(n AS DOUBLE) / size) AS score FROM c WHERE 5 * n >= 4 * size GROUP BY ALL), "
+        "f AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) AS more FROM (SELECT * FROM m QUALIFY rank() OVER (PARTITION BY doc_id, family ORDER BY score DESC, size DESC) = 1) GROUP BY doc_id) "
+        "SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels, "
+        "array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0) END AS score "
+        "FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)"
+    )
+
+
 _REACH = "r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"
 
 #: SQL twins of the queries that SQL can express without trained models, tokenizers or our hashes.
@@ -116,4 +150,22 @@ ORACLE_SQL: dict[str, str] = {
         f"e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {_REACH} "
         "SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM n LEFT JOIN c ON id = doc_id"
     ),
+    "op11_pattern_growth": (
+        "WITH pc AS (SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents), "
+        "w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pc), "
+        'u AS (SELECT lang, unnest(w) AS p FROM w), '
+        'g2 AS (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS p FROM w WHERE len(w) > 1), '
+        'g3 AS (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS p FROM w WHERE len(w) > 2), '
+        'f1 AS (SELECT lang, p, count(*) AS f FROM u GROUP BY ALL), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang), '
+        'f2 AS (SELECT lang, p, count(*) AS f FROM g2 GROUP BY ALL HAVING count(*) >= 10), f3 AS (SELECT lang, p, count(*) AS f FROM g3 GROUP BY ALL HAVING count(*) >= 10), '
+        'm AS (SELECT lang, q, max(f) AS m FROM (SELECT lang, p[1:2] AS q, f FROM f3 UNION ALL SELECT lang, p[2:3], f FROM f3) GROUP BY ALL), '
+        "c AS (SELECT f2.lang, array_to_string(f2.p, ' ') AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.p = f2.p[1] JOIN f1 y ON y.lang = f2.lang AND y.p = f2.p[2] LEFT JOIN m ON m.lang = f2.lang AND m.q = f2.p WHERE m IS NULL OR 100 * m < 50 * f2.f "
+        "UNION ALL SELECT f3.lang, array_to_string(f3.p, ' '), f3.f, 1, x.f, y.f FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.p = f3.p[1] JOIN f2 y ON y.lang = f3.lang AND y.p = f3.p[2:3] "
+        "UNION ALL SELECT f3.lang, array_to_string(f3.p, ' '), f3.f, 2, x.f, y.f FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.p = f3.p[1:2] JOIN f1 y ON y.lang = f3.lang AND y.p = f3.p[3]), "
+        's AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM c), '
+        'b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1), '
+        't AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b QUALIFY rank <= 2000) '
+        'SELECT t.lang, t.rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) '
+    ),
+    "op13_license_join": _license_sql(),
 }

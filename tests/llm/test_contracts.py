@@ -20,6 +20,9 @@ CONTRACT = {
     "op8": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op9": {"doc_id": "bigint"},
     "op10": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11": {"lang": "string", "phrase": "string"} | {c: "bigint" for c in ("rank", "a", "l", "r", "n", "score")},
+    "op12": {c: "bigint" for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")} | {"ends_sha256": "string"},
+    "op13": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
 }
 
 
@@ -33,6 +36,9 @@ def test_contract(spark, tiny, name):
     kinds = dict(out.dtypes)
     for c, kind in CONTRACT[name.split("_")[0]].items():
         assert kinds.get(c) == kind, c
+    if name.startswith(("op11", "op12")):  # no row per document; the twins cover them
+        assert out.count() > 0
+        return
     table = "embeddings" if name.startswith("op2") else "documents"
     want = sorted(r[0] for r in spark.read.parquet(f"{tiny}/{table}.parquet").select("vec_id" if table == "embeddings" else "doc_id").collect())
     got = sorted({r[0] for r in out.select("vec_id" if table == "embeddings" else "doc_id").collect()})
@@ -48,7 +54,7 @@ def test_twin(spark, tiny, name):
     a, b = tidy(queries.QUERIES[name](spark, tiny).toPandas()), tidy(con.sql(queries.ORACLE_SQL[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
     for c in a:
-        assert (a[c] == b[c]).all(), c
+        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
 def test_vectors_of_doubles_are_compared_as_doubles(spark):
