@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telospark.llm import collocations, embedding_graph, fingerprints, licenses, minhash, mixing, packing, pii, quality, repeats, sharding, token_files
+from telospark.llm import collocations, conversations, embedding_graph, fingerprints, licenses, minhash, mixing, packing, pii, quality, repeats, sharding, token_files
 
 SHARDS = 24
 PII_KEY = "an example key; callers bring their own secret"
@@ -87,6 +87,10 @@ def op11_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), least=10, most=2000)
 
 
+def op12_trie_mergesort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -94,7 +98,7 @@ def op13_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes, op11_pattern_growth, op13_license_join)
+    for f in (op1_histogram_sort, op2_pruned_graph, op3_token_files, op4_surrogates, op5_complement_packing, op6_prefix_free_parsing, op7_minhash_bayes, op8_closed_syncmers, op9_hierarchical_mix, op10_neighbour_votes, op11_pattern_growth, op12_trie_mergesort, op13_license_join)
 }
 
 
@@ -168,4 +172,18 @@ ORACLE_SQL: dict[str, str] = {
         'SELECT t.lang, t.rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) '
     ),
     "op13_license_join": _license_sql(),
+    "op12_trie_mergesort": (
+        "WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL), "
+        # crc32, a byte and then a bit at a time
+        "k AS (SELECT c, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::UBIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))) AS h FROM (SELECT DISTINCT c FROM t)), "
+        "ids AS (SELECT c, xor(h, 4294967295::UBIGINT) % 9 AS h FROM k), "
+        "s AS (SELECT ids.c, 0 AS side, i, r, x FROM ids JOIN t ON t.c = ids.c - ids.c % 5 AND i < h UNION ALL SELECT ids.c, 1, i, r, x FROM ids JOIN t ON t.c = ids.c AND i >= h), "
+        "q AS (SELECT ids.c, coalesce(list({'r': r, 'x': x} ORDER BY side, i) FILTER (i IS NOT NULL), []) AS s FROM ids LEFT JOIN s USING (c) GROUP BY ids.c), "
+        "m AS (SELECT c, d, s[1:d] AS p, d = len(s) AS last FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM q)), "
+        "n AS (SELECT p, d, min(c) AS c, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends FROM m GROUP BY p, d), "
+        "o AS (SELECT *, coalesce((n - 1) * octet_length(encode(p[d].x)), 0) AS own, NOT EXISTS (SELECT 1 FROM n y WHERE y.d = n.d + 1 AND y.p[1:n.d] = n.p) AS leaf FROM n), "
+        "u AS (SELECT p[1:e] AS p, sum(own) AS saved, count(*) FILTER (leaf) AS leaves, count(*) FILTER (d = e + 1) AS children FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM o) GROUP BY ALL) "
+        "SELECT o.c AS conv_id, o.d AS depth, y.c AS parent_conv_id, o.n AS n_convs, children AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256 "
+        "FROM o JOIN u ON u.p = o.p LEFT JOIN n y ON y.d = o.d - 1 AND y.p = o.p[1:o.d - 1]"
+    ),
 }
