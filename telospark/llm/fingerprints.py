@@ -6,8 +6,8 @@ lengths and kinds are comparable. A k-mer is K tokens in a row; K - 1 marks stan
 and behind the last token, so that shorter texts have k-mers of the same kind. A k-mer is an anchor
 if the smallest hash among its inner S-token substrings stands at its first or last place: a
 property of the k-mer alone, so an edit moves only the anchors that it touches. All anchors are
-kept, with their positions; likeness is that of the whole sets. The fingerprint is a short form,
-the SIZE smallest distinct hashes as hex.
+kept, with their positions. The fingerprint is the whole set of their hashes, 32 bits each, and
+likeness is that of two such sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 K = 5
 S = 2
-SIZE = 64
+#: Bits of an anchor's hash in a fingerprint.
+BITS = 32
+#: Bytes of text of a range, the unit that one task sorts.
+PART = 32 << 20
 #: Words of more code points count as their characters.
 LONG = 24
 SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -57,13 +60,13 @@ def anchors(text: Column) -> Column:
 
 
 def hashes(found: Column) -> Column:
-    """The distinct hashes of anchors, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"])))
+    """The distinct hashes of anchors, cut to BITS bits, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"].bitwiseAND((1 << BITS) - 1))))
 
 
 def render(a: Column) -> Column:
-    """The short form of a set of hashes: the SIZE smallest."""
-    return F.array_join(F.transform(F.slice(a, 1, SIZE), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    """The fingerprint of a set of hashes: all of them, ascending, in hex with a space between."""
+    return F.array_join(F.transform(a, F.hex), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,27 +79,27 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, key: str, text: str, first: dict, derived: dict, parts: int) -> DataFrame:
     """df (key, text) with the columns of first (name: function of the text column) and of derived
     (name: (one of first, function of it)), and next_<c> for the text and each derived column: that of the row with the next smaller key, for the smallest key that of
-    the largest. Rows are dealt by key ranges and sorted there; what crosses a range's edge comes
-    from one row per range, so no task sees all rows."""
+    the largest. Rows are dealt by key ranges and sorted there. The last text of a range is also
+    dealt to the next one, as a row before its first, so no task sees all rows and no text is
+    broadcast: only the ranges' numbers and largest keys are."""
     probes = [i / parts for i in range(1, parts)]
     cuts = sorted(set(df.stat.approxQuantile(key, probes, 0.25 / parts))) if parts > 1 and df.head(1) else []
     part = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)).cast("array<bigint>"), lambda c: c < F.col(key)))
     df = df.select(key, text, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(part).alias("_part"))
-    top = df.groupBy("_part").agg(F.max(key).alias("_top"))  # one row per range
-    last = df.join(F.broadcast(top.withColumnRenamed("_part", "_at")), (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_top")))
-    last = last.groupBy("_part").agg(F.max(text).alias("_edge"))
-    ring = Window.orderBy("_part")
+    ring = Window.orderBy("_part")  # over one narrow row per range
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = last.select("_part", F.coalesce(F.lag("_edge").over(ring), F.last("_edge").over(whole)).alias(f"_{text}"), F.lit(1).alias("_row"))
-    last = last.select("*", *(f(first[of](F.col(f"_{text}"))).alias(f"_{c}") for c, (of, f) in derived.items()))
+    top = df.groupBy("_part").agg(F.max(key).alias("_top"))
+    top = top.select(F.col("_part").alias("_at"), "_top", F.coalesce(F.lead("_part").over(ring), F.first("_part").over(whole)).alias("_to"))
+    edges = df.join(F.broadcast(top), (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_top")))
+    edges = edges.groupBy("_to").agg(F.max(text).alias(text)).select(F.lit(None).cast("long").alias(key), text, F.col("_to").alias("_part"), F.lit(0).alias("_own"))
     columns = [text, *derived]
-    back = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first(), text)
+    order = ["_own", F.col(key).asc_nulls_first(), text]
+    back = Window.partitionBy("_part").orderBy(*order)
     # dealt and sorted before the derived columns are made: those are larger than the texts
-    df = df.repartition(parts, "_part").sortWithinPartitions(F.col("_part"), F.col(key).asc_nulls_first(), text)
-    out = df.withColumns({c: f(F.col(text)) for c, f in first.items()}).withColumns({c: f(F.col(of)) for c, (of, f) in derived.items()})
-    out = out.withColumns({f"next_{c}": F.lag(c).over(back) for c in columns} | {"_row": F.row_number().over(back)})
-    out = out.join(F.broadcast(last), ["_part", "_row"], "left")
-    return out.select(key, *first, *columns, *(F.when(F.col("_row") == 1, F.col(f"_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
+    rows = df.withColumn("_own", F.lit(1)).unionByName(edges).repartition(parts, "_part").sortWithinPartitions("_part", *order)
+    out = rows.withColumns({c: f(F.col(text)) for c, f in first.items()}).withColumns({c: f(F.col(of)) for c, (of, f) in derived.items()})
+    out = out.withColumns({f"next_{c}": F.lag(c).over(back) for c in columns}).where("_own = 1")
+    return out.select(key, *first, *columns, *(f"next_{c}" for c in columns))
 
 
 def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
@@ -110,8 +113,10 @@ def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id", parts
     columns are not read.
     """
     spark = df.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if parts is None:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     near = with_next(rows, "doc_id", "text", {"anchors": anchors}, {"a": ("anchors", hashes)}, parts)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")

@@ -125,18 +125,16 @@ def matches(docs: DataFrame, words: str, templates=TEMPLATES, phrases=PHRASES, t
     hits = hits.withColumn("place", F.explode(starts)).where("place >= 0")
     size = F.when(F.col("template") < 0, F.col("need")).otherwise(2 * F.col("stride"))
     hits = hits.withColumn("__telo_block", F.slice("__telo_words", F.col("place") + 1, size)).drop("__telo_words")
-    exact = hits.where("template < 0").where("__telo_block = own").withColumn("containment", F.lit(1.0))
-    # the block's words of the vocabulary, in the global order
+    # of a block, the words of the vocabulary in the global order
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.expr("cast(array() as array<string>)")
-    blocks = hits.where("template >= 0").withColumn("__telo_own", F.array_intersect(known, "__telo_block"))
-    left = F.size("__telo_own") - F.array_position("__telo_own", F.col("token")).cast("int")
-    blocks = blocks.where(F.size("__telo_own") >= F.col("need"))  # length
-    blocks = blocks.where(1 + F.least(F.size("own") - F.col("at") - 1, left) >= F.col("need"))  # position
-    shared = F.size(F.array_intersect("own", "__telo_own"))
-    blocks = blocks.withColumn("__telo_n", shared).where("__telo_n >= need")
-    blocks = blocks.withColumn("containment", F.col("__telo_n") / F.size("own"))
-    hits_of = [*rest, "template", "label", "family", "place", F.size("own").alias("n_own"), "containment"]
-    return exact.select(*hits_of).union(blocks.select(*hits_of))
+    hits = hits.withColumn("__telo_own", F.when(F.col("template") >= 0, F.array_intersect(known, "__telo_block")))
+    behind = F.size("__telo_own") - F.array_position("__telo_own", F.col("token")).cast("int")
+    long_enough = F.size("__telo_own") >= F.col("need")
+    enough_left = 1 + F.least(F.size("own") - F.col("at") - 1, behind) >= F.col("need")
+    hits = hits.where(F.when(F.col("template") < 0, F.col("__telo_block") == F.col("own")).otherwise(long_enough & enough_left))
+    common = F.when(F.col("template") < 0, F.size("own")).otherwise(F.size(F.array_intersect("own", "__telo_own")))
+    hits = hits.withColumn("__telo_n", common).where("__telo_n >= need")
+    return hits.select(*rest, "template", "label", "family", "place", F.size("own").alias("n_own"), (F.col("__telo_n") / F.size("own")).alias("containment"))
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8) -> DataFrame:

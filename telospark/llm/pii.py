@@ -17,6 +17,8 @@ from telospark.llm.common import small_enough, table
 
 _TITLES_M = "Mr|Sir|Herr|Monsieur|Señor|Г-н"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Г-жа"
+#: A masculine title as a whole: "Mrs" doesn't begin with "Mr", nor "Señora" with "Señor".
+_MAN = rf"^(?:{_TITLES_M})(?![\p{{L}}\-])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What stands before the IPv4 address in one that is mapped to IPv6.
 _MAPPED = "(?<![0-9A-Fa-f:.])(?:::|(?:0{1,4}:){5})[Ff]{4}:"
@@ -33,7 +35,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])(?:[0-9]{4}[ \-]){3}[0-9]{1,7}(?![0-9])|(?<![0-9\-])[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9\p{L}])(?:\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)[ .\-]?[0-9]{2,4}[ .\-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\- ][0-9]{3}[.\- ][0-9]{4}|\(0[0-9]{1,5}\) ?[0-9]{3,8}(?:[ \-][0-9]{2,5}){0,2}|0[0-9]{2,4}[ /\-][0-9]{5,8}|0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{3,4}|0[1-9](?:[ .\-][0-9]{2}){4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'’\-]++(?: \p{{Lu}}[\p{{L}}'’\-]++)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}[\p{{L}}'’\-]++(?: \p{{Lu}}[\p{{L}}'’\-]++){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity; most texts stop here.
@@ -105,7 +107,7 @@ def canonical(kind: Column, m: Column) -> Column:
     """One form for all spellings of an entity: case, separators and titles don't count."""
     bare = F.lower(_sub(m, r"[^\p{L}\p{N}]"))
     phone = F.when(m.startswith("+"), F.concat(F.lit("+"), _sub(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1), r"[^0-9]"), F.lit(" "), _sub(_sub(m, r"^\+[0-9]{1,3}(?![0-9])"), r"[^0-9]"))).otherwise(bare)
-    gender = F.when(_has(m, rf"^(?:{_TITLES_M})"), F.lit("m ")).otherwise(F.lit("f "))
+    gender = F.when(_has(m, _MAN), F.lit("m ")).otherwise(F.lit("f "))
     name = F.concat(gender, F.lower(_sub(m, r"^[\p{L}\-]+\.? ")))
     return F.when(kind == "phone", phone).when(kind == "name", name).when(kind == "ip", _sub(m, "^.*:")).when(kind == "ip6", F.concat_ws(":", F.transform(_groups(m)[2], lambda g: _sub(F.lower(g), "^0+")))).when(kind == "email", F.lower(m)).otherwise(bare)
 
@@ -159,27 +161,46 @@ def _checked(m: Column, x: Column) -> Column:
 
 
 def _name(key: str, m: Column, attempt: Column) -> Column:
-    """Title kept; first name from a list of the same gender and script; surname keyed on the
-    surname alone, so that short and full forms agree. Later attempts add an initial."""
+    """Title kept; first name from a list of the same gender and script; each surname keyed on
+    itself alone, so that short and full forms agree. Hyphens, apostrophes and the number of names stay. Later
+    attempts add an initial."""
     title, rest = F.regexp_extract(m, r"^[\p{L}\-]+\.? ", 0), _sub(m, r"^[\p{L}\-]+\.? ")
-    last = F.substring_index(rest, " ", -1)
-    low = F.lower(rest)
-    man = _has(title, rf"^(?:{_TITLES_M})")
+    man = _has(title, _MAN)
     script = F.when(_has(rest, r"\p{IsCyrillic}"), F.lit("cyrillic")).when(_has(rest, r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    s, f = _stream(key, "surname", F.lower(last), F.lit(0)), _stream(key, "name", F.concat_ws(" ", F.when(man, F.lit("m")).otherwise(F.lit("f")), low), attempt)
+    sex = F.when(man, F.lit("m")).otherwise(F.lit("f"))
+    f = _stream(key, "name", F.concat_ws(" ", sex, F.lower(rest)), attempt)
+    alphabet = {"latin": _LATIN, "cyrillic": _CYRILLIC, "greek": _GREEK}
 
-    def surname(of: str) -> Column:
-        return F.initcap(F.concat(*(_pick(_SYLLABLES[of], _number(s, k)) for k in (0, 8, 16, 24))))
+    def by_script(of) -> Column:
+        return F.when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(of("latin"))
 
-    def first(of: str) -> Column:
-        return F.when(man, _pick(_FIRST["m", of], _number(f, 0))).otherwise(_pick(_FIRST["f", of], _number(f, 0)))
+    def letter(v: Column) -> Column:
+        return by_script(lambda of: F.upper(_pick(list(alphabet[of]), v)))
 
-    by_script = lambda g: F.when(script == "cyrillic", g("cyrillic")).when(script == "greek", g("greek")).otherwise(g("latin"))
-    alphabet = {"latin": _LATIN, "cyrillic": _CYRILLIC, "greek": _GREEK}
-    initial = by_script(lambda of: F.upper(_pick(list(alphabet[of]), _number(f, 8))))
-    new_last = by_script(surname)
-    extra = F.when(attempt > 0, F.concat(initial, F.lit(". "))).otherwise(F.lit(""))
-    full = F.when(_has(rest, " "), F.concat(by_script(first), F.lit(" "), extra, new_last)).otherwise(F.concat(extra, new_last))
+    def parts_of(word: Column, part) -> Column:
+        """word with part(letters, place) for each run of letters; what stands between them stays."""
+        runs = F.regexp_extract_all(word, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+        return F.array_join(F.transform(runs, lambda x, i: F.when(_has(x, r"^\p{L}"), part(x, i)).otherwise(x)), "")
+
+    def surname(word: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            return _let(_stream(key, "surname", F.lower(x), F.lit(0)), lambda s: F.when(F.length(x) == 1, letter(_number(s, 0))).otherwise(
+                by_script(lambda of: F.initcap(F.concat(*(_pick(_SYLLABLES[of], _number(s, k)) for k in (0, 8, 16, 24)))))
+            ))
+
+        return parts_of(word, part)
+
+    def given(word: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            v = _number(f, 8 * (i % 8))
+            return F.when(F.length(x) == 1, letter(v)).otherwise(by_script(lambda of: F.when(man, _pick(_FIRST["m", of], v)).otherwise(_pick(_FIRST["f", of], v))))
+
+        return parts_of(word, part)
+
+    words = F.split(rest, " ")
+    extra = F.when(attempt > 0, F.concat(letter(_number(f, 72)), F.lit(". "))).otherwise(F.lit(""))
+    last = F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), surname), " ")
+    full = F.when(F.size(words) > 1, F.concat(given(words[0]), F.lit(" "), extra, last)).otherwise(F.concat(extra, surname(words[0])))
     return F.concat(title, F.when(F.upper(rest) == rest, F.upper(full)).otherwise(full))
 
 

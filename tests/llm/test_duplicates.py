@@ -350,6 +350,58 @@ def test_edited_texts(spark):
     assert all(len(v) == 1 for v in prints.values())
 
 
+def twin(text):
+    """The fingerprint in plain Python, from the definition of closed syncmers."""
+    import regex
+    import xxhash
+
+    def mixed(*longs):
+        seed = 42
+        for v in longs:
+            seed = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed=seed % 2**64)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    k, s = fingerprints.K, fingerprints.S
+    spaceless = "".join(rf"\p{{{n}}}" for n in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+    tokens = []
+    for word in regex.split(r"[\x20\x09-\x0D]+", text or ""):
+        for run in regex.findall(rf"[{spaceless}]|[^{spaceless}]+", word):
+            tokens += [run] if len(run) <= fingerprints.LONG else list(run)
+    if not tokens:
+        return ""
+    h = [0] * (k - 1) + [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in tokens] + [1] * (k - 1)
+    p = [mixed(*h[i : i + s]) for i in range(len(h) - s + 1)]
+    found = set()
+    for i in range(len(h) - k + 1):
+        inner = p[i : i + k - s + 1]
+        if min(inner[0], inner[-1]) <= min(inner[1:-1]):
+            found.add(mixed(*inner[: k - s : s], inner[-1]) % 2**fingerprints.BITS)
+    return " ".join(f"{x:X}" for x in sorted(found))
+
+
+def test_fingerprints_equal_a_plain_twin_and_carry_the_likeness(spark):
+    """Also longer than any cap, and over range edges."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randrange(1, 30))) for _ in range(400)] + ["天地玄黃", "x天y"]
+    texts = [None, "", "a", "a b", "天地"] + [rng.choice((" ", "\n", "\t ")).join(rng.choices(words, k=rng.choice((4, 60, 900)))) for _ in range(30)]
+    rows = fingerprints.compare_edited(frame(spark, texts), parts=4).collect()
+    edited = {}
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        edited[i] = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+
+    def jaccard(a, b):
+        a, b = set(a.split()), set(b.split())
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    by = {r.doc_id: r for r in rows}
+    assert max(len(r.fingerprint.split()) for r in rows) > 300
+    for r in rows:
+        assert r.fingerprint == twin(texts[r.doc_id]) and r.edited_fingerprint == twin(edited[r.doc_id])
+        assert r.near_edited == jaccard(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == jaccard(r.fingerprint, by[(r.doc_id - 1) % len(texts)].fingerprint)
+
+
 def test_edited_texts_odd_input(spark):
     assert fingerprints.compare_edited(frame(spark, ["a"]).limit(0)).collect() == []
     assert fingerprints.compare_edited(frame(spark, ["abc def"])).first().near_next == 1

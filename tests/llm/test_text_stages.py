@@ -85,6 +85,44 @@ def test_written_forms(spark):
     assert [r.text for _, r in sorted(rewritten(spark, stay).items())] == stay
 
 
+NAMES = {"latin": ("Clara", "Weber"), "cyrillic": ("Иван", "Петров"), "greek": ("Νίκος", "Παππάς")}
+
+
+def test_every_title_keeps_its_gender_and_script(spark):
+    """A masculine title that begins a feminine one doesn't make it masculine."""
+    men, women = pii._TITLES_M.split("|"), pii._TITLES_F.split("|")
+    cases = [(t, dot, script) for t in men + women for dot in ("", ".") for script in NAMES]
+    got = rewritten(spark, [f"saw {t}{dot} {' '.join(NAMES[script])} there" for t, dot, script in cases])
+    for i, (t, dot, script) in enumerate(cases):
+        found = re.fullmatch(r"saw (\S+) (\S+) (\S+) there", got[i].text)
+        assert got[i].n_entities == 1 and found and found[1] == t + dot, got[i].text
+        assert found[2] in pii._FIRST["m" if t in men else "f", script], got[i].text
+        assert found[3] != NAMES[script][1] and re.fullmatch({"latin": "[A-Z][a-z]+", "cyrillic": "[А-Я][а-я]+", "greek": "[Α-Ω][α-ω]+"}[script], found[3])
+
+
+def test_men_and_women_of_a_name_stay_two_people(spark):
+    pairs = [("Mr", "Mrs"), ("Mr", "Ms"), ("Señor", "Señora"), ("Señor", "Señorita"), ("Herr", "Frau"), ("Monsieur", "Madame"), ("Г-н", "Г-жа")]
+    got = rewritten(spark, [f"{a} Clara Weber met {b} Clara Weber" for a, b in pairs] + ["Mrs Clara Weber met Ms Clara Weber"])
+    for i, (a, b) in enumerate(pairs):
+        x, y = re.fullmatch(rf"{a} (\S+ \S+) met {b} (\S+ \S+)", got[i].text).groups()
+        assert x != y and x.split()[1] == y.split()[1]
+    x, y = re.fullmatch(r"Mrs (\S+ \S+) met Ms (\S+ \S+)", got[len(pairs)].text).groups()
+    assert x == y
+
+
+def test_long_and_joined_names(spark):
+    texts = ["Señor Juan Pérez García y Señor García", "Frau Anna-Maria Müller-Weber", "Mr Sean O'Neil", "MRS ANN LEE".replace("MRS", "Mrs"), "Mr Weber and Frau Müller and Mr Neil"]
+    got = [rewritten(spark, texts)[i].text for i in range(len(texts))]
+    spanish = re.fullmatch(r"Señor (\w+) (\w+) (\w+) y Señor (\w+)", got[0])
+    assert spanish[1] in pii._FIRST["m", "latin"] and spanish[3] == spanish[4] and not {"Juan", "Pérez", "García"} & set(spanish.groups())
+    joined = re.fullmatch(r"Frau (\w+)-(\w+) (\w+)-(\w+)", got[1])
+    assert {joined[1], joined[2]} <= set(pii._FIRST["f", "latin"])
+    irish = re.fullmatch(r"Mr (\w+) ([A-Z])'(\w+)", got[2])
+    alone = re.fullmatch(r"Mr (\w+) and Frau (\w+) and Mr (\w+)", got[4])
+    assert alone.groups() == (joined[4], joined[3], irish[3])
+    assert re.fullmatch(r"Mrs [A-Z]+ [A-Z]+", got[3])
+
+
 def test_secrets_told_by_the_words_before(spark):
     texts = ["password=e9b9ed9cc9999999d9 end", "Token: 'abcdefg1' x", "api_key = \"Zx9-_kk77qq\"", "password is unsafe", "token: nothing"]
     got = rewritten(spark, texts)
