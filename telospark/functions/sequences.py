@@ -98,6 +98,17 @@ def context(cds: Column, pos: Column, kind: float) -> Column:
     return chasm_context(tri) if kind == 1.5 else tri
 
 
+def context_of(tri: Column, kind: float) -> Column:
+    """The context of a kind from a trinucleotide of trinucleotide()."""
+    if kind == 0:
+        return F.lit("None")
+    if kind == 1:
+        return piece(tri, 1, 1)
+    if kind == 2:
+        return F.left(tri, F.lit(2))
+    return chasm_context(tri) if kind == 1.5 else tri
+
+
 def codon_map() -> Column:
     order = "TCAG"
     codons = [a + b + c for a in order for b in order for c in order]

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import let, piece, reverse_complement, translate
+from telospark.functions.sequences import let, piece, reverse_complement, trinucleotide
+from telospark.operators import frames
 
 STARTS = ("ATG", "CTG", "TTG")
 
@@ -30,20 +31,20 @@ def genome_positions(ranges: Column, strand: Column, stops: Column) -> Column:
 
 
 def with_positions(tx: DataFrame) -> DataFrame:
+    """tx with genome, the position of each cds base."""
     return tx.withColumn("genome", genome_positions(F.col("ranges"), F.col("strand"), F.col("stop_positions")))
 
 
-def first_difference(a: Column, b: Column) -> Column:
-    """0-based place where two strings part; the shorter length if one begins the other."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: piece(a, i, 1) != piece(b, i, 1))
-    return F.when(n > 0, F.coalesce(F.get(at, 0), n)).otherwise(F.lit(0))
-
-
 def annotate(df: DataFrame, at: Column | None = None) -> DataFrame:
-    """df (start, ref, alt, and of its transcript strand, cds, utr3, genome, protein) with cds_pos,
-    effect, aa_off, mut_protein and short. `at` gives the 0-based cds place of a simulated variant
-    instead of start; ref then counts as given on the plus strand, deletions re-read from the cds."""
+    """df (start, ref, alt, and of its transcript strand, cds, utr3, genome, protein, and frames, stops
+    and plain, which are made here if they aren't there) with cds_pos, tri, effect, aa_off,
+    mut_length, mut_protein, mut_end (last 23 residues) and short. `at` gives the 0-based cds place
+    of a simulated variant instead of start; ref then counts as given on the plus strand, deletions
+    re-read from the cds.
+
+    Nothing is translated but the codons at the junction; mutant proteins are made only where a
+    plan reads mut_protein."""
+    df = df if {"frames", "stops", "plain"} <= set(df.columns) else frames.with_frames(df)
     cds, protein = F.col("cds"), F.col("protein")
     minus, insertion = F.col("strand") == "-", F.col("ref") == ""
     ref = F.when(minus, reverse_complement(F.col("ref"))).otherwise(F.col("ref"))
@@ -59,26 +60,23 @@ def annotate(df: DataFrame, at: Column | None = None) -> DataFrame:
     def located(v: Column) -> Column:
         cut = F.when(insertion & ~minus, v["place"] + 1).otherwise(v["place"])
         fits = (v["place"] >= 0) & (piece(cds, cut, F.length(v["ref"])) == v["ref"])
-        return let(F.when(fits, cut), lambda c: let(mutant(v, c), lambda m: classified(v, c, m)))
+        whole = F.when(fits & protein.isNotNull(), cut)
+        return let(whole, lambda c: F.when(c.isNotNull(), let(frames.junction(c, v["ref"], v["alt"]), lambda j: parted(v, c, j))))
 
-    def mutant(v: Column, cut: Column) -> Column:
-        full = F.concat(piece(cds, 0, cut), v["alt"], F.substring(cds, cut + F.length(v["ref"]) + 1, F.length(cds)), F.coalesce("utr3", F.lit("")))
-        return let(full, lambda x: F.struct(F.substring_index(translate(x), "*", 1).alias("protein"), F.left(x, F.lit(3)).alias("codon")))
+    def parted(v: Column, cut: Column, j: Column) -> Column:
+        return let(frames.offset(j).cast("int"), lambda d: described(v, cut, j, d))
 
-    def classified(v: Column, cut: Column, mut: Column) -> Column:
-        snv = (F.length(v["ref"]) == 1) & (F.length(v["alt"]) == 1)
-        ends = F.struct(F.concat(protein, F.lit("*")).alias("a"), F.concat(mut["protein"], F.lit("*")).alias("b"))
-        return let(ends, lambda e: let(F.when(snv, F.floor(cut / 3)).otherwise(first_difference(e["a"], e["b"])).cast("int"), lambda off: described(v, cut, mut, e, off)))
-
-    def described(v: Column, cut: Column, mut: Column, e: Column, off: Column) -> Column:
-        new = mut["protein"]
-        n, m = F.length(protein), F.length(new)
+    def described(v: Column, cut: Column, j: Column, differs: Column) -> Column:
+        n, m = F.length(protein), j["length"]
         change = F.length(v["alt"]) - F.length(v["ref"])
-        started = F.left(cds, F.lit(3)) == mut["codon"]
-        same, stopped = new == protein, (off < n) & (m == off)
+        snv = (F.length(v["ref"]) == 1) & (F.length(v["alt"]) == 1)
+        off = F.when(snv, j["first"]).otherwise(differs)
+        head = F.concat(piece(cds, 0, cut), v["alt"], piece(frames.full_sequence(), cut + F.length(v["ref"]), 3))
+        codon = F.when(cut >= 3, F.left(cds, F.lit(3))).otherwise(F.left(head, F.lit(3)))
+        started = F.left(cds, F.lit(3)) == codon
+        same, stopped = (m == n) & (differs > n), (off < n) & (m == off)
         effect = (
-            F.when(cut.isNull() | protein.isNull(), F.lit(None).cast("string"))
-            .when(~started & mut["codon"].isin(*STARTS), "AlternateStartCodon")
+            F.when(~started & codon.isin(*STARTS), "AlternateStartCodon")
             .when(~started, "StartLoss")
             .when(same, "Silent")
             .when(change % 3 != 0, "FrameShift")
@@ -88,19 +86,24 @@ def annotate(df: DataFrame, at: Column | None = None) -> DataFrame:
             .when(change > 0, "Insertion")
             .otherwise("Deletion")
         )
-        return let(effect, lambda f: F.struct(v["place"].alias("cds_pos"), f.alias("effect"), F.when(f.isNotNull() & (f != "StartLoss"), off).alias("aa_off"), F.when(f.isNotNull() & (f != "StartLoss"), new).alias("mut_protein"), short(f, e, off).alias("short")))
+        return let(F.struct(effect.alias("effect"), off.alias("off")), lambda e: F.struct(v["place"].alias("cds_pos"), e["effect"].alias("effect"), e["off"].alias("aa_off"), j.alias("j"), short(e["effect"], e["off"], j).alias("short")))
 
-    def short(f: Column, e: Column, off: Column) -> Column:
-        lead = F.concat(F.lit("p."), piece(e["a"], off, 1), (off + 1).cast("string"))
+    def short(f: Column, off: Column, j: Column) -> Column:
+        lead = F.concat(F.lit("p."), piece(F.concat(protein, F.lit("*")), off, 1), (off + 1).cast("string"))
         return (
             F.when(f == "FrameShift", F.concat(lead, F.lit("fs")))
             .when(f == "Deletion", F.concat(lead, F.lit("del")))
             .when(f == "Insertion", F.concat(lead, F.lit("ins")))
             .when(f == "Silent", F.lit("silent"))
             .when(f.isin("StartLoss", "AlternateStartCodon"), F.lit("p.M1?"))
-            .when(f.isNotNull(), F.concat(lead, piece(e["b"], off, 1)))
+            .otherwise(F.concat(lead, frames.residue(j, off)))
         )
 
-    names = ("cds_pos", "effect", "aa_off", "mut_protein", "short")
-    df = df.withColumn("_v", let(F.struct(ref.alias("ref"), alt.alias("alt"), place.alias("place")), located))
-    return df.withColumns({c: F.col(f"_v.{c}") for c in names}).drop("_v")
+    # Generating the struct keeps filters on the effect from working it out a second time.
+    df = df.withColumn("_v", F.explode(F.array(let(F.struct(ref.alias("ref"), alt.alias("alt"), place.alias("place")), located))))
+    read = F.col("_v.effect") != "StartLoss"  # no protein is made then
+    new = {c: F.col(f"_v.{c}") for c in ("cds_pos", "effect", "short")}
+    new |= {"aa_off": F.when(read, F.col("_v.aa_off")), "mut_length": F.when(read, F.col("_v.j.length"))}
+    new |= {"mut_protein": F.when(read, frames.mutant_protein(F.col("_v.j"))), "mut_end": F.when(read, frames.mutant_end(F.col("_v.j")))}
+    new["tri"] = trinucleotide(cds, F.col("_v.cds_pos"))
+    return df.withColumns(new).drop("_v")

@@ -50,18 +50,22 @@ def nmd_insensitive_length(ranges: Column) -> Column:
     return (tail["end"] - tail["start"] + 1) / 3.0 + 50 / 3.0
 
 
+def nmd_class_of(size: Column, protein_length: Column, insensitive: Column) -> Column:
+    """By the mutant protein's length: 0.5 unknown (no protein), 0 escapes, 1 sensitive."""
+    return F.when(size.isNull() | (size == 0), 0.5).when(size > protein_length - insensitive, 0.0).otherwise(1.0)
+
+
 def nmd_class(mutant: Column, protein_length: Column, insensitive: Column) -> Column:
-    """0.5 unknown (no mutant protein), 0 escapes, 1 sensitive."""
-    return F.when(mutant.isNull() | (mutant == ""), 0.5).when(F.length(mutant) > protein_length - insensitive, 0.0).otherwise(1.0)
+    return nmd_class_of(F.length(mutant), protein_length, insensitive)
 
 
-def nmd_kept(mutant: Column, protein_length: Column, insensitive: Column) -> Column:
-    return nmd_class(mutant, protein_length, insensitive) < 1
+def nmd_kept(size: Column, protein_length: Column, insensitive: Column) -> Column:
+    return nmd_class_of(size, protein_length, insensitive) < 1
 
 
-def nonsense_kept(effect: Column, mutant: Column, protein_length: Column, insensitive: Column) -> Column:
-    """Drops only premature stops that cause decay."""
-    return (effect != "PrematureStop") | nmd_kept(mutant, protein_length, insensitive)
+def nonsense_kept(effect: Column, size: Column, protein_length: Column, insensitive: Column) -> Column:
+    """Drops only premature stops that cause decay; size is the mutant protein's length."""
+    return (effect != "PrematureStop") | nmd_kept(size, protein_length, insensitive)
 
 
 def truncation_eligible(protein_length: Column, insensitive: Column) -> Column:
@@ -69,10 +73,10 @@ def truncation_eligible(protein_length: Column, insensitive: Column) -> Column:
     return insensitive / protein_length < 1
 
 
-def hits_terminus(effect: Column, offset: Column, mutant: Column, protein_length: Column, end: str) -> Column:
-    """Variants that change a terminus: at the C-terminus all indels and premature stops, and other
+def hits_terminus(effect: Column, offset: Column, size: Column, protein_length: Column, end: str) -> Column:
+    """Variants with a mutant protein (of length size) that change a terminus: at the C-terminus all indels and premature stops, and other
     substitutions strictly inside the last 23; at the N-terminus substitutions at offset <= 24."""
-    there = mutant.isNotNull() & (mutant != "")
+    there = F.coalesce(size > 0, F.lit(False))
     if end == "cterm":
         return there & (effect.isin(*INDELS, "PrematureStop") | (effect.isin(*SUBSTITUTIONS) & (offset > protein_length - TERMINAL)))
     return there & effect.isin(*SUBSTITUTIONS) & (offset <= 24)

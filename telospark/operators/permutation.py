@@ -3,9 +3,14 @@
 Observed variants give a statistic per unit; substitutions are redrawn within their nucleotide
 context, indels anywhere in the coding sequence; each simulation gives a statistic; the p-value is
 that of a run that stops at the hundredth hit. Simulations run in waves, and units that have their
-hits don't enter the next one. What each substitution of a transcript adds to the statistic is
-worked out once, into arrays by place and base; a draw is two array look-ups, so 10,000 simulations
-move no sequences. A unit's draws stay in its partition until they are summed by simulation.
+hits don't enter the next one.
+
+What a substitution at each place and base, or an indel at each place, adds to the statistic is
+worked out once, into arrays; a draw is two array look-ups, so 10,000 simulations move no
+sequences. A unit is one row of the size of its transcript, however many mutations it has: equal
+variants are one entry with a run of slots, and a context is a stretch of one array of places. A
+unit whose draws are many is dealt into tasks by ranges of simulations; hits are counted by
+range, and a running sum over the ranges finds the hundredth.
 """
 
 from __future__ import annotations
@@ -19,10 +24,15 @@ from telospark.functions.stats import EARLY_STOP, bh_fdr
 from telospark.operators import aggregates, intervals, sampling
 from telospark.operators.annotate import annotate
 from telospark.operators.filters import hits_terminus, is_indel, is_substitution, is_truncation, nmd_insensitive_length, nmd_kept, nonsense_kept
+from telospark.operators.frames import with_frames
 from telospark.sources.scratch import cut
 
 #: Ends of the waves before the last.
 WAVES = (200, 1_000, 4_000)
+#: Draws of a unit that one task makes in a wave; more are split by simulations.
+DRAWS = 4_000_000
+#: Simulations whose hits are looked at together.
+RANGE = 256
 
 
 @dataclass
@@ -50,10 +60,10 @@ TRUNCATION_GREATER = Test("num_truncations", side=">=")
 
 
 def _kept(test: Test) -> Column:
-    effect, mutant = F.col("effect"), F.col("mut_protein")
-    n, safe = F.length("protein"), nmd_insensitive_length(F.col("ranges"))
-    sub = (F.col("kind") == "sub") & (nonsense_kept(effect, mutant, n, safe) if test.nmd else F.lit(True))
-    return sub | ((F.col("kind") == "indel") & nmd_kept(mutant, n, safe))
+    """Of rows with kind, effect, mut_length, n (the protein's length) and safe."""
+    size, n, safe = F.col("mut_length"), F.col("n"), F.col("safe")
+    sub = (F.col("kind") == "sub") & (nonsense_kept(F.col("effect"), size, n, safe) if test.nmd else F.lit(True))
+    return sub | ((F.col("kind") == "indel") & nmd_kept(size, n, safe))
 
 
 def eligible(variants: DataFrame, test: Test) -> DataFrame:
@@ -68,12 +78,17 @@ def eligible(variants: DataFrame, test: Test) -> DataFrame:
 
 
 class Overlap:
-    """Number of variants that touch the unit's intervals (spans, last_end)."""
+    """Number of variants that touch the intervals of their key (key, start, end)."""
 
     distinct = False
 
+    def __init__(self, spans: DataFrame, key: str):
+        self.spans, self.key = spans, key
+
     def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("value", intervals.overlap(F.col("effect"), F.col("aa_off"), F.col("spans"), F.col("last_end")).cast("double"))
+        """Variants of keys without intervals have no row: their units aren't tested."""
+        df = intervals.with_key(df, self.spans, self.key)
+        return df.withColumn("value", intervals.overlap(F.col("effect"), F.col("aa_off"), F.col("spans"), F.col("last_end")).cast("double")).drop("spans", "last_end")
 
     def observed(self, df: DataFrame, column: str) -> DataFrame:
         return self.with_value(df, []).groupBy("unit").agg(F.sum("value").alias(column))
@@ -82,6 +97,9 @@ class Overlap:
 class Truncations(Overlap):
     """Number of truncating variants."""
 
+    def __init__(self):
+        pass
+
     def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
         return df.withColumn("value", is_truncation(F.col("effect")).cast("double"))
 
@@ -111,16 +129,17 @@ class Potential:
         self.specific, self.bag, self.end = specific, bag, end
 
     def with_value(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        """Only variants at the terminus are scored; mutant proteins that are missing (null) are made
-        for these alone."""
-        from telospark.operators.score import with_delta
-
-        there = F.coalesce("mut_protein", F.lit("?"))
-        some = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), there, F.length("protein"), self.end))
-        if "drawn" in df.columns and "cds_alt" in df.columns:
-            given = some.select(*keys, "protein", "cds", "utr3", F.col("cds_ref").alias("ref"), F.col("cds_alt").alias("alt"), F.lit("+").alias("strand"), F.col("drawn").alias("at"))
+        """Only variants at the terminus are scored; windows that are missing (of the table of
+        substitutions) are made for these alone."""
+        from telospark.operators.score import windows, with_delta
+
+        # an unknown length is that of a substitution that still has a protein
+        size = F.coalesce("mut_length", F.lit(1))
+        some = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), size, F.length("protein"), self.end))
+        if "cds_alt" in df.columns:
+            given = some.select(*keys, *_SEQUENCES, F.col("cds_ref").alias("ref"), F.col("cds_alt").alias("alt"), F.lit("+").alias("strand"), F.col("drawn").alias("at"))
             some = annotate(given, at=F.col("at"))
-        scored = with_delta(some.select(*keys, "effect", "aa_off", "mut_protein", "protein"), self.specific, self.bag, self.end)
+        scored = with_delta(windows(some, self.end), self.specific, self.bag, self.end)
         return df.join(scored.select(*keys, F.col("delta").alias("value")), keys, "left")
 
     def observed(self, df: DataFrame, column: str) -> DataFrame:
@@ -131,72 +150,122 @@ class Potential:
 
 
 _BASES = "ACGT"
-_DIMS = ("unit", "gene", "transcript_id", "strand", "cds", "utr3", "protein", "ranges", "spans", "last_end")
+_SEQUENCES = ("cds", "utr3", "protein", "frames", "stops", "plain")
+#: What a test needs of a transcript.
+DIMS = ("transcript_id", "strand", "ranges", *_SEQUENCES)
 
 
-def _columns(df: DataFrame) -> list[str]:
-    return [c for c in _DIMS if c in df.columns]
+def dimension(tx: DataFrame) -> DataFrame:
+    """Transcripts with their frames, one row each; the sequences stand here and nowhere else."""
+    tx = tx if "frames" in tx.columns else with_frames(tx)
+    return tx.select(*DIMS)
 
 
-def substitution_table(units: DataFrame, test: Test, statistic) -> DataFrame:
-    """unit, and by 4 * place + base (A, C, G, T): flags (0 no such substitution, 1 dropped for its
-    decay, 2 kept), values (null: adds nothing) and, if the statistic counts distinct changes, names."""
-    eff = sampling.snv_effects(units, "unit", _columns(units))
-    stop = F.when(F.col("effect") == "PrematureStop", F.substring(F.col("protein"), F.lit(1), F.col("aa_off")))
-    eff = eff.withColumn("mut_protein", stop)
-    n, safe = F.length("protein"), nmd_insensitive_length(F.col("ranges"))
-    kept = nonsense_kept(F.col("effect"), F.col("mut_protein"), n, safe) if test.nmd else F.lit(True)
-    eff = eff.withColumn("kept", kept & F.col("effect").isNotNull()).drop("mut_protein")
-    eff = statistic.with_value(eff.withColumn("mut_protein", F.lit(None).cast("string")) if isinstance(statistic, Potential) else eff, ["unit", "drawn", "cds_alt"])
-    k = F.col("drawn") * 4 + F.position(F.col("cds_alt"), F.lit(_BASES)) - 1
+def _table(eff: DataFrame, test: Test, statistic, keys: list[str], place: Column, kind: str) -> DataFrame:
+    """One row per key but the last ones (drawn, or drawn and cds_alt): by place, flags (0 no such
+    variant, 1 dropped for its decay, 2 kept), values (null: adds nothing) and, if the statistic
+    counts distinct changes, names."""
+    eff = eff.withColumns({"kind": F.lit(kind), "n": F.length("protein"), "safe": nmd_insensitive_length(F.col("ranges"))})
+    eff = eff.withColumn("kept", _kept(test) & F.col("effect").isNotNull())
+    of = [k for k in keys if k not in ("drawn", "cds_alt")]
+    eff = statistic.with_value(eff, keys)
     flag = F.when(F.col("effect").isNull(), 0).when(F.col("kept"), 2).otherwise(1).cast("byte")
-    name = (F.col("aa_off") * 32 + F.ascii(F.right("short", F.lit(1))) % 32).alias("name") if statistic.distinct else F.lit(0).alias("name")
-    each = eff.select("unit", F.struct(k.alias("k"), flag.alias("flag"), F.col("value"), name).alias("e"))
-    got = each.groupBy("unit").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    name = F.col("aa_off") * 32 + F.ascii(F.right("short", F.lit(1))) % 32 if statistic.distinct else F.lit(0)
+    each = eff.select(*of, F.struct(place.alias("k"), flag.alias("flag"), F.col("value"), name.alias("name")).alias("e"))
+    got = each.groupBy(*of).agg(F.array_sort(F.collect_list("e")).alias("e"))
     # entries are dense: k of the i-th is i
-    return got.select("unit", F.transform("e", lambda e: e["flag"]).alias("flags"), F.transform("e", lambda e: e["value"]).alias("values"), *([F.transform("e", lambda e: e["name"]).alias("names")] if statistic.distinct else []))
+    names = [F.transform("e", lambda e: e["name"]).alias("names")] if statistic.distinct else []
+    return got.select(*of, F.transform("e", lambda e: e["flag"]).alias("flags"), F.transform("e", lambda e: e["value"]).alias("values"), *names)
 
 
-def _substitution_base(subs: DataFrame, units: DataFrame, test: Test) -> DataFrame:
-    """unit, transcript_id and slots: number, context, base drawn for, and the context's places."""
-    slotted = sampling.slots(subs.select("unit", "transcript_id", "cds", "cds_pos", "start", "ref", "alt", "strand"), test.context)
+def substitution_table(units: DataFrame, test: Test, statistic) -> DataFrame:
+    """unit, and by 4 * place + base (A, C, G, T) the arrays of _table()."""
+    eff = sampling.snv_effects(units, "unit", [c for c in units.columns if c != "unit"])
+    size = F.when(F.col("effect") == "PrematureStop", F.col("aa_off"))
+    eff = eff.withColumn("mut_length", size)
+    place = F.col("drawn") * 4 + F.position(F.col("cds_alt"), F.lit(_BASES)) - 1
+    return _table(eff, test, statistic, ["unit", "drawn", "cds_alt"], place, "sub")
+
+
+def indel_table(alleles: DataFrame, units: DataFrame, test: Test, statistic) -> DataFrame:
+    """unit, ref, alt, and by place the arrays of _table(): every place is looked up in the frames, so
+    no mutant protein is made."""
+    each = alleles.join(units, "unit").where(F.length("cds") > 0).withColumn("drawn", F.explode(F.sequence(F.lit(0), F.length("cds") - 1)))
+    each = annotate(each.withColumn("start", F.lit(0).cast("long")), at=F.col("drawn"))
+    return _table(each, test, statistic, ["unit", "ref", "alt", "drawn"], F.col("drawn"), "indel")
+
+
+def _substitution_base(subs: DataFrame, units: DataFrame, test: Test, statistic) -> DataFrame:
+    """One row per unit: places, entries (context, first, n, add, slot, m), slots (their number) and
+    the arrays of the table."""
+    runs = sampling.slot_runs(subs, test.context, ["strand"])
     base = F.when(F.col("strand") == "-", F.translate("alt", "ACGT", "TGCA")).otherwise(F.col("alt"))
-    places = sampling.context_positions(units.select("transcript_id", "cds").dropDuplicates(["transcript_id"]), test.context)
-    rows = slotted.withColumn("base", F.position(base, F.lit(_BASES)) - 1).join(places, ["transcript_id", "context"])
-    return rows.groupBy("unit", "transcript_id").agg(F.collect_list(F.struct("slot", "context", "base", "positions")).alias("slots"))
-
-
-def _substitution_sums(base: DataFrame, statistic, first: int, last: int, seed: int) -> DataFrame:
-    """unit, sim, placed, kept and sum (or set, of distinct changes) of simulations first to last - 1.
-    base: slots and the substitution table, dealt by unit."""
-    arrays = [c for c in ("flags", "values", "names") if c in base.columns]
-    x = base.select("unit", "transcript_id", "slots", *arrays, F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("sim"))
-    x = x.select("unit", "transcript_id", *arrays, "sim", F.explode("slots").alias("s"))
-    pick = sampling.draw([F.lit(seed), F.col("transcript_id"), F.col("s.context"), F.col("sim"), F.col("s.slot")], F.size("s.positions"))
-    x = x.withColumn("k", F.get("s.positions", pick) * 4 + F.col("s.base"))
-    x = x.select("unit", "sim", F.get("flags", "k").alias("flag"), F.get("values", "k").alias("value"), *([F.get("names", "k").alias("name")] if statistic.distinct else []))
+    index = sampling.context_index_csr(units.select("transcript_id", "cds").dropDuplicates(["transcript_id"]), test.context)
+    known = index.select("transcript_id", F.explode("contexts").alias("c")).select("transcript_id", "c.*")
+    rows = runs.withColumn("add", F.position(base, F.lit(_BASES)) - 1).join(known, ["transcript_id", "context"], "left")
+    # every context of a variant is one of its transcript; a slot without places would be lost silently
+    rows = rows.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no place for context "), "context", F.lit(" in "), "transcript_id"))).otherwise(F.col("n")))
+    entries = rows.groupBy("unit", "transcript_id").agg(F.collect_list(F.struct("context", "first", "n", "add", "slot", "m")).alias("entries"), F.sum("m").alias("slots"))
+    return entries.join(index.select("transcript_id", "places"), "transcript_id").join(substitution_table(units, test, statistic), "unit")
+
+
+def _indel_base(indels: DataFrame, units: DataFrame, test: Test, statistic) -> DataFrame:
+    """One row per unit and allele: the same, drawn over the whole coding sequence. Deletions of a
+    length are one allele, since what they delete is read where they are drawn."""
+    runs = sampling.slot_runs(indels, 0, [])
+    allele = F.when(F.col("alt") == "", F.repeat(F.lit("N"), F.length("ref"))).otherwise(F.col("ref"))
+    runs = runs.withColumn("ref", allele)
+    size = units.select("unit", F.length("cds").alias("n"))
+    entry = F.struct("context", F.lit(0).alias("first"), "n", F.lit(0).alias("add"), "slot", "m")
+    entries = runs.join(size, "unit").groupBy("unit", "transcript_id", "ref", "alt").agg(F.collect_list(entry).alias("entries"), F.sum("m").alias("slots"))
+    return entries.join(indel_table(entries.select("unit", "ref", "alt"), units, test, statistic), ["unit", "ref", "alt"])
+
+
+def _dealt(base: DataFrame, first: int, last: int) -> DataFrame:
+    """base with lo and hi, a range of the simulations first to last - 1; units with many draws in several
+    rows, in tasks of their own."""
+    ranges = F.least(F.ceil(F.col("slots") * (last - first) / DRAWS), F.lit(last - first)).cast("int")
+    base = base.withColumn("_ranges", F.greatest(ranges, F.lit(1)))
+    many = base.where("_ranges > 1").withColumn("_range", F.explode(F.sequence(F.lit(0), F.col("_ranges") - 1))).repartition("unit", "_range")
+    both = base.where("_ranges = 1").withColumn("_range", F.lit(0)).unionByName(many)
+    edge = lambda k: (F.lit(first) + F.floor((last - first) * k / F.col("_ranges"))).cast("int")
+    return both.withColumns({"lo": edge(F.col("_range")), "hi": edge(F.col("_range") + 1)})
+
+
+def _sums(base: DataFrame, statistic, first: int, last: int, seed: int, scale: int) -> DataFrame:
+    """unit, sim, placed, kept and sum (or set, of distinct changes) of simulations first to
+    last - 1. scale: entries of the arrays a place has."""
+    arrays = [c for c in ("flags", "values", "names", "places") if c in base.columns]
+    x = _dealt(base, first, last).select("unit", "transcript_id", "entries", *arrays, F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("sim"))
+    x = x.select("unit", "transcript_id", *arrays, "sim", F.explode("entries").alias("s"))
+    x = x.withColumn("slot", F.explode(F.sequence(F.col("s.slot"), F.col("s.slot") + F.col("s.m") - 1)))
+    pick = sampling.draw([F.lit(seed), F.col("transcript_id"), F.col("s.context"), F.col("sim"), F.col("slot")], F.col("s.n"))
+    at = F.get("places", F.col("s.first") + pick) if "places" in base.columns else pick
+    x = x.withColumn("k", (at * scale + F.col("s.add")).cast("int"))
+    name = [F.get("names", "k").alias("name")] if statistic.distinct else []
+    x = x.select("unit", "sim", F.get("flags", "k").alias("flag"), F.get("values", "k").alias("value"), *name)
     value = F.when(F.col("flag") == 2, F.col("value"))
     out = F.collect_set(F.when(value.isNotNull(), F.struct("name", "value"))) if statistic.distinct else F.sum(value)
     return x.groupBy("unit", "sim").agg(F.count_if(F.col("flag") > 0).alias("placed"), F.count_if(F.col("flag") == 2).alias("kept"), out.alias("sum"))
 
 
-def _indel_sums(indels: DataFrame, units: DataFrame, test: Test, statistic, first: int, last: int, seed: int) -> DataFrame:
-    """The same for indels, which are drawn anywhere: each distinct draw is annotated once."""
-    slotted = sampling.slots(indels.select("unit", "transcript_id", "cds", "cds_pos", "start", "ref", "alt"), 0).drop("cds", "cds_pos")
-    places = units.select("transcript_id", F.length("cds").alias("n")).dropDuplicates(["transcript_id"])
-    x = slotted.join(places, "transcript_id").withColumn("sim", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
-    x = x.withColumn("drawn", sampling.draw([F.lit(seed), F.col("transcript_id"), F.col("context"), F.col("sim"), F.col("slot")], F.col("n")))
-    keys = ["unit", "ref", "alt", "drawn"]
-    x = x.select(*keys, "sim")
-    each = x.select(*keys).distinct().join(units, "unit").withColumn("start", F.lit(0).cast("long"))
-    each = annotate(each, at=F.col("drawn")).where("effect is not null").withColumn("kind", F.lit("indel"))
-    each = statistic.with_value(each.withColumn("kept_", _kept(test)), keys).select(*keys, "kept_", "value")
-    value = F.sum(F.when(F.col("kept_"), F.col("value")))
-    return x.join(each, keys).groupBy("unit", "sim").agg(F.count("*").alias("placed"), F.count_if("kept_").alias("kept"), value.alias("sum"))
+def _state(active: DataFrame, hits: DataFrame, early: bool) -> DataFrame:
+    """Per unit the hits of a wave (_new) and the simulation after its hundredth (_stop). hits: unit
+    and what active has, sim, hit. Ranges of simulations count their hits first; the hundredth lies in
+    the range that a running sum over the ranges says."""
+    unit = active.columns
+    ranges = hits.withColumn("_range", F.floor(F.col("sim") / RANGE)).groupBy(*unit, "_range")
+    ranges = ranges.agg(F.sum("hit").alias("_in"), F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.col("sim")))).alias("_at"))
+    before = F.sum("_in").over(Window.partitionBy("unit").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("_before", F.col("_hits") + F.coalesce(before, F.lit(0)))
+    nth = F.get("_at", (F.lit(EARLY_STOP - 1) - F.col("_before")).cast("int"))
+    here = (F.col("_before") < EARLY_STOP) & (F.col("_before") + F.col("_in") >= EARLY_STOP)
+    stop = F.min(F.when(here, nth + 1)) if early else F.lit(None).cast("int")
+    return ranges.groupBy(*unit).agg(F.sum("_in").alias("_new"), stop.alias("_stop"))
 
 
-def run_test(variants: DataFrame, test: Test, statistic, simulations: int = 10_000, seed: int = sampling.SEED, waves: tuple[int, ...] = WAVES) -> DataFrame:
-    """unit, the statistic and pvalue. variants: annotated, with unit and the transcript's columns.
+def run_test(variants: DataFrame, tx: DataFrame, test: Test, statistic, simulations: int = 10_000, seed: int = sampling.SEED, waves: tuple[int, ...] = WAVES) -> DataFrame:
+    """unit, the statistic and pvalue. variants: annotated, narrow (see NARROW); tx: dimension().
 
     A unit has a row if it has a substitution, or an indel that decay leaves. Substitutions are
     simulated if decay leaves one of them (for tests without indels, always), indels likewise; all of
@@ -214,22 +283,23 @@ def run_test(variants: DataFrame, test: Test, statistic, simulations: int = 10_0
         seen = seen.withColumn(extra, F.when(idle, 0).otherwise(F.col(extra)))
     seen = cut(seen)
     active = seen.where(~idle).select("unit", F.col(col).alias("_obs"), "_n", "_draws_sub", "_draws_indel", F.lit(0).cast("long").alias("_hits"))
-    units = chosen.join(active.select("unit"), "unit", "left_semi").select(*_columns(chosen)).dropDuplicates(["unit"])
-    units = cut(units)
+    units = chosen.join(active.select("unit"), "unit", "left_semi").select("unit", "gene", "transcript_id").distinct().join(tx, "transcript_id")
     subs = chosen.where("kind = 'sub'").join(active.where("_draws_sub").select("unit"), "unit", "left_semi")
-    base = cut(_substitution_base(subs, units, test).join(substitution_table(units, test, statistic), "unit"))
-    indels = chosen.where("kind = 'indel'").join(active.where("_draws_indel").select("unit"), "unit", "left_semi")
+    base = cut(_substitution_base(subs, units, test, statistic))
+    if test.indels:
+        indels = chosen.where("kind = 'indel'").join(active.where("_draws_indel").select("unit"), "unit", "left_semi")
+        indel_base = cut(_indel_base(indels, units, test, statistic))
     ends = [*[w for w in waves if w < simulations], simulations] if test.early else [simulations]
     done, start = [], 0
     for end in ends:
         mine = active.select("unit")
-        sums = _substitution_sums(base.join(mine, "unit", "left_semi"), statistic, start, end, seed)
+        sums = _sums(base.join(mine, "unit", "left_semi"), statistic, start, end, seed, 4)
         if statistic.distinct:
             mean = F.aggregate("sum", F.lit(0.0), lambda a, e: a + e["value"]) / F.size("sum")
             sums = sums.withColumn("sum", F.when(F.size("sum") > 0, mean))
         if test.indels:
-            more = _indel_sums(indels.join(mine, "unit", "left_semi"), units, test, statistic, start, end, seed)
-            sums = sums.unionByName(more).groupBy("unit", "sim").agg(*(F.sum(c).alias(c) for c in ("placed", "kept", "sum")))
+            sums = sums.unionByName(_sums(indel_base.join(mine, "unit", "left_semi"), statistic, start, end, seed, 1))
+            sums = sums.groupBy("unit", "sim").agg(*(F.sum(c).alias(c) for c in ("placed", "kept", "sum")))
         grid = active.withColumn("sim", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
         got = grid.join(sums, ["unit", "sim"], "left")
         value = F.coalesce(F.col("sum"), F.lit(0.0))
@@ -237,12 +307,7 @@ def run_test(variants: DataFrame, test: Test, statistic, simulations: int = 10_0
         hit = (value <= F.col("_obs")) if test.side == "<=" else (value >= F.col("_obs"))
         empty = F.coalesce(F.col("kept"), F.lit(0)) == 0
         hit = F.coalesce(hit, F.lit(False)) if not test.empty_hits else empty | F.coalesce(hit, F.lit(True))
-        got = got.select(*active.columns, "sim", hit.cast("int").alias("hit"))
-        run = F.sum("hit").over(Window.partitionBy("unit").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0))
-        got = got.withColumn("_run", F.col("_hits") + run)
-        stop = F.min(F.when(F.col("_run") >= EARLY_STOP, F.col("sim") + 1)) if test.early else F.lit(None).cast("int")
-        state = got.groupBy(*active.columns).agg(F.sum("hit").alias("_new"), stop.alias("_stop"))
-        state = cut(state)  # one row per unit
+        state = cut(_state(active, got.select(*active.columns, "sim", hit.cast("int").alias("hit")), test.early))  # one row per unit
         last = F.lit(True) if end == ends[-1] else F.col("_stop").isNotNull()
         hits = F.col("_hits") + F.col("_new")
         ran = F.when(F.col("_stop").isNotNull(), F.lit(EARLY_STOP) / F.col("_stop")).otherwise(hits / F.lit(end))
@@ -257,8 +322,22 @@ def run_test(variants: DataFrame, test: Test, statistic, simulations: int = 10_0
     return cut(seen.join(p, "unit", "left").select("unit", col, F.coalesce("pvalue", F.lit(1.0)).alias("pvalue"), *test.extra))
 
 
+#: Columns of a variant that a test reads; sequences are not among them.
+NARROW = ("unit", "gene", "transcript_id", "own", "strand", "start", "ref", "alt", "cds_pos", "tri", "effect", "aa_off", "short", "mut_length", "n", "safe", "cds_length", "wild_window", "mut_window")
+
+
+def narrow(variants: DataFrame, end: str | None = None) -> DataFrame:
+    """Annotated variants without the sequences; end: with the windows there."""
+    from telospark.operators.score import windows
+
+    if end:
+        variants = windows(variants, end)
+    variants = variants.withColumns({"n": F.length("protein"), "safe": nmd_insensitive_length(F.col("ranges")), "cds_length": F.length("cds")})
+    return variants.select(*(c for c in NARROW if c in variants.columns))
+
+
 def shape(result: DataFrame, variants: DataFrame, test: Test) -> DataFrame:
     """The result table: gene, statistic, pvalue, counts, average position and qvalue."""
-    info = variants.groupBy("unit").agg(F.first("gene").alias("gene"), F.count("*").alias("total_muts"), aggregates.average_position(F.col("aa_off"), F.length("cds")).alias("average position"))
+    info = variants.groupBy("unit").agg(F.first("gene").alias("gene"), F.count("*").alias("total_muts"), aggregates.average_position(F.col("aa_off"), F.col("cds_length")).alias("average position"))
     out = result.join(info, "unit").select("gene", test.column, "pvalue", *test.extra, "total_muts", "average position")
     return bh_fdr(cut(out))  # one row per unit, read twice

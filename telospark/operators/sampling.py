@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telospark.functions.sequences import GENETIC_CODE, context, trinucleotide
+from telospark.functions.sequences import GENETIC_CODE, context, context_of
 from telospark.operators.annotate import STARTS
 
 SEED = 101
@@ -32,12 +32,22 @@ def draw(parts: list[Column], n: Column) -> Column:
     return F.pmod(F.conv(digest, 16, 10).cast("long"), n.cast("long")).cast("int")
 
 
-def slots(variants: DataFrame, kind: float, unit: str = "unit") -> DataFrame:
-    """Substitutions with their context and slot (0-based, by trinucleotide, then row)."""
-    df = variants.withColumn("_tri", trinucleotide(F.col("cds"), F.col("cds_pos")))
-    df = df.withColumn("context", context(F.col("cds"), F.col("cds_pos"), kind))
-    w = Window.partitionBy(unit).orderBy("_tri", "start", "ref", "alt", "cds_pos")
-    return df.withColumn("slot", F.row_number().over(w) - 1).drop("_tri")
+def context_index_csr(tx: DataFrame, kind: float) -> DataFrame:
+    """transcript_id, places (all cds places, by context and then place) and contexts (context, first,
+    n): where a context's places begin in that array, and how many there are. One place a base."""
+    by = context_positions(tx, kind).groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("context", "positions"))).alias("c"))
+    first = lambda i: F.aggregate(F.slice("c", 1, i), F.lit(0), lambda a, y: a + F.size(y["positions"]))  # noqa: E731  at most 64 contexts
+    return by.select("transcript_id", F.flatten(F.transform("c", lambda x: x["positions"])).alias("places"), F.transform("c", lambda x, i: F.struct(x["context"].alias("context"), first(i).alias("first"), F.size(x["positions"]).alias("n"))).alias("contexts"))
+
+
+def slot_runs(variants: DataFrame, kind: float, more: list[str]) -> DataFrame:
+    """Slots of each unit, numbered from 0 by trinucleotide (tri), then start, ref, alt and cds_pos:
+    one row per distinct variant with slot (its first) and m (how many it has), so that a unit has
+    no more rows than its transcript has variants, however many mutations there are."""
+    order = ["tri", "start", "ref", "alt", "cds_pos"]
+    distinct = variants.groupBy("unit", "transcript_id", *order, *more).agg(F.count("*").alias("m"))
+    before = Window.partitionBy("unit").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return distinct.withColumn("context", context_of(F.col("tri"), kind)).withColumn("slot", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
 def draws(slotted: DataFrame, positions: DataFrame, first: int, last: int, seed: int = SEED) -> DataFrame:

@@ -22,28 +22,34 @@ def peptide_scores(df: DataFrame, columns: list[str], specific: Model, bag: Mode
 
 def eligible(df: DataFrame, nmd_indels: bool = True) -> Column:
     """Substitutions without decaying stops, and indels (without decaying ones if asked)."""
-    effect, ref, alt, mutant = (F.col(c) for c in ("effect", "ref", "alt", "mut_protein"))
+    effect, ref, alt, mutant = (F.col(c) for c in ("effect", "ref", "alt", "mut_length"))
     n, safe = F.length("protein"), nmd_insensitive_length(F.col("ranges"))
     sub = is_substitution(effect, ref, alt) & nonsense_kept(effect, mutant, n, safe)
     indel = is_indel(effect, ref, alt)
     return sub | (indel & nmd_kept(mutant, n, safe) if nmd_indels else indel)
 
 
+def windows(df: DataFrame, end: str) -> DataFrame:
+    """Annotated variants with n (length of the protein), wild_window and mut_window: what scoring
+    reads of the two proteins."""
+    mutant = F.col("mut_end") if end == "cterm" else terminal_window(F.col("mut_protein"), end)
+    return df.withColumns({"n": F.length("protein"), "wild_window": terminal_window(F.col("protein"), end), "mut_window": mutant})
+
+
 def with_delta(df: DataFrame, specific: Model, bag: Model | None, end: str) -> DataFrame:
-    """Annotated variants that change the terminus, with delta, and mutant_score. A wild-type
-    window with U gives delta 0 and no row for scoring."""
-    df = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), F.col("mut_protein"), F.length("protein"), end))
-    df = df.withColumns({"_m": terminal_window(F.col("mut_protein"), end), "_w": terminal_window(F.col("protein"), end)})
-    df = df.where(~F.col("_w").contains("U"))
-    scores = peptide_scores(df, ["_m", "_w"], specific, bag)
-    df = df.join(scores.toDF("_m", "mutant_score"), "_m").join(scores.toDF("_w", "_wild"), "_w")
-    return df.withColumn("delta", F.col("mutant_score") - F.col("_wild")).drop("_m", "_w", "_wild")
+    """Variants with their windows() that change the terminus, with delta, and mutant_score. A
+    wild-type window with U gives delta 0 and no row for scoring."""
+    df = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), F.col("mut_length"), F.col("n"), end))
+    df = df.where(~F.col("wild_window").contains("U"))
+    scores = peptide_scores(df, ["mut_window", "wild_window"], specific, bag)
+    df = df.join(scores.toDF("mut_window", "mutant_score"), "mut_window").join(scores.toDF("wild_window", "_wild"), "wild_window")
+    return df.withColumn("delta", F.col("mutant_score") - F.col("_wild")).drop("mut_window", "wild_window", "_wild")
 
 
 def score_mutations(df: DataFrame, specific: Model, bag: Model | None, end: str, raw: bool = False) -> DataFrame:
     """One row per scored mutation. Normal: the change in potential; raw: the change in the
     specific model's score and the score itself, indels not filtered for decay."""
-    df = with_delta(df.where(eligible(df, nmd_indels=not raw)), specific, None if raw else bag, end)
+    df = with_delta(windows(df.where(eligible(df, nmd_indels=not raw)), end), specific, None if raw else bag, end)
     end_pos = F.col("start") + F.greatest(F.length("ref") - 1, F.lit(0))
     cols = [F.col("gene").alias("Hugo_Symbol"), F.col("transcript_id").alias("Transcript_ID"), F.col("contig").alias("Chromosome"), F.col("start").alias("Start_Position"), end_pos.alias("End_Position"), F.col("short").alias("HGVSp_Short")]
     if raw:

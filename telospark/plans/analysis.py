@@ -3,14 +3,17 @@ transcript dimension is joined once and genes are never looped over."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from telospark.operators import intervals, permutation
+from telospark.operators import permutation
 from telospark.operators.annotate import annotate, with_positions
 from telospark.operators.filters import allele_ok, coding_complete, collapse_genes, has_transcript, nmd_insensitive_length, truncation_eligible
+from telospark.operators.frames import with_frames
 from telospark.sources.scratch import cut
 
+#: Why a mutation has no effect.
+REASONS = ("no transcript named", "allele with N or too long", "no complete coding transcript", "doesn't fit the transcript")
 ORDER = ("degrons", "sites", "cterm", "nterm", "truncation", "stability")
 
 
@@ -30,19 +33,27 @@ def score_end(options: dict) -> str:
     raise ValueError("give cterm or nterm models")
 
 
-def annotated(mutations: DataFrame, tx: DataFrame, mode: str = "transcript") -> tuple[DataFrame, DataFrame]:
+def annotated(mutations: DataFrame, tx: DataFrame, mode: str = "transcript", report: list[Observation] | None = None) -> tuple[DataFrame, DataFrame]:
     """(variants with effects, unit and transcript columns, rejected rows with the reason).
 
     Variants are annotated on their own transcript. mode 'legacy' then gives a gene its first known
-    transcript and the variants of its last one; own tells whether these are the same."""
-    named = mutations.where(has_transcript(F.col("transcript_id")))
-    rows = named.where(allele_ok(F.col("ref"), F.col("alt")))
-    dims = with_positions(tx.where(coding_complete(F.col("biotype"), F.col("complete")))).drop("contig", "gene")
-    out = annotate(rows.join(dims, "transcript_id"))
-    site = ["gene", "transcript_id", "contig", "start", "ref", "alt"]
-    unknown = rows.join(dims.select("transcript_id"), "transcript_id", "left_anti").select(*site, F.lit("no complete coding transcript").alias("reason"))
-    rejected = out.where("effect is null").select(*site, F.lit("doesn't fit the transcript").alias("reason")).unionByName(unknown)
-    good = out.where("effect is not null")
+    transcript and the variants of its last one; own tells whether these are the same. report gets
+    observations that count what is left out, for each reason, while the variants are computed."""
+    blank, odd = ~has_transcript(F.col("transcript_id")), ~allele_ok(F.col("ref"), F.col("alt"))
+    seen = mutations.withColumn("reason", F.when(blank, REASONS[0]).when(odd, REASONS[1]))
+    if report is not None:
+        report += [Observation(), Observation()]
+        seen = seen.observe(report[-2], F.count("*").alias("mutations"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS[:2]))
+    named = mutations.where(~blank)
+    rows = seen.where("reason is null").drop("reason")
+    dims = with_frames(with_positions(tx.where(coding_complete(F.col("biotype"), F.col("complete"))))).drop("contig", "gene")
+    out = annotate(rows.join(dims, "transcript_id", "left"))
+    out = out.withColumn("reason", F.when(F.col("cds").isNull(), REASONS[2]).when(F.col("effect").isNull(), REASONS[3]))
+    if report is not None:
+        out = out.observe(report[-1], *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS[2:]))
+    site = ["gene", "transcript_id", "contig", "start", "ref", "alt", "reason"]
+    rejected = seen.where("reason is not null").select(*site).unionByName(out.where("reason is not null").select(*site))
+    good = out.where("reason is null").drop("reason")
     if mode == "legacy":
         known = named.join(tx.select("transcript_id"), "transcript_id", "left_semi").groupBy("gene").agg(F.min("transcript_id").alias("_first"), F.max("transcript_id").alias("_last"))
         good = collapse_genes(good, mode, known).drop(*(c for c in dims.columns if c != "transcript_id")).join(dims, "transcript_id")
@@ -51,18 +62,20 @@ def annotated(mutations: DataFrame, tx: DataFrame, mode: str = "transcript") ->
     return good, rejected
 
 
-def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_000, spans: DataFrame | None = None, models: tuple | None = None, energies: DataFrame | None = None, side: str = "lesser", mode: str = "transcript", seed: int = 101) -> DataFrame:
+def reported(report: list[Observation]) -> dict[str, int]:
+    """The counts of annotated(), once its variants have been computed."""
+    return {k: v for o in report for k, v in o.get.items()}
+
+
+def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_000, spans: DataFrame | None = None, models: tuple | None = None, energies: DataFrame | None = None, side: str = "lesser", mode: str = "transcript", seed: int = 101, report: list[Observation] | None = None) -> DataFrame:
     """The result table of one analysis; 'degrons_simple' is the older test of substitutions alone."""
-    variants, _ = annotated(mutations, tx, mode)
+    variants, _ = annotated(mutations, tx, mode, report)
     if name == "degrons_simple":
-        variants = intervals.with_key(variants, spans, "gene")
-        test, statistic = permutation.DEGRON_LEGACY, permutation.Overlap()
+        test, statistic = permutation.DEGRON_LEGACY, permutation.Overlap(spans, "gene")
     elif name == "degrons":
-        variants = intervals.with_key(variants, spans, "gene")
-        test, statistic = permutation.DEGRON, permutation.Overlap()
+        test, statistic = permutation.DEGRON, permutation.Overlap(spans, "gene")
     elif name == "sites":
-        variants = intervals.with_key(variants, spans, "transcript_id")
-        test, statistic = permutation.SITE, permutation.Overlap()
+        test, statistic = permutation.SITE, permutation.Overlap(spans, "transcript_id")
     elif name in ("cterm", "nterm"):
         test, statistic = permutation.TERMINAL, permutation.Potential(*models, name)
     elif name == "truncation":
@@ -74,7 +87,8 @@ def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_00
         test, statistic = permutation.STABILITY, permutation.Energy(energies)
     else:
         raise ValueError(f"no analysis named {name}")
-    keep = [c for c in variants.columns if c not in ("genome", "stop_positions", "biotype", "complete")]
-    variants = cut(variants.select(*keep))
-    result = permutation.run_test(variants, test, statistic, simulations, seed)
+    if name in ("degrons", "degrons_simple", "sites"):
+        variants = variants.join(spans.select(F.col("key").alias(statistic.key)).distinct(), statistic.key, "left_semi")
+    variants = cut(permutation.narrow(variants, name if name in ("cterm", "nterm") else None))
+    result = permutation.run_test(variants, permutation.dimension(tx.where(coding_complete(F.col("biotype"), F.col("complete")))), test, statistic, simulations, seed)
     return permutation.shape(result, variants, test)

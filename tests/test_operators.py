@@ -82,10 +82,10 @@ def test_nmd_classes(spark):
 def test_terminal_rule_at_its_edges(spark):
     rows = [("Substitution", 77), ("Substitution", 78), ("FrameShift", 0), ("StartLoss", 90), ("NonCoding", 90)]
     df = spark.createDataFrame(rows, "effect string, off int")
-    keep = df.where(filters.hits_terminus(F.col("effect"), F.col("off"), F.lit("M"), F.lit(100), "cterm")).collect()
+    keep = df.where(filters.hits_terminus(F.col("effect"), F.col("off"), F.lit(9), F.lit(100), "cterm")).collect()
     assert [tuple(r) for r in keep] == [("Substitution", 78), ("FrameShift", 0), ("StartLoss", 90)]
     df = spark.createDataFrame([("Substitution", 24), ("Substitution", 25), ("FrameShift", 3)], "effect string, off int")
-    keep = df.where(filters.hits_terminus(F.col("effect"), F.col("off"), F.lit("M"), F.lit(100), "nterm")).collect()
+    keep = df.where(filters.hits_terminus(F.col("effect"), F.col("off"), F.lit(9), F.lit(100), "nterm")).collect()
     assert [r.off for r in keep] == [24]
 
 
@@ -193,17 +193,22 @@ def test_units_need_variants_that_decay_leaves(spark):
     assert "indels" not in cut and cut["stops"].pvalue == 1.0
 
 
-def test_sites_equal_a_plain_simulation(spark):
-    """The same draws, one by one in Python: statistic and p-value are equal."""
+@pytest.mark.parametrize("draws", [4_000_000, 90])
+def test_sites_equal_a_plain_simulation(spark, monkeypatch, draws):
+    """The same draws, one by one in Python: statistic and p-value are equal, also where a unit is
+    dealt into many ranges of simulations."""
     import hashlib
 
+    monkeypatch.setattr(permutation, "DRAWS", draws)
+    monkeypatch.setattr(permutation, "RANGE", 256 if draws > 90 else 7)
     rng = random.Random(12)
     rows = [_transcript(rng, f"T{i}", f"g{i}") for i in range(5)]
     muts = []
     for r in rows:
         cds = r[6]
         places = rng.sample(range(3, 86), 6)
-        muts += [(r[1], r[0], "1", p + 1, cds[p], rng.choice([b for b in "ACGT" if b != cds[p]])) for p in places]
+        mine = [(r[1], r[0], "1", p + 1, cds[p], rng.choice([b for b in "ACGT" if b != cds[p]])) for p in places]
+        muts += mine * (3 if r is rows[0] else 1)  # equal mutations are slots of their own
     spans = spark.createDataFrame([(r[0], 6, 16) for r in rows], "key string, start int, end int")
     tx = _transcripts(spark, rows)
     out = {r.gene: r for r in analysis.run("sites", spark.createDataFrame(muts, MUTATION), tx, 700, spans=spans).collect()}
@@ -244,6 +249,61 @@ def test_sites_equal_a_plain_simulation(spark):
         assert out[r[1]].pvalue == pytest.approx(hits / n if seen else 1.0), name
 
 
+def test_indels_equal_a_plain_simulation(spark, monkeypatch):
+    """Truncations of substitutions and indels together, drawn one by one in Python."""
+    import hashlib
+
+    from test_frames import plain
+
+    monkeypatch.setattr(permutation, "DRAWS", 500)
+    rng = random.Random(21)
+    rows = [_transcript(rng, f"T{i}", f"g{i}", codons=60) for i in range(3)]
+    muts = []
+    for r in rows:
+        cds = r[6]
+        muts += [(r[1], r[0], "1", p + 1, cds[p], rng.choice([b for b in "ACGT" if b != cds[p]])) for p in rng.sample(range(3, 140), 5)]
+        late = [p for p in range(120, 140)]
+        muts += [(r[1], r[0], "1", p + 1, cds[p : p + k], "") for p, k in zip(late, (1, 2, 3, 1))]
+        muts += [(r[1], r[0], "1", p + 1, "", a) for p, a in zip(late, ("A", "AC", "GGT"))]
+    tx = _transcripts(spark, rows)
+    out = {r.gene: r for r in analysis.run("truncation", spark.createDataFrame(muts, MUTATION), tx, 400).collect()}
+    for r in rows:
+        cds, name, utr3 = r[6], r[0], r[7]
+        protein = sequences.GENETIC_CODE and "".join(dict(zip([a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"], sequences.GENETIC_CODE))[cds[i : i + 3]] for i in range(0, len(cds), 3)).split("*")[0]
+        n, safe = len(protein), 30 / 3 + 50 / 3
+
+        def told(p, ref, alt):
+            """(whether it is placed, kept, truncating)"""
+            got = plain(cds, utr3, protein, "+", p, ref, alt)
+            if got is None:
+                return None
+            effect, _, new, _ = got
+            decays = new is not None and new != "" and not len(new) > n - safe
+            kept = effect != "PrematureStop" or not decays if len(ref) == len(alt) else not decays
+            return kept, effect in ("FrameShift", "PrematureStop", "StopLoss")
+
+        mine = [(m[3] - 1, m[4], m[5]) for m in muts if m[1] == name]
+        tri = lambda p: cds[max(p - 1, 0)] + cds[p] + cds[min(p + 1, len(cds) - 1)]
+        subs = sorted((tri(p), p, ref, alt) for p, ref, alt in mine if len(ref) == len(alt))
+        indels = sorted((tri(p), p, ref, alt) for p, ref, alt in mine if len(ref) != len(alt))
+        seen = sum(told(p, ref, alt)[1] for p, ref, alt in mine if told(p, ref, alt)[0])
+        assert out[r[1]].num_truncations == seen > 0
+        places = {}
+        for p in range(len(cds)):
+            places.setdefault(tri(p), []).append(p)
+        number = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+        hits = runs = 0
+        for sim in range(400):
+            drawn = [told(q, cds[q], alt) for k, (t, _, _, alt) in enumerate(subs) for q in [places[t][number(101, name, t, sim, k) % len(places[t])]] if alt != cds[q]]
+            drawn += [told(number(101, name, "None", sim, k) % len(cds), ref, alt) for k, (_, _, ref, alt) in enumerate(indels)]
+            kept = [x[1] for x in drawn if x and x[0]]
+            hits += not kept or sum(kept) <= seen
+            runs += 1
+            if hits == 100:
+                break
+        assert out[r[1]].pvalue == pytest.approx(hits / runs), name
+
+
 def test_legacy_collapse(spark):
     """Variants are annotated on their own transcript; substitutions of another one don't count."""
     rng = random.Random(2)
@@ -252,6 +312,7 @@ def test_legacy_collapse(spark):
     tx, m = _transcripts(spark, [a, b]), spark.createDataFrame(muts, MUTATION)
     got, rejected = analysis.annotated(m, tx, "legacy")
     rows = got.collect()
+    assert [r.reason for r in rejected.collect()] == ["no complete coding transcript"]
     assert len(rows) == 3 and {r.transcript_id for r in rows} == {"T1"} and {r.cds for r in rows} == {a[6]} and not any(r.own for r in rows)
     assert [r.transcript_id for r in rejected.collect()] == ["T0"]
     spans = spark.createDataFrame([("g", 1, 40)], "key string, start int, end int")
@@ -370,7 +431,7 @@ def test_annotation_files_and_command_line(spark, tmp_path):
     assert out.keys() == {"GENE0", "GENE1"}
     assert [(0 <= float(r.pvalue) <= 1, r.total_muts, float(r.num_degron_muts) >= 4) for r in out.values()] == [(True, "13", True)] * 2
     bad = tables.scan(spark, str(tmp_path / "r")).collect()
-    assert [(r.transcript_id, r.reason) for r in bad] == [("ENST777", "no complete coding transcript")]
+    assert sorted((r.transcript_id, r.reason) for r in bad) == sorted([("ENST777", "no complete coding transcript")] + [(k, "allele with N or too long") for k in want for _ in range(2)])
     cli.main(["test", "-i", str(tmp_path / "m.txt"), "-x", files, "-d", str(tmp_path / "d.txt"), "--simple", "--mode", "legacy", "-ns", "20", "-o", str(tmp_path / "s")], spark)
     assert tables.scan(spark, str(tmp_path / "s")).count() == 2
 
