@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telospark.sources.scratch import cut
+
 EARLY_STOP = 100
 
 
@@ -21,21 +23,46 @@ def running_minimum(df: DataFrame, value: str, order: list, out: str, by: list[s
     return df.withColumn(out, F.min(value).over(_window(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """df dealt by ranges of an order, with _part, the number of a row's range; computed when this
+    returns. Rows equal in the order are in one range."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def before_ranges(df: DataFrame, value: str, total: str, out: str) -> DataFrame:
+    """_part, and the sum of a column in all earlier ranges (out) and in all (total): a row per range."""
+    sums = df.groupBy("_part").agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias(out), F.sum("_s").over(Window.partitionBy()).alias(total))
+
+
 def bh_fdr(df: DataFrame, p: str = "pvalue", out: str = "qvalue", by: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg q-values over all rows, or within groups. NaN stays NaN and counts in n;
     null stays null and doesn't.
 
     Equal p-values have one q-value, so the ranks and the running minimum are taken over distinct
-    p-values: the window sees one row for each of them.
+    p-values, one row for each. Without groups these are dealt by ranges of p: a range takes its
+    first rank from the counts of those before it, and the least value of those behind it as the
+    limit of its own minimum, so no task sees all.
     """
     keys = list(by or [])
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    w = _window(by).orderBy(F.col(p))
-    rank = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_c").over(_window(by))
-    value = F.when(~F.isnan(p), F.col(p) * total / rank)
-    q = counts.withColumn("_v", value).withColumn(out, F.when(F.isnan(p), F.lit(float("nan"))).otherwise(F.least(F.lit(1.0), F.min("_v").over(w.rowsBetween(0, Window.unboundedFollowing)))))
-    q = q.select(*keys, F.col(p).alias("_p"), out)
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.col(p))
+        x = counts.withColumns({"_rank": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_c").over(Window.partitionBy(*by)), "_later": F.lit(None).cast("double")})
+    else:
+        parts = ranged(counts, F.col(p))
+        w = Window.partitionBy("_part").orderBy(F.col(p))
+        x = parts.join(F.broadcast(before_ranges(parts, "_c", "_total", "_base")), "_part")
+        x = x.withColumn("_rank", F.col("_base") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_v", F.when(~F.isnan(p), F.col(p) * F.col("_total") / F.col("_rank")))
+    if not by:
+        behind = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # over one row per range
+        later = x.groupBy("_part").agg(F.min("_v").alias("_low")).select("_part", F.min("_low").over(behind).alias("_later"))
+        x = x.join(F.broadcast(later), "_part")
+    low = F.least(F.min("_v").over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"), F.lit(1.0))
+    q = x.withColumn(out, F.when(F.isnan(p), F.lit(float("nan"))).otherwise(low)).select(*keys, F.col(p).alias("_p"), out)
     names = [c for c in df.columns if c != out]
     same = df[p] == q["_p"]
     for k in keys:
@@ -63,10 +90,16 @@ def early_stopped_pvalue(df: DataFrame, hit: str, sim: str, by: list[str], limit
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve with ties at a half; null for one class. Rows are first
-    summed by score, so the window sees distinct scores only."""
+    summed by score; without groups, distinct scores are dealt by ranges."""
     keys = list(by or [])
     each = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(_window(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.lit(0)
+    if not by:
+        each = ranged(each, score)
+        each = each.join(F.broadcast(before_ranges(each, "_n", "_all", "_base")), "_part")
+        base = F.col("_base")
+    w = Window.partitionBy(*(by or ["_part"])).orderBy(score)
+    below = base + F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("_wins", F.col("_p") * (below + F.col("_n") / 2))
     area = F.try_divide(F.sum("_wins"), F.sum("_p").cast("double") * F.sum("_n"))
     return (each.groupBy(*keys) if keys else each).agg(area.alias("auc"))
@@ -83,24 +116,73 @@ def log2_odds(hits: Column, total: Column, base_hits: Column, base_total: Column
     return F.when(x == 0, -inf).when(F.isnan(x) | (x < 0), nan).when(x == inf, inf).otherwise(F.log2(x))
 
 
+def _stirling_error(n: np.ndarray) -> np.ndarray:
+    """log n! less Stirling's formula, for n >= 1."""
+    few = np.array([0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 17)])
+    x = np.maximum(n, 1.0)
+    y = 1 / (x * x)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - y / 1188) * y) * y) * y) / x
+    return np.where(n <= 16, few[np.minimum(n, 16).astype(int)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x log(x / mean) + mean - x without cancellation where they are close."""
+    v = (x - mean) / (x + mean)
+    series, term = (x - mean) * v, 2 * x * v
+    for j in range(1, 30):  # |v| < 0.1
+        term = term * v * v
+        series = series + term / (2 * j + 1)
+    far = x * np.log(x / mean) + mean - x
+    return np.where(np.abs(v) < 0.1, series, far)
+
+
+def _binomial_term(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X = k), 0 < p < 1, by the saddle point: no difference of large logarithms."""
+    inner = (k > 0) & (k < n)
+    a, b = np.where(inner, k, 1.0), np.where(inner, n - k, 1.0)
+    m = a + b
+    log = _stirling_error(m) - _stirling_error(a) - _stirling_error(b) - _deviance(a, m * p) - _deviance(b, m * (1 - p))
+    edge = np.where(k == 0, n * np.log1p(-p), n * np.log(p))
+    return np.where(inner, np.exp(log) * np.sqrt(m / (2 * np.pi * a * b)), np.exp(edge))
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, limit: int = 20_000) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, limit):
+        before = h
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + up * d, 1 + up / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if (np.abs(h - before) <= 1e-15 * np.abs(h)).all():
+            return h
+    raise RuntimeError("the continued fraction did not settle")
+
+
+def tails(k, n, p) -> np.ndarray:
+    """P(X >= k) for X ~ Binomial(n, p), elementwise: the incomplete beta function I_p(k, n - k + 1) on
+    the side where its fraction settles fast, 1 less the other side's elsewhere. Relative error
+    below 1e-11 for n to tens of thousands."""
+    k, n, p = (np.asarray(x, np.float64) for x in (k, n, p))
+    inside = (k >= 1) & (k <= n) & (p > 0) & (p < 1)
+    out = np.where(k <= 0, 1.0, np.where((k > n) | (p <= 0), 0.0, 1.0))
+    if inside.any():
+        k, n, p = k[inside], n[inside], p[inside]
+        flip = k <= n * p
+        kk, q = np.where(flip, n - k + 1, k), np.where(flip, 1 - p, p)
+        # P(Y >= kk), Y ~ Binomial(n, q)
+        mass = _binomial_term(kk, n, q) * (1 - q) * _beta_fraction(kk, n - kk + 1, q)
+        out[inside] = np.clip(np.where(flip, 1 - mass, mass), 0.0, 1.0)
+    return out
+
+
 def tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for X ~ Binomial(n, p), summed from the largest term of the smaller tail."""
-    if k <= 0:
-        return 1.0
-    if k > n or p <= 0:
-        return 0.0
-    if p >= 1:
-        return 1.0
-    if k < n * p:
-        return max(0.0, 1.0 - tail(n - k + 1, n, 1 - p))
-    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    term, total, odds = 1.0, 1.0, p / (1 - p)
-    for i in range(k, n):
-        term *= (n - i) / (i + 1) * odds
-        total += term
-        if term < 1e-17 * total:
-            break
-    return min(1.0, math.exp(log) * total)
+    """One value of tails()."""
+    return float(tails([k], [n], [p])[0])
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
@@ -108,12 +190,12 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-        seen: dict = {}
-        out = np.empty(len(k))
-        for i, key in enumerate(zip(k.tolist(), n.tolist(), p.tolist())):
-            if key not in seen:
-                seen[key] = float("nan") if any(x is None or x != x for x in key) else tail(int(key[0]), int(key[1]), float(key[2]))
-            out[i] = seen[key]
+        given = np.stack([x.to_numpy(np.float64, na_value=np.nan) for x in (k, n, p)], axis=1)
+        known = ~np.isnan(given).any(axis=1)
+        out = np.full(len(given), np.nan)
+        if known.any():
+            distinct, which = np.unique(given[known], axis=0, return_inverse=True)
+            out[known] = tails(*distinct.T)[which.ravel()]
         return pd.Series(out)
 
     return run(k.cast("long"), n.cast("long"), p.cast("double"))

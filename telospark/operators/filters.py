@@ -89,12 +89,12 @@ def low_bin(value: Column, threshold: float) -> Column:
 
 def collapse_genes(df: DataFrame, mode: str = "transcript", ends: DataFrame | None = None) -> DataFrame:
     """Adds `unit`, the group of a test. 'transcript': each transcript of a gene by itself.
-    'legacy': a gene has its first transcript and the variants of its last one; own: they are the
+    'legacy': a gene has its first transcript and the variants of its last one (own_transcript); own: they are the
     same. ends: gene, _first and _last, if not those of df itself."""
     if mode == "transcript":
         return df.withColumn("unit", F.concat_ws("|", "gene", "transcript_id"))
     ends = ends if ends is not None else df.groupBy("gene").agg(F.min("transcript_id").alias("_first"), F.max("transcript_id").alias("_last"))
-    df = df.join(ends, "gene").where(F.col("transcript_id") == F.col("_last"))
+    df = df.join(ends, "gene").where(F.col("transcript_id") == F.col("_last")).withColumn("own_transcript", F.col("transcript_id"))
     return df.withColumns({"unit": F.col("gene"), "transcript_id": F.col("_first"), "own": F.col("_first") == F.col("_last")}).drop("_first", "_last")
 
 

@@ -167,7 +167,8 @@ def matrix(peptides: pd.Series, split: int, dinuc: bool, end: str, compat: bool
 
 def train_pair(df: DataFrame, end: str, threshold: float, key: str = "Gene_ID", peptide: str = "Peptide amino acid sequence", **grid) -> dict:
     """Grid search, test AUC and final networks of a terminus. Returns grid (DataFrame), test_auc,
-    specific and bag (Model) and scored (DataFrame with 'regulatory potential')."""
+    test (key, prediction, y of the held-out peptides), specific and bag (Model) and scored (DataFrame
+    with 'regulatory potential')."""
     from telospark.operators.filters import low_bin
 
     spark = df.sparkSession
@@ -178,11 +179,11 @@ def train_pair(df: DataFrame, end: str, threshold: float, key: str = "Gene_ID",
     search = grid_search(df.where("test = 0"), end, **grid)
     best = search.first()
     settings = {k: best[k] for k in ("split", "dinuc", "size", "dropout", "layers", "epochs")}
-    held = df.where("test = 1").withColumn("score", fit(df.where("test = 0"), end=end, **settings).predict(spark, F.col("peptide")))
+    held = df.where("test = 1").withColumn("prediction", fit(df.where("test = 0"), end=end, **settings).predict(spark, F.col("peptide")))
     specific = fit(df, end=end, **settings)
     bag = fit(df, end=end, **(settings | {"split": 0, "dinuc": False}))
     scored = saturation(df.drop("y", "test", "valid"), specific, bag, peptide).withColumnRenamed("degron potential", "regulatory potential")
-    return {"grid": search, "test_auc": roc_auc(held, "y", "score").first()[0], "specific": specific, "bag": bag, "scored": scored}
+    return {"grid": search, "test_auc": roc_auc(held, "y", "prediction").first()[0], "test": held.select(key, "prediction", "y"), "specific": specific, "bag": bag, "scored": scored}
 
 
 def saturation(df: DataFrame, specific: Model, bag: Model, peptide: str = "Peptide amino acid sequence") -> DataFrame:

@@ -1,14 +1,17 @@
 """Motif enrichment among top-ranked peptides: one pass over the peptides instead of one per motif.
 
-The tested vocabulary (6,000 to 160,000 rows) is kept for the two reads of the q-value step."""
+The tested vocabulary (6,000 to 160,000 rows) is written for the two reads of the q-value step."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telospark.functions.sequences import RESIDUES, first, kmers, last, piece
-from telospark.functions.stats import bh_fdr, binomial_tail, bonferroni, knee, log2_odds, roc_auc
+from telospark.functions.stats import bh_fdr, binomial_tail, bonferroni, knee, log2_odds, ranged
+from telospark.sources.scratch import cut
 
 WIDTH = 6
 
@@ -50,7 +53,7 @@ def dimotifs(df: DataFrame, top: int, end: str) -> DataFrame:
     out = out.withColumn("motif", mask).withColumn("pvalue", binomial_tail(F.col("top_ct"), F.col("top_total"), F.col("bot_ct") / F.col("bot_total")))
     out = out.withColumn("log_or", log2_odds(F.col("top_ct"), F.col("top_total"), F.col("bot_ct"), F.col("bot_total")))
     out = out.withColumn("adjusted_pvalue", bonferroni(F.col("pvalue"), 6000, capped=False))
-    return bh_fdr(out.persist()).select("motif", *key, "top_ct", "bot_ct", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
+    return bh_fdr(cut(out)).select("motif", *key, "top_ct", "bot_ct", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
 
 
 def substring_counts(df: DataFrame, k: int, top: int, end: str) -> DataFrame:
@@ -92,18 +95,58 @@ def chain_motifs(df: DataFrame, k: int, top: int, end: str) -> DataFrame:
     out = out.withColumn("pvalue", F.when(F.col("background_p").isNull(), F.lit(float("nan"))).otherwise(binomial_tail(F.col("top_ct"), trials, F.coalesce("background_p", F.lit(0.0)))))
     out = out.withColumn("log_or", log2_odds(F.col("top_ct"), F.col("top_total"), F.coalesce("background_p", F.lit(float("nan"))), F.lit(1.0)))
     out = out.withColumn("adjusted_pvalue", bonferroni(F.col("pvalue"), len(RESIDUES) ** k))
-    return bh_fdr(out.persist()).select("motif", "top_ct", "background_p", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
+    return bh_fdr(cut(out)).select("motif", "top_ct", "background_p", "top_total", "bot_total", "pvalue", "log_or", "adjusted_pvalue", "qvalue")
+
+
+def _range_wins(levels: np.ndarray, labels: np.ndarray, scores: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+    """For each threshold up to the highest level: rows of both classes whose level reaches it, and the
+    wins of the first over the second among them (ties a half). Levels are added from the highest
+    down; a new row is counted against those that are there by the places of their scores."""
+    order = np.lexsort((scores, np.isnan(scores), known))  # nulls first, NaN last
+    key = np.stack([known[order].astype(float), np.isnan(scores[order]).astype(float), np.nan_to_num(scores[order])])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.concatenate(([0], np.cumsum((np.diff(key) != 0).any(axis=0))))
+    width = int(place.max()) + 1
+    by_level = np.argsort(-levels, kind="stable")
+    ends = np.searchsorted(-levels[by_level], -np.arange(levels.max(), 0, -1), "right")
+    there = {c: np.zeros(width) for c in (0, 1)}  # rows of a class by place
+    rows, wins, start = [], 0.0, 0
+    for level, end in zip(range(int(levels.max()), 0, -1), ends):
+        new = by_level[start:end]
+        start = end
+        if len(new):
+            came = {c: np.bincount(place[new[labels[new] == c]], minlength=width) for c in (0, 1)}
+            upper = there[1].sum() - np.cumsum(there[1]) + there[1] / 2  # of the first class above a place
+            wins += float(came[0] @ upper)
+            there[0] += came[0]
+            wins += float(came[1] @ (np.cumsum(there[0]) - there[0] / 2))
+            there[1] += came[1]
+        rows.append((level, there[1].sum(), there[0].sum(), wins))
+    return pd.DataFrame(rows, columns=["level", "pos", "neg", "wins"])
 
 
 def trimmed_auc(df: DataFrame, score: str, label: str = "y", step: int = 20, limit: int = 8000) -> DataFrame:
     """threshold, auc of `score` after dropping that many rows at both ends of the ranking (rank,
-    1-based). Thresholds that leave one class have a null AUC."""
+    1-based). Thresholds that leave one class have a null AUC.
+
+    A row takes part in all thresholds up to its level, its distance from the nearer end. Rows are
+    dealt once, by ranges of the score; a range gives, for each threshold, its rows and the wins
+    among them, and running sums over the ranges add the wins across them."""
     n = df.agg(F.count("*").alias("_n"))
-    rows = df.join(F.broadcast(n)).withColumn("_in", F.least(F.col("rank") - 1, F.col("_n") - F.col("rank")))
-    # kept at every threshold <= its distance from the nearer end
-    top = F.least(F.lit((limit - 1) // step), F.floor(F.col("_in") / step)).cast("int")
-    rows = rows.withColumn("threshold", F.explode(F.when(top >= 1, F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda i: i * step)).otherwise(F.array().cast("array<int>"))))
-    return roc_auc(rows, label, score, ["threshold"])
+    rows = df.select("rank", F.col(score).cast("double").alias("score"), F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).otherwise(2).alias("y")).join(F.broadcast(n))
+    inside = F.least(F.col("rank") - 1, F.col("_n") - F.col("rank"))
+    rows = rows.select("score", "y", F.least(F.lit((limit - 1) // step), F.floor(inside / step)).cast("int").alias("level")).where("level >= 1")
+    parts = ranged(rows, "score")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _range_wins(pdf["level"].to_numpy(), pdf["y"].to_numpy(), pdf["score"].to_numpy(np.float64), ~pdf["absent"].to_numpy())
+        return got.assign(part=int(pdf["_part"].iloc[0]))
+
+    each = parts.withColumn("absent", F.col("score").isNull()).groupBy("_part").applyInPandas(run, "level int, pos double, neg double, wins double, part int")
+    below = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    each = each.groupBy("level").agg(F.sum(F.col("wins") + F.col("pos") * F.col("_below")).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    return each.select((F.col("level") * step).alias("threshold"), F.try_divide("_w", F.col("_p") * F.col("_q")).alias("auc"))
 
 
 def top_threshold(df: DataFrame, specific: str = "sequence position specific", bag: str = "bag of words", label: str = "y", step: int = 20, limit: int = 8000) -> float | None:

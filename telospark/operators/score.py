@@ -21,10 +21,12 @@ def peptide_scores(df: DataFrame, columns: list[str], specific: Model, bag: Mode
 
 
 def eligible(df: DataFrame, nmd_indels: bool = True) -> Column:
-    """Substitutions without decaying stops, and indels (without decaying ones if asked)."""
+    """Substitutions without decaying stops, and indels (without decaying ones if asked). Of a gene
+    that stands for another transcript, substitutions of that one don't count."""
+    own = F.col("own") if "own" in df.columns else F.lit(True)
     effect, ref, alt, mutant = (F.col(c) for c in ("effect", "ref", "alt", "mut_length"))
-    n, safe = F.length("protein"), nmd_insensitive_length(F.col("ranges"))
-    sub = is_substitution(effect, ref, alt) & nonsense_kept(effect, mutant, n, safe)
+    n, safe = F.col("n"), F.col("safe")
+    sub = own & is_substitution(effect, ref, alt) & nonsense_kept(effect, mutant, n, safe)
     indel = is_indel(effect, ref, alt)
     return sub | (indel & nmd_kept(mutant, n, safe) if nmd_indels else indel)
 
@@ -36,6 +38,16 @@ def windows(df: DataFrame, end: str) -> DataFrame:
     return df.withColumns({"n": F.length("protein"), "wild_window": terminal_window(F.col("protein"), end), "mut_window": mutant})
 
 
+#: Columns of a variant that scoring reads.
+SCORED = ("gene", "transcript_id", "own_transcript", "own", "contig", "start", "ref", "alt", "effect", "aa_off", "short", "mut_length", "n", "safe", "wild_window", "mut_window")
+
+
+def scored(variants: DataFrame, end: str) -> DataFrame:
+    """Annotated variants without their sequences."""
+    df = windows(variants, end).withColumn("safe", nmd_insensitive_length(F.col("ranges")))
+    return df.select(*(c for c in SCORED if c in df.columns))
+
+
 def with_delta(df: DataFrame, specific: Model, bag: Model | None, end: str) -> DataFrame:
     """Variants with their windows() that change the terminus, with delta, and mutant_score. A
     wild-type window with U gives delta 0 and no row for scoring."""
@@ -47,11 +59,13 @@ def with_delta(df: DataFrame, specific: Model, bag: Model | None, end: str) -> D
 
 
 def score_mutations(df: DataFrame, specific: Model, bag: Model | None, end: str, raw: bool = False) -> DataFrame:
-    """One row per scored mutation. Normal: the change in potential; raw: the change in the
+    """One row per scored mutation. df: annotated variants, or what scored() leaves of them. Normal: the change in potential; raw: the change in the
     specific model's score and the score itself, indels not filtered for decay."""
-    df = with_delta(windows(df.where(eligible(df, nmd_indels=not raw)), end), specific, None if raw else bag, end)
+    df = df if "mut_window" in df.columns else scored(df, end)
+    df = with_delta(df.where(eligible(df, nmd_indels=not raw)), specific, None if raw else bag, end)
+    named = F.col("own_transcript") if "own_transcript" in df.columns else F.col("transcript_id")
     end_pos = F.col("start") + F.greatest(F.length("ref") - 1, F.lit(0))
-    cols = [F.col("gene").alias("Hugo_Symbol"), F.col("transcript_id").alias("Transcript_ID"), F.col("contig").alias("Chromosome"), F.col("start").alias("Start_Position"), end_pos.alias("End_Position"), F.col("short").alias("HGVSp_Short")]
+    cols = [F.col("gene").alias("Hugo_Symbol"), named.alias("Transcript_ID"), F.col("contig").alias("Chromosome"), F.col("start").alias("Start_Position"), end_pos.alias("End_Position"), F.col("short").alias("HGVSp_Short")]
     if raw:
         return df.select(*cols, F.col("delta").alias("delta specific score"), F.col("mutant_score").alias("specific score"))
     return df.select(*cols, F.col("delta").alias("delta degron potential"))

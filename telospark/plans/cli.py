@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from telospark.operators import model, motifs, score
 from telospark.plans import analysis
 from telospark.sources import tables
+from telospark.sources.scratch import cut
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("-i", "--input", required=True, help="mutations")
         s.add_argument("-x", "--transcripts", required=True, help="transcripts: Parquet, or GTF and cDNA FASTA, comma-separated")
         s.add_argument("--chromosome", help="only mutations of this chromosome")
-        s.add_argument("--mode", choices=("transcript", "legacy"), default="transcript", help="what a test is about: each transcript, or a gene's first")
+        s.add_argument("--mode", choices=("transcript", "legacy"), default="transcript", help="what a test or score is about: each transcript, or a gene's first with the variants of its last")
         s.add_argument("--rejects", help="also write the mutations that can't be annotated")
         s.add_argument("-e", "--release", type=int)
         s.add_argument("-c", "--cterm", help="two model paths, comma-separated")
@@ -62,6 +63,7 @@ def _models(spark: SparkSession, paths: str) -> tuple[model.Model, model.Model]:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     o = vars(parser().parse_args(args))
     spark = spark or SparkSession.builder.appName("telospark").getOrCreate()
+    report: list = []
     if o["command"] in ("test", "score"):
         muts, given = tables.mutations(spark, o["input"], o["chromosome"]), o["transcripts"].split(",")
         tx = tables.annotation(spark, *given) if len(given) == 2 else tables.transcripts(spark, *given, o["release"])
@@ -73,16 +75,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         models = _models(spark, o[name]) if name in ("cterm", "nterm") else None
         energies = tables.energies(spark, o["stability"]) if name == "stability" else None
         name = "degrons_simple" if name == "degrons" and o["simple"] else name
-        tables.write(analysis.run(name, muts, tx, o["simulations"], spans, models, energies, o["side"], o["mode"], o["seed"]), o["output"])
+        tables.write(analysis.run(name, muts, tx, o["simulations"], spans, models, energies, o["side"], o["mode"], o["seed"], report), o["output"])
     elif o["command"] == "score":
         end = analysis.score_end(o)
-        variants, _ = analysis.annotated(muts, tx)
-        tables.write(score.score_mutations(variants, *_models(spark, o[end]), end, o["raw"]), o["output"])
+        variants, _ = analysis.annotated(muts, tx, o["mode"], report)
+        tables.write(score.score_mutations(cut(score.scored(variants, end)), *_models(spark, o[end]), end, o["raw"]), o["output"])
     elif o["command"] in ("cterm_train", "nterm_train"):
         end = o["command"][:5]
         got = model.train_pair(tables.peptides(spark, o["input"]), end, 2.5 if end == "cterm" else 3.5)
         tables.write(got["grid"], f"{o['output']}/grid")
         tables.write(got["scored"], f"{o['output']}/predictions")
+        tables.write(got["test"], f"{o['output']}/test_predictions")
         got["specific"].save(spark, f"{o['output']}/specific")
         got["bag"].save(spark, f"{o['output']}/bag")
         print(f"test AUC {got['test_auc']}")
@@ -101,6 +104,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         tables.write(motifs.chain_motifs(df, 3, int(top), o["type"]).orderBy("pvalue", "motif"), f"{o['output']}/trimotif")
         if o["quad"]:
             tables.write(motifs.chain_motifs(df, 4, int(top), o["type"]).orderBy("pvalue", "motif"), f"{o['output']}/quadmotif")
+    for reason, n in analysis.reported(report).items():
+        print(f"{reason}: {n}")
 
 
 if __name__ == "__main__":

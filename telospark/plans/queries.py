@@ -378,7 +378,7 @@ def roc_auc(spark, sf_dir):
 
 @query("WITH d AS (SELECT n_chars AS s, quality AS y, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER () AS n FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest([10, 20, 30, 40, 50]) AS threshold), w AS (SELECT threshold, y, rank() OVER (PARTITION BY threshold ORDER BY s) + (count(*) OVER (PARTITION BY threshold, s) - 1) / 2 AS k FROM d JOIN t ON r > threshold AND r <= n - threshold) SELECT CAST(threshold AS INTEGER) AS threshold, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 9) AS auc FROM w GROUP BY threshold")
 def trimmed_auc_curve(spark, sf_dir):
-    x = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
+    x = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id").select("doc_id", "n_chars", "quality")
     x = filters.rank_rows(x, [F.desc("n_chars"), "doc_id"])
     return motifs.trimmed_auc(x, "n_chars", "quality", 10, 51).select("threshold", F.round("auc", 9).alias("auc"))
 

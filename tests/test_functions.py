@@ -1,3 +1,5 @@
+import contextlib
+import io
 import itertools
 import math
 import random
@@ -155,3 +157,70 @@ def test_knee():
     x = list(range(1, 101))
     assert 8 <= stats.knee(x, [1 / v for v in x]) <= 12
     assert stats.knee(x, [5.0] * 100) is None
+
+
+def test_binomial_tails_against_long_arithmetic():
+    """Relative error below 1e-11 for n up to 32,000."""
+    import math
+    from decimal import Decimal, localcontext
+
+    rng = random.Random(1)
+    with localcontext() as ctx:
+        ctx.prec = 60
+        for n in (1, 2, 16, 17, 100, 800, 32_000):
+            for _ in range(8):
+                p = rng.choice([rng.random(), rng.random() ** 4, 1 / 400, 1 / 8000])
+                k = min(n, max(1, int(n * p + rng.gauss(0, 3) * (n * p * (1 - p)) ** 0.5 + rng.choice([0, 3, 20]))))
+                x, q, total = Decimal(p), 1 - Decimal(p), Decimal(0)
+                term = Decimal(math.comb(n, k)) * x**k * q ** (n - k)
+                for i in range(k, n + 1):
+                    total += term
+                    term = term * (n - i) / (i + 1) * x / q
+                    if i > n * p and term < total * Decimal(10) ** -40:
+                        break
+                if total > Decimal(10) ** -290:
+                    assert abs((Decimal(stats.tail(k, n, p)) - total) / total) < Decimal(10) ** -11, (k, n, p)
+    assert stats.tails([0, 3, 2, 2, 2], [5, 2, 5, 5, 0], [0.5, 0.5, 0.0, 1.0, 0.5]).tolist() == [1.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def test_q_values_by_ranges_equal_the_rule(spark):
+    """Ties, NaN, null and more distinct values than one range holds; no window sees all p-values."""
+    rng = random.Random(4)
+    values = [round(rng.random(), 2) if rng.random() < 0.5 else rng.random() for _ in range(1500)] + [float("nan")] * 7 + [None] * 3 + [0.0, 1.0, 1.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, pvalue double").repartition(6)
+    got = {r.i: r.qvalue for r in stats.bh_fdr(df).collect()}
+    known = sorted((v, i) for i, v in enumerate(values) if v is not None and v == v)
+    n, low, want = len(known) + 7, 1.0, {}
+    for rank in range(len(known), 0, -1):
+        v, i = known[rank - 1]
+        low = min(low, v * n / rank)
+        want[i] = low
+    for rank in range(len(known) - 1, 0, -1):  # ties share the value of their last rank
+        if known[rank - 1][0] == known[rank][0]:
+            want[known[rank - 1][1]] = want[known[rank][1]]
+    for i, v in enumerate(values):
+        assert (got[i] is None) if v is None else (got[i] != got[i]) if v != v else got[i] == pytest.approx(want[i])
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        stats.bh_fdr(df).explain("formatted")
+    windows = [line for line in out.getvalue().splitlines() if "windowspecdefinition" in line and "pvalue" in line]
+    assert windows and all("_part" in w for w in windows)
+
+
+def test_trimmed_curve_equals_an_area_for_each_trim(spark):
+    from telospark.operators import motifs
+
+    rng = random.Random(6)
+    rows = [(i + 1, rng.choice([0, 1, 1, None, 5]), rng.choice([None, float("nan"), 1.0, 2.0, 3.0, rng.random() * 4])) for i in range(300)]
+    df = spark.createDataFrame(rows, "rank int, y int, s double").repartition(5)
+    got = {r.threshold: r.auc for r in motifs.trimmed_auc(df, "s", "y", 7, 120).collect()}
+    level = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    assert sorted(got) == list(range(7, 120, 7))
+    for t, auc in got.items():
+        kept = [(y, level(v)) for r, y, v in rows if t < r <= 300 - t]
+        one, two = [v for y, v in kept if y == 1], [v for y, v in kept if y == 0]
+        wins = sum((a > b) + (a == b) / 2 for a in one for b in two)
+        assert auc == pytest.approx(wins / (len(one) * len(two)))
+    area = stats.roc_auc(df, "y", "s").first()[0]
+    one, two = [level(v) for _, y, v in rows if y == 1], [level(v) for _, y, v in rows if y == 0]
+    assert area == pytest.approx(sum((a > b) + (a == b) / 2 for a in one for b in two) / (len(one) * len(two)))
