@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from telospark.functions import features, sequences, stats
 from telospark.operators import aggregates, filters, intervals, motifs, sampling
+from telospark.plans import twins
 from telospark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,6 +437,29 @@ def dimotif(spark, sf_dir):
     return motifs.dimotifs(ranked(spark, sf_dir), TOP, "cterm").orderBy("pvalue", "motif")
 
 
+def _finite(c: str, digits: int) -> Column:
+    return F.round(F.when(F.abs(c) < float("inf"), F.col(c)), digits).alias(c)
+
+
+def _tested(df: DataFrame, *key: str) -> DataFrame:
+    return df.select(*key, *(_finite(c, d) for c, d in (("pvalue", 6), ("log_or", 6), ("adjusted_pvalue", 2), ("qvalue", 6))))
+
+
+def _pair_tests(end: str) -> str:
+    all_, odds = f"(SELECT count(*) FROM {PEP})", f"CASE WHEN {TOP} = top_ct THEN NULL ELSE (top_ct / ({TOP}.0 - top_ct)) / nullif(bot_ct / nullif(b.n - bot_ct, 0.0), 0) END"
+    return twins.motif_tests(f"SELECT p.*, n FROM ({_pairs(end)}) p, (SELECT CAST(count(*) AS DOUBLE) AS n FROM {PEP}) b", "pos1, pos2, aa1, aa2", "top_ct", str(TOP), "bot_ct / n", odds.replace("b.n", "n"), "pvalue * 6000")
+
+
+@query(_pair_tests("cterm"))
+def dimotif_tests_c(spark, sf_dir):
+    return _tested(motifs.dimotifs(ranked(spark, sf_dir), TOP, "cterm"), "pos1", "pos2", "aa1", "aa2")
+
+
+@query(_pair_tests("nterm"))
+def dimotif_tests_n(spark, sf_dir):
+    return _tested(motifs.dimotifs(ranked(spark, sf_dir), TOP, "nterm"), "pos1", "pos2", "aa1", "aa2")
+
+
 @query(f"SELECT a AS aa, round(coalesce(n, 0) / (t * 6.0), 9) AS p FROM (SELECT unnest({AA}) AS a) LEFT JOIN (SELECT aa, count(*) AS n FROM (SELECT unnest(string_split(right(peptide, 6), '')) AS aa FROM {PEP}) GROUP BY 1) ON a = aa, (SELECT count(*) AS t FROM {PEP})")
 def residue_background(spark, sf_dir):
     return motifs.residue_background(ranked(spark, sf_dir), "cterm").select("aa", F.round("p", 9).alias("p"))
@@ -462,6 +486,23 @@ def trimotif_counts_n(spark, sf_dir):
     return motifs.chain_motifs(ranked(spark, sf_dir), 3, TOP, "nterm").select("motif", "top_ct", F.round("background_p", 9).alias("background_p"))
 
 
+def _chain_tests(end: str) -> str:
+    """The background with all its digits."""
+    counts = _chain(end).replace("round(CASE WHEN o.p", "(CASE WHEN o.p").replace("END, 9) AS background_p", "END) AS background_p")
+    odds = f"CASE WHEN {TOP} = top_ct OR background_p >= 1 THEN NULL ELSE (top_ct / ({TOP}.0 - top_ct)) / nullif(background_p / (1 - background_p), 0) END"
+    return twins.motif_tests(counts, "motif", "top_ct", str(4 * TOP), "background_p", odds, "CASE WHEN pvalue IS NOT NULL THEN least(1.0, pvalue * 8000) END")
+
+
+@query(_chain_tests("cterm"))
+def trimotif_tests_c(spark, sf_dir):
+    return _tested(motifs.chain_motifs(ranked(spark, sf_dir), 3, TOP, "cterm"), "motif")
+
+
+@query(_chain_tests("nterm"))
+def trimotif_tests_n(spark, sf_dir):
+    return _tested(motifs.chain_motifs(ranked(spark, sf_dir), 3, TOP, "nterm"), "motif")
+
+
 @query()
 def trimotif(spark, sf_dir):
     return motifs.chain_motifs(ranked(spark, sf_dir), 3, TOP, "cterm").orderBy("pvalue", "motif")
@@ -497,7 +538,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tx = with_positions(transcripts(spark, sf_dir))
     i = F.explode(F.sequence(F.lit(0), F.lit(11)))
-    x = tx.withColumn("i", i).withColumn("p", F.pmod(F.xxhash64("transcript_id", "i"), F.lit(93)).cast("int"))
+    x = tx.withColumn("i", i).withColumn("p", sampling.draw([F.lit("m"), F.col("transcript_id"), F.col("i")], F.lit(93)))
     base = F.substring(F.col("cds"), F.col("p") + 1, F.lit(1))
     base = F.when(F.col("strand") == "-", F.translate(base, "ACGT", "TGCA")).otherwise(base)
     alt = F.when(F.col("i") >= 10, F.lit("")).otherwise(F.translate(base, "ACGT", "CATG"))
@@ -530,7 +571,7 @@ def transcript_proteins(spark, sf_dir):
     return transcripts(spark, sf_dir).select("transcript_id", "protein")
 
 
-@query()
+@query(twins.annotated(TX, CODE))
 def annotated_variants(spark, sf_dir):
     from telospark.plans.analysis import annotated
 
@@ -552,8 +593,9 @@ def _analysis(name: str, **more) -> Query:
 
         tx, muts = transcripts(spark, sf_dir), mutations(spark, sf_dir)
         options = {k: f(spark, sf_dir) for k, f in more.items()}
-        out = analysis.run(name, muts, tx, **options)
-        return out.withColumnRenamed("average position", "average_position")
+        out = analysis.run(name, muts, tx, **options).withColumnRenamed("average position", "average_position")
+        doubles = [c for c, kind in out.dtypes if kind == "double"]
+        return out.withColumns({c: F.round(c, 9) for c in doubles})
 
     return run
 
@@ -598,31 +640,44 @@ QUERIES |= {
 }
 
 
-@query()
+_TRUNCATING = "CAST(effect IN ('FrameShift', 'PrematureStop', 'StopLoss') AS INTEGER)"
+_IN_SITE = "CAST((effect IN ('Substitution', 'Deletion', 'Insertion') AND off + 1 BETWEEN 8 AND 14) OR (effect IN ('PrematureStop', 'FrameShift') AND off + 1 < 14) AS INTEGER)"
+_IN_DEGRON = "CAST((effect IN ('Substitution', 'Deletion', 'Insertion') AND off + 1 BETWEEN 5 AND 12) OR (effect IN ('PrematureStop', 'FrameShift') AND off + 1 < 12) AS INTEGER)"
+ORACLE_SQL |= {
+    "permutation_sites": twins.permutation(TX, CODE, _IN_SITE, "num_site_muts", "true", indels=False, side=">=", empty_hits=False, simulations=10_000),
+    "permutation_degrons": twins.permutation(TX, CODE, _IN_DEGRON, "num_degron_muts", "true", indels=True, side=">=", empty_hits=True, simulations=10_000),
+    "permutation_truncation": twins.permutation(TX, CODE, _TRUNCATING, "num_truncations", "minus", indels=True, side="<=", empty_hits=True, simulations=10_000),
+}
+
+
+def _rounded(out: DataFrame) -> DataFrame:
+    out = out.toDF(*(c.lower().replace(" ", "_") for c in out.columns))
+    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
+@query(twins.scores(TX, CODE, *fixed_models("cterm"), R, raw=False))
 def score_mutations(spark, sf_dir):
     from telospark.operators import score
     from telospark.plans.analysis import annotated
 
     x, _ = annotated(mutations(spark, sf_dir), transcripts(spark, sf_dir))
-    out = score.score_mutations(x, *fixed_models("cterm"), "cterm")
-    return out.toDF(*(c.lower().replace(" ", "_") for c in out.columns))
+    return _rounded(score.score_mutations(x, *fixed_models("cterm"), "cterm"))
 
 
-@query()
+@query(twins.scores(TX, CODE, *fixed_models("cterm"), R, raw=True))
 def score_mutations_raw(spark, sf_dir):
     from telospark.operators import score
     from telospark.plans.analysis import annotated
 
     x, _ = annotated(mutations(spark, sf_dir), transcripts(spark, sf_dir))
-    out = score.score_mutations(x, *fixed_models("cterm"), "cterm", raw=True)
-    return out.toDF(*(c.lower().replace(" ", "_") for c in out.columns))
+    return _rounded(score.score_mutations(x, *fixed_models("cterm"), "cterm", raw=True))
 
 
-@query()
+@query(twins.wild_types(TX, CODE, *fixed_models("cterm"), R))
 def wild_type_scores(spark, sf_dir):
     from telospark.operators import score
 
-    return score.wild_type_scores(transcripts(spark, sf_dir), *fixed_models("cterm"), "cterm")
+    return _rounded(score.wild_type_scores(transcripts(spark, sf_dir), *fixed_models("cterm"), "cterm"))
 
 
 @query("SELECT 'T' || doc_id AS transcript_id FROM documents WHERE doc_id % 40 = 7")
