@@ -7,53 +7,117 @@ the tasks. Dense-ReLU(size), dropout after the first layer, more Dense-ReLU, one
 from __future__ import annotations
 
 import json
+import secrets
+from contextlib import ExitStack, contextmanager
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telospark.functions.features import feature_width, terminal_features
 from telospark.functions.sequences import PEPTIDE, RESIDUES
 from telospark.functions.stats import roc_auc
+from telospark.sources.scratch import cut
 
 # The grid of the reference settings.
 SPLITS, DROPOUTS, SIZES, LAYERS, EPOCHS, DINUC = (6, 12, 18, 23), (0.0, 0.25, 0.5), (8, 16), (2,), (20, 40, 60), (True, False)
 
 
-def train(x: np.ndarray, y: np.ndarray, size: int = 32, dropout: float = 0.5, layers: int = 2, rate: float = 0.001, epochs: int = 40, seed: int = 101, batch: int = 128) -> list[list]:
-    """[[weights, bias], ...] fitted with Adam on binary cross-entropy; deterministic."""
+def initial(width: int, size: int, layers: int, rng: np.random.Generator) -> list[list]:
+    widths = [width, *[size] * layers, 1]
+    return [[rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)] for a, b in zip(widths, widths[1:])]
+
+
+def gradients(net: list, x: np.ndarray, y: np.ndarray, mask: np.ndarray | None) -> list[list]:
+    """Of the cross-entropy, summed over rows; mask: dropout behind the first layer."""
+    acts = [x]
+    for i, (w, b) in enumerate(net[:-1]):
+        a = np.maximum(acts[-1] @ w + b, 0)
+        acts.append(a * mask if i == 0 and mask is not None else a)
+    grad = 1 / (1 + np.exp(-np.clip(acts[-1] @ net[-1][0] + net[-1][1], -60, 60))) - y
+    out: list[list] = [[] for _ in net]
+    for i in range(len(net) - 1, -1, -1):
+        out[i] = [acts[i].T @ grad, grad.sum(axis=0)]
+        if i:
+            grad = (grad @ net[i][0].T) * (acts[i] > 0)
+            if i == 1 and mask is not None:
+                grad = grad * mask
+    return out
+
+
+class Adam:
+    def __init__(self, net: list, rate: float):
+        self.rate, self.step = rate, 0
+        self.m, self.v = ([[np.zeros_like(p) for p in layer] for layer in net] for _ in range(2))
+
+    def update(self, net: list, grads: list) -> None:
+        self.step += 1
+        for layer, m, v, parts in zip(net, self.m, self.v, grads):
+            for j, g in enumerate(parts):
+                m[j] = 0.9 * m[j] + 0.1 * g
+                v[j] = 0.999 * v[j] + 0.001 * g * g
+                layer[j] = layer[j] - self.rate * (m[j] / (1 - 0.9**self.step)) / (np.sqrt(v[j] / (1 - 0.999**self.step)) + 1e-7)
+
+
+def train(x: np.ndarray, y: np.ndarray, size: int = 32, dropout: float = 0.5, layers: int = 2, rate: float = 0.001, epochs: int = 40, seed: int = 101, batch: int = 128, snapshots: dict | None = None) -> list[list]:
+    """[[weights, bias], ...] fitted with Adam on binary cross-entropy; deterministic. snapshots:
+    {epochs: None} is filled with the nets after so many."""
     rng = np.random.default_rng(seed)
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)[:, None]
-    widths = [x.shape[1], *[size] * layers, 1]
-    net = [[rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)] for a, b in zip(widths, widths[1:])]
-    m = [[np.zeros_like(p) for p in layer] for layer in net]
-    v = [[np.zeros_like(p) for p in layer] for layer in net]
-    step = 0
-    for _ in range(epochs):
+    net = initial(x.shape[1], size, layers, rng)
+    adam = Adam(net, rate)
+    for epoch in range(1, epochs + 1):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             rows = order[at : at + batch]
-            acts, mask = [x[rows]], None
-            for i, (w, b) in enumerate(net[:-1]):
-                a = np.maximum(acts[-1] @ w + b, 0)
-                if i == 0 and dropout > 0:
-                    mask = (rng.random(a.shape) >= dropout) / (1 - dropout)
-                    a = a * mask
-                acts.append(a)
-            out = 1 / (1 + np.exp(-np.clip(acts[-1] @ net[-1][0] + net[-1][1], -60, 60)))
-            grad = (out - y[rows]) / len(rows)
-            step += 1
-            for i in range(len(net) - 1, -1, -1):
-                parts = [acts[i].T @ grad, grad.sum(axis=0)]
-                if i:
-                    grad = (grad @ net[i][0].T) * (acts[i] > 0)
-                    if i == 1 and mask is not None:
-                        grad = grad * mask
+            mask = (rng.random((len(rows), size)) >= dropout) / (1 - dropout) if dropout > 0 and layers else None
+            adam.update(net, [[g / len(rows) for g in parts] for parts in gradients(net, x[rows], y[rows], mask)])
+        if snapshots is not None and epoch in snapshots:
+            snapshots[epoch] = [list(layer) for layer in net]
+    return net
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of hashes (splitmix)."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def train_part(x: np.ndarray, y: np.ndarray, keys: np.ndarray, gather, size: int, dropout: float, layers: int, epochs: int, rate: float = 0.001, seed: int = 101, batch: int = 128) -> list[list]:
+    """The net that all parts of a table train together. A row's batch of an epoch and its dropout are
+    functions of its key, and each batch's gradients are summed over the parts by gather (array ->
+    the sum over all parts), so the net doesn't depend on how rows are dealt, up to rounding."""
+    net = initial(x.shape[1], size, layers, np.random.default_rng(seed))
+    adam, y, keys = Adam(net, rate), np.asarray(y, np.float64)[:, None], keys.astype(np.uint64)
+    steps = -(-int(gather(np.array([float(len(x))]))[0]) // batch)
+    units = np.arange(size, dtype=np.uint64)
+    for epoch in range(epochs):
+        at = (_mixed(keys, seed + 2 * epoch) % np.uint64(max(1, steps))).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(steps + 1))
+        for step in range(steps):
+            rows = order[ends[step] : ends[step + 1]]
+            mask = None
+            if dropout > 0 and layers:
+                drawn = _mixed(_mixed(keys[rows], seed + 2 * epoch + 1)[:, None] + units, 7)
+                mask = ((drawn >> np.uint64(11)) / 2.0**53 >= dropout) / (1 - dropout)
+            grads = gradients(net, x[rows], y[rows], mask)
+            flat = gather(np.concatenate([[float(len(rows))], *(g.ravel() for parts in grads for g in parts)]))
+            if not flat[0]:
+                continue
+            done, mean = 1, flat / flat[0]
+            for parts in grads:
                 for j, g in enumerate(parts):
-                    m[i][j] = 0.9 * m[i][j] + 0.1 * g
-                    v[i][j] = 0.999 * v[i][j] + 0.001 * g * g
-                    net[i][j] = net[i][j] - rate * (m[i][j] / (1 - 0.9**step)) / (np.sqrt(v[i][j] / (1 - 0.999**step)) + 1e-7)
+                    parts[j] = mean[done : done + g.size].reshape(g.shape)
+                    done += g.size
+            adam.update(net, grads)
     return net
 
 
@@ -108,36 +172,97 @@ def hash_split(df: DataFrame, key: str, share: float, out: str, salt: str = "101
     return df.withColumn(out, (h < share).cast("int"))
 
 
-def fit(df: DataFrame, split: int, dinuc: bool, end: str, size: int, dropout: float, layers: int, epochs: int, peptide: str = "peptide", label: str = "y") -> Model:
-    """One network on all rows of a training table (a few thousand peptides: one task holds them)."""
-    x = df.select(terminal_features(F.col(peptide), split, dinuc, end).alias("x"), F.col(label).cast("double").alias("y")).where("x is not null")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        net = train(np.stack(pdf["x"].to_list()), pdf["y"].to_numpy(), size, dropout, layers, epochs=epochs)
-        return pd.DataFrame({"net": [json.dumps([[w.tolist(), b.tolist()] for w, b in net])]})
-
-    got = x.withColumn("k", F.xxhash64("x", "y")).groupBy(F.lit(1).alias("g")).applyInPandas(run, "net string").first()
-    return Model(json.loads(got[0]), split, dinuc, end)
+@contextmanager
+def _summing(ctx: BarrierTaskContext, tasks: int):
+    """array -> its sum over the tasks of a barrier stage. The first task adds up, in the tasks' order,
+    and answers; the stage's own gathering takes a second a call, so it only tells where to connect."""
+    if tasks == 1:
+        yield lambda a: a
+        return
+    me = ctx.partitionId()
+    with ExitStack() as open_:
+        if me == 0:
+            key = secrets.token_bytes(32)
+            listener = open_.enter_context(Listener(("0.0.0.0", 0), backlog=tasks, authkey=key))
+            ctx.allGather(json.dumps({"port": listener.address[1], "key": key.hex()}))
+            found = [open_.enter_context(listener.accept()) for _ in range(1, tasks)]
+            others = [c for _, c in sorted(((c.recv(), c) for c in found), key=lambda x: x[0])]
+
+            def gather(a: np.ndarray) -> np.ndarray:
+                total = a.copy()
+                for c in others:
+                    total += np.frombuffer(c.recv_bytes())
+                for c in others:
+                    c.send_bytes(total.tobytes())
+                return total
+
+        else:
+            told = json.loads(ctx.allGather("")[0])
+            host = ctx.getTaskInfos()[0].address.rpartition(":")[0] or ctx.getTaskInfos()[0].address
+            link = open_.enter_context(Client((host, told["port"]), authkey=bytes.fromhex(told["key"])))
+            link.send(me)
+
+            def gather(a: np.ndarray) -> np.ndarray:
+                link.send_bytes(a.tobytes())
+                return np.frombuffer(link.recv_bytes())
+
+        yield gather
+        ctx.barrier()  # no end of a link is closed before all have their last sum
+
+
+#: Rows of a training table that one task holds, if there are slots for as many tasks.
+ROWS = 50_000
+
+
+def fit(df: DataFrame, split: int, dinuc: bool, end: str, size: int, dropout: float, layers: int, epochs: int, peptide: str = "peptide", label: str = "y", tasks: int | None = None) -> Model:
+    """One network on all rows of a training table, data-parallel: the tasks of a barrier stage hold
+    a part each, with its features made once, and add up their gradients batch by batch. Rows that
+    can't be encoded are left out. tasks: by the number of rows, at most as many as can run at once."""
+    sc = df.sparkSession.sparkContext
+    rows = df.select(F.col(peptide).alias("p"), F.col(label).cast("double").alias("y")).where("p is not null and y is not null")
+    rows = rows.withColumn("key", F.xxhash64("p", "y"))
+    # equal rows are told apart, else they would always share a batch and their dropout
+    rows = cut(rows.withColumn("key", F.xxhash64("key", F.row_number().over(Window.partitionBy("key").orderBy("p")))))
+    tasks = tasks or max(1, min(sc.defaultParallelism, -(-rows.count() // ROWS)))
+
+    def run(batches):
+        ctx = BarrierTaskContext.get()
+        t = pd.concat([pd.DataFrame({"p": [], "y": [], "key": np.zeros(0, np.int64)}), *(b.to_pandas() for b in batches if b.num_rows)])
+        x = matrix(t["p"], split, dinuc, end)
+        good = ~np.isnan(x).any(axis=1)
+
+        with _summing(ctx, tasks) as gather:
+            net = train_part(x[good], t["y"].to_numpy(np.float64)[good], t["key"].to_numpy(np.int64)[good], gather, size, dropout, layers, epochs)
+        if ctx.partitionId() == 0:
+            yield pa.RecordBatch.from_pydict({"net": [json.dumps([[w.tolist(), b.tolist()] for w, b in net])]})
+
+    got = rows.repartition(tasks, "key").mapInArrow(run, "net string", barrier=True).collect()
+    return Model(json.loads(got[0][0]), split, dinuc, end)
 
 
 def grid_search(df: DataFrame, end: str, splits=SPLITS, dropouts=DROPOUTS, sizes=SIZES, layers=LAYERS, epochs=EPOCHS, dinucs=DINUC, peptide: str = "peptide", label: str = "y", valid: str = "valid") -> DataFrame:
-    """AUC on the validation rows of every combination, best first. Combinations are rows; each is
-    trained in its own group from the peptides, which are joined to the grid."""
+    """AUC on the validation rows of every combination, best first. Combinations are rows; those that
+    differ in epochs alone are one run, trained in its own group from the peptides, which are joined
+    to the runs. One task holds the peptides of a run."""
     spark = df.sparkSession
     rows = [(i, *c) for i, c in enumerate((s, d, z, n, e, u) for s in splits for d in dropouts for z in sizes for n in layers for e in epochs for u in dinucs)]
     grid = spark.createDataFrame(rows, "config int, split int, dropout double, size int, layers int, epochs int, dinuc boolean")
     peptides = df.select(F.col(peptide).alias("p"), F.col(label).cast("int").alias("y"), F.col(valid).cast("int").alias("valid"))
+    # a run of the most epochs passes all shorter ones: these are one row with several stops
+    stops = F.sort_array(F.collect_list(F.struct("epochs", "config"))).alias("stops")
+    runs = grid.groupBy("split", "dropout", "size", "layers", "dinuc").agg(stops).withColumn("run", F.xxhash64("split", "dropout", "size", "layers", "dinuc"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.iloc[0]
         pdf = pdf.sort_values(["p", "y"])
         x = matrix(pdf["p"], int(c["split"]), bool(c["dinuc"]), end)
         t = pdf["valid"].to_numpy() == 0
-        net = train(x[t], pdf["y"].to_numpy()[t], int(c["size"]), float(c["dropout"]), int(c["layers"]), epochs=int(c["epochs"]))
-        return pd.DataFrame({"config": int(c["config"]), "y": pdf["y"].to_numpy()[~t], "score": forward(net, x[~t])})
+        configs = {int(s["config"]): int(s["epochs"]) for s in c["stops"]}
+        nets: dict = dict.fromkeys(configs.values())
+        train(x[t], pdf["y"].to_numpy()[t], int(c["size"]), float(c["dropout"]), int(c["layers"]), epochs=max(nets), snapshots=nets)
+        return pd.concat([pd.DataFrame({"config": k, "y": pdf["y"].to_numpy()[~t], "score": forward(nets[e], x[~t])}) for k, e in configs.items()])
 
-    trained = grid.join(peptides, how="cross").groupBy("config").applyInPandas(one, "config int, y int, score double")
+    trained = runs.join(peptides, how="cross").groupBy("run").applyInPandas(one, "config int, y int, score double")
     return grid.join(roc_auc(trained, "y", "score", ["config"]), "config").orderBy(F.desc("auc"), "config")
 
 
