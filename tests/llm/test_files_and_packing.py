@@ -1,5 +1,6 @@
 """Sharding, token files and packing against brute force."""
 
+import collections
 import random
 import zlib
 
@@ -64,6 +65,22 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in again.collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_equal_rows_are_spread_over_the_shards(spark, key):
+    """Thousands of rows equal in text and doc_id, among others."""
+    df = spark.createDataFrame([(key, "the same words")] * 3000 + [(100 + i, f"row {i} " * (i % 5)) for i in range(100)], "doc_id long, text string").repartition(6)
+    rows = sharding.shard_by_bytes(df, 24, parts=2).collect()
+    sizes = [0] * 24
+    slots = {}
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 3100 and len(slots) == 24
+    assert max(sizes) - min(sizes) <= 0.04 * sum(sizes) / 24 + 2 * max(r.size for r in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter((r.doc_id, r.text) for r in df.collect())
+
+
 def test_sharding_of_nothing_and_of_one(spark):
     assert sharding.shard_by_bytes(frame(spark, ["a"]).limit(0), 4).collect() == []
     assert [(r.shard, r.slot) for r in sharding.shard_by_bytes(frame(spark, ["a"]), 4).collect()] in ([(0, 0)], [(3, 0)], [(1, 0)], [(2, 0)])
