@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--mode", choices=("transcript", "legacy"), default="transcript", help="what a test or score is about: each transcript, or a gene's first with the variants of its last")
         s.add_argument("--rejects", help="also write the mutations that can't be annotated")
         s.add_argument("-e", "--release", type=int)
+        s.add_argument("--indexed", action="store_true", help="an index (.fai) lies beside the FASTA")
         s.add_argument("-c", "--cterm", help="two model paths, comma-separated")
         s.add_argument("-n", "--nterm", help="two model paths, comma-separated")
         s.add_argument("-o", "--output", required=True)
@@ -66,7 +67,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     report: list = []
     if o["command"] in ("test", "score"):
         muts, given = tables.mutations(spark, o["input"], o["chromosome"]), o["transcripts"].split(",")
-        tx = tables.annotation(spark, *given) if len(given) == 2 else tables.transcripts(spark, *given, o["release"])
+        tx = tables.annotation(spark, *given, o["chromosome"], o["release"], o["indexed"]) if len(given) == 2 else tables.transcripts(spark, *given, o["release"])
         if o["rejects"]:
             tables.write(analysis.annotated(muts, tx, o["mode"])[1], o["rejects"])
     if o["command"] == "test":

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telospark.sources import genome
+
 TRANSCRIPT_SCHEMA = "transcript_id string, gene string, contig string, strand string, biotype string, complete boolean, cds string, utr3 string, ranges array<struct<start:bigint,end:bigint>>, stop_positions array<bigint>"
 
 
@@ -46,15 +48,18 @@ def _attribute(name: str) -> Column:
     return F.regexp_extract("attributes", rf'(?:^|;)\s*{name} "([^"]*)"', 1)
 
 
-def annotation(spark: SparkSession, gtf: str, cdna: str) -> DataFrame:
+def annotation(spark: SparkSession, gtf: str, cdna: str, contig: str | None = None, release: int | None = None, indexed: bool = False) -> DataFrame:
     """The transcript dimension (TRANSCRIPT_SCHEMA and protein) from an annotation in GTF and the
     transcripts' sequences in FASTA (cDNA: exons joined, 5' to 3'). Versions of ids are dropped.
 
     The coding sequence begins at the start codon, holds the coding exons and ends with the stop
     codon; what follows is utr3. complete: a start codon, a stop codon of three bases and a length
-    of whole codons. Transcripts without coding exons or without a sequence are left out."""
-    names = ("contig", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
-    lines = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema(", ".join(f"`{n}` string" for n in names)).csv(gtf)
+    of whole codons. Transcripts without coding exons or without a sequence are left out. contig and
+    release (a folder of the GTF's) restrict what is read. indexed: the FASTA's index lies beside
+    it; sequences are then read by byte ranges and neither split by records nor shuffled whole."""
+    lines = genome.read(spark, genome.GtfSource, gtf)
+    for name, value in (("contig", contig), ("release", release)):
+        lines = lines.where(F.col(name) == value) if value is not None else lines
     lines = lines.where(F.col("feature").isin("exon", "CDS", "start_codon", "stop_codon"))
     biotype = F.coalesce(*(F.nullif(_attribute(n), F.lit("")) for n in ("transcript_biotype", "transcript_type", "gene_biotype", "gene_type")))
     gene = F.coalesce(F.nullif(_attribute("gene_name"), F.lit("")), _attribute("gene_id"))
@@ -71,9 +76,14 @@ def annotation(spark: SparkSession, gtf: str, cdna: str) -> DataFrame:
     ahead = F.transform("exon", lambda r: F.struct(F.when(minus, F.greatest(r["start"], F.col("_first") + 1)).otherwise(r["start"]).alias("start"), F.when(minus, r["end"]).otherwise(F.least(r["end"], F.col("_first") - 1)).alias("end")))
     tx = tx.withColumn("_skip", bases(F.filter(ahead, lambda r: r["start"] <= r["end"])))
     tx = tx.withColumn("_size", bases("coding") + F.size(F.array_except("stop_positions", body)))
-    records = spark.read.option("lineSep", ">").text(cdna).where(F.trim("value") != "")
-    sequence = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
-    found = records.select(F.regexp_extract("value", r"^([^\s.|]+)", 1).alias("transcript_id"), sequence.alias("_seq")).dropDuplicates(["transcript_id"])
+    bare = lambda name: F.regexp_extract(name, r"^([^\s.|]+)", 1).alias("transcript_id")
+    if indexed:
+        found = genome.read(spark, genome.FastaSource, cdna).select(bare("name"), F.col("sequence").alias("_seq"))
+    else:
+        records = spark.read.option("lineSep", ">").text(cdna).where(F.trim("value") != "")
+        sequence = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
+        found = records.select(bare("value"), sequence.alias("_seq"))
+    found = found.dropDuplicates(["transcript_id"])
     tx = tx.join(found, "transcript_id")
     cds = F.substring(F.col("_seq"), (F.col("_skip") + 1).cast("int"), F.col("_size").cast("int"))
     tx = tx.withColumn("cds", cds).withColumn("utr3", F.substring(F.col("_seq"), (F.col("_skip") + F.col("_size") + 1).cast("int"), F.length("_seq")))

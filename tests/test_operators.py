@@ -321,6 +321,32 @@ def test_legacy_collapse(spark):
     assert len(simple) == 2 and all(0 < r.pvalue <= 1 for r in simple)
 
 
+def test_legacy_scores_take_a_gene_as_its_first_transcript(spark):
+    """Variants of the last transcript, held against the first one's end; substitutions don't count."""
+    from telospark.operators import score
+    from telospark.plans.queries import fixed_models
+
+    rng = random.Random(8)
+    a, b = _transcript(rng, "T1", "g"), _transcript(rng, "T2", "g")
+    lone = _transcript(rng, "T3", "h")
+    n = len(b[6])
+    sub = lambda r, g, p: (g, r[0], "1", p + 1 if p < n - 33 else p + 101, r[6][p], "ACGT"["ACGT".index(r[6][p]) - 1])
+    muts = [sub(b, "g", n - 20), ("g", "T2", "1", n - 12 + 101, b[6][n - 12], ""), sub(a, "g", n - 20), sub(lone, "h", n - 20)]
+    tx, m = _transcripts(spark, [a, b, lone]), spark.createDataFrame(muts, MUTATION)
+    models = fixed_models("cterm")
+    out = {mode: score.score_mutations(analysis.annotated(m, tx, mode)[0], *models, "cterm").collect() for mode in ("transcript", "legacy")}
+    own = {(r.Hugo_Symbol, r.Transcript_ID, r.HGVSp_Short) for r in out["transcript"]}
+    old = {(r.Hugo_Symbol, r.Transcript_ID, r.HGVSp_Short[-2:]) for r in out["legacy"]}
+    assert {x[:2] for x in own} >= {("g", "T2"), ("h", "T3")} and len(own) >= 3
+    assert {x[:2] for x in old} <= {("g", "T2"), ("h", "T3")} and all(x[2] == "fs" for x in old if x[0] == "g") and any(x[0] == "g" for x in old)
+    wild = {r.transcript_id: r.potential for r in score.wild_type_scores(tx, *models, "cterm").collect()}
+    for name, mode in (("T2", "transcript"), ("T1", "legacy")):
+        got = [r for r in out[mode] if r.Hugo_Symbol == "g" and r.HGVSp_Short.endswith("fs")]
+        scored = analysis.annotated(m, tx)[0].where("gene = 'g' and alt = ''").select(F.col("mut_end").alias("p"))
+        mine = scored.select((models[0].predict(spark, F.col("p")) - models[1].predict(spark, F.col("p"))).alias("s")).first().s
+        assert got[0]["delta degron potential"] == pytest.approx(mine - wild[name])
+
+
 def test_training_learns_and_repeats(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.random((400, 20))
@@ -373,7 +399,7 @@ def test_sources(spark, tmp_path):
     assert got.columns[2:] == ["degron potential", "bag of words"] and got.first()[3] is None
 
 
-def test_annotation_files_and_command_line(spark, tmp_path):
+def test_annotation_files_and_command_line(spark, tmp_path, capsys):
     """GTF and FASTA of both strands give the transcripts they were made from; the command line reads
     them, mutations with other headers, '-' alleles and long references, and writes what it rejects."""
     from telospark.plans import cli
@@ -410,6 +436,17 @@ def test_annotation_files_and_command_line(spark, tmp_path):
     (tmp_path / "a.fa").write_text("\n".join(fasta) + "\n")
     got = {r.transcript_id: r for r in annotate.with_positions(tables.annotation(spark, str(tmp_path / "a.gtf"), str(tmp_path / "a.fa"))).collect()}
     assert got.keys() == want.keys()
+    at, index = 0, []
+    for line in (tmp_path / "a.fa").read_text().splitlines():
+        at += len(line) + 1
+        if line.startswith(">"):
+            index.append([line[1:].split()[0], 0, at, 60, 61])
+        else:
+            index[-1][1] += len(line)
+    (tmp_path / "a.fa.fai").write_text("".join("\t".join(map(str, x)) + "\n" for x in index))
+    by_index = tables.annotation(spark, str(tmp_path / "a.gtf"), str(tmp_path / "a.fa"), contig="7", indexed=True)
+    assert sorted(map(str, annotate.with_positions(by_index).collect())) == sorted(map(str, got.values()))
+    assert tables.annotation(spark, str(tmp_path / "a.gtf"), str(tmp_path / "a.fa"), contig="8").count() == 0
     for k, (gene, strand, cds, utr3, place, stop) in want.items():
         r = got[k]
         assert (r.gene, r.strand, r.cds, r.utr3, r.complete, r.genome, r.stop_positions) == (gene, strand, cds, utr3, True, place, stop)
@@ -432,6 +469,8 @@ def test_annotation_files_and_command_line(spark, tmp_path):
     assert [(0 <= float(r.pvalue) <= 1, r.total_muts, float(r.num_degron_muts) >= 4) for r in out.values()] == [(True, "13", True)] * 2
     bad = tables.scan(spark, str(tmp_path / "r")).collect()
     assert sorted((r.transcript_id, r.reason) for r in bad) == sorted([("ENST777", "no complete coding transcript")] + [(k, "allele with N or too long") for k in want for _ in range(2)])
+    said = capsys.readouterr().out
+    assert "mutations: 31" in said and "no complete coding transcript: 1" in said and "allele with N or too long: 4" in said and "doesn't fit the transcript: 0" in said
     cli.main(["test", "-i", str(tmp_path / "m.txt"), "-x", files, "-d", str(tmp_path / "d.txt"), "--simple", "--mode", "legacy", "-ns", "20", "-o", str(tmp_path / "s")], spark)
     assert tables.scan(spark, str(tmp_path / "s")).count() == 2
 

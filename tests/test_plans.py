@@ -39,3 +39,36 @@ def test_row_functions_neither_shuffle_nor_leave_the_jvm(spark, tiny, name):
 def test_bh_windows_see_distinct_values(spark, tiny):
     p = plan(core.QUERIES["bh_fdr"](spark, tiny))
     assert p.index("Window") > 0 and "Python" not in p
+
+
+def test_checkpoints_hold_no_sequences_and_no_texts(spark, tiny, monkeypatch):
+    """What the permutation tests and the trimmed curve write down between their steps is narrow."""
+    from telospark.functions import stats
+    from telospark.operators import filters, motifs, permutation
+    from telospark.plans import analysis
+    from telospark.sources import scratch
+
+    held, real = [], scratch.cut
+
+    def watched(df):
+        held.append(df.columns)
+        return real(df)
+
+    for module in (stats, filters, motifs, permutation, analysis):
+        monkeypatch.setattr(module, "cut", watched)
+    tx = core.transcripts(spark, tiny).limit(12)
+    muts = core.mutations(spark, tiny).join(tx.select("transcript_id"), "transcript_id")
+    spans = tx.select(tx.gene.alias("key")).distinct().selectExpr("key", "5 as start", "12 as end")
+    analysis.run("degrons", muts, tx, 30, spans=spans)
+    core.QUERIES["trimmed_auc_curve"](spark, tiny).collect()
+    assert len(held) > 8
+    assert not {c for columns in held for c in columns} & {"text", "cds", "utr3", "protein", "mut_protein", "frames", "stops"}
+
+
+def test_annotation_stands_once_in_a_plan(spark, tiny):
+    """The filter on the effect doesn't work the effect out a second time."""
+    from telospark.plans import analysis
+
+    good, _ = analysis.annotated(core.mutations(spark, tiny), core.transcripts(spark, tiny))
+    text = good.select("transcript_id", "effect")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("PrematureStop") == 1
