@@ -113,10 +113,26 @@ def simple_contexts(spark, sf_dir):
     return x.select("doc_id", "pos", sequences.context(*at, 2).alias("pair"), sequences.context(*at, 1).alias("base"), sequences.context(*at, 0).alias("none"))
 
 
-@query("SELECT CAST(kind AS DOUBLE) AS kind, name FROM (SELECT 0 AS kind, 'None' AS name UNION ALL SELECT 1, unnest(['A','C','T','G']) UNION ALL SELECT 1.5, unnest(['C*pG','CpG*','TpC*','G*pA','A','C','T','G']) UNION ALL SELECT 2, a || b FROM (SELECT unnest(['A','C','T','G']) AS a), (SELECT unnest(['A','C','T','G']) AS b) UNION ALL SELECT 3, a || b || c FROM (SELECT unnest(['A','C','T','G']) AS a), (SELECT unnest(['A','C','T','G']) AS b), (SELECT unnest(['A','C','T','G']) AS c))")
+_NAMES = (
+    "(SELECT 0.0 AS kind, 'None' AS name UNION ALL SELECT 1, unnest(['A','C','T','G']) UNION ALL SELECT 1.5, unnest(['C*pG','CpG*','TpC*','G*pA','A','C','T','G']) "
+    "UNION ALL SELECT 2, a || b FROM (SELECT unnest(['A','C','T','G']) AS a), (SELECT unnest(['A','C','T','G']) AS b) "
+    "UNION ALL SELECT 3, a || b || c FROM (SELECT unnest(['A','C','T','G']) AS a), (SELECT unnest(['A','C','T','G']) AS b), (SELECT unnest(['A','C','T','G']) AS c))"
+)
+
+
+@query(
+    f"WITH t AS (SELECT {TRI} AS tri FROM {POS}), c AS (SELECT 0.0 AS kind, 'None' AS name FROM t UNION ALL SELECT 1, substr(tri, 2, 1) FROM t UNION ALL SELECT 1.5, {CHASM} FROM t UNION ALL SELECT 2, left(tri, 2) FROM t UNION ALL SELECT 3, tri FROM t), "
+    f"n AS (SELECT kind, name, count(*) AS n FROM c GROUP BY ALL) SELECT CAST(v.kind AS DOUBLE) AS kind, v.name, coalesce(n, 0) AS n FROM {_NAMES} v LEFT JOIN n ON n.kind = v.kind AND n.name = v.name"
+)
 def context_names(spark, sf_dir):
-    rows = [F.struct(F.lit(float(k)).alias("kind"), F.lit(n).alias("name")) for k in (0, 1, 1.5, 2, 3) for n in sequences.context_names(k)]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    """All contexts of every kind, with the places of the sequences that have them."""
+    kinds = (0, 1, 1.5, 2, 3)
+    names = [F.struct(F.lit(float(k)).alias("kind"), F.lit(n).alias("name")) for k in kinds for n in sequences.context_names(k)]
+    x = dna(spark, sf_dir).select("cds", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("pos")).select(sequences.trinucleotide(F.col("cds"), F.col("pos")).alias("tri"))
+    each = F.array(*(F.struct(F.lit(float(k)).alias("kind"), sequences.context_of(F.col("tri"), k).alias("name")) for k in kinds))
+    n = x.groupBy("tri").agg(F.count("*").alias("n")).select(F.explode(each).alias("s"), "n").groupBy("s.kind", "s.name").agg(F.sum("n").alias("n"))
+    known = spark.range(1).select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    return known.join(n, ["kind", "name"], "left").select("kind", "name", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query(f"SELECT doc_id, array_to_string([coalesce({CODE}[substr(cds, 3 * i + 1, 3)], 'X') FOR i IN range(0, 32)], '') AS protein FROM {DNA}")
