@@ -246,7 +246,7 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey, l_linenumber, e AS effect FROM (SELECT *, {EFFECT} AS e, CAST(l_quantity AS INTEGER) AS o FROM lineitem) WHERE e IN ('Deletion', 'Insertion', 'FrameShift', 'PrematureStop') OR (e IN ('Substitution', 'Silent', 'StopLoss') AND o > 50 - 23)")
 def terminal_filter(spark, sf_dir):
-    keep = filters.hits_terminus(F.col("effect"), F.col("aa_off"), F.lit("M"), F.lit(50), "cterm")
+    keep = filters.hits_terminus(F.col("effect"), F.col("aa_off"), F.lit(1), F.lit(50), "cterm")
     return effects(spark, sf_dir).where(keep).select("l_orderkey", "l_linenumber", "effect")
 
 
