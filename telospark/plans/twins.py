@@ -6,6 +6,8 @@ simulations are drawn one by one, tails are summed term by term.
 
 from __future__ import annotations
 
+#: Simulations of all units; only those without a hundred hits in these go on.
+FIRST = 1_000
 #: Of the synthetic transcripts: residues, and the third of bases that decay doesn't reach on each strand.
 RESIDUES, SAFE = 31, "CASE WHEN minus THEN 90 / 3.0 ELSE 103 / 3.0 END"
 SNVS = "('Substitution', 'Silent', 'AlternateStartCodon', 'PrematureStop', 'StartLoss', 'StopLoss')"
@@ -95,7 +97,8 @@ def scores(tx: str, code: str, specific, bag, residues: str, raw: bool) -> str:
 
 
 def permutation(tx: str, code: str, value: str, column: str, only: str, indels: bool, side: str, empty_hits: bool, simulations: int) -> str:
-    """A test, simulated one draw after the other. value: what an effect at `off` counts; only: the
+    """A test, simulated one draw after the other; units that have their hundred hits after FIRST
+    simulations need no more. value: what an effect at `off` counts; only: the
     transcripts that are tested."""
     kept_sub, kept_indel = "(effect <> 'PrematureStop' OR escapes)", "escapes"
     sub = f"effect IN {SNVS} AND a <> ''"
@@ -103,8 +106,17 @@ def permutation(tx: str, code: str, value: str, column: str, only: str, indels:
     tri = "substr(cds, greatest(p, 1), 1) || substr(cds, p + 1, 1) || substr(cds, least(p + 2, length(cds)), 1)"
     chosen = f"({sub})" + (f" OR ({indel})" if indels else "")
     number = lambda t: f"CAST('0x' || substr(md5('101|' || c.tx || '|' || {t} || '|' || sim || '|' || slot), 1, 8) AS BIGINT)"
-    deletions = f" UNION ALL SELECT c.tx, sim, c.slot, CAST({number(chr(39) + 'None' + chr(39))} % 96 AS INTEGER), '' FROM slots c JOIN busy USING (tx), range(0, {simulations}) s(sim) WHERE c.a = '' AND draws_indel" if indels else ""
     kinds = "['A','C','G','T','']" if indels else "['A','C','G','T']"
+
+    def phase(n: int, units: str, start: int, end: int) -> str:
+        """hits<n>: the simulations of some units that are hits."""
+        deletions = f" UNION ALL SELECT c.tx, sim, c.slot, CAST({number(chr(39) + 'None' + chr(39))} % 96 AS INTEGER), '' FROM slots c JOIN {units} USING (tx), range({start}, {end}) s(sim) WHERE c.a = '' AND draws_indel" if indels else ""
+        return (
+            f"drawn{n} AS (SELECT c.tx, sim, c.slot, CAST(places[1 + {number('c.tri')} % len(places)] AS INTEGER) AS p, c.a FROM slots c JOIN {units} USING (tx) JOIN spots ON spots.tx = c.tx AND spots.tri = c.tri, range({start}, {end}) s(sim) WHERE c.a <> '' AND draws_sub{deletions}), "
+            f"sums{n} AS (SELECT tx, sim, sum(v) FILTER (keep) AS v, count(*) FILTER (keep) AS kept FROM drawn{n} JOIN told USING (tx, p, a) GROUP BY tx, sim), "
+            f"hits{n} AS MATERIALIZED (SELECT tx, sim FROM {units} CROSS JOIN range({start}, {end}) s(sim) LEFT JOIN sums{n} USING (tx, sim) WHERE {hit}), "
+        )
+
     hit = f"coalesce(v, 0) {side} seen" + (" OR coalesce(kept, 0) = 0" if empty_hits else "")
     return (
         f"WITH {variants(tx, code)}, obs AS MATERIALIZED (SELECT *, {value} AS v, CASE WHEN a <> '' THEN {kept_sub} ELSE {kept_indel} END AS keep FROM eff WHERE {only}), "
@@ -116,9 +128,10 @@ def permutation(tx: str, code: str, value: str, column: str, only: str, indels:
         f"g AS (SELECT 'T' || doc_id AS tx, cds, doc_id % 2 = 1 AS minus, CAST(p AS INTEGER) AS p, a FROM {tx}, range(0, 96) r(p), (SELECT unnest({kinds}) AS a) WHERE substr(cds, p + 1, 1) <> a AND 'T' || doc_id IN (SELECT tx FROM busy)), "
         + effects("g", code).replace("e1 AS", "f1 AS").replace("e2 AS", "f2 AS").replace("e3 AS", "f3 AS").replace("e4 AS", "f4 AS").replace("FROM e1", "FROM f1").replace("FROM e2", "FROM f2").replace("FROM e3", "FROM f3").replace("FROM e4", "FROM f4").replace("eff AS", "all_eff AS")
         + f", told AS MATERIALIZED (SELECT tx, p, a, {value} AS v, CASE WHEN a <> '' THEN {kept_sub} ELSE {kept_indel} END AS keep FROM all_eff), "
-        f"drawn AS (SELECT c.tx, sim, c.slot, CAST(places[1 + {number('c.tri')} % len(places)] AS INTEGER) AS p, c.a FROM slots c JOIN busy USING (tx) JOIN spots ON spots.tx = c.tx AND spots.tri = c.tri, range(0, {simulations}) s(sim) WHERE c.a <> '' AND draws_sub{deletions}), "
-        "sums AS (SELECT tx, sim, sum(v) FILTER (keep) AS v, count(*) FILTER (keep) AS kept FROM drawn JOIN told USING (tx, p, a) GROUP BY tx, sim), "
-        f"hits AS (SELECT tx, list(sim ORDER BY sim) FILTER ({hit}) AS h FROM busy CROSS JOIN range(0, {simulations}) s(sim) LEFT JOIN sums USING (tx, sim) GROUP BY tx), "
+        + phase(1, "busy", 0, FIRST)
+        + "later AS MATERIALIZED (SELECT * FROM busy WHERE tx NOT IN (SELECT tx FROM hits1 GROUP BY tx HAVING count(*) >= 100)), "
+        + phase(2, "later", FIRST, simulations)
+        + "hits AS (SELECT tx, list(sim ORDER BY sim) FILTER (sim IS NOT NULL) AS h FROM busy LEFT JOIN (SELECT * FROM hits1 UNION ALL SELECT * FROM hits2) USING (tx) GROUP BY tx), "
         f"r AS (SELECT gene, seen, CASE WHEN h.tx IS NULL THEN 1.0 WHEN len(h) >= 100 THEN 100.0 / (h[100] + 1) ELSE coalesce(len(h), 0) / {simulations}.0 END AS pvalue, total, position FROM unit JOIN info USING (tx) LEFT JOIN hits h USING (tx) WHERE subs OR draws_indel), "
         f"q AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY pvalue) AS k FROM r) "
         f"SELECT gene, CAST(seen AS DOUBLE) AS {column}, round(pvalue, 9) AS pvalue, total AS total_muts, round(position, 9) AS average_position, round(least(1.0, min(pvalue * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS qvalue FROM q"
