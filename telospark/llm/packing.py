@@ -49,7 +49,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     def encode(batches):
         enc = None
         for batch in batches:
-            for b in slices(batch, "_text", 6 << 20):
+            for b in slices(batch, "_text", 3 << 20):
                 enc = enc or encoder(tokenizer, keeps_space)
                 ids, n_of = enc.encode(b.column(1), end_id)
                 doc, number, start, length = _cut(n_of, capacity)
@@ -74,7 +74,7 @@ def _encoded(df: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
         enc, part = None, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for b in slices(batch, "_text", 6 << 20):
+            for b in slices(batch, "_text", 3 << 20):
                 enc = enc or encoder(tokenizer, keeps_space)
                 ids, n_of = enc.encode(b.column(1), end_id)
                 doc, number, start, length = _cut(n_of, capacity)

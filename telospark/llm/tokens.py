@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps encoded between batches; the memory bound of the cache (some 40 bytes a word).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 #: Marks at a word's end that a word-level tokenizer keeps together as one part.
 _MARKS = ".,!?;:*#$%&|"
