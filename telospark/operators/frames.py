@@ -35,7 +35,8 @@ def with_frames(tx: DataFrame) -> DataFrame:
     full = full_sequence()
     tx = tx.withColumn("frames", F.array(*(translate(F.substring(full, k + 1, F.length(full))) for k in range(3))))
     tx = tx.withColumn("_ends", F.transform("frames", _frame_stops))
-    places = F.transform(F.sequence(F.lit(0), F.length(full)), lambda i: 3 * F.get(F.get(F.col("_ends"), i % 3), F.floor(i / 3).cast("int")) + i % 3)
+    # bound by let: inside the lambda the plan would work the ends out anew for every base
+    places = let(F.col("_ends"), lambda e: F.transform(F.sequence(F.lit(0), F.length(full)), lambda i: 3 * F.get(F.get(e, i % 3), F.floor(i / 3).cast("int")) + i % 3))
     return tx.withColumn("stops", places).withColumn("plain", F.coalesce(F.col("protein") == F.substring_index(F.col("frames")[0], "*", 1), F.lit(False))).drop("_ends")
 
 
