@@ -15,59 +15,11 @@ from pyspark.sql import functions as F
 
 from telospark.llm.common import discard, small_enough, table
 
-LEVELS = ("domain", "lang", "source")
+#: Rows equal in key and text are told apart by a place where there are more of them.
+EQUAL = 64
 Path = tuple[str, ...]
 
 
-def share(amount: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """The rule, for one family: divides amount by weight among children (name: weight, capacity),
-    none above its capacity; shortages go to the others by weight, and to children of weight 0 by
-    capacity last of all. leaf_budgets() does the same for all families of a table."""
-    out = dict.fromkeys(children, 0.0)
-    for positive in (True, False):
-        open_ = {k for k, (w, c) in children.items() if (w > 0) == positive and c > 0}
-        weight = {k: children[k][0] if positive else children[k][1] for k in open_}
-        left = amount - sum(out.values())
-        while open_ and left > 1e-9:
-            total = sum(weight[k] for k in open_)
-            full = {k for k in open_ if out[k] + left * weight[k] / total >= children[k][1] - 1e-9}
-            if not full:
-                for k in open_:
-                    out[k] += left * weight[k] / total
-                break
-            for k in full:
-                out[k] = children[k][1]
-            open_ -= full
-            left = amount - sum(out.values())
-        if not positive:
-            break
-    return out
-
-
-def budgets(leaves: dict[Path, float], weights: dict[Path, float], amount: float, epochs: float) -> dict[Path, float]:
-    """Tokens for each leaf of a small tree, by share(). leaves: tokens by path; weights: by path of any length, relative to its
-    siblings; a path without a weight has its share of the family's tokens, scaled so that a family
-    without any weights is divided in proportion."""
-    cap: dict[Path, float] = {}
-    for path, tokens in leaves.items():
-        for n in range(len(path) + 1):
-            cap[path[:n]] = cap.get(path[:n], 0.0) + tokens * epochs
-    family: dict[Path, list[Path]] = {}
-    for path in cap:
-        if path:
-            family.setdefault(path[:-1], []).append(path)
-    out = {(): min(amount, cap.get((), 0.0))}
-    for parent in sorted(family, key=lambda p: (len(p), p)):
-        kids = sorted(family[parent])
-        given = [k for k in kids if k in weights]
-        scale = 1.0
-        if given:
-            scale = sum(weights[k] for k in given) / max(sum(cap[k] for k in given), 1e-9)
-        parts = share(out[parent], {k[-1]: (weights[k] if k in weights else cap[k] * scale, cap[k]) for k in kids})
-        out.update({k: parts[k[-1]] for k in kids})
-    return {k: v for k, v in out.items() if len(k) == len(LEVELS)}
-
-
 def _divide(nodes: DataFrame, family: list[str], weights: dict[Path, float]) -> DataFrame:
     """nodes (path columns, cap, and amount: the budget of their parent, `family`) with their own
     amount. Children fill up in the order of capacity over weight; the level at which the first one
@@ -96,7 +48,9 @@ def _divide(nodes: DataFrame, family: list[str], weights: dict[Path, float]) ->
 
 
 def leaf_budgets(leaves: DataFrame, path: list[str], weights: dict[Path, float], fraction: float, epochs: int) -> DataFrame:
-    """path and want, the tokens for each leaf (path columns, tokens): budgets() for a table."""
+    """path and want, the tokens for each leaf (path columns, tokens). weights: by path of any
+    length, relative to its siblings; a path without a weight has its share of the family's tokens,
+    scaled so that a family without any weights is divided in proportion."""
     leaves = leaves.select(*path, (F.col("tokens") * F.lit(float(epochs))).alias("cap"))
     up = leaves.agg(F.least(F.sum("cap") * F.lit(fraction / epochs), F.sum("cap")).alias("amount"))
     for n in range(1, len(path) + 1):
@@ -111,6 +65,29 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def told_apart(df: DataFrame, keys: DataFrame) -> DataFrame | None:
+    """df (with __telo_k and __telo_t) with a __telo_k for each row of a group of more than EQUAL rows
+    equal in both; None if there is no such group.
+
+    Equal rows are interchangeable: they are written down, numbered within the task that wrote them,
+    and moved up by what other tasks wrote. The keys are the same on every partitioning.
+    """
+    names = ["__telo_k", "__telo_t"]
+    large = table(keys.groupBy(*names).count().where(F.col("count") > EQUAL).select(*names), "equal-keys")
+    if large.isEmpty():
+        return None
+    few = small_enough(large)
+    hot = df.join(few, names, "left_semi").select(*df.columns)
+    hot = table(hot.withColumns({"__telo_w": F.spark_partition_id(), "__telo_m": F.monotonically_increasing_id()}), "equal-rows")
+    counts = hot.groupBy(*names, "__telo_w").count()
+    before = Window.partitionBy(*names).orderBy("__telo_w").rowsBetween(Window.unboundedPreceding, -1)
+    base = table(counts.withColumn("__telo_b", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "equal-base")
+    within = Window.partitionBy(*names, "__telo_w").orderBy("__telo_m")  # at most a task's rows
+    hot = hot.withColumn("__telo_m", F.row_number().over(within)).join(small_enough(base), [*names, "__telo_w"])
+    hot = hot.withColumn("__telo_k", F.xxhash64("__telo_k", F.col("__telo_b") + F.col("__telo_m")))
+    return df.join(few, names, "left_anti").select(*df.columns).union(hot.select(*df.columns))
+
+
 def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: float = 0.8, epochs: int = 2, seed: int = 7, text: str = "text", key: str = "doc_id", block: int = 2_000) -> DataFrame:
     """The selected rows of df, once per epoch, with domain, epoch, n_tokens and start (tokens of
     the leaf before it, over its epochs).
@@ -118,15 +95,20 @@ def mix(df: DataFrame, weights: dict[Path, float], domain: Column, fraction: flo
     The budget is `fraction` of all tokens. A document is taken if its leaf's tokens before it stay
     below the leaf's budget, so a leaf overshoots by less than one document. Null domain, lang or
     source count as 'unknown'; null and empty texts have no tokens and follow their place in the
-    order; repeated rows are rows of their own, in an order fixed by their hash and text. An empty
-    table gives an empty result. Extra columns pass through; new ones replace columns of their names.
+    order; repeated rows are rows of their own, in an order fixed by their hash and text, and large
+    groups of them are spread over the leaf's order. An empty table gives an empty result. Extra columns pass through; new ones replace columns of their names.
     """
     path = [F.coalesce(c.cast("string"), F.lit("unknown")) for c in (domain, F.col("lang"), F.col("source"))]
     # copies of a null key are told apart by their text
     order = [F.col(key), F.when(F.col(key).isNull(), F.xxhash64(text))]
     df = df.withColumns({"domain": path[0], "__telo_1": path[1], "__telo_2": path[2], "n_tokens": tokens_of(F.col(text)), "__telo_t": F.xxhash64(text), "__telo_k": F.xxhash64(*order)})
     leaf = ["domain", "__telo_1", "__telo_2"]
-    rows = table(df.select(*leaf, "n_tokens", "__telo_k"), "mix-rows")  # counted once for all that follows but the last pass
+    narrow = [*leaf, "n_tokens", "__telo_k", "__telo_t"]
+    rows = table(df.select(*narrow), "mix-rows")  # counted once for all that follows but the last pass
+    apart = told_apart(df, rows)
+    if apart is not None:
+        discard(rows)
+        df, rows = apart, table(apart.select(*narrow), "mix-rows")
     leaves = table(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
     wanted = leaf_budgets(leaves, leaf, weights, fraction, epochs)
     plan = leaves.join(small_enough(wanted), leaf).select(*leaf, F.col("tokens").alias("__telo_all"), F.round("want").cast("long").alias("__telo_want"), (1 + F.floor(F.col("rows") / block)).alias("__telo_bins"))

@@ -164,16 +164,65 @@ def test_clean_texts_stay(spark):
     assert pii.pseudonymize(frame(spark, texts).limit(0), "k").collect() == []
 
 
+def share(amount: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """The rule, for one family: divides amount by weight among children (name: weight, capacity),
+    none above its capacity; shortages go to the others by weight, and to children of weight 0 by
+    capacity last of all."""
+    out = dict.fromkeys(children, 0.0)
+    for positive in (True, False):
+        open_ = {k for k, (w, c) in children.items() if (w > 0) == positive and c > 0}
+        weight = {k: children[k][0] if positive else children[k][1] for k in open_}
+        left = amount - sum(out.values())
+        while open_ and left > 1e-9:
+            total = sum(weight[k] for k in open_)
+            full = {k for k in open_ if out[k] + left * weight[k] / total >= children[k][1] - 1e-9}
+            if not full:
+                for k in open_:
+                    out[k] += left * weight[k] / total
+                break
+            for k in full:
+                out[k] = children[k][1]
+            open_ -= full
+            left = amount - sum(out.values())
+        if not positive:
+            break
+    return out
+
+
+def budgets(leaves: dict, weights: dict, amount: float, epochs: float) -> dict:
+    """Tokens for each leaf of a small tree, by share(). leaves: tokens by path; weights: by path of any length, relative to its
+    siblings; a path without a weight has its share of the family's tokens, scaled so that a family
+    without any weights is divided in proportion."""
+    cap: dict = {}
+    for path, tokens in leaves.items():
+        for n in range(len(path) + 1):
+            cap[path[:n]] = cap.get(path[:n], 0.0) + tokens * epochs
+    family: dict[Path, list] = {}
+    for path in cap:
+        if path:
+            family.setdefault(path[:-1], []).append(path)
+    out = {(): min(amount, cap.get((), 0.0))}
+    for parent in sorted(family, key=lambda p: (len(p), p)):
+        kids = sorted(family[parent])
+        given = [k for k in kids if k in weights]
+        scale = 1.0
+        if given:
+            scale = sum(weights[k] for k in given) / max(sum(cap[k] for k in given), 1e-9)
+        parts = share(out[parent], {k[-1]: (weights[k] if k in weights else cap[k] * scale, cap[k]) for k in kids})
+        out.update({k: parts[k[-1]] for k in kids})
+    return {k: v for k, v in out.items() if len(k) == 3}
+
+
 def test_water_filling():
-    assert mixing.share(10, {"a": (1, 100), "b": (1, 100)}) == {"a": 5, "b": 5}
-    assert mixing.share(10, {"a": (1, 2), "b": (1, 100), "c": (2, 100)}) == pytest.approx({"a": 2, "b": 8 / 3, "c": 16 / 3})
-    assert mixing.share(10, {"a": (1, 2), "b": (1, 3)}) == {"a": 2, "b": 3}
-    assert mixing.share(10, {"a": (1, 2), "b": (0, 30)}) == pytest.approx({"a": 2, "b": 8})
+    assert share(10, {"a": (1, 100), "b": (1, 100)}) == {"a": 5, "b": 5}
+    assert share(10, {"a": (1, 2), "b": (1, 100), "c": (2, 100)}) == pytest.approx({"a": 2, "b": 8 / 3, "c": 16 / 3})
+    assert share(10, {"a": (1, 2), "b": (1, 3)}) == {"a": 2, "b": 3}
+    assert share(10, {"a": (1, 2), "b": (0, 30)}) == pytest.approx({"a": 2, "b": 8})
     leaves = {("w", "en", "1"): 100.0, ("w", "en", "2"): 100.0, ("w", "de", "1"): 10.0, ("b", "en", "3"): 500.0}
-    got = mixing.budgets(leaves, {("w",): 0.5, ("b",): 0.5, ("w", "en"): 0.2, ("w", "de"): 0.8}, 300, 1)
+    got = budgets(leaves, {("w",): 0.5, ("b",): 0.5, ("w", "en"): 0.2, ("w", "de"): 0.8}, 300, 1)
     # de can give 10 of 120; the rest goes to its sibling en, not to b
     assert got == pytest.approx({("w", "de", "1"): 10, ("w", "en", "1"): 70, ("w", "en", "2"): 70, ("b", "en", "3"): 150})
-    got = mixing.budgets(leaves, {("w",): 0.9, ("b",): 0.1}, 400, 1)
+    got = budgets(leaves, {("w",): 0.9, ("b",): 0.1}, 400, 1)
     assert got[("b", "en", "3")] == pytest.approx(190)  # all of w, then the ancestor's other child
 
 
@@ -184,7 +233,7 @@ def test_budgets_of_a_table_equal_the_rule(spark, seed):
     leaves = {(f"d{rng.randrange(3)}", f"l{rng.randrange(4)}", f"s{i % 9}"): float(rng.choice([0, 1, 7, 50, 1000, rng.randrange(10**5)])) for i in range(40)}
     weights = {p[:n]: rng.choice([0, 0.1, 0.3, 1, 5]) for p in leaves for n in (1, 2, 3) if rng.random() < 0.5}
     fraction, epochs = rng.choice([0.3, 0.8, 1.0, 1.7]), rng.choice([1, 2, 3])
-    want = mixing.budgets(leaves, weights, fraction * sum(leaves.values()), epochs)
+    want = budgets(leaves, weights, fraction * sum(leaves.values()), epochs)
     table = spark.createDataFrame([(*p, int(n)) for p, n in leaves.items()], "domain string, lang string, source string, tokens long")
     got = {tuple(r[:3]): r.want for r in mixing.leaf_budgets(table, ["domain", "lang", "source"], weights, fraction, epochs).collect()}
     assert got.keys() == want.keys()
@@ -198,6 +247,26 @@ def test_mix_of_null_ids_keeps_every_row(spark):
     assert out.count() == 200 and out.select("start").distinct().count() == 200
 
 
+def test_mix_spreads_equal_rows(spark):
+    """5,000 rows of one id and text: a key each, the same ones on every partitioning; no bin is large."""
+    rows = [(7, "one two three", "en", "src1", 1)] * 5_000 + [(i, f"text {i}", "en", "src1", 1) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"__telo_k": F.xxhash64("doc_id"), "__telo_t": F.xxhash64("text")})
+    keys = []
+    for n in (3, 8):
+        got = mixing.told_apart(df.repartition(n), df)
+        keys.append(sorted(r[0] for r in got.select("__telo_k").collect()))
+        bins = got.groupBy(F.floor((F.xxhash64("__telo_k") / F.lit(2.0**64) + 0.5) * 53)).count()
+        assert bins.agg(F.max("count")).first()[0] < 200
+    assert keys[0] == keys[1] and len(set(keys[0])) == len(rows)
+    assert mixing.told_apart(df.where("doc_id > 7"), df.where("doc_id > 7")) is None
+    out = mixing.mix(df.select("doc_id", "text", "lang", "source", "n_chars"), {}, domain_of(), 1.0, 1, block=100).collect()
+    assert len(out) == len(rows)
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)) if i else None, rng.choice(["en", "en", "en", "de", None]), rng.choice(["src1", "src12", "src17", None]), 1, "q", -1) for i in range(900)]
@@ -214,7 +283,7 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark):
         leaf = (dom, r[2] or "unknown", r[3] or "unknown")
         leaves[leaf] = leaves.get(leaf, 0) + n(r[1])
         total += n(r[1])
-    want = mixing.budgets({k: float(v) for k, v in leaves.items()}, WEIGHTS, 0.8 * total, 2.0)
+    want = budgets({k: float(v) for k, v in leaves.items()}, WEIGHTS, 0.8 * total, 2.0)
     by = {}
     for r in got:
         assert r.n_tokens == n(r.text)
