@@ -1,7 +1,7 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors go to their nearest few of a sample's centroids, so clusters overlap. Each cluster shard
-builds a robust-pruned neighbour graph; a vector's adjacency lists from all its shards are united.
+builds a robust-pruned neighbour graph, from candidates that random trees bring together; a vector's adjacency lists from all its shards are united.
 Every vector then searches its shards: greedy from the shard's medoid, then outward from all that
 is in range until no more is found. Pairs are verified in double precision and counted in their
 first common shard alone. Recall is audited against exact products of a bounded query sample, over
@@ -28,8 +28,11 @@ CENTROIDS = 2_048
 PER_CLUSTER = 1_200
 BLOCK = 8_192
 CANDIDATES = 40
-#: Candidates beyond the nearest, drawn anew for each vector from all in range of it.
+#: Candidates beyond the nearest, drawn from a vector's leaves, and as many from its shard.
 WIDE = 40
+#: Random trees of a shard, and the most vectors of a leaf.
+TREES = 4
+LEAF = 128
 DEGREE = 20
 ALPHA = 1.2
 BEAM = 16
@@ -74,44 +77,78 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors; all that build_graph() takes to find candidates go through here."""
+    return np.matmul(x, y)
+
+
+def _leaves(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """The rows in groups of LEAF at most: halved again and again, along the difference of two of a group."""
+    open_, out = [np.arange(len(x))], []
+    while open_:
+        p = open_.pop()
+        if len(p) <= LEAF:
+            out.append(p)
+            continue
+        i, j = rng.choice(p, 2, replace=False)
+        order = np.argsort(x[p] @ (x[i] - x[j]), kind="stable")
+        open_ += [p[order[: len(p) // 2]], p[order[len(p) // 2 :]]]
+    return out
+
+
 def build_graph(x: np.ndarray, low: float = -1.0, effort: int = 1) -> list[np.ndarray]:
-    """Robust-pruned adjacency of a shard's unit vectors, both directions. Besides its nearest, a
-    vector has random candidates among all with cosine >= low, pruned with a degree of their own:
+    """Robust-pruned adjacency of a shard's unit vectors, both directions.
+
+    Candidates are the nearest of a vector's mates in the leaves of a few random trees, so a vector
+    meets a number of others that doesn't grow with the shard. Besides them it has random candidates
+    with cosine >= low, from its leaves and from the whole shard, pruned with a degree of their own:
     they link tight sub-groups of more vectors than the nearest reach."""
     m = len(x)
-    k, w, limit = min(CANDIDATES * effort, m - 1), min(WIDE * effort, m - 1), DEGREE * effort
-    if k < 1:
+    if m < 2:
         return [np.zeros(0, np.int64)] * m
+    limit = DEGREE * effort
+    trees = TREES * effort if m > LEAF else 1
+    k, w = max(CANDIDATES * effort // trees, 1), max(WIDE * effort // trees, 1)
     rng = np.random.default_rng(m)
+    near, wide = np.full((m, trees, k), -1), np.full((m, trees, w), -1)
+    for t in range(trees):
+        for p in _leaves(x, rng):
+            n = len(p)
+            s = _cosines(x[p], x[p].T)
+            s[np.arange(n), np.arange(n)] = -2
+            some = min(k, n - 1)
+            near[p, t, :some] = p[np.argpartition(-s, some - 1, axis=1)[:, :some]]
+            some = min(w, n - 1)
+            lot = np.where(s >= low, rng.random(s.shape, np.float32), 2)
+            pick = np.argpartition(lot, some - 1, axis=1)[:, :some]
+            wide[p, t, :some] = np.where(np.take_along_axis(lot, pick, 1) < 2, p[pick], -1)
     far = rng.choice(m, min(4, m), replace=False)
     heads, tails = [], []
 
-    def prune(p: np.ndarray, s: np.ndarray, near: np.ndarray, live: np.ndarray) -> None:
-        sim = np.take_along_axis(s, near, 1)
+    def prune(p: np.ndarray, c: np.ndarray, low: float) -> None:
+        """Links p with what robust pruning keeps of their candidates c (-1: none)."""
+        c = np.sort(c, axis=1)
+        live = (c >= 0) & (c != p[:, None])
+        live[:, 1:] &= c[:, 1:] != c[:, :-1]
+        sim = np.where(live, _cosines(x[c], x[p][:, :, None])[:, :, 0], -2)
         order = np.argsort(-sim, axis=1, kind="stable")
-        near, sim, live = (np.take_along_axis(z, order, 1) for z in (near, sim, live))
+        c, sim = (np.take_along_axis(z, order, 1) for z in (c, sim))
+        live = sim >= low
         dist = 1 - sim
-        between = 1 - np.matmul(x[near], x[near].transpose(0, 2, 1))
+        between = 1 - np.matmul(x[c], x[c].transpose(0, 2, 1))
         taken = np.zeros(len(p), np.int64)
-        for j in range(near.shape[1]):
+        for j in range(c.shape[1]):
             keep = live[:, j] & (taken < limit)
             heads.append(p[keep])
-            tails.append(near[keep, j])
+            tails.append(c[keep, j])
             taken += keep
             # what a kept neighbour stands closer to, by ALPHA, is reached through it
             live &= ~(keep[:, None] & (ALPHA * between[:, j] <= dist))
 
     for at in range(0, m, 512):
         p = np.arange(at, min(at + 512, m))
-        s = x[p] @ x.T
-        s[np.arange(len(p)), p] = -2
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m else np.argsort(-s, axis=1)
-        near = np.concatenate([near, np.broadcast_to(far, (len(p), len(far)))], axis=1)
-        prune(p, s, near, near != p[:, None])
-        lot = np.where(s >= low, rng.random(s.shape, np.float32), 2)
-        lot[np.arange(len(p)), p] = 2
-        wide = np.argpartition(lot, w - 1, axis=1)[:, :w]
-        prune(p, s, wide, np.take_along_axis(lot, wide, 1) < 2)
+        prune(p, np.concatenate([near[p].reshape(len(p), -1), np.broadcast_to(far, (len(p), len(far)))], 1), -1.5)
+        prune(p, np.concatenate([wide[p].reshape(len(p), -1), rng.integers(0, m, (len(p), WIDE * effort))], 1), low)
     h, t = np.concatenate(heads), np.concatenate(tails)
     codes = np.unique(np.concatenate([h * m + t, t * m + h]))
     return np.split(codes % m, np.searchsorted(codes // m, np.arange(1, m)))

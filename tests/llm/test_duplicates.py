@@ -264,6 +264,7 @@ def test_near_vectors(spark):
         assert (got[1000 + i].n_links, got[1000 + i].component_id) == (0, 1000 + i)
     assert got[1006].n_links == 1 and got[1007].component_id == 1006
     assert got[None].n_links == 0 and got[None].component_id is None
+    assert {r.recall for r in got.values()} == {got[0].recall} and got[0].recall >= 0.97
     assert embedding_graph.near_vectors(df.limit(0)).collect() == []
 
 
@@ -301,6 +302,26 @@ def nested_groups(seed=7):
     return np.array(out)
 
 
+def test_candidates_take_fewer_cosines_than_all_pairs(monkeypatch):
+    """4,000 vectors, a third in one partly linked group, and small groups of linked ones."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4_000, 64))
+    x[:1_333] = x[0] + 0.2 * rng.standard_normal((1_333, 64))
+    for i in range(1_333, 3_990, 7):
+        x[i : i + 3] = x[i] + 0.15 * rng.standard_normal((3, 64))
+    x = embedding_graph.unit(x)
+    taken, plain = [], embedding_graph._cosines
+    monkeypatch.setattr(embedding_graph, "_cosines", lambda a, b: taken.append(plain(a, b)) or taken[-1])
+    graph = embedding_graph.build_graph(x.astype(np.float32), 0.95 - embedding_graph.SLACK)
+    assert sum(t.size for t in taken) < 0.4 * len(x) ** 2 / 2
+    found = embedding_graph.search(x, graph, 0.95)
+    s = x @ x.T >= 0.95
+    np.fill_diagonal(s, False)
+    few = s.sum(axis=1) < 5
+    assert few.sum() > 2_000 and s[few].sum() > 1_000
+    assert not (found & ~s).any() and found.sum() >= 0.999 * s.sum() and found[few].sum() >= 0.99 * s[few].sum()
+
+
 def test_tight_groups_inside_groups():
     x = embedding_graph.unit(nested_groups())
     found = embedding_graph.search(x, embedding_graph.build_graph(x.astype(np.float32), 0.95 - embedding_graph.SLACK), 0.95)
