@@ -69,20 +69,42 @@ def _residue(codon: Column) -> Column:
     return F.when(known, F.substring(F.lit(GENETIC_CODE), 16 * at[0] + 4 * at[1] + at[2] - 20, F.lit(1))).otherwise(F.lit("X"))
 
 
-def snv_effects(tx: DataFrame, key: str = "transcript_id", carried: list[str] | None = None) -> DataFrame:
+def _substituted() -> list[str]:
+    """For each of the 64 codons, in the code's order: the residues of its twelve (base by base, A, C,
+    G, T) substitutions."""
+    codons = [x + y + z for x in "TCAG" for y in "TCAG" for z in "TCAG"]
+    code = dict(zip(codons, GENETIC_CODE))
+    return ["".join(code[c[:i] + b + c[i + 1 :]] for i in range(3) for b in "ACGT") for c in codons]
+
+
+def snv_effects(tx: DataFrame, key: str = "transcript_id", carried: list[str] | None = None, changed: bool = False) -> DataFrame:
     """Every substitution of every coding base, worked out once from its codon: the key (and what is
     carried), drawn, cds_ref, cds_alt, effect, aa_off and short. Rows whose base is the reference
-    have a null effect. Equal to annotate(), without making a mutant protein for each."""
+    have a null effect; changed: without rows of a null effect. Equal to annotate(), without making a
+    mutant protein for each.
+
+    A codon's residues after its twelve substitutions are one look-up a codon. The rows of a null
+    effect are left out before anything is worked out: a filter on the effect would be pushed below
+    and work out every step of it anew."""
     keep = list(dict.fromkeys([key, *(carried or [])]))
-    each = tx.where(F.length("cds") > 0).select(*dict.fromkeys([*keep, "cds", "protein"]), F.explode(F.sequence(F.lit(0), F.length("cds") - 1)).alias("drawn"))
-    each = each.withColumn("cds_ref", F.substring(F.col("cds"), F.col("drawn") + 1, F.lit(1))).withColumn("cds_alt", F.explode(F.array(*map(F.lit, "ACGT"))))
-    i = F.floor(F.col("drawn") / 3).cast("int")
-    old, at = F.substring(F.col("cds"), 3 * i + 1, F.lit(3)), F.col("drawn") - 3 * i
-    each = each.withColumns({"_i": i, "_old": old}).withColumn("_new", F.concat(F.substring(F.col("_old"), F.lit(1), at), F.col("cds_alt"), F.substring(F.col("_old"), at + 2, F.lit(3))))
-    each = each.withColumns({"_a": _residue(F.col("_old")), "_b": _residue(F.col("_new")), "_n": F.length("protein")})
+    each = tx.where(F.length("cds") > 0)
+    each = each.where("protein is not null") if changed else each
+    each = each.select(*dict.fromkeys([*keep, "cds", "protein"]), F.explode(F.sequence(F.lit(0), F.floor((F.length("cds") - 1) / 3).cast("int"))).alias("_i"))
+    each = each.withColumn("_old", F.substring(F.col("cds"), 3 * F.col("_i") + 1, F.lit(3)))
+    at = [F.position(F.substring(F.col("_old"), i, 1), F.lit("TCAG")) for i in (1, 2, 3)]
+    known = (F.length("_old") == 3) & (F.least(*at) > 0)
+    number = F.when(known, 16 * at[0] + 4 * at[1] + at[2] - 21)
+    each = each.withColumn("_code", number).withColumns({"_to": F.get(F.array(*map(F.lit, _substituted())), F.col("_code")), "_a": F.coalesce(F.substring(F.lit(GENETIC_CODE), F.col("_code") + 1, F.lit(1)), F.lit("X"))})
+    each = each.withColumns({"_n": F.length("protein"), "_wild": F.concat(F.lit("p."), F.substring(F.col("protein"), F.col("_i") + 1, F.lit(1)), (F.col("_i") + 1).cast("string"))})
+    each = each.withColumn("_v", F.explode(F.sequence(F.lit(0), 4 * F.length("_old") - 1)))
+    at, base = F.shiftright("_v", 2), F.col("_v").bitwiseAND(3)
+    each = each.withColumns({"drawn": 3 * F.col("_i") + at, "cds_ref": F.substring(F.col("_old"), at + 1, F.lit(1)), "cds_alt": F.substring(F.lit("ACGT"), base + 1, F.lit(1))})
+    each = each.where("cds_ref <> cds_alt") if changed else each
+    new = F.concat(F.substring(F.col("_old"), F.lit(1), at), F.col("cds_alt"), F.substring(F.col("_old"), at + 2, F.lit(3)))
+    each = each.withColumn("_b", F.when(F.col("_to").isNotNull(), F.substring(F.col("_to"), F.col("_v") + 1, F.lit(1))).otherwise(_residue(new)))
     effect = (
         F.when((F.col("cds_ref") == F.col("cds_alt")) | F.col("protein").isNull(), F.lit(None).cast("string"))
-        .when((F.col("_i") == 0) & F.col("_new").isin(*STARTS), "AlternateStartCodon")
+        .when((F.col("_i") == 0) & new.isin(*STARTS), "AlternateStartCodon")
         .when(F.col("_i") == 0, "StartLoss")
         .when((F.col("_i") > F.col("_n")) | (F.col("_a") == F.col("_b")), "Silent")
         .when(F.col("_i") == F.col("_n"), "StopLoss")
@@ -90,5 +112,4 @@ def snv_effects(tx: DataFrame, key: str = "transcript_id", carried: list[str] |
         .otherwise("Substitution")
     )
     each = each.withColumn("effect", effect).withColumn("aa_off", F.when(F.col("effect").isNotNull() & (F.col("effect") != "StartLoss"), F.col("_i")))
-    short = F.concat(F.lit("p."), F.substring(F.col("protein"), F.col("_i") + 1, F.lit(1)), (F.col("_i") + 1).cast("string"), F.col("_b"))
-    return each.withColumn("short", short).select(*keep, "drawn", "cds_ref", "cds_alt", "effect", "aa_off", "short")
+    return each.withColumn("short", F.concat("_wild", "_b")).select(*keep, "drawn", "cds_ref", "cds_alt", "effect", "aa_off", "short")

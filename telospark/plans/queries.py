@@ -579,7 +579,7 @@ TX = f"(SELECT doc_id, 'ATG' || substr(replace(replace(replace(cds, 'TAA', 'CAA'
 )
 def snv_effects(spark, sf_dir):
     """Every substitution of every coding base of every transcript."""
-    return sampling.snv_effects(transcripts(spark, sf_dir)).where("effect is not null").select("transcript_id", "drawn", "cds_alt", "effect")
+    return sampling.snv_effects(transcripts(spark, sf_dir), changed=True).select("transcript_id", "drawn", "cds_alt", "effect")
 
 
 @query(f"SELECT 'T' || doc_id AS transcript_id, array_to_string([{CODE}[substr(cds, 3 * i + 1, 3)] FOR i IN range(0, 31)], '') AS protein FROM {TX}")

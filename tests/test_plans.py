@@ -72,3 +72,10 @@ def test_annotation_stands_once_in_a_plan(spark, tiny):
     good, _ = analysis.annotated(core.mutations(spark, tiny), core.transcripts(spark, tiny))
     text = good.select("transcript_id", "effect")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("PrematureStop") == 1
+
+
+def test_substitutions_are_worked_out_once(spark, tiny):
+    """No filter stands below them that works their codons out anew."""
+    text = core.QUERIES["snv_effects"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in text.split("\n") if "Filter " in line]
+    assert filters and not any("TCAG" in line or "StartLoss" in line for line in filters)
