@@ -156,12 +156,10 @@ class Model:
 
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
-            out = pd.Series(np.nan, index=s.index, dtype="float64")
-            ok = s.notna()
-            x = matrix(s[ok], split, dinuc, end, compat)
-            good = ~np.isnan(x).any(axis=1)
-            out[ok] = np.where(good, forward(given.value, np.nan_to_num(x)), np.nan)
-            return out
+            code, each = pd.factorize(s)  # each distinct peptide of a batch once; nulls are -1
+            found, known = indices(pd.Series(each, dtype=object), split, dinuc, end, compat)
+            score = np.append(np.where(known, forward_indices(given.value, found), np.nan), np.nan)
+            return pd.Series(score[code], index=s.index, dtype="float64")
 
         return F.nanvl(run(peptide), F.lit(None).cast("double"))
 
@@ -266,30 +264,75 @@ def grid_search(df: DataFrame, end: str, splits=SPLITS, dropouts=DROPOUTS, sizes
     return grid.join(roc_auc(trained, "y", "score", ["config"]), "config").orderBy(F.desc("auc"), "config")
 
 
+_LETTERS = np.full(256, -1, np.int16)
+_LETTERS[[ord(a) for a in RESIDUES]] = np.arange(len(RESIDUES))
+
+
+def indices(peptides: pd.Series, split: int, dinuc: bool, end: str, compat: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The features of functions.features in a task: for each peptide the columns that it has ones in
+    (a column as often as it counts; filled up with the width, a column that isn't there), and whether
+    its features are known."""
+    n, width = len(RESIDUES), feature_width(split, dinuc)
+    base = n if split < PEPTIDE else 0
+    rows = np.array([p.encode("ascii", "replace") for p in peptides], "S")
+    longest = max(1, rows.dtype.itemsize)
+    text = np.frombuffer(rows.astype(f"S{longest}").tobytes(), np.uint8).reshape(len(rows), longest)
+    size = np.char.str_len(rows).astype(np.int64)[:, None] if len(rows) else np.zeros((0, 1), np.int64)
+    at, letter = np.arange(longest)[None, :], _LETTERS[text].astype(np.int32)
+    if split == PEPTIDE:
+        near, back = at < size, size - 1 - at
+    elif end == "cterm":
+        near, back = at >= size - split, size - 1 - at
+    else:
+        near, back = at < split, np.minimum(split, size) - 1 - at
+    there = (at < size) & (letter >= 0)
+    counted = (back > 0) | (not compat) | (split == 1)
+    placed = base + np.minimum(back, split - 1) * n + letter
+    out = np.where(there & ~near, letter, np.where(there & near & counted, placed, width))
+    known = np.ones(len(rows), bool)
+    if dinuc and split:
+        most = size[:, 0] if split == PEPTIDE else np.minimum(split, size[:, 0])
+        first = np.maximum(size[:, 0] - np.minimum(most, 2), 0) if end == "cterm" else np.zeros(len(rows), np.int64)
+        pair = first[:, None] + np.arange(2)
+        inside = np.arange(2) < np.minimum(most, 2)[:, None]
+        pair = np.minimum(pair, longest - 1)
+        two, of = np.take_along_axis(letter, pair, 1), np.take_along_axis(text, pair, 1)
+        known = ~(inside & (two < 0) & (of != ord("U"))).any(axis=1)
+        both = inside.all(axis=1) & (two >= 0).all(axis=1)
+        out = np.concatenate([out, np.where(both, base + split * n + two[:, 0] * n + two[:, 1], width)[:, None]], axis=1)
+    return out.astype(np.int16 if width < 2**15 else np.int32), known
+
+
+def dense(found: np.ndarray, width: int) -> np.ndarray:
+    """indices() as a matrix."""
+    flat = (np.arange(len(found))[:, None] * (width + 1) + found).ravel()
+    return np.bincount(flat, minlength=len(found) * (width + 1)).reshape(len(found), width + 1)[:, :width].astype(np.float64)
+
+
 def matrix(peptides: pd.Series, split: int, dinuc: bool, end: str, compat: bool = True) -> np.ndarray:
     """The features of functions.features in a task; a row of NaN where they are null."""
-    at = {a: i for i, a in enumerate(RESIDUES)}
-    n = len(RESIDUES)
-    out = np.zeros((len(peptides), feature_width(split, dinuc)))
-    base = n if split < PEPTIDE else 0
-    for r, s in enumerate(peptides):
-        near = "" if split == 0 else s if split == PEPTIDE else s[-split:] if end == "cterm" else s[:split]
-        rest = "" if split == PEPTIDE else s if split == 0 else s[:-split] if end == "cterm" else s[split:]
-        for a in rest:
-            if a in at:
-                out[r, at[a]] += 1
-        for i, a in enumerate(reversed(near)):
-            if a in at and (i > 0 or not compat or split == 1):
-                out[r, base + min(i, split - 1) * n + at[a]] += 1
-        pair = near[-2:] if end == "cterm" else near[:2]
-        if dinuc and split:
-            if any(a not in at and a != "U" for a in pair):
-                out[r] = np.nan
-            elif len(pair) == 2 and "U" not in pair:
-                out[r, base + split * n + at[pair[0]] * n + at[pair[1]]] += 1
+    found, known = indices(peptides, split, dinuc, end, compat)
+    out = dense(found, feature_width(split, dinuc))
+    out[~known] = np.nan
     return out
 
 
+def forward_indices(net: list, found: np.ndarray) -> np.ndarray:
+    """forward() of indices(), summed in one order, so that a peptide's score doesn't depend on what
+    else is in its batch."""
+    first = np.concatenate([np.asarray(net[0][0]), np.zeros((1, len(net[0][1])))])
+    x = np.zeros((len(found), first.shape[1]))
+    for k in range(found.shape[1]):
+        x += first[found[:, k]]
+    x += np.asarray(net[0][1])
+    for w, b in net[1:]:
+        x, old = np.zeros((len(x), len(b))), np.maximum(x, 0)
+        for k, row in enumerate(np.asarray(w)):
+            x += old[:, k : k + 1] * row
+        x += np.asarray(b)
+    return (1 / (1 + np.exp(-np.clip(x, -60, 60))))[:, 0]
+
+
 def train_pair(df: DataFrame, end: str, threshold: float, key: str = "Gene_ID", peptide: str = "Peptide amino acid sequence", **grid) -> dict:
     """Grid search, test AUC and final networks of a terminus. Returns grid (DataFrame), test_auc,
     test (key, prediction, y of the held-out peptides), specific and bag (Model) and scored (DataFrame

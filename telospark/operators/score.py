@@ -1,9 +1,10 @@
-"""Degron potential of mutations: the change in (specific - bag) of the terminal window. Each
-distinct peptide is scored once, wild types included."""
+"""Degron potential of mutations: the change in (specific - bag) of the terminal window. Windows are
+scored where their variant stands, each distinct one of a batch once, so that no variant is worked
+out a second time or moved."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telospark.functions.sequences import terminal_window
@@ -11,13 +12,15 @@ from telospark.operators.filters import hits_terminus, is_indel, is_substitution
 from telospark.operators.model import Model
 
 
-def peptide_scores(df: DataFrame, columns: list[str], specific: Model, bag: Model | None) -> DataFrame:
-    """(peptide, score) of the distinct values in some columns; null for peptides with U."""
-    spark = df.sparkSession
-    p = df.select(F.explode(F.array(*columns)).alias("peptide")).where("peptide is not null").distinct()
-    value = specific.predict(spark, F.col("peptide"))
-    value = value - bag.predict(spark, F.col("peptide")) if bag else value
-    return p.where(~F.col("peptide").contains("U")).withColumn("score", value)
+def peptide_score(spark: SparkSession, peptide: Column, specific: Model, bag: Model | None) -> Column:
+    """Null for peptides with U."""
+    known = F.when(~peptide.contains("U"), peptide)
+    value = specific.predict(spark, known)
+    return value - bag.predict(spark, known) if bag else value
+
+
+def delta(spark: SparkSession, wild: Column, mutant: Column, specific: Model, bag: Model | None) -> Column:
+    return peptide_score(spark, mutant, specific, bag) - peptide_score(spark, wild, specific, bag)
 
 
 def eligible(df: DataFrame, nmd_indels: bool = True) -> Column:
@@ -52,9 +55,9 @@ def with_delta(df: DataFrame, specific: Model, bag: Model | None, end: str) -> D
     """Variants with their windows() that change the terminus, with delta, and mutant_score. A
     wild-type window with U gives delta 0 and no row for scoring."""
     df = df.where(hits_terminus(F.col("effect"), F.col("aa_off"), F.col("mut_length"), F.col("n"), end))
-    df = df.where(~F.col("wild_window").contains("U"))
-    scores = peptide_scores(df, ["mut_window", "wild_window"], specific, bag)
-    df = df.join(scores.toDF("mut_window", "mutant_score"), "mut_window").join(scores.toDF("wild_window", "_wild"), "wild_window")
+    df = df.where(~F.col("wild_window").contains("U") & ~F.col("mut_window").contains("U"))
+    mutant, wild = (peptide_score(df.sparkSession, F.col(c), specific, bag) for c in ("mut_window", "wild_window"))
+    df = df.withColumns({"mutant_score": mutant, "_wild": wild})
     return df.withColumn("delta", F.col("mutant_score") - F.col("_wild")).drop("mut_window", "wild_window", "_wild")
 
 

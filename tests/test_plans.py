@@ -79,3 +79,10 @@ def test_substitutions_are_worked_out_once(spark, tiny):
     text = core.QUERIES["snv_effects"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in text.split("\n") if "Filter " in line]
     assert filters and not any("TCAG" in line or "StartLoss" in line for line in filters)
+
+
+def test_scored_variants_are_annotated_once(spark, tiny):
+    for name in ("score_mutations", "score_mutations_raw"):
+        text = core.QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        made = [line for line in text.split("\n") if "Generate " in line and line.rstrip().endswith("]") and "[_v#" in line[-20:]]
+        assert len(made) == 1 and text.count("ArrowEvalPython") == 1
