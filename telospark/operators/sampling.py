@@ -6,6 +6,10 @@ and other engines agree; it is uniform with replacement over the positions of a
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +36,6 @@ def draw(parts: list[Column], n: Column) -> Column:
     return F.pmod(F.conv(digest, 16, 10).cast("long"), n.cast("long")).cast("int")
 
 
-def context_index_csr(tx: DataFrame, kind: float) -> DataFrame:
-    """transcript_id, places (all cds places, by context and then place) and contexts (context, first,
-    n): where a context's places begin in that array, and how many there are. One place a base."""
-    by = context_positions(tx, kind).groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("context", "positions"))).alias("c"))
-    first = lambda i: F.aggregate(F.slice("c", 1, i), F.lit(0), lambda a, y: a + F.size(y["positions"]))  # noqa: E731  at most 64 contexts
-    return by.select("transcript_id", F.flatten(F.transform("c", lambda x: x["positions"])).alias("places"), F.transform("c", lambda x, i: F.struct(x["context"].alias("context"), first(i).alias("first"), F.size(x["positions"]).alias("n"))).alias("contexts"))
-
-
 def slot_runs(variants: DataFrame, kind: float, more: list[str]) -> DataFrame:
     """Slots of each unit, numbered from 0 by trinucleotide (tri), then start, ref, alt and cds_pos:
     one row per distinct variant with slot (its first) and m (how many it has), so that a unit has
@@ -58,6 +54,63 @@ def draws(slotted: DataFrame, positions: DataFrame, first: int, last: int, seed:
     return df.withColumn("drawn", F.get("positions", pick)).drop("positions")
 
 
+#: The constants and turns of MD5 (RFC 1321).
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _heads(words: np.ndarray) -> np.ndarray:
+    """The first eight hexadecimal digits, as numbers, of the MD5 digests of many padded messages of
+    one block; words: 16 rows of unsigned 32-bit numbers, a column each. The last three steps don't
+    reach these digits."""
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _START)
+    for i in range(61):
+        turn = i // 16
+        if turn == 0:
+            f, g = d ^ (b & (c ^ d)), i
+        elif turn == 1:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif turn == 2:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[g]
+        f += np.uint32(_SINES[i])
+        by = _TURNS[turn][i % 4]
+        turned = f << np.uint32(by)
+        f >>= np.uint32(32 - by)
+        turned |= f
+        turned += b
+        a, b, c, d = d, turned, b, c
+    return (b + np.uint32(_START[0])).byteswap()
+
+
+def numbers(before: list[bytes], after: list[bytes], first: int, last: int) -> np.ndarray:
+    """What draw() takes its remainders of, for the parts before[i], sim, after[i] with their bars, sim from first to
+    last - 1: one row for each i. For use in a task."""
+    out = np.empty((len(before), last - first), np.uint32)
+    while first < last:
+        digits = len(str(first))
+        end = min(last, 10**digits)
+        at = slice(out.shape[1] - (last - first), out.shape[1] - (last - end))
+        written = (np.arange(first, end)[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + 48).astype(np.uint8)
+        block = np.empty((len(before), end - first, 64), np.uint8)
+        for i, (x, y) in enumerate(zip(before, after)):
+            size = len(x) + digits + len(y)
+            if size < 56:
+                block[i] = np.frombuffer((x + b"0" * digits + y + b"\x80").ljust(56, b"\0") + (8 * size).to_bytes(8, "little"), np.uint8)
+                block[i, :, len(x) : len(x) + digits] = written
+        words = np.ascontiguousarray(block.reshape(-1, 64).view("<u4").T)
+        out[:, at] = _heads(words).reshape(len(before), -1)
+        for i, (x, y) in enumerate(zip(before, after)):
+            if len(x) + digits + len(y) >= 56:  # more than one block
+                out[i, at] = [int(hashlib.md5(x + b"%d" % sim + y).hexdigest()[:8], 16) for sim in range(first, end)]
+        first = end
+    return out
+
+
 def unseen(slotted: DataFrame, positions: DataFrame) -> DataFrame:
     return slotted.join(positions, ["transcript_id", "context"], "left_anti")
 

@@ -486,3 +486,51 @@ def test_ranks_without_a_task_that_sees_all(spark):
     assert len(dealt) > 1 and max(r["count"] for r in dealt) < 1500
     assert filters.two_sided_trim(df, [F.desc("v"), "i"], 30).count() == 1940
     assert filters.rank_rows(df.limit(0), ["v"]).collect() == []
+
+
+def test_numbers_in_tasks_equal_md5(spark):
+    """Also across digits of the simulation, and for messages of more than one block."""
+    import hashlib
+
+    before = [b"101|T1|ACG|", b"101|T22|None|", b"101|" + b"x" * 41 + b"|A|", b"101|" + b"x" * 80 + b"|A|"]
+    after = [b"|0", b"|17", b"|3", b"|400"]
+    got = sampling.numbers(before, after, 7, 1203)
+    for i, (x, y) in enumerate(zip(before, after)):
+        assert got[i].tolist() == [int(hashlib.md5(x + b"%d" % k + y).hexdigest()[:8], 16) for k in range(7, 1203)]
+    pick = sampling.draw([F.lit(101), F.lit("T1"), F.lit("ACG"), F.col("id"), F.lit(0)], F.lit(1000))
+    assert [r[0] for r in spark.range(7, 1203).select(pick).collect()] == (got[0] % 1000).tolist()
+
+
+def test_potentials_of_substitutions_equal_annotated_ones(spark):
+    """Windows that are read off the protein, stops that are lost, and a protein that isn't its frame's."""
+    from telospark.operators import score
+    from telospark.plans.queries import fixed_models
+
+    rng = random.Random(31)
+    rows = [_transcript(rng, f"T{i}", f"g{i}", codons=k) for i, k in enumerate((32, 60, 12))]
+    tx = _transcripts(spark, rows).withColumn("protein", F.when(F.col("transcript_id") == "T1", F.concat(F.lit("M"), F.substring("protein", 2, 40), F.lit("A"), F.substring("protein", 43, 99))).otherwise(F.col("protein")))
+    units = permutation.dimension(tx).join(tx.select("transcript_id", "gene"), "transcript_id").withColumn("unit", F.col("transcript_id"))
+    for end in ("cterm", "nterm"):
+        models = fixed_models(end)
+        got = {r.unit: r for r in permutation.substitution_table(units, permutation.TERMINAL, permutation.Potential(*models, end)).collect()}
+        each = sampling.snv_effects(units, "unit", [c for c in units.columns if c != "unit"]).where("effect is not null")
+        size = F.when(F.col("effect") == "PrematureStop", F.col("aa_off")).otherwise(1)
+        told = each.select("unit", "drawn", "cds_alt", F.col("effect").alias("e"), F.col("aa_off").alias("o"), size.alias("size"), *permutation._SEQUENCES, F.col("cds_ref").alias("ref"), F.col("cds_alt").alias("alt"), F.lit("+").alias("strand"))
+        told = score.windows(annotate.annotate(told, at=F.col("drawn")), end).withColumns({"effect": F.col("e"), "aa_off": F.col("o"), "mut_length": F.col("size")})
+        want = score.with_delta(told, *models, end).select("unit", "drawn", "cds_alt", "delta").collect()
+        kept = [r for r in want if got[r.unit].flags[4 * r.drawn + "ACGT".index(r.cds_alt)] == 2]
+        assert len(kept) > 200 and any(abs(r.delta) > 1e-3 for r in kept)
+        for r in kept:
+            assert got[r.unit]["values"][4 * r.drawn + "ACGT".index(r.cds_alt)] == pytest.approx(r.delta, abs=1e-12), r
+        assert sum(v is not None for u in got.values() for v in u["values"]) == len(kept)
+
+
+def test_sure_slots_need_no_draws(spark, monkeypatch):
+    """A unit whose contexts add the same at all their places makes no number at all."""
+    cds = "ATG" + "ACC" * 30 + "TAA"
+    row = ("T", "g", "1", "+", "protein_coding", True, cds, "", [{"start": 1, "end": 93}], [94, 95, 96])
+    muts = spark.createDataFrame([("g", "T", "1", p + 1, cds[p], "G") for p in (9, 12, 12)], MUTATION)
+    spans = spark.createDataFrame([("T", 1, 200)], "key string, start int, end int")
+    monkeypatch.setattr(sampling, "numbers", None)
+    (got,) = analysis.run("sites", muts, _transcripts(spark, [row]), 300, spans=spans).collect()
+    assert (got.num_site_muts, got.pvalue) == (3, 1.0)
