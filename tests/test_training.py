@@ -91,3 +91,16 @@ def test_shorter_runs_are_stops_of_longer_ones(spark):
         score = model.forward(model.train(m[t], p["y"].to_numpy()[t], 4, r.dropout, 2, epochs=r.epochs), m[~t])
         one, two = score[p["y"].to_numpy()[~t] == 1], score[p["y"].to_numpy()[~t] == 0]
         assert r.auc == pytest.approx(((one[:, None] > two).sum() + (one[:, None] == two).sum() / 2) / (len(one) * len(two)))
+
+
+def test_rows_are_the_matrix_and_small():
+    """What a run of the grid holds: the same rows, and no wide matrix."""
+    p = pd.Series([r[0] for r in peptides(300) if r[0]])
+    for split, dinuc in ((6, True), (23, True), (12, False)):
+        rows, whole = model.Rows.of(p, split, dinuc, "cterm"), model.matrix(p, split, dinuc, "cterm")
+        assert np.array_equal(rows[np.arange(len(p))], whole, equal_nan=True) and rows.shape == whole.shape
+        assert rows.found.nbytes <= 2 * 24 * len(p)
+        t = np.arange(len(p)) % 3 > 0
+        assert np.array_equal(rows.where(t)[5:40], whole[t][5:40], equal_nan=True)
+    x, y = model.Rows.of(p[:250], 6, True, "cterm"), np.arange(250) % 2
+    assert np.array_equal(flat(model.train(x, y, 4, 0.5, epochs=2)), flat(model.train(x[np.arange(250)], y, 4, 0.5, epochs=2)))
