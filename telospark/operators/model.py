@@ -164,6 +164,11 @@ class Model:
 
         return F.nanvl(run(peptide), F.lit(None).cast("double"))
 
+    def scores(self, peptides: np.ndarray) -> np.ndarray:
+        """predict() in a task, of an array of bytes; NaN where the features aren't known."""
+        found, known = indices(peptides, self.split, self.dinuc, self.end, self.compat)
+        return np.where(known, forward_indices(self.net, found), np.nan)
+
 
 def hash_split(df: DataFrame, key: str, share: float, out: str, salt: str = "101") -> DataFrame:
     """out = 1 for about `share` of the keys, by md5; the same on every run and partitioning."""
@@ -275,13 +280,13 @@ _LETTERS = np.full(256, -1, np.int16)
 _LETTERS[[ord(a) for a in RESIDUES]] = np.arange(len(RESIDUES))
 
 
-def indices(peptides: pd.Series, split: int, dinuc: bool, end: str, compat: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The features of functions.features in a task: for each peptide the columns that it has ones in
+def indices(peptides: pd.Series | np.ndarray, split: int, dinuc: bool, end: str, compat: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The features of functions.features in a task: for each peptide (letters, or bytes in an array) the columns that it has ones in
     (a column as often as it counts; filled up with the width, a column that isn't there), and whether
     its features are known."""
     n, width = len(RESIDUES), feature_width(split, dinuc)
     base = n if split < PEPTIDE else 0
-    rows = np.array([p.encode("ascii", "replace") for p in peptides], "S")
+    rows = peptides if isinstance(peptides, np.ndarray) else np.array([p.encode("ascii", "replace") for p in peptides], "S")
     longest = max(1, rows.dtype.itemsize)
     text = np.frombuffer(rows.astype(f"S{longest}").tobytes(), np.uint8).reshape(len(rows), longest)
     size = np.char.str_len(rows).astype(np.int64)[:, None] if len(rows) else np.zeros((0, 1), np.int64)

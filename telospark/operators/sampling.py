@@ -37,13 +37,15 @@ def draw(parts: list[Column], n: Column) -> Column:
 
 
 def slot_runs(variants: DataFrame, kind: float, more: list[str]) -> DataFrame:
-    """Slots of each unit, numbered from 0 by trinucleotide (tri), then start, ref, alt and cds_pos:
-    one row per distinct variant with slot (its first) and m (how many it has), so that a unit has
-    no more rows than its transcript has variants, however many mutations there are."""
+    """Slots of each unit's substitutions, and of its indels (kind is 'sub' or 'indel'), numbered from 0 by
+    trinucleotide (tri), then start, ref, alt and cds_pos: one row per distinct variant with its context, slot (its
+    first) and m (how many it has), so that a unit has no more rows than its transcript has variants, however many
+    mutations there are. The rows are dealt by unit."""
     order = ["tri", "start", "ref", "alt", "cds_pos"]
-    distinct = variants.groupBy("unit", "transcript_id", *order, *more).agg(F.count("*").alias("m"))
-    before = Window.partitionBy("unit").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return distinct.withColumn("context", context_of(F.col("tri"), kind)).withColumn("slot", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    distinct = variants.groupBy("unit", "transcript_id", "kind", *order, *more).agg(F.count("*").alias("m")).repartition("unit")
+    before = Window.partitionBy("unit", "kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("kind") == "sub", context_of(F.col("tri"), kind)).otherwise(context_of(F.col("tri"), 0))
+    return distinct.withColumn("context", known).withColumn("slot", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
 def draws(slotted: DataFrame, positions: DataFrame, first: int, last: int, seed: int = SEED) -> DataFrame:
@@ -60,54 +62,92 @@ _TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _heads(words: np.ndarray) -> np.ndarray:
-    """The first eight hexadecimal digits, as numbers, of the MD5 digests of many padded messages of
-    one block; words: 16 rows of unsigned 32-bit numbers, a column each. The last three steps don't
-    reach these digits."""
-    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _START)
+def _heads(given: np.ndarray, written: np.ndarray) -> np.ndarray:
+    """The first eight hexadecimal digits, as numbers, of the MD5 digests of many padded messages of one block, each of
+    given (16 unsigned 32-bit words a row) with each of written (words that are 0 where given aren't): a row for each
+    of given. The last three steps don't reach these digits."""
+    a, b, c, d = (np.full((len(given), len(written)), x, np.uint32) for x in _START)
+    t = np.empty_like(a)
+    many = [given[:, g, None] | written[:, g] if written[:, g].any() else None for g in range(16)]
+    one = [int(given[0, g]) if (given[:, g] == given[0, g]).all() else None for g in range(16)]
     for i in range(61):
         turn = i // 16
         if turn == 0:
-            f, g = d ^ (b & (c ^ d)), i
+            np.bitwise_xor(c, d, out=t)
+            t &= b
+            t ^= d
+            g = i
         elif turn == 1:
-            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=t)
+            t &= d
+            t ^= c
+            g = (5 * i + 1) % 16
         elif turn == 2:
-            f, g = b ^ c ^ d, (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=t)
+            t ^= d
+            g = (3 * i + 5) % 16
         else:
-            f, g = c ^ (b | ~d), 7 * i % 16
-        f += a
-        f += words[g]
-        f += np.uint32(_SINES[i])
+            np.invert(d, out=t)
+            t |= b
+            t ^= c
+            g = 7 * i % 16
+        a += t
+        # most words are equal in all messages, or in all of a row
+        if many[g] is not None:
+            a += many[g]
+            a += np.uint32(_SINES[i])
+        elif one[g] is not None:
+            a += np.uint32((one[g] + _SINES[i]) % 2**32)
+        else:
+            a += given[:, g, None] + np.uint32(_SINES[i])
         by = _TURNS[turn][i % 4]
-        turned = f << np.uint32(by)
-        f >>= np.uint32(32 - by)
-        turned |= f
-        turned += b
-        a, b, c, d = d, turned, b, c
-    return (b + np.uint32(_START[0])).byteswap()
+        np.left_shift(a, np.uint32(by), out=t)
+        a >>= np.uint32(32 - by)
+        a |= t
+        a += b
+        a, b, c, d = d, a, b, c
+    b += np.uint32(_START[0])
+    return b.byteswap()
+
+
+#: Messages that are hashed together.
+TOGETHER = 65_536
 
 
 def numbers(before: list[bytes], after: list[bytes], first: int, last: int) -> np.ndarray:
     """What draw() takes its remainders of, for the parts before[i], sim, after[i] with their bars, sim from first to
-    last - 1: one row for each i. For use in a task."""
+    last - 1: one row for each i. For use in a task, for many i at once: those whose parts are as long go together."""
     out = np.empty((len(before), last - first), np.uint32)
-    while first < last:
-        digits = len(str(first))
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(before, after)):
+        sizes.setdefault((len(x), len(y)), []).append(i)
+    alike = []
+    for (n, m), rows in sizes.items():
+        text = [np.frombuffer(b"".join(part[i] for i in rows), np.uint8).reshape(len(rows), -1) for part in (before, after)]
+        alike.append((n, m, np.array(rows), *text))
+    done = first
+    while done < last:
+        digits = len(str(done))
         end = min(last, 10**digits)
-        at = slice(out.shape[1] - (last - first), out.shape[1] - (last - end))
-        written = (np.arange(first, end)[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + 48).astype(np.uint8)
-        block = np.empty((len(before), end - first, 64), np.uint8)
-        for i, (x, y) in enumerate(zip(before, after)):
-            size = len(x) + digits + len(y)
-            if size < 56:
-                block[i] = np.frombuffer((x + b"0" * digits + y + b"\x80").ljust(56, b"\0") + (8 * size).to_bytes(8, "little"), np.uint8)
-                block[i, :, len(x) : len(x) + digits] = written
-        words = np.ascontiguousarray(block.reshape(-1, 64).view("<u4").T)
-        out[:, at] = _heads(words).reshape(len(before), -1)
-        for i, (x, y) in enumerate(zip(before, after)):
-            if len(x) + digits + len(y) >= 56:  # more than one block
-                out[i, at] = [int(hashlib.md5(x + b"%d" % sim + y).hexdigest()[:8], 16) for sim in range(first, end)]
-        first = end
+        figures = (np.arange(done, end)[:, None] // 10 ** np.arange(digits - 1, -1, -1) % 10 + 48).astype(np.uint8)
+        for n, m, rows, head, tail in alike:
+            size = n + digits + m
+            if size >= 56:  # more than one block
+                for i in rows:
+                    out[i, done - first : end - first] = [int(hashlib.md5(before[i] + b"%d" % sim + after[i]).hexdigest()[:8], 16) for sim in range(done, end)]
+                continue
+            text, written = np.zeros((len(rows), 64), np.uint8), np.zeros((end - done, 64), np.uint8)
+            text[:, :n], text[:, n + digits : size], text[:, size] = head, tail, 128
+            text[:, 56:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+            written[:, n : n + digits] = figures
+            text, written = text.view("<u4"), written.view("<u4")
+            wide = min(len(written), TOGETHER)
+            high = TOGETHER // wide
+            for b in range(0, len(written), wide):
+                at = slice(done - first + b, done - first + min(b + wide, len(written)))
+                for a in range(0, len(rows), high):
+                    out[rows[a : a + high], at] = _heads(text[a : a + high], written[b : b + wide])
+        done = end
     return out
 
 
