@@ -3,6 +3,8 @@ transcript dimension is joined once and genes are never looped over."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -67,8 +69,9 @@ def reported(report: list[Observation]) -> dict[str, int]:
     return {k: v for o in report for k, v in o.get.items()}
 
 
-def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_000, spans: DataFrame | None = None, models: tuple | None = None, energies: DataFrame | None = None, side: str = "lesser", mode: str = "transcript", seed: int = 101, report: list[Observation] | None = None) -> DataFrame:
-    """The result table of one analysis; 'degrons_simple' is the older test of substitutions alone."""
+def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_000, spans: DataFrame | None = None, models: tuple | None = None, energies: DataFrame | Callable[[DataFrame], DataFrame] | None = None, side: str = "lesser", mode: str = "transcript", seed: int = 101, report: list[Observation] | None = None) -> DataFrame:
+    """The result table of one analysis; 'degrons_simple' is the older test of substitutions alone. energies: a table, or
+    a rule that makes it from the annotated variants, which are then annotated once."""
     variants, _ = annotated(mutations, tx, mode, report)
     if name == "degrons_simple":
         test, statistic = permutation.DEGRON_LEGACY, permutation.Overlap(spans, "gene")
@@ -83,12 +86,17 @@ def run(name: str, mutations: DataFrame, tx: DataFrame, simulations: int = 10_00
         test = permutation.TRUNCATION if side == "lesser" else permutation.TRUNCATION_GREATER
         statistic = permutation.Truncations()
     elif name == "stability":
+        if callable(energies):
+            variants = cut(permutation.narrow(variants))
+            energies = cut(energies(variants))
         variants = variants.join(energies.select("gene").distinct(), "gene", "left_semi")
         test, statistic = permutation.STABILITY, permutation.Energy(energies)
     else:
         raise ValueError(f"no analysis named {name}")
     if name in ("degrons", "degrons_simple", "sites"):
         variants = variants.join(spans.select(F.col("key").alias(statistic.key)).distinct(), statistic.key, "left_semi")
-    variants = cut(permutation.narrow(variants, name if name in ("cterm", "nterm") else None))
+    if "ranges" in variants.columns:
+        variants = permutation.narrow(variants, name if name in ("cterm", "nterm") else None)
+    variants = cut(variants)
     result = permutation.run_test(variants, permutation.dimension(tx.where(coding_complete(F.col("biotype"), F.col("complete")))), test, statistic, simulations, seed)
     return permutation.shape(result, variants, test)

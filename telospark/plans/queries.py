@@ -624,11 +624,8 @@ def _site_spans(spark, sf_dir):
     return transcripts(spark, sf_dir).select(F.col("transcript_id").alias("key"), F.lit(8).alias("start"), F.lit(14).alias("end"))
 
 
-def _energy_table(spark, sf_dir):
-    from telospark.plans.analysis import annotated
-
-    x, _ = annotated(mutations(spark, sf_dir), transcripts(spark, sf_dir))
-    x = x.where("effect = 'Substitution'").select("gene", sequences.strip_prefix(F.col("short")).alias("variant")).distinct()
+def _energy_table(variants: DataFrame) -> DataFrame:
+    x = variants.where("effect = 'Substitution'").select("gene", sequences.strip_prefix(F.col("short")).alias("variant")).distinct()
     return x.withColumn("ddg", F.pmod(F.xxhash64("gene", "variant"), F.lit(1000)) / 250.0)
 
 
@@ -652,7 +649,7 @@ QUERIES |= {
     "permutation_truncation": _analysis("truncation"),
     "permutation_cterm": _analysis("cterm", models=lambda s, d: fixed_models("cterm")),
     "permutation_nterm": _analysis("nterm", models=lambda s, d: fixed_models("nterm")),
-    "permutation_stability": _analysis("stability", energies=_energy_table),
+    "permutation_stability": _analysis("stability", energies=lambda s, d: _energy_table),
 }
 
 

@@ -82,3 +82,27 @@ def test_many_units_are_drawn_together(monkeypatch):
         assert (hits >= 100).all() and all(len(x) == 100 for x in at)
         alone = [at[0]] if n == 1 else alone + [at[0]]
     assert alone[0] == alone[1] and made[300] <= 6 * made[1]
+
+
+def test_energies_are_sent_or_joined_and_variants_annotated_once(spark, monkeypatch):
+    from telospark.plans import analysis
+
+    rng = random.Random(8)
+    rows = [_transcript(rng, f"T{i}", f"g{i % 2}", codons=40, strand="+-"[i % 2]) for i in range(4)]
+    muts = []
+    for r in rows[::2]:
+        muts += [(r[1], r[0], "1", p + 1, r[6][p], rng.choice([b for b in "ACGT" if b != r[6][p]])) for p in rng.sample(range(3, 85), 9)]
+    tx, muts = _transcripts(spark, rows), spark.createDataFrame(muts, "gene string, transcript_id string, contig string, start long, ref string, alt string")
+
+    def rule(variants):
+        return variants.where("effect = 'Substitution'").selectExpr("gene", "substring(short, 3) as variant", "double(aa_off % 5) - 1 as ddg").distinct()
+
+    made, real = [], analysis.annotated
+    monkeypatch.setattr(analysis, "annotated", lambda *a, **k: made.append(1) or real(*a, **k))
+    got = []
+    for few in (500_000, 0):
+        monkeypatch.setattr(permutation, "FEW", few)
+        got.append(sorted(map(tuple, analysis.run("stability", muts, tx, 300, energies=rule).collect())))
+    table = rule(permutation.narrow(real(muts, tx)[0]))
+    got.append(sorted(map(tuple, analysis.run("stability", muts, tx, 300, energies=table).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2 and any(0 < r[2] < 1 for r in got[0]) and len(made) == 3
