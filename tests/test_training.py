@@ -104,3 +104,25 @@ def test_rows_are_the_matrix_and_small():
         assert np.array_equal(rows.where(t)[5:40], whole[t][5:40], equal_nan=True)
     x, y = model.Rows.of(p[:250], 6, True, "cterm"), np.arange(250) % 2
     assert np.array_equal(flat(model.train(x, y, 4, 0.5, epochs=2)), flat(model.train(x[np.arange(250)], y, 4, 0.5, epochs=2)))
+
+
+def test_counts_are_not_multiplied_out(spark, monkeypatch):
+    """Nets of counts equal those of the matrix's products up to rounding, and make no matrix."""
+    p = pd.Series([r[0] for r in peptides(300) if r[0] and "B" not in r[0]])
+    y = np.arange(len(p)) % 3 == 0
+    for split, dinuc, layers in ((6, True, 2), (23, False, 1), (0, False, 2)):
+        x = model.Rows.of(p, split, dinuc, "cterm")
+        monkeypatch.setattr(model, "_ones", lambda x: None)
+        want = flat(model.train(x, y, 8, 0.25, layers, epochs=3))
+        monkeypatch.undo()
+        monkeypatch.setattr(model, "dense", None)
+        np.testing.assert_allclose(flat(model.train(x, y, 8, 0.25, layers, epochs=3)), want, rtol=1e-7, atol=1e-9)
+        monkeypatch.undo()
+
+
+def test_each_run_is_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    ids = model._numbers(spark, 48)
+    df = spark.createDataFrame([(i,) for i in ids], "run long").repartition(48, "run").select("run", F.spark_partition_id().alias("k"))
+    assert {r.run: r.k for r in df.collect()} == {i: k for k, i in enumerate(ids)}
